@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules
+from . import language_id, quality_classifier, quality_rules, warc
 from .common import fold
 
 
@@ -13,6 +13,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_dir(spark)
+    warc.write_archives(_read(spark, sf_dir, "pages"), out)
+    return warc.read_archives(spark, out, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -30,9 +36,20 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS b, sha1(h) AS d FROM p),
+g AS (SELECT d, max(page_id) AS m FROM q WHERE b >= 1000 GROUP BY d)
+SELECT q.page_id, q.b AS payload_bytes, q.d AS payload_digest,
+       CASE WHEN g.m IS NOT NULL AND (q.page_id IS NULL OR q.page_id < g.m) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.m IS NOT NULL AND (q.page_id IS NULL OR q.page_id < g.m) THEN g.m END AS refers_to
+FROM q LEFT JOIN g ON q.d = g.d AND q.b >= 1000
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for n, f in globals().items() if n.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2}
