@@ -111,15 +111,19 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = 1500, rank: int = 48,
         near = near | ((F.col("q") == q) & (F.pmod("place", F.lit(1 << 30)) * F.lit(float(m)) <= float(1 << 30) * (2 * sample + 50)))
     drawn = ids.where(near).distinct().withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.pmod("place", F.lit(1 << 30)), "doc_id"))).where(F.col("r") <= sample)
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    @F.arrow_udf(T.BinaryType())
     def vector(text: pa.Array) -> pa.Array:
-        return pa.array([terms(t or "") for t in text.to_pylist()], pa.list_(pa.float32()))
+        """Dimensions (u16) and values (f4) that aren't 0, as bytes: the sample stays small on the driver."""
+        rows = [terms(t or "") for t in text.to_pylist()]
+        return pa.array([at.astype("<u2").tobytes() + v[at].astype("<f4").tobytes() for v in rows for at in [np.flatnonzero(v)]], pa.binary())
 
     got = rows.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "q")), "doc_id").select("doc_id", "q", F.xxhash64("text").alias("h"), vector("text").alias("v"))
-    got = got.where(F.col("q").isNotNull()).toPandas().sort_values(["doc_id", "h"], kind="stable").head(4 * sample)
+    got = got.where(F.col("q").isNotNull()).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")]).slice(0, 4 * sample)
     if not len(got):
         return Model(np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power)
-    a = np.stack(got["v"].to_numpy()).astype(np.float32)
+    a = np.zeros((len(got), DIMS), np.float32)
+    for i, x in enumerate(got["v"].to_pylist()):
+        a[i, np.frombuffer(x, "<u2", len(x) // 6)] = np.frombuffer(x, "<f4", len(x) // 6, len(x) // 6 * 2)
     idf = (np.log((1 + len(a)) / (1 + (a > 0).sum(axis=0))) + 0.3).astype(np.float32)
     a *= idf
     # Randomised range finder with power steps; the seed is fixed.
@@ -128,9 +132,9 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = 1500, rank: int = 48,
         q = np.linalg.qr(a @ (a.T @ np.linalg.qr(q)[0]))[0]
     _, _, right = np.linalg.svd(q.T @ a, full_matrices=False)
     project = (right[:rank].T * idf[:, None]).astype(np.float32)
-    vectors = np.stack(got["v"].to_numpy()).astype(np.float32) @ project
+    vectors = a @ right[:rank].T
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Model(project, vectors, got["q"].to_numpy(np.float64), neighbours, power)
+    return Model(project, vectors, got["q"].to_numpy().astype(np.float64), neighbours, power)
 
 
 def votes(latent: np.ndarray, model: Model) -> np.ndarray:
