@@ -90,20 +90,24 @@ def fit(rows: DataFrame, sample: int = 400, per_language: int = 3, reject_quanti
     some = rows.withColumn("place", place).join(F.broadcast(counts), "lang").where(F.col("place") * F.col("n") <= F.lit(float(1 << 40)) * (2 * sample + 50))
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))).where(F.col("r") <= sample)
 
-    @F.arrow_udf(T.StructType([T.StructField("at", T.ArrayType(T.ShortType())), T.StructField("v", T.ArrayType(T.FloatType()))]))
+    @F.arrow_udf(T.BinaryType())
     def sparse(text: pa.Array) -> pa.Array:
+        """Dimensions (u16) and values (f4) as bytes; empty without letters."""
         got = [grams(t) if has_letter(t) else (np.empty(0, np.int64), np.empty(0, np.float32)) for t in text.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([a.astype(np.int16) for a, _ in got], pa.list_(pa.int16())), pa.array([v for _, v in got], pa.list_(pa.float32()))], ["at", "v"])
+        return pa.array([at.astype("<u2").tobytes() + v.astype("<f4").tobytes() for at, v in got], pa.binary())
 
-    vectors = some.select("lang", "place", sparse("text").alias("s")).select("lang", "place", "s.at", "s.v").where("size(at) > 0").toPandas()
-    if not len(vectors):
+    drawn = some.select("lang", "place", sparse("text").alias("v")).where("octet_length(v) > 0").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    if not len(drawn):
         return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), np.ones(DIMS, np.float32))
-    vectors = vectors.sort_values(["lang", "place"], kind="stable")
-    seen = np.bincount(np.concatenate(list(vectors["at"])).astype(np.int64), minlength=DIMS)
+    langs = drawn["lang"].to_pylist()
+    vectors = [(np.frombuffer(x, "<u2", len(x) // 6).astype(np.int64), np.frombuffer(x, "<f4", len(x) // 6, len(x) // 6 * 2)) for x in drawn["v"].to_pylist()]
+    seen = np.zeros(DIMS, np.int64)
+    for at, _ in vectors:
+        seen[at] += 1
     idf = np.log((1 + len(vectors)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     names, centroids, cutoffs = [], [], []
-    for lang, own in vectors.groupby("lang", sort=True):
-        m = dense([(np.asarray(a, np.int64), np.asarray(v, np.float32)) for a, v in zip(own["at"], own["v"], strict=True)], idf)
+    for lang in sorted(set(langs)):
+        m = dense([v for v, of in zip(vectors, langs, strict=True) if of == lang], idf)
         cs = k_means(m, per_language)
         sims = m @ cs.T
         for i, c in enumerate(cs):
