@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules, warc
+from . import language_id, packing, quality_classifier, quality_rules, token_counts, token_files, warc
 from .common import fold
 
 
@@ -24,6 +24,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_dir(spark, "tokens")
+    token_files.write_files(_read(spark, sf_dir, "documents"), out)
+    return token_files.read_files(spark, out, with_ids=False)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     out = language_id.identify(documents, documents.where(fold("doc_id", 4) != 2))
@@ -36,6 +42,14 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.profile(token_counts.histogram(_read(spark, sf_dir, "documents")))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_read(spark, sf_dir, "documents"))
+
+
 OP2 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS b, sha1(h) AS d FROM p),
