@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_classifier, quality_rules, token_counts, token_files, warc
+from . import decontamination, language_id, packing, quality_classifier, quality_rules, token_counts, token_files, warc
 from .common import fold
 
 
@@ -46,6 +46,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.profile(token_counts.histogram(_read(spark, sf_dir, "documents")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_read(spark, sf_dir, "documents"))
 
