@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, packing, quality_classifier, quality_rules, token_counts, token_files, warc
+from . import brown_lm, decontamination, jaccard_join, language_id, packing, quality_classifier, quality_rules, token_counts, token_files, warc
 from .common import fold
 
 
@@ -13,6 +13,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(_read(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_dir(spark)
     warc.write_archives(_read(spark, sf_dir, "pages"), out)
