@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import quality_classifier, quality_rules
+from lexispark.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules
+from lexispark.llm.common import Scratch
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,16 +22,29 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs, _labels(spark, sf_dir))
 
 
-STAGES = [("quality_classifier", classifier), ("quality_rules", rules)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked at Jaccard 0.9, the one with the smallest doc_id stays."""
+    return jaccard_join.filter_documents(docs)
 
-#: Two stages are models, which SQL can't express; tests compare the pipeline with a plain version.
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.filter_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, placed in sequences of 2048 tokens."""
+    return packing.best_fit(docs)
+
+
+STAGES = [("quality_classifier", classifier), ("quality_rules", rules), ("ngram_jaccard_join", near_copies), ("decontamination", decontaminate), ("best_fit_packing", pack)]
+
+#: Two stages are models, which SQL can't express; tests compare the others with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents, each result written to the shared folder and read again."""
-    from lexispark.llm.common import Scratch
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Scratch(spark, "pipeline") as scratch:
         for i, (name, stage) in enumerate(STAGES):
