@@ -13,9 +13,9 @@ threshold is its own BM25 score less its heaviest words that may be missing whil
 shingles are there, so retrieval loses no part of which a passage has 80 % of the shingles.
 
 A retrieved pair is verified on the whole document: the overlap is the share of the item's distinct
-five-word shingles in it (fewer words: the whole sequence), and must reach ``overlap``. The item's
-last sentence is taken as its answer and the rest as its question; the answer's words must be there
-by half, and both overlaps are returned.
+five-word shingles in it (fewer words: the whole sequence), question and answer together, and must
+reach ``overlap``. The item's last sentence is taken as its answer and the rest as its question; the
+overlap of each is returned too (shingles; the words of an answer of fewer than five).
 
 The index is broadcast only up to ``index_bytes`` of item text; a larger benchmark is dealt into
 several indexes of that size by hash, and documents are queried against one after another.
@@ -171,8 +171,9 @@ def verify(index: Index, words: list[bytes], found: dict[int, tuple[float, int]]
             by_size[x.size] = np.unique(shingles(words, hashes, x.size)) if len(words) >= x.size else np.empty(0, np.uint64)
         whole = by_size[x.size]
         overlap = share(x.hashes, whole)
-        if overlap >= index.settings.overlap and len(x.answer_words & present) * 2 >= len(x.answer_words):
-            out.append({"item_id": x.item_id, "score": score, "word_offset": offset, "overlap": overlap, "question_overlap": share(x.question, whole), "answer_overlap": share(x.answer, whole)})
+        if overlap >= index.settings.overlap:
+            answer = share(x.answer, whole) if len(x.answer) else len(x.answer_words & present) / max(1, len(x.answer_words))
+            out.append({"item_id": x.item_id, "score": score, "word_offset": offset, "overlap": overlap, "question_overlap": share(x.question, whole), "answer_overlap": answer})
     return out
 
 
