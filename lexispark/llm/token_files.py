@@ -140,9 +140,11 @@ class Reader:
         source.seek(size - 24)
         docs, blocks, crc, magic = struct.unpack("<QQI4s", source.read(24))
         length = docs * 17 + blocks * 32
+        if magic != MAGIC or length + 28 > size:
+            raise ValueError("not a whole token file")
         source.seek(size - 24 - length)
         index = source.read(length)
-        if magic != MAGIC or zlib.crc32(index) != crc:
+        if zlib.crc32(index) != crc:
             raise ValueError("not a whole token file")
         at = 0
 
