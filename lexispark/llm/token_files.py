@@ -27,7 +27,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -183,7 +182,7 @@ def write_files(documents: DataFrame, out: str, end_id: int = 2, tokenizer: str
         shard, writer = TaskContext.get().partitionId(), None
         name, end, own = f"tokens-{shard:06d}.s8b", np.array([end_id], np.uint32), encoder(path)
         tmp = f"{root}/_temporary/{name}.{uuid.uuid4().hex}"
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):  # few texts at a time as Python objects
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if writer is None:
                     fs.create_dir(f"{root}/_temporary", recursive=True)
@@ -208,11 +207,11 @@ def read_files(spark: SparkSession, out: str, with_ids: bool = True) -> DataFram
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(out)
         for files in batches:
-            for file in files.itertuples():
-                with fs.open_input_file(f"{root}/{file.file}") as source:
+            for file in files.to_pylist():
+                with fs.open_input_file(f"{root}/{file['file']}") as source:
                     reader = Reader(source)
                     crcs, kept = np.zeros(len(reader.counts), np.int64), []
                     doc, left, crc, parts = 0, int(reader.counts[0]) if len(reader.counts) else 0, 0, []
@@ -231,9 +230,9 @@ def read_files(spark: SparkSession, out: str, with_ids: bool = True) -> DataFram
                                     kept.append(np.concatenate(parts).astype(np.int64))
                                 doc, crc, parts = doc + 1, 0, []
                                 left = int(reader.counts[doc]) if doc < len(reader.counts) else 0
-                if doc != file.docs or reader.counts.sum() != file.tokens:
-                    raise ValueError(f"{file.file} doesn't hold what the manifest says")
-                df = pd.DataFrame({"doc_id": pd.Series(reader.ids).astype("Int64").where(pd.Series(reader.valid)), "start": file.base + np.cumsum(reader.counts) - reader.counts, "n_tokens": reader.counts, "ids_crc32": crcs})
-                yield df.assign(ids=kept) if with_ids else df
+                if doc != file["docs"] or reader.counts.sum() != file["tokens"]:
+                    raise ValueError(f"{file['file']} doesn't hold what the manifest says")
+                columns = [pa.array(reader.ids, mask=~reader.valid), pa.array(file["base"] + np.cumsum(reader.counts) - reader.counts), pa.array(reader.counts), pa.array(crcs)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int64()))] * with_ids, schema.names)
 
-    return placed.repartition("file").mapInPandas(read, schema)
+    return placed.select("file", "docs", "tokens", "base").repartition(max(1, manifest.count()), "file").mapInArrow(read, schema)

@@ -47,23 +47,29 @@ class _Cache(dict):
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 160_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model, self.letters = self.whole.model, _byte_letters()
-        self.pretokens, self.chunks = _Cache(self._pretoken, most), _Cache(self._chunk, most)
+        self.pretokens, self.chunks = _Cache(self._pretoken, most), _Cache(self._chunk, most * 3 // 4)
 
     def _pretoken(self, text: str) -> bytes:
         mapped = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-        return np.array([x.id for x in self.model.tokenize(mapped)], "<u4").tobytes()
+        return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(mapped)])
 
     def _full(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _chunk(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self.pretokens[text.lower()]
         if not _PLAIN(text) or "<|" in text:
             return self._full(text)
+        if text.isalpha():
+            return self.pretokens[text.lower()]
+        if text[:-1].isalpha() and text[-1] in ".,;:!?":
+            return self.pretokens[text[:-1].lower()] + self.pretokens[text[-1]]
         return b"".join(map(self.pretokens.__getitem__, _PRETOKENS(text.lower())))
 
     def encode(self, text: str | None) -> bytes:
