@@ -36,6 +36,16 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in Arrow batches of at most ``rows``: whole texts are large, and a task holds several copies of a batch.
+
+    A smaller number that the session has stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Tables written in the shared folder while an operator runs.
 
@@ -46,6 +56,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.made: list[str] = []
+        small_batches(spark)
 
     def __enter__(self) -> Scratch:
         return self
@@ -87,6 +98,7 @@ def fold(doc_id: Column | str, n: int) -> Column:
 
 def docs_of(documents: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), with no other column that could clash."""
+    small_batches(documents.sparkSession)
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 

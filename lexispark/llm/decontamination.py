@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, docs_of, shingles, texts
+from .common import WordHashes, docs_of, shingles, small_batches, texts
 
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("word_offset", T.LongType()), T.StructField("overlap", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())])
 SHINGLE = 5
@@ -179,6 +179,7 @@ def verify(index: Index, words: list[bytes], found: dict[int, tuple[float, int]]
 
 def matcher(spark, index: Index):
     """Column -> Column: the verified hits of a text column."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(index)
 
     @F.arrow_udf(T.ArrayType(HIT))

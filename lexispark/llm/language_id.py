@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import small_batches
+
 DIMS = 8192
 _A, _B, _C = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
 
@@ -83,6 +85,7 @@ class Model(NamedTuple):
 
 def fit(rows: DataFrame, sample: int = 400, per_language: int = 3, reject_quantile: float = 0.005) -> Model:
     """From the columns doc_id, text, lang of training rows."""
+    small_batches(rows.sparkSession)
     rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
