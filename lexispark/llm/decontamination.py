@@ -1,21 +1,26 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, then exact overlap.
 
-The test items are the indexed side, the training texts the queries. An item is cut into parts of at
-most ``part`` words (consecutive parts share 4 words, so every five-word shingle lies in one part).
-Each document is read as passages of ``passage`` words every ``stride`` words, so any part that is
-copied lies whole in a passage. A passage's query is its set of words.
-
-WAND: parts are ordered by threshold and dealt into ``blocks`` blocks. Per term and block the largest
-impact is kept, and a block is left for a passage when the sum of these over the passage's words
-can't reach the block's lowest threshold; bounds of all passages of a text are one vectorised sum.
-Only parts of the blocks that remain are scored from their postings. A part's
-threshold is its own BM25 score less its heaviest words that may be missing while 80 % of its
-shingles are there, so retrieval loses no part of which a passage has 80 % of the shingles.
-
-A retrieved pair is verified on the whole document: the overlap is the share of the item's distinct
-five-word shingles in it (fewer words: the whole sequence), question and answer together, and must
-reach ``overlap``. The item's last sentence is taken as its answer and the rest as its question; the
-overlap of each is returned too (shingles; the words of an answer of fewer than five).
+The test items are the indexed side, the training texts the queries. An item's retrieval units are the
+whole item and its question (of a question of fewer than five words, the answer instead), one for each
+way in which the verdict can be reached. A document's query is the set of all its words, so it makes
+no difference where in the document, in how many pieces or how far apart an item's words lie.
+
+WAND: units are ordered by threshold and dealt into ``blocks`` blocks. Per term and block the largest
+impact is kept, and a block is left for a document when the sum of these over the document's words
+can't reach the block's lowest threshold. Only units of the blocks that remain are scored from their
+postings. A unit's threshold is its own BM25 score less its heaviest words that may be missing while
+80 % of its distinct shingles are there (a missing word takes at least one shingle of its own with it),
+so retrieval loses no unit of which a document has 80 % of the shingles.
+
+A retrieved pair is verified on the whole document. The overlap is the share of the item's distinct
+five-word shingles in it (fewer words: the whole sequence), question and answer together. The item's
+last sentence is taken as its answer and the rest as its question; the overlap of each is returned too
+(shingles; the words of an answer of fewer than five). A document holds an item if ``overlap`` is
+reached by the whole item, by a question of at least five words, or by an answer of at least five words
+whose shorter question is there as a sequence. An answer alone is no hit: it may be common knowledge.
+
+``score`` and ``word_offset`` of a hit are those of the passage (``passage`` words, every ``stride``
+words) with the highest BM25 score for any of the item's units, the first one on ties.
 
 The index is broadcast only up to ``index_bytes`` of item text; a larger benchmark is dealt into
 several indexes of that size by hash, and documents are queried against one after another.
@@ -45,7 +50,6 @@ SHINGLE = 5
 
 
 class Settings(NamedTuple):
-    part: int = 48
     passage: int = 64
     stride: int = 16
     blocks: int = 32
@@ -62,6 +66,8 @@ class Item(NamedTuple):
     question: np.ndarray
     answer: np.ndarray
     answer_words: frozenset
+    short: np.ndarray  # the sequence of a question of fewer than five words, or empty
+    short_size: int  # its words
 
 
 class Index(NamedTuple):
@@ -70,10 +76,10 @@ class Index(NamedTuple):
     most: np.ndarray  # (terms + 1, blocks): the largest impact of a term in a block; the last row is for other words
     block_thresholds: np.ndarray
     starts: np.ndarray  # of each term's postings
-    parts: np.ndarray  # postings: part and impact, by term, then part
+    units: np.ndarray  # postings: unit and impact, by term, then unit
     impacts: np.ndarray
-    thresholds: np.ndarray  # of parts, ascending
-    owners: np.ndarray  # part -> item
+    thresholds: np.ndarray  # of units, ascending
+    owners: np.ndarray  # unit -> item
     items: list[Item]
 
 
@@ -86,95 +92,113 @@ def _split(text: bytes) -> tuple[list[bytes], int]:
 
 
 def build(ids: list[int | None], bodies: list[bytes], settings: Settings) -> Index:
-    s, hashes, items, parts, owners = settings, WordHashes(), [], [], []
+    s, hashes, items, units, spare, owners = settings, WordHashes(), [], [], [], []
     for item_id, body in zip(ids, bodies, strict=True):
         words, cut = _split(body)
         if not words:
             continue
         own = lambda w: np.unique(shingles(w, hashes, SHINGLE)) if len(w) >= SHINGLE else np.empty(0, np.uint64)
-        items.append(Item(item_id, min(SHINGLE, len(words)), np.unique(shingles(words, hashes, SHINGLE)), own(words[:cut]), own(words[cut:]), frozenset(words[cut:])))
-        windows = max(1, len(words) - SHINGLE + 1)
-        step = -(-windows // -(-windows // (s.part - SHINGLE + 1)))  # parts of like length
-        for i in range(0, windows, step):
-            parts.append(words[i : i + step + SHINGLE - 1])
-            owners.append(len(items) - 1)
+        short = words[:cut] if cut < SHINGLE and cut < len(words) else []
+        x = Item(item_id, min(SHINGLE, len(words)), np.unique(shingles(words, hashes, SHINGLE)), own(words[:cut]), own(words[cut:]), frozenset(words[cut:]), shingles(short, hashes, SHINGLE), len(short))
+        items.append(x)
+        for unit, whole in ((words, x.hashes), (words[:cut], x.question) if not short else (words[cut:], x.answer)):
+            if len(whole) and (unit is words or len(unit) < len(words)):
+                units.append(unit)
+                spare.append(int((1 - s.overlap) * len(whole) + 1e-9))
+                owners.append(len(items) - 1)
     terms: dict[bytes, int] = {}
     rows = []
-    for p, words in enumerate(parts):
+    for u, words in enumerate(units):
         counts: dict[int, int] = {}
         for w in words:
             t = terms.setdefault(w, len(terms))
             counts[t] = counts.get(t, 0) + 1
-        rows += [(t, p, n) for t, n in counts.items()]
+        rows += [(t, u, n) for t, n in counts.items()]
     if not rows:
         return Index(s, terms, np.zeros((1, 0), np.float32), *(np.zeros(0),) * 6, items)
-    t, p, n = np.array(rows, np.int64).T
+    t, u, n = np.array(rows, np.int64).T
     df = np.bincount(t).astype(np.float64)
-    idf = np.log1p((len(parts) - df + 0.5) / (df + 0.5))
-    sizes = np.array([len(x) for x in parts], np.float64)
-    impact = idf[t] * n * (s.k1 + 1) / (n + s.k1 * (1 - s.b + s.b * sizes[p] / sizes.mean()))
-    heaviest = np.lexsort((-impact, p))
-    edges = np.searchsorted(p[heaviest], np.arange(len(parts) + 1))
-    thresholds = np.empty(len(parts))
-    for i, words in enumerate(parts):
-        missing = int((1 - s.overlap) * max(1, len(words) - SHINGLE + 1) + 1e-9)
-        thresholds[i] = impact[heaviest[edges[i] : edges[i + 1]]][missing:].sum() * (1 - 1e-9)
+    idf = np.log1p((len(units) - df + 0.5) / (df + 0.5))
+    sizes = np.array([len(x) for x in units], np.float64)
+    impact = idf[t] * n * (s.k1 + 1) / (n + s.k1 * (1 - s.b + s.b * sizes[u] / sizes.mean()))
+    heaviest = np.lexsort((-impact, u))
+    edges = np.searchsorted(u[heaviest], np.arange(len(units) + 1))
+    thresholds = np.array([impact[heaviest[edges[i] : edges[i + 1]]][missing:].sum() * (1 - 1e-9) for i, missing in enumerate(spare)])
     order = np.argsort(thresholds, kind="stable")
-    p = np.argsort(order, kind="stable")[p]
+    u = np.argsort(order, kind="stable")[u]
     thresholds, owners = thresholds[order], np.array(owners, np.int64)[order]
-    by_term = np.lexsort((p, t))
-    t, p, impact = t[by_term], p[by_term], impact[by_term]
-    size = -(-len(parts) // s.blocks)
-    most = np.zeros((len(terms) + 1, -(-len(parts) // size)))
-    np.maximum.at(most, (t, p // size), impact)
-    return Index(s, terms, most.astype(np.float32) * np.float32(1 + 1e-5), thresholds[::size], np.searchsorted(t, np.arange(len(terms) + 1)), p, impact, thresholds, owners, items)
-
-
-def retrieve(index: Index, words: list[bytes]) -> dict[int, tuple[float, int]]:
-    """item -> (score, word offset of the passage) of the best passage that reaches a part's threshold."""
-    s = index.settings
-    t = np.fromiter(map(index.terms.get, words, repeat(len(index.terms))), np.int64, len(words))
-    size, wide = -(-len(index.thresholds) // s.blocks), s.passage // s.stride
-    found: dict[int, tuple[float, int]] = {}
-    for begin in range(0, len(t), 1 << 14):  # a long text in slices, each with the passages that begin in it
-        own = t[begin : begin + (1 << 14) + s.passage - s.stride]
-        own = np.concatenate([own, np.full(-len(own) % s.stride, len(index.terms))])
-        sums = index.most[own].reshape(-1, s.stride, index.most.shape[1]).sum(axis=1)
-        bounds = sum(np.concatenate([sums[i:], np.zeros((min(i, len(sums)), sums.shape[1]), np.float32)]) for i in range(wide))[: (1 << 14) // s.stride]
-        alive = bounds >= index.block_thresholds
-        for i in np.flatnonzero(alive.any(axis=1)).tolist():
-            at = i * s.stride
-            query = np.unique(own[at : at + s.passage])
-            query = query[query < len(index.terms)]
-            blocks = np.flatnonzero(alive[i] & (index.most[query].sum(axis=0) >= index.block_thresholds))
-            if not len(blocks):
-                continue
-            lo, n = index.starts[query], index.starts[query + 1] - index.starts[query]
-            k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            k = k[np.isin(index.parts[k] // size, blocks)]
-            scores = np.bincount(index.parts[k], index.impacts[k], len(index.thresholds))
-            for p in np.flatnonzero((scores >= index.thresholds) & (scores > 0)).tolist():
-                item = int(index.owners[p])
-                if item not in found or scores[p] > found[item][0]:
-                    found[item] = (float(scores[p]), begin + at)
+    by_term = np.lexsort((u, t))
+    t, u, impact = t[by_term], u[by_term], impact[by_term]
+    size = -(-len(units) // s.blocks)
+    most = np.zeros((len(terms) + 1, -(-len(units) // size)))
+    np.maximum.at(most, (t, u // size), impact)
+    return Index(s, terms, most.astype(np.float32) * np.float32(1 + 1e-5), thresholds[::size], np.searchsorted(t, np.arange(len(terms) + 1)), u, impact, thresholds, owners, items)
+
+
+def _numbers(index: Index, words: list[bytes]) -> np.ndarray:
+    """The terms of words; what no item has is one term more."""
+    return np.fromiter(map(index.terms.get, words, repeat(len(index.terms))), np.int64, len(words))
+
+
+def _scores(index: Index, query: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
+    """BM25 of every unit (of ``blocks``; others 0) for distinct terms."""
+    lo, n = index.starts[query], index.starts[query + 1] - index.starts[query]
+    k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    if blocks is not None:
+        k = k[blocks[index.units[k] // -(-len(index.thresholds) // index.settings.blocks)]]
+    return np.bincount(index.units[k], index.impacts[k], len(index.thresholds))
+
+
+def retrieve(index: Index, t: np.ndarray) -> list[int]:
+    """The items of which a unit reaches its threshold for the terms of a whole document."""
+    query = np.unique(t)
+    query = query[query < len(index.terms)]
+    if not len(query):
+        return []
+    alive = index.most[query].sum(axis=0, dtype=np.float64) >= index.block_thresholds
+    if not alive.any():
+        return []
+    scores = _scores(index, query, None if alive.all() else alive)
+    return np.unique(index.owners[(scores >= index.thresholds) & (scores > 0)]).tolist()
+
+
+def _best_passages(index: Index, t: np.ndarray, items: list[int]) -> dict[int, tuple[float, int]]:
+    """item -> (score, word offset) of the passage with the highest score for one of its units."""
+    s, found = index.settings, dict.fromkeys(items, (0.0, 0))
+    units = np.flatnonzero(np.isin(index.owners, items))
+    for at in range(0, max(1, len(t) - s.passage + s.stride), s.stride):
+        query = np.unique(t[at : at + s.passage])
+        query = query[query < len(index.terms)]
+        if len(query):
+            scores = _scores(index, query)
+            for u in units.tolist():
+                item = int(index.owners[u])
+                if scores[u] > found[item][0]:
+                    found[item] = (float(scores[u]), at)
     return found
 
 
-def verify(index: Index, words: list[bytes], found: dict[int, tuple[float, int]], hashes: WordHashes) -> list[dict]:
-    """The hits of a document whose overlap is large enough."""
+def verify(index: Index, words: list[bytes], items: list[int], t: np.ndarray, hashes: WordHashes) -> list[dict]:
+    """The hits of a document among retrieved items."""
     by_size: dict[int, np.ndarray] = {}
-    out, share = [], lambda part, whole: float(np.isin(part, whole).mean()) if len(part) else 0.0
-    present = frozenset(words)
-    for item, (score, offset) in sorted(found.items()):
+    least, present, out = index.settings.overlap, frozenset(words), {}
+
+    def share(part: np.ndarray, size: int) -> float:
+        if not len(part) or len(words) < size:
+            return 0.0
+        if size not in by_size:
+            by_size[size] = np.unique(shingles(words, hashes, size))
+        whole = by_size[size]
+        return float((whole[np.minimum(np.searchsorted(whole, part), len(whole) - 1)] == part).mean())
+
+    for item in items:
         x = index.items[item]
-        if x.size not in by_size:
-            by_size[x.size] = np.unique(shingles(words, hashes, x.size)) if len(words) >= x.size else np.empty(0, np.uint64)
-        whole = by_size[x.size]
-        overlap = share(x.hashes, whole)
-        if overlap >= index.settings.overlap:
-            answer = share(x.answer, whole) if len(x.answer) else len(x.answer_words & present) / max(1, len(x.answer_words))
-            out.append({"item_id": x.item_id, "score": score, "word_offset": offset, "overlap": overlap, "question_overlap": share(x.question, whole), "answer_overlap": answer})
-    return out
+        overlap, question, answer = share(x.hashes, x.size), share(x.question, SHINGLE), share(x.answer, SHINGLE)
+        if max(overlap, question) >= least or (answer >= least and share(x.short, x.short_size) == 1):
+            answer = answer if len(x.answer) else len(x.answer_words & present) / max(1, len(x.answer_words))
+            out[item] = {"item_id": x.item_id, "overlap": overlap, "question_overlap": question, "answer_overlap": answer}
+    best = _best_passages(index, t, list(out)) if out else {}
+    return [x | {"score": best[item][0], "word_offset": best[item][1]} for item, x in out.items()]
 
 
 def matcher(spark, index: Index):
@@ -185,10 +209,11 @@ def matcher(spark, index: Index):
     @F.arrow_udf(T.ArrayType(HIT))
     def hits(text: pa.Array) -> pa.Array:
         own, hashes, out = held.value, WordHashes(), []
-        for t in texts(text):
-            words = t.lower().split()
-            found = retrieve(own, words) if words else None
-            out.append(verify(own, words, found, hashes) if found else [])
+        for body in texts(text):
+            words = body.lower().split()
+            t = _numbers(own, words)
+            found = retrieve(own, t)
+            out.append(verify(own, words, found, t, hashes) if found else [])
         return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("word_offset", pa.int64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])))
 
     return hits

@@ -314,3 +314,51 @@ def test_decontamination(spark):
     assert decontamination.find(frame(spark), bench.where("item_id > 1000")).count() == 0
     assert decontamination.find(empty(spark), bench).count() == 0
     assert items_text
+
+
+def test_decontamination_of_scattered_copies(spark):
+    """Items in pieces far apart, interrupted, and questions alone, against brute force over whole documents."""
+    rng = random.Random(11)
+    vocab = [f"u{i}" for i in range(4000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(some(rng.choice((3, 8, 20, 40, 90)))) + ". " + " ".join(some(rng.choice((1, 3, 8, 20))))) for i in range(60)]
+    items.append((60, " ".join(vocab[:40])))
+    rows = []
+
+    def add(*pieces):
+        text = some(rng.randrange(1, 90))
+        for x in pieces:
+            text += [*x, *some(100)]
+        rows.append((len(rows), " ".join(text), "en", "s", 0, *(["x"] * 10)))
+
+    for _, text in items:
+        w = text.split()
+        cut = next((i + 1 for i, x in enumerate(w) if x.endswith(".")), len(w))
+        add(w[:cut], w[cut:])  # question and answer apart
+        add(w[: len(w) // 2], w[len(w) // 2 :])
+        add(*(w[i : i + 21] for i in range(0, len(w), 21)))  # interrupted
+        add(*(w[i : i + 7] for i in range(0, len(w), 3)))  # overlapping pieces of seven words
+        add(w[:cut])
+        add(w[cut:])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def sh(w, n=5):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    def share(w, doc):
+        own = sh(w, min(5, len(w)))
+        return len(own & sh(doc, min(5, len(w)))) / len(own)
+
+    want = set()
+    for r in rows:
+        doc = words(r[1])
+        for i, text in items:
+            w = words(text)
+            cut = next((k + 1 for k, x in enumerate(w) if x.endswith(b".")), len(w))
+            q, a = w[:cut], w[cut:]
+            if share(w, doc) >= 0.8 or (len(q) >= 5 and share(q, doc) >= 0.8) or (len(q) < 5 <= len(a) and share(a, doc) >= 0.8 and share(q, doc) == 1):
+                want.add((r[0], i))
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find(frame(spark, rows), bench).collect()} == want
+    assert len(want) > 200 and (60 * 6 + 1, 60) in want
+    kept = {r["doc_id"] for r in decontamination.filter_documents(frame(spark, rows), bench).collect()}
+    assert kept == {r[0] for r in rows} - {d for d, _ in want}
