@@ -21,6 +21,10 @@ the first cell that it shares, so a group of near copies doesn't make all its pa
 save work: whatever they leave apart is compared in the end, and no link between components is lost.
 Cells above ``split`` members are dealt into chunks, and each pair of chunks is a task of its own.
 
+``n_links`` counts all links of a set, tested or not on the way to the components: every link lies in a
+component, so the sets of each component of more than two are compared all with all, in pairs of chunks
+of at most ``split`` sets and about ``SET_BYTES``. Only counts leave these tasks, no pairs.
+
 Defined results: texts without words have no set and link with nothing; fewer words than ``size`` are
 one shingle. A null doc_id takes part but is never a component's id unless all are null. Repeated rows
 are equal sets. Component ids of rows with repeated doc_ids follow their texts. Other columns are
@@ -42,7 +46,7 @@ from pyspark.sql import types as T
 from .common import Scratch, WordHashes, docs_of, mix, shingles, texts
 from .components import components
 
-RATIO, LEAF = 1.3, 32
+RATIO, LEAF, SET_BYTES = 1.3, 32, 8 << 20
 
 
 def band(n: int) -> int:
@@ -190,12 +194,16 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch,
     return joined.mapInArrow(test, PAIR)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of pairs (a, b), those that link, tested on their sets; texts are fetched for their nodes only."""
-    ids = scratch.table(_ends(pairs), f"{name}_ids")
+def _fetched(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
+    """(rid, s): the sets of a written table of nodes."""
     asked = nodes.select("rid", F.col("doc_id").alias("_id"), F.col("h").alias("_h")).join(_few(ids), "rid")
     own = docs.join(_few(scratch.table(asked, f"{name}_asked")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("rid", _sets(size)("text", "_h").alias("s")).where("s is not null")
-    held = scratch.table(own, f"{name}_sets")
+    return scratch.table(own, f"{name}_sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Of pairs (a, b), those that link, tested on their sets; texts are fetched for their nodes only."""
+    held = _fetched(scratch.table(_ends(pairs), f"{name}_ids"), nodes, docs, size, scratch, name)
     of = lambda x: held.select(F.col("rid").alias(x), F.col("s").alias(f"s{x}"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +300,75 @@ def _residual(open_: DataFrame, nodes: DataFrame, percent: int, split: int, scra
     return bounded(few, nodes, percent, scratch, "few").union(found).distinct()
 
 
+def common(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``rows`` has in common with each of ``others``; all are sets."""
+    flat = np.concatenate([*rows, *others])
+    at = np.repeat(np.arange(len(rows) + len(others)), [len(x) for x in (*rows, *others)])
+    order = np.argsort(flat, kind="stable")
+    flat, at = flat[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    k = np.diff(np.append(first, len(flat)))  # holders of each element, those in rows first
+    left = np.add.reduceat((at < len(rows)).astype(np.int64), first)
+    out = np.zeros((len(rows), len(others)), np.int64)
+    heavy = left * (k - left) * 256 > len(rows) * len(others)
+    columns = np.flatnonzero(heavy)
+    for c in (columns[i : i + 1024] for i in range(0, len(columns), 1024)):  # frequent elements as a product of matrices
+        has = np.zeros((len(rows) + len(others), len(c)), np.float32)
+        places = np.repeat(first[c] - np.concatenate([[0], np.cumsum(k[c])[:-1]]), k[c]) + np.arange(k[c].sum())
+        has[at[places], np.repeat(np.arange(len(c)), k[c])] = 1
+        out += (has[: len(rows)] @ has[len(rows) :].T).astype(np.int64)
+    columns = np.flatnonzero(~heavy & (left > 0) & (left < k))
+    made = np.cumsum(left[columns] * (k - left)[columns])
+    for c in np.split(columns, np.searchsorted(made, np.arange(1 << 20, made[-1], 1 << 20))) if len(columns) else []:  # others as their pairs
+        n, m = left[c], (k - left)[c]
+        i = np.arange((n * m).sum()) - np.repeat(np.concatenate([[0], np.cumsum(n * m)[:-1]]), n * m)
+        start, m, n = np.repeat(first[c], n * m), np.repeat(m, n * m), np.repeat(n, n * m)
+        cells = at[start + i // m] * len(others) + at[start + n + i % m] - len(rows)
+        out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+    return out
+
+
+DEGREE = T.StructType([T.StructField("id", T.LongType()), T.StructField("c", T.LongType())])
+
+
+def degrees(roots: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch) -> DataFrame:
+    """(id, n_links) of the nodes of components: with how many sets of its component each links."""
+    own = roots.select(F.col("id").alias("rid"), "root").join(nodes.select("rid", "n"), "rid")
+    groups = own.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
+    own = scratch.table(roots.join(groups, "root"), "grouped")
+    chunks = F.ceil(F.greatest(F.col("k") / split, F.col("shingles") * 8 / SET_BYTES))
+    own_chunk = F.pmod(F.xxhash64("id"), "chunks")
+    large = own.where("k > 2").withColumn("chunks", chunks).select("id", "root", "chunks", own_chunk.alias("mine"))
+    held = _fetched(scratch.table(large.select(F.col("id").alias("rid")), "linked_ids"), nodes, docs, size, scratch, "linked")
+    # Rows that repeat doc_id and text give their set more than once.
+    large = large.join(held.dropDuplicates(["rid"]).withColumnRenamed("rid", "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    large = large.select("root", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), (F.col("mine") > F.col("other")).alias("side"), "id", "s")
+    large = large.repartition("root", "c1", "c2").sortWithinPartitions("root", "c1", "c2")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in _runs(batches, 3):
+            ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
+            s = [np.frombuffer(x, np.uint64) for x in group.column("s").to_pylist()]
+            one = key[1] == key[2]
+            rows = np.arange(len(s)) if one else np.flatnonzero(~side)
+            others = rows if one else np.flatnonzero(side)
+            if not len(rows) or not len(others):
+                continue
+            n = np.array([len(x) for x in s])
+            for i in range(0, len(rows), 512):
+                r = rows[i : i + 512]
+                both = common([s[x] for x in r], [s[x] for x in others])
+                link = 100 * both >= percent * (n[r][:, None] + n[others][None, :] - both)
+                if one:
+                    link[np.arange(len(r)), np.arange(i, i + len(r))] = False
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[others]), pa.array(link.sum(axis=0))], DEGREE.names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(link.sum(axis=1))], DEGREE.names)
+
+    counted = large.mapInArrow(count, DEGREE).union(own.where("k = 2").select("id", F.lit(1).cast("long").alias("c")))
+    return scratch.table(counted.groupBy("id").agg(F.sum("c").alias("n_links")), "degrees")
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows of equal first columns, in order, as tables; runs are bounded by the caller."""
     held, key = [], None
@@ -312,9 +389,9 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
 
 
 def join(documents: DataFrame, size: int = 3, percent: int = 90, split: int = 2048) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_equal (rows of the same set), n_links (tested links to other sets) of every row."""
+    """doc_id, n_shingles, component_id, n_equal (rows of the same set), n_links (other sets that its set links with) of every row."""
     with Scratch(documents.sparkSession, "jaccard") as scratch:
-        out = _join(docs_of(documents), size, percent, split, scratch)
+        out = _join(docs_of(documents), size, percent, split, scratch, counted=True)
         own = F.when(F.col("n_equal").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         n_equal = F.coalesce("n_equal", (F.col("n") > 0).cast("long"))
         return scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), n_equal.alias("n_equal"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
@@ -340,8 +417,8 @@ def filter_documents(documents: DataFrame, size: int = 3, percent: int = 90, spl
     return rows.select("_row.*")
 
 
-def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch, rounds: int = 2) -> DataFrame:
-    """Every row's rid, doc_id, other columns, n and h; root, component_id, n_equal and n_links if it isn't alone."""
+def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch, rounds: int = 2, counted: bool = False) -> DataFrame:
+    """Every row's rid, doc_id, other columns, n and h; root, component_id, n_equal and, if ``counted``, n_links if it isn't alone."""
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
     full = scratch.table(docs.select("doc_id", *other, _signature(size, percent)("text").alias("x")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", *other, "x.*"), "signatures")
     # The row with the smallest doc_id stands for its set.
@@ -371,9 +448,11 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
     open_ = _open(members, roots, scratch, "open")
     links = links.union(verified(scratch.table(_residual(open_, nodes, percent, split, scratch), "rest"), nodes, docs, size, percent, scratch, "rest"))
     roots = components(links, scratch, "all")
-    degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
-    held = sets.join(roots.withColumnRenamed("id", "rid"), "rid", "left").join(degree.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    held = scratch.table(held.where("n_links is not null or n_equal > 1"), "held")
+    held = sets.join(roots.withColumnRenamed("id", "rid"), "rid", "left").where("root is not null or n_equal > 1").withColumn("root", F.coalesce("root", "rid"))
+    own = ["h", "root", "component_id", "n_equal"]
+    if counted:
+        own.append("n_links")
+        held = held.join(degrees(roots, nodes, docs, size, percent, split, scratch).withColumnRenamed("id", "rid"), "rid", "left")
+    held = scratch.table(held, "held")
     smallest = held.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    answer = held.join(smallest, "root").select("h", "root", "component_id", "n_equal", "n_links")
-    return rows.join(answer, "h", "left")
+    return rows.join(held.join(smallest, "root").select(*own), "h", "left")

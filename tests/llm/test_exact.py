@@ -257,6 +257,26 @@ def test_jaccard_filter_keeps_one_of_each_group(spark):
     assert jaccard_join.join(empty(spark)).count() == 0 and jaccard_join.filter_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("split", "parts"), ((2048, 1), (8, 7)))
+def test_jaccard_join_counts_all_links(spark, split, parts):
+    rows = near_copies(split + 1)
+    sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w := words(r[1])) >= 3 else frozenset([tuple(w)] if w else []) for r in rows]
+    distinct = [x for x in set(sets) if x]
+    links = {x: sum(x != y and 100 * len(x & y) >= 90 * len(x | y) for y in distinct) for x in distinct}
+    got = jaccard_join.join(frame(spark, rows).repartition(parts), split=split).collect()
+    assert by_row((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == by_row((r[0], len(x), links.get(x, 0)) for r, x in zip(rows, sets, strict=True))
+    assert max(links.values()) > 5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 40), st.integers(1, 40))
+def test_common_elements(seed, n, m):
+    rng = np.random.default_rng(seed)
+    sets = [np.unique(rng.integers(0, rng.choice((5, 60, 2000)), rng.integers(1, 80)).astype(np.uint64)) for _ in range(n + m)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[n:]] for a in sets[:n]]
+    assert jaccard_join.common(sets[:n], sets[n:]).tolist() == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(4, 400), st.integers(0, 2**32), st.floats(0, 1))
 def test_linked_sets_share_a_cell_and_pass_the_bound(n, seed, part):
