@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +38,37 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python in Arrow batches of at most ``rows``: whole texts are large, and a task holds several copies of a batch.
+#: Whole texts are large, and a task holds several copies of a batch: how much Spark hands to Python at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
-    A smaller number that the session has stays.
+
+def bound_batches(spark: SparkSession) -> dict[str, str]:
+    """Lower the session's Arrow batches to ``BATCHES``, for what is computed after this call; what they were.
+
+    Smaller numbers that the session has stay.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    were = {k: spark.conf.get(k) for k in BATCHES}
+    for k, most in BATCHES.items():
+        if not 0 < _number(were[k]) <= most:
+            spark.conf.set(k, most)
+    return were
+
+
+def _number(size: str) -> int:
+    """Spark's own reading of a number of rows or bytes."""
+    size = size.lower().rstrip("b")
+    return int(size[:-1]) << 10 * ("kmgt".index(size[-1]) + 1) if size[-1] in "kmgt" else int(size)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches while an operator runs; the session's settings are as before afterwards."""
+    were = bound_batches(spark)
+    try:
+        yield
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
 
 
 class Scratch:
@@ -56,12 +81,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.made: list[str] = []
-        small_batches(spark)
+        self.batches = small_batches(spark)
 
     def __enter__(self) -> Scratch:
+        self.batches.__enter__()
         return self
 
     def __exit__(self, *exc) -> None:
+        self.batches.__exit__(*exc)
         for path in self.made:
             self._delete(path)
 
@@ -98,7 +125,6 @@ def fold(doc_id: Column | str, n: int) -> Column:
 
 def docs_of(documents: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), with no other column that could clash."""
-    small_batches(documents.sparkSession)
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 

@@ -1,44 +1,49 @@
-"""Exact Jaccard self-join of documents on word shingles with an index of group counts.
+"""Exact Jaccard self-join of documents on word shingles with an R-tree over group counts.
 
 A document is the set of its distinct shingles; equal sets are one node (a group of copies costs one
-node, however large). Shingles are hashed into groups; the counts per group are the document's point.
-Two sets that link at Jaccard >= t differ in at most d = (a + b)(1 - t)/(1 + t) shingles (a, b: sizes).
-
-The index has three levels. (1) Bands of sizes: linked sizes lie in one band or in neighbours, so a
-document near a band's lower end also enters that band. (2) Cells: in a band the groups are dealt into
-m > d blocks of coordinates. Linked points must agree in all coordinates of at least m - d blocks, so
-each (band, block, counts in the block) is a cell, and linked points meet in a cell. Blocks with at
-most one shingle say little: with more than m - d - 1 of them, a document combines each with the
-blocks of a second dealing. (3) In a large cell, an R-tree over the points: nodes are packed by the
-widest coordinates, and a pair of nodes is left when the summed minima of their upper corners can't
-reach the overlap that their smallest sizes need. Surviving pairs pass the bound by the summed minima
-of their own coordinates, and then the exact test on their sets.
-
-Work follows connectivity: each member is first tested against the smallest member of the cells it
-shares with it most often; then, for a few rounds, each component against the other components' first
-members in its cells. After that, only pairs of different components meet in the cells, each pair in
-the first cell that it shares, so a group of near copies doesn't make all its pairs. The rounds only
-save work: whatever they leave apart is compared in the end, and no link between components is lost.
-Cells above ``split`` members are dealt into chunks, and each pair of chunks is a task of its own.
+node, however large). Shingles are hashed into groups; the counts per group are the set's point, and
+the summed minima of two points bound the overlap of their sets from above.
+
+One tree over a corpus would have to visit nearly every node: in so many dimensions the corners of
+unrelated points all reach one another. So the upper levels of the index deal the sets into cells. All
+shingles have one order, the rarest groups first; a set lies in the cells of its first shingles: with
+``reach`` = n - ceil(t n) + 1 of them, and ``low`` = n - ceil(2 t n / (1 + t)) + 1 if the other set is
+the larger one, two sets of Jaccard t or more share a cell that is among the first ``low`` of one of
+them. A passage that many documents share is frequent, so it comes last and makes no cells but for
+texts that hold little else. How many sets hold each of ``GROUPS`` groups is counted over all texts; the
+order needs no more than their logarithms (one byte each), so what is broadcast has a fixed size.
+
+Within a cell an R-tree is packed by the widest coordinates, and a pair of nodes is left when the summed
+minima of their upper corners can't reach the overlap that their smallest sizes need. Surviving pairs
+pass the bound of their own points, and then the exact test on their sets.
+
+Work follows connectivity: each member is first tested against the first member of the cells with whose
+first members it shares most cells; then, for a few rounds, each component against the other
+components' first members in its cells. After that, only pairs of different components meet in the
+trees, each pair in the first cell that it shares, so a group of near copies doesn't make all its pairs.
+The rounds only save work: whatever they leave apart is compared in the end, and no link between
+components is lost. Cells above ``split`` members or ``SET_BYTES`` are dealt into chunks, and each pair
+of chunks is searched apart.
 
 ``n_links`` counts all links of a set, tested or not on the way to the components: every link lies in a
-component, so the sets of each component of more than two are compared all with all, in pairs of chunks
-of at most ``split`` sets and about ``SET_BYTES``. Only counts leave these tasks, no pairs.
+component, so the sets of each component of more than two are compared all with all, in pairs of such
+chunks. Only counts leave these tasks, no pairs.
 
 Defined results: texts without words have no set and link with nothing; fewer words than ``size`` are
 one shingle. A null doc_id takes part but is never a component's id unless all are null. Repeated rows
-are equal sets. Component ids of rows with repeated doc_ids follow their texts. Other columns are
-ignored or carried.
+are equal sets. Component ids of rows with repeated doc_ids follow their texts. An empty table gives no
+rows. Other columns are ignored or carried.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,81 +51,50 @@ from pyspark.sql import types as T
 from .common import Scratch, WordHashes, docs_of, mix, shingles, texts
 from .components import components
 
-RATIO, LEAF, SET_BYTES = 1.3, 32, 8 << 20
+GROUPS, BLOCK = 1 << 24, 1 << 16  # groups that are counted, in blocks
+LEAF, SET_BYTES = 32, 8 << 20
 
 
-def band(n: int) -> int:
-    """The band of a size: bounds are ceil(RATIO ** j)."""
-    j = max(0, int(np.log(n) / np.log(RATIO)) - 1)
-    while lower(j + 1) <= n:
-        j += 1
-    return j
-
-
-@lru_cache(None)
-def lower(j: int) -> int:
-    return int(np.ceil(RATIO**j - 1e-9))
-
+def _each(column: pa.Array, n: int = 256) -> Iterator[bytes]:
+    """The texts of a column; few at a time are held as Python objects."""
+    for i in range(0, len(column), n):
+        yield from texts(column.slice(i, n))
 
-def blocks(j: int, percent: int) -> tuple[int, int]:
-    """(m, spare) of a band: m blocks, of which linked points agree in more than ``spare``."""
-    d = 2 * (lower(j + 1) - 1) * (100 - percent) // (100 + percent)
-    spare = 0 if d < 8 else (d + 1) // 50 + 3
-    return d + 1 + spare, spare
 
+COUNTED = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
-def _cells(hashes: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the counts, number of shingles) of each block. A block's coordinates are 64-bit groups."""
-    h = mix(hashes ^ np.uint64(salt))
-    at = (h % np.uint64(m)).astype(np.int64)
-    w = mix(h)
-    low = np.bincount(at, (w & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
-    high = np.bincount(at, (w >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
-    g = np.arange(m, dtype=np.uint64)
-    return mix(mix(low + np.uint64(salt)) ^ high + g * np.uint64(0x9E3779B97F4A7C15)), np.bincount(at, minlength=m)
 
+def order(docs: DataFrame, size: int) -> bytes:
+    """One byte per group: the higher, the more texts hold a shingle of it.
 
-def cell_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The cells that a set lies in."""
-    n, out = len(hashes), []
-    j = band(n)
-    for k in (j, j + 1):
-        if k > j and n * 100 < percent * lower(k):
-            break
-        m, spare = blocks(k, percent)
-        if m - spare == 1 and not spare:
-            continue  # only equal sets link here
-        keys, count = _cells(hashes, m, 2 * k + 1)
-        light = count <= 1
-        out.append(keys[~light])
-        if light.sum() > spare:
-            second, _ = _cells(hashes, m, (2 * k + 1) << 32)
-            out.append(mix(keys[light][:, None] ^ second[None, :] * np.uint64(0xD6E8FEB86659FD93)).ravel())
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
-
-
-def point(hashes: np.ndarray) -> bytes:
-    """Counts in groups: a power of two between 2 and 4 times the size (128 to 8192), after a byte for their width.
-
-    So many groups leave the bound close to the true overlap. Points of different length are compared
-    after the longer is folded: group g of G / 2 is the sum of groups g and g + G / 2 of G.
+    A task counts in one byte a group, up to 255, and sends the blocks that it has touched, compressed.
     """
-    groups = min(8192, max(128, 1 << (2 * len(hashes)).bit_length()))
-    counts = np.bincount((hashes >> np.uint64(33)).astype(np.int64) % groups, minlength=groups)
-    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
-
-
-def points(*columns: list[bytes]) -> list[np.ndarray]:
-    """The points of columns, all folded to the shortest."""
-    read = [[np.frombuffer(x, f"<u{x[0]}", offset=1) for x in c] for c in columns]
-    groups = min(len(x) for c in read for x in c)
+    words = WordHashes()
 
-    def fold(x: np.ndarray) -> np.ndarray:
-        return x if len(x) == groups else x.reshape(-1, groups).sum(axis=0, dtype=np.uint32)
-
-    kind = np.uint16 if max(int(x.max()) for c in read for x in c) * 64 < 1 << 16 else np.uint32
-    return [np.stack([fold(x) for x in c]).astype(kind) for c in read]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(GROUPS, np.uint8)
+        for batch in batches:
+            for t in _each(batch.column("text")):
+                g = (shingles(t.lower().split(), words, size) % np.uint64(GROUPS)).astype(np.int64)
+                c = held[g]
+                held[g] = c + (c < 255)  # shingles of one group count once a text
+        blocks = held.reshape(-1, BLOCK)
+        for i in np.flatnonzero(blocks.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": [zlib.compress(blocks[i].tobytes(), 1)]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = held.setdefault(i, np.zeros(BLOCK, np.uint32))
+                own += np.frombuffer(zlib.decompress(x), np.uint8)
+        for i, own in held.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": [zlib.compress((2 * np.log2(1.0 + own)).astype(np.uint8).tobytes(), 1)]})
+
+    out = np.zeros((GROUPS // BLOCK, BLOCK), np.uint8)
+    for row in docs.select("text").mapInArrow(count, COUNTED).repartition("block").mapInArrow(add, COUNTED).toArrow().to_pylist():  # at most 256 rows
+        out[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+    return out.tobytes()
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -128,37 +102,53 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-(a + b) * percent // (100 + percent))
 
 
-SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("h", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("point", T.BinaryType())])
+def first_keys(s: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a set: those of its first ``low`` shingles, and those of the others of its first ``reach``."""
+    n = len(s)
+    place = (rarity[(s % np.uint64(GROUPS)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
+    low, reach = n - -(-2 * percent * n // (100 + percent)), n - -(-percent * n // 100)
+    by_place = np.partition(place, (low, reach))
+    # Shingles of one place come together, so the order is the same for every set.
+    return s[place <= by_place[low]], s[(place > by_place[low]) & (place <= by_place[reach])]
 
 
-def _each(column: pa.Array, n: int = 256) -> Iterator[bytes]:
-    """The texts of a column; few at a time are held as Python objects."""
-    for i in range(0, len(column), n):
-        yield from texts(column.slice(i, n))
+def points(sets: list[np.ndarray]) -> np.ndarray:
+    """Counts in groups, some four times as many as the largest set has shingles (128 to 8192)."""
+    groups = min(8192, max(128, 1 << (4 * max(map(len, sets)) - 1).bit_length()))
+    out = np.empty((len(sets), groups), np.uint16 if groups * 8 > max(map(len, sets)) else np.uint32)
+    for i, s in enumerate(sets):
+        out[i] = np.bincount((s >> np.uint64(33)).astype(np.int64) % groups, minlength=groups)
+    return out
+
+
+SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("h", T.BinaryType()), T.StructField("n_low", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
-def _signature(size: int, percent: int):
+def _signature(size: int, percent: int, rarity: Broadcast):
+    words = WordHashes()
+
     @F.arrow_udf(SIGNATURE)
     def signature(text: pa.Array) -> pa.Array:
-        words, rows = WordHashes(), []
+        own, rows = np.frombuffer(rarity.value, np.uint8), []
         for t in _each(text):
             s = np.unique(shingles(t.lower().split(), words, size))
-            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.sort(cell_keys(s, percent).view(np.int64)), point(s)) if len(s) else (0, None, None, None))
-        n, h, k, p = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(k, pa.list_(pa.int64())), pa.array(p, pa.binary())], SIGNATURE.names)
+            if len(s):
+                low, more = first_keys(s, own, percent)
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(low), np.concatenate([low, more]).view(np.int64)))
+            else:
+                rows.append((0, None, None, None))
+        n, h, low, k = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(low, pa.int32()), pa.array(k, pa.list_(pa.int64()))], SIGNATURE.names)
 
     return signature
 
 
 def _sets(size: int):
+    words = WordHashes()
+
     @F.arrow_udf(T.BinaryType())
-    def sets(text: pa.Array, asked: pa.Array) -> pa.Array:
-        """The set of a text, if it is the one asked for: both sides of the join are inputs, so only joined rows are hashed."""
-        words, out = WordHashes(), []
-        for t, h in zip(_each(text), asked.to_pylist(), strict=True):
-            s = np.unique(shingles(t.lower().split(), words, size))
-            out.append(s.tobytes() if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == h else None)
-        return pa.array(out, pa.binary())
+    def sets(text: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingles(t.lower().split(), words, size)).tobytes() for t in _each(text)], pa.binary())
 
     return sets
 
@@ -171,58 +161,42 @@ def _few(rows: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-
-
-def bounded(pairs: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of pairs (a, b), those whose points allow a link; only the points of their nodes are shuffled."""
-    pairs = scratch.table(pairs, f"{name}_pairs")
-    own = nodes.select("rid", "n", "point").join(_few(scratch.table(_ends(pairs), f"{name}_ends")), "rid")
-    of = lambda x: own.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
-            na, nb = (x.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            overlap = np.empty(x.num_rows, np.int64)
-            for i, (p, q) in enumerate(zip(x.column("pa").to_pylist(), x.column("pb").to_pylist(), strict=True)):
-                p, q = points([p], [q])
-                overlap[i] = np.minimum(p, q).sum(dtype=np.int64)
-            yield x.select(["a", "b"]).filter(pa.array(overlap >= needed(na, nb, percent)))
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """The exact test of two sets, both sorted."""
+    least = int(needed(len(a), len(b), percent))
+    if min(len(a), len(b)) < least:
+        return False
+    s = np.concatenate([a, b])
+    s.sort(kind="stable")
+    return int((s[1:] == s[:-1]).sum()) >= least
 
-    return joined.mapInArrow(test, PAIR)
 
+def _array(s: bytes) -> np.ndarray:
+    return np.frombuffer(s, np.uint64)
 
-def _fetched(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
-    """(rid, s): the sets of a written table of nodes."""
-    asked = nodes.select("rid", F.col("doc_id").alias("_id"), F.col("h").alias("_h")).join(_few(ids), "rid")
-    own = docs.join(_few(scratch.table(asked, f"{name}_asked")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("rid", _sets(size)("text", "_h").alias("s")).where("s is not null")
-    return scratch.table(own, f"{name}_sets")
 
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of pairs (a, b), those that link, tested on their sets; texts are fetched for their nodes only."""
-    held = _fetched(scratch.table(_ends(pairs), f"{name}_ids"), nodes, docs, size, scratch, name)
-    of = lambda x: held.select(F.col("rid").alias(x), F.col("s").alias(f"s{x}"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, split: int, scratch: Scratch, name: str) -> DataFrame:
+    """Of pairs (a, b), those that link. The sets of all a of one b go where b's set is, ``split`` at a time."""
+    pairs = scratch.table(pairs, f"{name}_pairs")
+    chunks = scratch.table(pairs.groupBy("b").agg(F.ceil(F.count("*") / split).alias("chunks")), f"{name}_chunks")
+    placed = scratch.table(pairs.join(chunks, "b").select("a", "b", F.pmod(F.xxhash64("a"), "chunks").alias("c")), f"{name}_placed")
+    members = sets.join(_few(placed), sets["rid"] == placed["a"]).select("b", "c", "a", "s")
+    centers = sets.join(_few(chunks), sets["rid"] == chunks["b"]).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"), F.lit(None).cast("long").alias("a"), "s")
+    both = members.union(centers).repartition("b", "c").sortWithinPartitions("b", "c", F.col("a").asc_nulls_first())
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-            keep = []
-            for p, q in zip(x.column("sa").to_pylist(), x.column("sb").to_pylist(), strict=True):
-                s = np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)])
-                s.sort()
-                common = int((s[1:] == s[:-1]).sum())
-                keep.append(100 * common >= percent * (len(s) - common))
-            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return scratch.table(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sa", "sb").mapInArrow(test, PAIR).distinct(), f"{name}_links")
-
+        center, own = None, None
+        for x in batches:
+            keep = np.zeros(x.num_rows, bool)
+            for i, (b, a, s) in enumerate(zip(x.column("b").to_pylist(), x.column("a").to_pylist(), x.column("s"), strict=True)):
+                if a is None:
+                    center, own = b, _array(s.as_py())
+                else:
+                    assert center == b
+                    keep[i] = linked(own, _array(s.as_py()), percent)
+            yield x.select(["a", "b"]).filter(pa.array(keep))
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> int:
-    """The first of the ascending keys ``a`` that is in ``b``; they share one."""
-    at = np.searchsorted(b, a)
-    return int(a[(b[np.minimum(at, len(b) - 1)] == a).argmax()])
+    return scratch.table(both.mapInArrow(test, PAIR).distinct(), f"{name}_links")
 
 
 def tree_pairs(group: np.ndarray, side: np.ndarray, n: np.ndarray, p: np.ndarray, percent: int, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -252,7 +226,7 @@ def tree_pairs(group: np.ndarray, side: np.ndarray, n: np.ndarray, p: np.ndarray
         j = j[np.minimum(high[i], high[j]).sum(axis=1, dtype=np.int64) >= needed(least[i], least[j], percent)]
         for k in j.tolist():
             y = leaves[k]
-            overlap = np.minimum(p[x][:, None, :], p[y][None, :, :]).sum(axis=2, dtype=np.int64)
+            overlap = np.stack([np.minimum(p[r], p[y]).sum(axis=1, dtype=np.int64) for r in x])
             ok = (overlap >= needed(n[x][:, None], n[y][None, :], percent)) & (group[x][:, None] != group[y][None, :])
             r, c = np.nonzero(np.triu(ok, 1) if k == i else ok)
             if len(r):
@@ -260,10 +234,10 @@ def tree_pairs(group: np.ndarray, side: np.ndarray, n: np.ndarray, p: np.ndarray
 
 
 def _open(members: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(key, rid, root, k, center, center_root) of cells that hold more than one component."""
-    held = members.select("key", "rid").join(roots.withColumnRenamed("id", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("root"))
-    mixed = held.groupBy("key").agg(F.min(F.struct("root", "rid")).alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo.root <> hi")
-    return scratch.table(held.join(mixed.select("key", "k", F.col("lo.rid").alias("center"), F.col("lo.root").alias("center_root")), "key"), name)
+    """(key, rid, root, k, shingles, center, center_root) of cells that hold more than one component."""
+    held = members.select("key", "rid", "n").join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").select("key", "rid", "n", F.coalesce("root", "rid").alias("root"))
+    mixed = held.groupBy("key").agg(F.min(F.struct("root", "rid")).alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("shingles")).where("lo.root <> hi")
+    return scratch.table(held.join(mixed.select("key", "k", "shingles", F.col("lo.rid").alias("center"), F.col("lo.root").alias("center_root")), "key"), name)
 
 
 def _between(open_: DataFrame) -> DataFrame:
@@ -272,32 +246,53 @@ def _between(open_: DataFrame) -> DataFrame:
     return votes.groupBy("root").agg(F.max(F.struct("c", (-F.col("b")).alias("m"), "a")).alias("x")).select("x.a", (-F.col("x.m")).alias("b"))
 
 
-def _residual(open_: DataFrame, nodes: DataFrame, percent: int, split: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a cell and whose points allow a link."""
-    small = open_.where("k <= 4")
-    few = small.groupBy("key").agg(F.collect_list(F.struct("rid", "root")).alias("v")).select(F.explode(F.expr("flatten(transform(v, x -> transform(filter(v, y -> y.rid < x.rid and y.root <> x.root), y -> struct(x.rid as a, y.rid as b))))")).alias("e")).select("e.a", "e.b").distinct()
-    chunks = F.ceil(F.col("k") / split)
-    mine = F.pmod(F.xxhash64("rid"), chunks)
-    big = open_.where("k > 4")
-    own = nodes.select("rid", "n", "point").join(_few(scratch.table(big.select("rid").distinct(), "large_ids")), "rid")
-    # Of its keys, a member carries those of the cells that are searched here.
-    own = own.join(big.groupBy("rid").agg(F.sort_array(F.collect_list("key")).alias("keys")), "rid")
+def _chunks(k: str, shingles_: str, split: int):
+    """How many chunks a group of k sets with so many shingles is dealt into."""
+    return F.ceil(F.greatest(F.col(k) / split, F.col(shingles_) * 8 / SET_BYTES))
+
+
+def _residual(open_: DataFrame, sets: DataFrame, rarity: Broadcast, percent: int, split: int) -> DataFrame:
+    """Links (a, b) of different components that meet in a cell, as many as join what links there."""
     # In a cell of several chunks a member goes to each pair of chunks that has its own.
-    large = big.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    large = large.select("key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rid", "root").join(own, "rid")
-    large = large.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+    own = open_.select("key", "rid", "root", _chunks("k", "shingles", split).alias("chunks")).withColumn("mine", F.pmod(F.xxhash64("rid"), "chunks"))
+    own = _few(own).join(sets, "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    own = own.select("key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rid", "root", "s")
+    own = own.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cell in _runs(batches, 3):
-            ids, root, side, n = (cell.column(c).to_numpy() for c in ("rid", "root", "side", "n"))
-            flat, ends = cell.column("keys").chunk(0).values.to_numpy(), cell.column("keys").chunk(0).offsets.to_numpy()
-            for a, b in tree_pairs(root, side, n, points(cell.column("point").to_pylist())[0], percent, key[1] != key[2]):
-                first = np.array([_first_shared(flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]) == key[0] for i, j in zip(a, b, strict=True)])
-                a, b = ids[a[first]], ids[b[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    found = large.select("key", "c1", "c2", "side", "rid", "root", "n", "point", "keys").mapInArrow(search, PAIR).distinct()
-    return bounded(few, nodes, percent, scratch, "few").union(found).distinct()
+        rare = np.frombuffer(rarity.value, np.uint8)
+        for (key, c1, c2), cell in _runs(batches, 3):
+            ids, root, side = (cell.column(c).to_numpy() for c in ("rid", "root", "side"))
+            s = [_array(x) for x in cell.column("s").to_pylist()]
+            n = np.array([len(x) for x in s])
+            parent: dict[int, int] = {}
+            keys: dict[int, tuple] = {}
+            out = []
+
+            def find(x: int, parent=parent) -> int:
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            def cells_of(i: int, s=s, keys=keys) -> tuple:
+                if i not in keys:
+                    low, more = first_keys(s[i], rare, percent)
+                    keys[i] = (frozenset(low.view(np.int64).tolist()), frozenset(more.view(np.int64).tolist()))
+                return keys[i]
+
+            for a, b in tree_pairs(root, side, n, points(s), percent, c1 != c2):
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    x, y = find(int(root[i])), find(int(root[j]))
+                    if x == y:
+                        continue
+                    (low, more), (low2, more2) = cells_of(i), cells_of(j)
+                    if min((low & low2) | (low & more2) | (more & low2), default=None) == key and linked(s[i], s[j], percent):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((int(ids[i]), int(ids[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in out]), pa.array([min(x) for x in out])], ["a", "b"])
+
+    return own.mapInArrow(search, PAIR).distinct()
 
 
 def common(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -331,32 +326,28 @@ def common(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
 DEGREE = T.StructType([T.StructField("id", T.LongType()), T.StructField("c", T.LongType())])
 
 
-def degrees(roots: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch) -> DataFrame:
+def degrees(roots: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, split: int, scratch: Scratch) -> DataFrame:
     """(id, n_links) of the nodes of components: with how many sets of its component each links."""
-    own = roots.select(F.col("id").alias("rid"), "root").join(nodes.select("rid", "n"), "rid")
+    own = scratch.table(nodes.select(F.col("rid").alias("id"), "n").join(_few(roots), "id"), "sized")
     groups = own.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"))
-    own = scratch.table(roots.join(groups, "root"), "grouped")
-    chunks = F.ceil(F.greatest(F.col("k") / split, F.col("shingles") * 8 / SET_BYTES))
-    own_chunk = F.pmod(F.xxhash64("id"), "chunks")
-    large = own.where("k > 2").withColumn("chunks", chunks).select("id", "root", "chunks", own_chunk.alias("mine"))
-    held = _fetched(scratch.table(large.select(F.col("id").alias("rid")), "linked_ids"), nodes, docs, size, scratch, "linked")
-    # Rows that repeat doc_id and text give their set more than once.
-    large = large.join(held.dropDuplicates(["rid"]).withColumnRenamed("rid", "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    own = scratch.table(own.join(groups, "root"), "grouped")
+    large = own.where("k > 2").select("id", "root", _chunks("k", "shingles", split).alias("chunks")).withColumn("mine", F.pmod(F.xxhash64("id"), "chunks"))
+    large = _few(scratch.table(large, "dealt")).join(sets.withColumnRenamed("rid", "id"), "id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     large = large.select("root", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), (F.col("mine") > F.col("other")).alias("side"), "id", "s")
     large = large.repartition("root", "c1", "c2").sortWithinPartitions("root", "c1", "c2")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, group in _runs(batches, 3):
             ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
-            s = [np.frombuffer(x, np.uint64) for x in group.column("s").to_pylist()]
+            s = [_array(x) for x in group.column("s").to_pylist()]
             one = key[1] == key[2]
             rows = np.arange(len(s)) if one else np.flatnonzero(~side)
             others = rows if one else np.flatnonzero(side)
             if not len(rows) or not len(others):
                 continue
             n = np.array([len(x) for x in s])
-            for i in range(0, len(rows), 512):
-                r = rows[i : i + 512]
+            for i in range(0, len(rows), 256):
+                r = rows[i : i + 256]
                 both = common([s[x] for x in r], [s[x] for x in others])
                 link = 100 * both >= percent * (n[r][:, None] + n[others][None, :] - both)
                 if one:
@@ -388,7 +379,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield key, pa.Table.from_batches(held).combine_chunks()
 
 
-def join(documents: DataFrame, size: int = 3, percent: int = 90, split: int = 2048) -> DataFrame:
+def join(documents: DataFrame, size: int = 5, percent: int = 80, split: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, n_equal (rows of the same set), n_links (other sets that its set links with) of every row."""
     with Scratch(documents.sparkSession, "jaccard") as scratch:
         out = _join(docs_of(documents), size, percent, split, scratch, counted=True)
@@ -397,14 +388,13 @@ def join(documents: DataFrame, size: int = 3, percent: int = 90, split: int = 20
         return scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), n_equal.alias("n_equal"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
 
 
-def filter_documents(documents: DataFrame, size: int = 3, percent: int = 90, split: int = 2048) -> DataFrame:
+def filter_documents(documents: DataFrame, size: int = 5, percent: int = 80, split: int = 1024) -> DataFrame:
     """``documents`` with one row of each component (the smallest doc_id; any one of rows that repeat it)."""
-    prints = {"_f1": F.xxhash64("text"), "_f2": F.xxhash64(F.lit("2"), F.col("text"))}
     with Scratch(documents.sparkSession, "jaccard") as scratch:
-        out = scratch.table(_join(docs_of(documents).withColumns(prints), size, percent, split, scratch), "joined").withColumn("id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+        out = scratch.table(_join(docs_of(documents), size, percent, split, scratch), "joined").withColumn("id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
         grouped = out.where("root is not null")
-        stays = grouped.groupBy("root").agg(F.min("id").alias("first"))
-        marked = grouped.join(stays, "root").select("doc_id", "_f1", "_f2", (F.col("id.rid") == F.col("first.rid")).alias("stays"))
+        stays = scratch.table(grouped.groupBy("root").agg(F.min("id").alias("first")), "stay")
+        marked = grouped.join(_few(stays), "root").select("doc_id", "_f1", "_f2", (F.col("id.rid") == F.col("first.rid")).alias("stays"))
         # Rows of one doc_id and text share a verdict: what goes is what has no row that stays.
         by_text = marked.groupBy("doc_id", "_f1", "_f2").agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
         by_text = scratch.keep(by_text.where("not stays or rows > 1"), "verdicts")
@@ -417,42 +407,52 @@ def filter_documents(documents: DataFrame, size: int = 3, percent: int = 90, spl
     return rows.select("_row.*")
 
 
-def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch, rounds: int = 2, counted: bool = False) -> DataFrame:
-    """Every row's rid, doc_id, other columns, n and h; root, component_id, n_equal and, if ``counted``, n_links if it isn't alone."""
-    other = [c for c in docs.columns if c not in ("doc_id", "text")]
-    full = scratch.table(docs.select("doc_id", *other, _signature(size, percent)("text").alias("x")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", *other, "x.*"), "signatures")
+def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch, rounds: int = 3, counted: bool = False) -> DataFrame:
+    """Every row's rid, doc_id, two prints of its text, n and h; root, component_id, n_equal and, if ``counted``, n_links if it isn't alone."""
+    docs = docs.withColumns({"_f1": F.xxhash64("text"), "_f2": F.xxhash64(F.lit("2"), F.col("text"))})
+    rarity = docs.sparkSession.sparkContext.broadcast(order(docs, size))
+    signature = _signature(size, percent, rarity)
+    full = scratch.table(docs.select("doc_id", "_f1", "_f2", signature("text").alias("x")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "_f1", "_f2", "x.*"), "signatures")
     # The row with the smallest doc_id stands for its set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("f")
-    sets = scratch.table(full.where("h is not null").groupBy("h").agg(first, F.count("*").alias("n_equal")).select("h", "n_equal", "f.doc_id", "f.rid"), "distinct")
-    nodes = scratch.table(full.select("rid", "n", "keys", "point").join(sets.select("rid", "doc_id", "h"), "rid"), "nodes")
-    rows = scratch.table(full.drop("keys", "point"), "rows")
+    distinct = scratch.table(full.where("h is not null").groupBy("h").agg(first, F.count("*").alias("n_equal")).select("h", "n_equal", "f.doc_id", "f.rid"), "distinct")
+    rows = scratch.table(full.drop("keys", "n_low"), "rows")
+    nodes = full.select("rid", "n", "n_low", "keys").join(_few(distinct.select("rid")), "rid")
+    cells = nodes.select("rid", "n", "n_low", F.posexplode("keys").alias("at", "key"))
+    # The center of a cell is the first of the members that have it among their first ``low``; without any, no link needs it.
+    far = 1 << 62
+    shared = cells.groupBy("key").agg(F.count("*").alias("k"), F.min(F.col("rid") + F.when(F.col("at") < F.col("n_low"), 0).otherwise(far)).alias("center")).where(f"k > 1 and center < {far}")
+    members = scratch.table(cells.select("key", "rid", "n").join(shared.select("key", "center"), "key"), "members")
     scratch.drop("signatures")
-    cells = nodes.select("rid", F.explode("keys").alias("key"))
-    shared = cells.groupBy("key").agg(F.count("*").alias("k"), F.min("rid").alias("center")).where("k > 1")
-    members = scratch.table(cells.join(shared, "key"), "members")
+    # The sets of what shares a cell are kept; nothing else is compared.
+    asked = rows.join(_few(scratch.table(members.select("rid").distinct(), "candidates")), "rid").select("rid", F.col("doc_id").alias("_id"), F.col("_f1").alias("_g1"), F.col("_f2").alias("_g2"))
+    found = docs.join(_few(scratch.table(asked, "asked")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_f1") == F.col("_g1")) & (F.col("_f2") == F.col("_g2")))
+    found = found.select("rid", _sets(size)("text").alias("s"))
+    if rows.groupBy("doc_id", "_f1", "_f2").count().where("count > 1").limit(1).count():  # rows that repeat doc_id and text
+        found = found.dropDuplicates(["rid"])
+    sets = scratch.table(found, "sets")
     # First links: each member with the center it shares most cells with (the smaller on ties).
     votes = members.where("rid <> center").groupBy("rid", "center").agg(F.count("*").alias("c"))
     best = votes.groupBy("rid").agg(F.max(F.struct("c", (-F.col("center")).alias("m"))).alias("x")).select(F.col("rid").alias("a"), (-F.col("x.m")).alias("b"))
-    links = verified(scratch.table(bounded(best, nodes, percent, scratch, "best"), "first"), nodes, docs, size, percent, scratch, "first")
-    scratch.drop("first_sets")
+    links = verified(best, sets, percent, split, scratch, "first")
     roots = scratch.table(components(links, scratch, "star0"), "roots0")
+    open_ = _open(members, roots, scratch, "open0")
     for i in range(1, rounds + 1):
-        open_ = _open(members, roots, scratch, f"open{i}")
-        found = verified(scratch.table(bounded(_between(open_), nodes, percent, scratch, f"near{i}"), f"between{i}"), nodes, docs, size, percent, scratch, f"round{i}")
-        scratch.drop(f"round{i}_sets")
-        if not found.limit(1).count():
+        more = verified(_between(open_), sets, percent, split, scratch, f"round{i}")
+        if not more.limit(1).count():
             break
-        links = links.union(found)
+        links = links.union(more)
         roots = scratch.table(components(links, scratch, f"star{i}"), f"roots{i}")
-        scratch.drop(f"open{i}")
-    open_ = _open(members, roots, scratch, "open")
-    links = links.union(verified(scratch.table(_residual(open_, nodes, percent, split, scratch), "rest"), nodes, docs, size, percent, scratch, "rest"))
-    roots = components(links, scratch, "all")
-    held = sets.join(roots.withColumnRenamed("id", "rid"), "rid", "left").where("root is not null or n_equal > 1").withColumn("root", F.coalesce("root", "rid"))
+        scratch.drop(f"open{i - 1}")
+        open_ = _open(members, roots, scratch, f"open{i}")
+    links = links.union(scratch.table(_residual(open_, sets, rarity, percent, split), "rest"))
+    roots = scratch.table(components(links, scratch, "all"), "roots")
+    held = distinct.join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").where("root is not null or n_equal > 1").withColumn("root", F.coalesce("root", "rid"))
     own = ["h", "root", "component_id", "n_equal"]
     if counted:
         own.append("n_links")
-        held = held.join(degrees(roots, nodes, docs, size, percent, split, scratch).withColumnRenamed("id", "rid"), "rid", "left")
+        held = held.join(_few(degrees(roots, sets, rows, percent, split, scratch).withColumnRenamed("id", "rid")), "rid", "left")
     held = scratch.table(held, "held")
-    smallest = held.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(held.join(smallest, "root").select(*own), "h", "left")
+    smallest = scratch.table(held.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
+    found = scratch.table(held.join(_few(smallest), "root").select(*own), "found")
+    return rows.join(_few(found), "h", "left")

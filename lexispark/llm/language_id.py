@@ -85,7 +85,6 @@ class Model(NamedTuple):
 
 def fit(rows: DataFrame, sample: int = 400, per_language: int = 3, reject_quantile: float = 0.005) -> Model:
     """From the columns doc_id, text, lang of training rows."""
-    small_batches(rows.sparkSession)
     rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -99,7 +98,8 @@ def fit(rows: DataFrame, sample: int = 400, per_language: int = 3, reject_quanti
         got = [grams(t) if has_letter(t) else (np.empty(0, np.int64), np.empty(0, np.float32)) for t in text.to_pylist()]
         return pa.array([at.astype("<u2").tobytes() + v.astype("<f4").tobytes() for at, v in got], pa.binary())
 
-    drawn = some.select("lang", "place", sparse("text").alias("v")).where("octet_length(v) > 0").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    with small_batches(rows.sparkSession):
+        drawn = some.select("lang", "place", sparse("text").alias("v")).where("octet_length(v) > 0").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
     if not len(drawn):
         return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), np.ones(DIMS, np.float32))
     langs = drawn["lang"].to_pylist()

@@ -104,7 +104,6 @@ class Model(NamedTuple):
 
 def fit(rows: DataFrame, labels: DataFrame, sample: int = 1500, rank: int = 48, neighbours: int = 15, power: float = 8.0) -> Model:
     """From doc_id and text of ``rows`` and doc_id and quality of ``labels``."""
-    small_batches(rows.sparkSession)
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
     ids = rows.select("doc_id").where("doc_id is not null").join(marks.select("doc_id", F.col("lo").alias("q")), "doc_id").withColumn("place", F.xxhash64("doc_id"))
     # The sample is drawn from ids alone; only its texts are fetched, by a join with at most 2 x sample rows.

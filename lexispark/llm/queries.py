@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown_lm, decontamination, jaccard_join, language_id, packing, quality_classifier, quality_rules, token_counts, token_files, warc
-from .common import fold
+from .common import bound_batches, fold
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -24,7 +25,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(_read(spark, sf_dir, "documents"))
+    return jaccard_join.join(_read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

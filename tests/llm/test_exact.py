@@ -201,7 +201,7 @@ def test_warc_sql(spark):
 # --- Jaccard join -------------------------------------------------------------------------------
 
 
-def brute_components(rows, size=3, percent=90):
+def brute_components(rows, size=5, percent=80):
     sets = []
     for r in rows:
         w = words(r[1])
@@ -239,11 +239,11 @@ def near_copies(seed):
     return base_rows + rows
 
 
-@pytest.mark.parametrize("split", (2048, 8))
-def test_jaccard_join_equals_brute_force(spark, split):
+@pytest.mark.parametrize(("split", "size", "percent"), ((1024, 3, 90), (8, 3, 90), (1024, 5, 80), (8, 5, 80), (8, 1, 50)))
+def test_jaccard_join_equals_brute_force(spark, split, size, percent):
     rows = near_copies(split)
-    got = jaccard_join.join(frame(spark, rows), split=split)
-    assert by_row((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == by_row(brute_components(rows)[0])
+    got = jaccard_join.join(frame(spark, rows), size, percent, split)
+    assert by_row((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == by_row(brute_components(rows, size, percent)[0])
 
 
 def test_jaccard_filter_keeps_one_of_each_group(spark):
@@ -257,13 +257,13 @@ def test_jaccard_filter_keeps_one_of_each_group(spark):
     assert jaccard_join.join(empty(spark)).count() == 0 and jaccard_join.filter_documents(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize(("split", "parts"), ((2048, 1), (8, 7)))
+@pytest.mark.parametrize(("split", "parts"), ((1024, 1), (8, 7)))
 def test_jaccard_join_counts_all_links(spark, split, parts):
     rows = near_copies(split + 1)
     sets = [frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w := words(r[1])) >= 3 else frozenset([tuple(w)] if w else []) for r in rows]
     distinct = [x for x in set(sets) if x]
     links = {x: sum(x != y and 100 * len(x & y) >= 90 * len(x | y) for y in distinct) for x in distinct}
-    got = jaccard_join.join(frame(spark, rows).repartition(parts), split=split).collect()
+    got = jaccard_join.join(frame(spark, rows).repartition(parts), 3, 90, split).collect()
     assert by_row((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == by_row((r[0], len(x), links.get(x, 0)) for r, x in zip(rows, sets, strict=True))
     assert max(links.values()) > 5
 
@@ -277,19 +277,41 @@ def test_common_elements(seed, n, m):
     assert jaccard_join.common(sets[:n], sets[n:]).tolist() == want
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(4, 400), st.integers(0, 2**32), st.floats(0, 1))
-def test_linked_sets_share_a_cell_and_pass_the_bound(n, seed, part):
+RARITY = np.random.default_rng(5).integers(0, 20, jaccard_join.GROUPS).astype(np.uint8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 300), st.integers(0, 2**32), st.floats(0, 0.4), st.floats(0, 0.4), st.sampled_from((50, 80, 90, 100)))
+def test_linked_sets_share_a_cell_and_pass_the_bound(n, seed, gone, new, percent):
     rng = np.random.default_rng(seed)
     a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-    most = int(len(a) * 0.1 / 1.0)
-    gone = int(part * most)
-    b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, max(0, min(most - gone, int(len(a) / 9)))).astype(np.uint64)]))
+    b = np.unique(np.concatenate([a[int(gone * len(a)) :], rng.integers(0, 2**63, int(new * len(a))).astype(np.uint64)]))
     common = len(np.intersect1d(a, b))
-    if 100 * common >= 90 * (len(a) + len(b) - common) and common < max(len(a), len(b)):
-        assert len(np.intersect1d(jaccard_join.cell_keys(a, 90), jaccard_join.cell_keys(b, 90)))
-        p, q = jaccard_join.points([jaccard_join.point(a)], [jaccard_join.point(b)])
-        assert np.minimum(p, q).sum() >= common >= jaccard_join.needed(len(a), len(b), 90)
+    link = 100 * common >= percent * (len(a) + len(b) - common)
+    assert jaccard_join.linked(a, b, percent) == link
+    if link:
+        (low, more), (low2, more2) = ([set(x.tolist()) for x in jaccard_join.first_keys(s, RARITY, percent)] for s in (a, b))
+        assert low & low2 or low & more2 or more & low2
+        p, q = jaccard_join.points([a, b])
+        assert np.minimum(p, q).sum() >= common >= jaccard_join.needed(len(a), len(b), percent)
+
+
+@pytest.mark.parametrize("both", (False, True))
+def test_tree_loses_no_pair_that_the_bound_allows(both):
+    rng = np.random.default_rng(2)
+    base = [np.unique(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(40)]
+    sets = [np.unique(np.concatenate([rng.permutation(base[i % 40])[: rng.integers(40, 60)], rng.integers(0, 2**63, 4).astype(np.uint64)])) for i in range(300)]
+    n, group, side, p = np.array([len(x) for x in sets]), rng.integers(0, 200, 300), rng.integers(0, 2, 300), jaccard_join.points(sets)
+    want = {(i, j) for i, j in itertools.combinations(range(300), 2) if group[i] != group[j] and (side[i] != side[j] or not both) and np.minimum(p[i], p[j]).sum() >= jaccard_join.needed(n[i], n[j], 80)}
+    got = [(min(i, j), max(i, j)) for a, b in jaccard_join.tree_pairs(group, side if both else np.zeros(300, int), n, p, 80, both) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_order_puts_frequent_shingles_last(spark):
+    rows = [(i, f"a b c d e f g x{i}", "en", "s", 0, *(["x"] * 10)) for i in range(64)]
+    rarity = np.frombuffer(jaccard_join.order(frame(spark, rows), 3), np.uint8)
+    h = shingles([b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"x3"], WordHashes(), 3) % np.uint64(jaccard_join.GROUPS)
+    assert (rarity[h[:5].astype(int)] == 12).all() and rarity[int(h[5])] == 2
 
 
 def test_shingle_hashes_tell_sizes_apart():
