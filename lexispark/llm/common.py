@@ -97,13 +97,14 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    def _write(self, df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    def _write(self, df: DataFrame, name: str, compression: str | None = None) -> tuple[str, DataFrame]:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
         return path, self.spark.read.schema(df.schema).parquet(path)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path, out = self._write(df, name)
+    def table(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+        """Write and read again; what is mostly hashes isn't worth compressing."""
+        path, out = self._write(df, name, compression)
         self.made.append(path)
         return out
 
@@ -160,11 +161,89 @@ class WordHashes(dict):
 
 def shingles(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
     """Hashes of the word windows in order; fewer words than ``size`` are one window; none, none."""
-    if not words:
+    return windows(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), size)
+
+
+def windows(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows of ``size`` words, from the hashes of the words."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i])
-    return out
+    size = min(size, len(h))
+    out = h[: len(h) - size + 1] * np.uint64(2 * size + 1)
+    for i in range(1, size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[i : len(h) - size + 1 + i]
+    return mix(out)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
+_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
+
+
+class HashedWords:
+    """64-bit hashes of the words of texts, lower-cased A-Z, with no Python object per word.
+
+    A word's hash is the sum of its letters' numbers times the powers of a base, taken from running sums
+    over a piece of text. Texts are taken in pieces of about ``piece`` bytes that end between words, so
+    memory follows the longest word, not the longest text.
+    """
+
+    def __init__(self, piece: int = 1 << 19):
+        self.piece, self.up, self.down = piece, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_BASE, -k, 1 << 64))])
+        return self.up[:n], self.down[:n]
+
+    def _words(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, where they start); no word crosses one of ``edges``."""
+        space = _SPACE[raw]
+        before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
+        before[1:], after[:-1] = space[:-1], space[1:]
+        inner = edges[(edges > 0) & (edges < len(raw))]
+        before[inner], after[inner - 1] = True, True
+        first, last = np.flatnonzero(~space & before), np.flatnonzero(~space & after)
+        up, down = self._powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_LETTER[raw] * up, out=sums[1:])
+        return mix((sums[last + 1] - sums[first]) * down[first]), first
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The hashes of the words of each text of a column without nulls, in order."""
+        column = column.cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + self.piece, side="right")) - 1)
+            lo, hi = int(ends[i]), int(ends[j])
+            if j == i + 1 and hi - lo > self.piece:
+                yield self._long(raw[lo:hi])
+            else:
+                h, first = self._words(raw[lo:hi], ends[i:j] - lo)
+                cuts = np.searchsorted(first, ends[i : j + 1] - lo)
+                for k in range(j - i):
+                    yield h[cuts[k] : cuts[k + 1]]
+            i = j
+
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        out, none = [], np.empty(0, np.int64)
+        lo = 0
+        while lo < len(raw):
+            hi = lo + self.piece
+            while hi < len(raw) and not _SPACE[raw[hi]]:
+                hi += 1
+            out.append(self._words(raw[lo:hi], none)[0])
+            lo = hi
+        return np.concatenate(out)

@@ -23,9 +23,24 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.where("a <> b").distinct()
 
 
+def _edges(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def labels(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """(id, root) of nodes with an edge (a, b) after a few rounds: nodes of one root are connected, though not all that are need have one root yet.
+
+    A node without a row is its own root.
+    """
+    now = _edges(edges)
+    for _ in range(rounds):
+        now = _star(now)
+    return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, root) of every node with an edge (a, b): root is the smallest id of its component."""
-    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}_0")
+    now = scratch.table(_edges(edges), f"{name}_0")
     seen, i = None, 0
     while True:
         total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -48,19 +48,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHashes, docs_of, mix, shingles, texts
-from .components import components
+from .common import HashedWords, Scratch, distinct, docs_of, windows
+from .components import components, labels
 
 GROUPS, BLOCK = 1 << 24, 1 << 16  # groups that are counted, in blocks
 LEAF, SET_BYTES = 32, 8 << 20
 
 
-def _each(column: pa.Array, n: int = 256) -> Iterator[bytes]:
-    """The texts of a column; few at a time are held as Python objects."""
-    for i in range(0, len(column), n):
-        yield from texts(column.slice(i, n))
-
-
 COUNTED = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
 
@@ -69,13 +63,13 @@ def order(docs: DataFrame, size: int) -> bytes:
 
     A task counts in one byte a group, up to 255, and sends the blocks that it has touched, compressed.
     """
-    words = WordHashes()
+    words = HashedWords()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(GROUPS, np.uint8)
         for batch in batches:
-            for t in _each(batch.column("text")):
-                g = (shingles(t.lower().split(), words, size) % np.uint64(GROUPS)).astype(np.int64)
+            for h in words(batch.column("text")):
+                g = (windows(h, size) % np.uint64(GROUPS)).astype(np.int64)
                 c = held[g]
                 held[g] = c + (c < 255)  # shingles of one group count once a text
         blocks = held.reshape(-1, BLOCK)
@@ -125,30 +119,30 @@ SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("h", T
 
 
 def _signature(size: int, percent: int, rarity: Broadcast):
-    words = WordHashes()
+    words = HashedWords()
 
     @F.arrow_udf(SIGNATURE)
     def signature(text: pa.Array) -> pa.Array:
         own, rows = np.frombuffer(rarity.value, np.uint8), []
-        for t in _each(text):
-            s = np.unique(shingles(t.lower().split(), words, size))
+        for h in words(text):
+            s = distinct(windows(h, size))
             if len(s):
                 low, more = first_keys(s, own, percent)
                 rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(low), np.concatenate([low, more]).view(np.int64)))
             else:
                 rows.append((0, None, None, None))
-        n, h, low, k = zip(*rows, strict=True) if rows else ((),) * 4
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(low, pa.int32()), pa.array(k, pa.list_(pa.int64()))], SIGNATURE.names)
+        n, prints, low, k = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(low, pa.int32()), pa.array(k, pa.list_(pa.int64()))], SIGNATURE.names)
 
     return signature
 
 
 def _sets(size: int):
-    words = WordHashes()
+    words = HashedWords()
 
     @F.arrow_udf(T.BinaryType())
     def sets(text: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingles(t.lower().split(), words, size)).tobytes() for t in _each(text)], pa.binary())
+        return pa.array([distinct(windows(h, size)).tobytes() for h in words(text)], pa.binary())
 
     return sets
 
@@ -178,10 +172,10 @@ def _array(s: bytes) -> np.ndarray:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, split: int, scratch: Scratch, name: str) -> DataFrame:
     """Of pairs (a, b), those that link. The sets of all a of one b go where b's set is, ``split`` at a time."""
     pairs = scratch.table(pairs, f"{name}_pairs")
-    chunks = scratch.table(pairs.groupBy("b").agg(F.ceil(F.count("*") / split).alias("chunks")), f"{name}_chunks")
-    placed = scratch.table(pairs.join(chunks, "b").select("a", "b", F.pmod(F.xxhash64("a"), "chunks").alias("c")), f"{name}_placed")
-    members = sets.join(_few(placed), sets["rid"] == placed["a"]).select("b", "c", "a", "s")
-    centers = sets.join(_few(chunks), sets["rid"] == chunks["b"]).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"), F.lit(None).cast("long").alias("a"), "s")
+    chunks = pairs.groupBy("b").agg(F.ceil(F.count("*") / split).alias("chunks"))
+    placed = _few(scratch.table(pairs.join(chunks, "b").select("a", "b", "chunks", F.pmod(F.xxhash64("a"), "chunks").alias("c")), f"{name}_placed"))
+    members = sets.join(placed, sets["rid"] == placed["a"]).select("b", "c", "a", "s")
+    centers = sets.join(placed.select("b", "chunks").distinct(), sets["rid"] == F.col("b")).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"), F.lit(None).cast("long").alias("a"), "s")
     both = members.union(centers).repartition("b", "c").sortWithinPartitions("b", "c", F.col("a").asc_nulls_first())
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,13 +406,13 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
     docs = docs.withColumns({"_f1": F.xxhash64("text"), "_f2": F.xxhash64(F.lit("2"), F.col("text"))})
     rarity = docs.sparkSession.sparkContext.broadcast(order(docs, size))
     signature = _signature(size, percent, rarity)
-    full = scratch.table(docs.select("doc_id", "_f1", "_f2", signature("text").alias("x")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "_f1", "_f2", "x.*"), "signatures")
+    full = scratch.table(docs.select("doc_id", "_f1", "_f2", signature("text").alias("x")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "_f1", "_f2", "x.*"), "signatures", "uncompressed")
     # The row with the smallest doc_id stands for its set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("f")
-    distinct = scratch.table(full.where("h is not null").groupBy("h").agg(first, F.count("*").alias("n_equal")).select("h", "n_equal", "f.doc_id", "f.rid"), "distinct")
+    nodes = scratch.table(full.where("h is not null").groupBy("h").agg(first, F.count("*").alias("n_equal")).select("h", "n_equal", "f.doc_id", "f.rid"), "distinct")
     rows = scratch.table(full.drop("keys", "n_low"), "rows")
-    nodes = full.select("rid", "n", "n_low", "keys").join(_few(distinct.select("rid")), "rid")
-    cells = nodes.select("rid", "n", "n_low", F.posexplode("keys").alias("at", "key"))
+    keyed = full.select("rid", "n", "n_low", "keys").join(_few(nodes.select("rid")), "rid")
+    cells = keyed.select("rid", "n", "n_low", F.posexplode("keys").alias("at", "key"))
     # The center of a cell is the first of the members that have it among their first ``low``; without any, no link needs it.
     far = 1 << 62
     shared = cells.groupBy("key").agg(F.count("*").alias("k"), F.min(F.col("rid") + F.when(F.col("at") < F.col("n_low"), 0).otherwise(far)).alias("center")).where(f"k > 1 and center < {far}")
@@ -430,24 +424,24 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
     found = found.select("rid", _sets(size)("text").alias("s"))
     if rows.groupBy("doc_id", "_f1", "_f2").count().where("count > 1").limit(1).count():  # rows that repeat doc_id and text
         found = found.dropDuplicates(["rid"])
-    sets = scratch.table(found, "sets")
+    sets = scratch.table(found, "sets", "uncompressed")
     # First links: each member with the center it shares most cells with (the smaller on ties).
     votes = members.where("rid <> center").groupBy("rid", "center").agg(F.count("*").alias("c"))
     best = votes.groupBy("rid").agg(F.max(F.struct("c", (-F.col("center")).alias("m"))).alias("x")).select(F.col("rid").alias("a"), (-F.col("x.m")).alias("b"))
     links = verified(best, sets, percent, split, scratch, "first")
-    roots = scratch.table(components(links, scratch, "star0"), "roots0")
+    roots = scratch.table(labels(links), "roots0")
     open_ = _open(members, roots, scratch, "open0")
     for i in range(1, rounds + 1):
         more = verified(_between(open_), sets, percent, split, scratch, f"round{i}")
         if not more.limit(1).count():
             break
         links = links.union(more)
-        roots = scratch.table(components(links, scratch, f"star{i}"), f"roots{i}")
+        roots = scratch.table(labels(links), f"roots{i}")
         scratch.drop(f"open{i - 1}")
         open_ = _open(members, roots, scratch, f"open{i}")
     links = links.union(scratch.table(_residual(open_, sets, rarity, percent, split), "rest"))
     roots = scratch.table(components(links, scratch, "all"), "roots")
-    held = distinct.join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").where("root is not null or n_equal > 1").withColumn("root", F.coalesce("root", "rid"))
+    held = nodes.join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").where("root is not null or n_equal > 1").withColumn("root", F.coalesce("root", "rid"))
     own = ["h", "root", "component_id", "n_equal"]
     if counted:
         own.append("n_links")
