@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules
-from lexispark.llm.common import Scratch
+from lexispark.llm.common import Scratch, bound_batches
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,26 +14,31 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    bound_batches(spark)
     return quality_classifier.filter_documents(docs, docs, _labels(spark, sf_dir))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    bound_batches(spark)
     return quality_rules.filter_documents(docs, _labels(spark, sf_dir))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at Jaccard 0.9, the one with the smallest doc_id stays."""
+    """Of each group of documents linked at Jaccard 0.8 of five-word shingles, the one with the smallest doc_id stays."""
+    bound_batches(spark)
     return jaccard_join.filter_documents(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bound_batches(spark)
     return decontamination.filter_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, placed in sequences of 2048 tokens."""
+    bound_batches(spark)
     return packing.best_fit(docs)
 
 
