@@ -193,8 +193,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, split: int, scratc
     return scratch.table(both.mapInArrow(test, PAIR).distinct(), f"{name}_links")
 
 
-def tree_pairs(group: np.ndarray, side: np.ndarray, n: np.ndarray, p: np.ndarray, percent: int, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (places) of one cell, of different groups, whose points allow a link; of different sides if ``both``."""
+def unmet(keys: list[np.ndarray], n_low: np.ndarray, key: int, root: np.ndarray, side: np.ndarray, both: bool) -> np.ndarray:
+    """Which pairs of a cell's members are of different components (and sides, if ``both``) and share no smaller key.
+
+    A key counts for a pair if it is among the first ``low`` of one of the two; every link has such a key.
+    """
+    n = len(keys)
+    here = np.array([bool((k[:low] == key).any()) for k, low in zip(keys, n_low, strict=True)])
+    out = (root[:, None] != root[None, :]) & (here[:, None] | here[None, :])
+    if both:
+        out &= side[:, None] != side[None, :]
+    flat, at = np.concatenate(keys), np.repeat(np.arange(n), [len(k) for k in keys])
+    more = np.concatenate([np.arange(len(k)) >= low for k, low in zip(keys, n_low, strict=True)])
+    smaller = flat < key
+    _, column, times = np.unique(flat[smaller], return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    at, more, column = at[smaller][shared], more[smaller][shared], np.unique(column[shared], return_inverse=True)[1]
+    for i in range(0, int(column.max(initial=-1)) + 1, 2048):
+        own = (column >= i) & (column < i + 2048)
+        held, rest = np.zeros((n, 2048), np.float32), np.zeros((n, 2048), np.float32)
+        held[at[own], column[own] - i] = 1
+        rest[at[own & more], column[own & more] - i] = 1
+        out &= held @ held.T - rest @ rest.T < 0.5
+    return out
+
+
+def tree_pairs(allowed: np.ndarray, side: np.ndarray, n: np.ndarray, p: np.ndarray, percent: int, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ``allowed`` pairs (places) of one cell whose points allow a link; of different sides if ``both``."""
 
     def pack(rows: np.ndarray) -> list[np.ndarray]:
         if len(rows) <= LEAF:
@@ -207,7 +232,6 @@ def tree_pairs(group: np.ndarray, side: np.ndarray, n: np.ndarray, p: np.ndarray
     leaves = [x for s in ((0, 1) if both else (0,)) for x in pack(np.flatnonzero(side == s)) if len(x)]
     high = np.stack([p[x].max(axis=0) for x in leaves])
     least, sides = np.array([n[x].min() for x in leaves]), np.array([side[x[0]] for x in leaves])
-    one = np.array([group[x[0]] if (group[x] == group[x[0]]).all() else -1 for x in leaves])
     fan = 16  # upper nodes: corners of runs of leaves, which are neighbours in the packing
     tops = [np.arange(i, min(i + fan, len(leaves))) for i in range(0, len(leaves), fan)]
     top_high, top_least = np.stack([high[t].max(axis=0) for t in tops]), np.array([least[t].min() for t in tops])
@@ -216,15 +240,17 @@ def tree_pairs(group: np.ndarray, side: np.ndarray, n: np.ndarray, p: np.ndarray
         if not len(near):
             continue
         j = np.concatenate([tops[k] for k in near])
-        j = j[(j >= i) & ((sides[j] != sides[i]) if both else True) & ~((one[j] == one[i]) & (one[i] >= 0))]
+        j = j[(j >= i) & ((sides[j] != sides[i]) if both else True)]
         j = j[np.minimum(high[i], high[j]).sum(axis=1, dtype=np.int64) >= needed(least[i], least[j], percent)]
         for k in j.tolist():
             y = leaves[k]
-            overlap = np.stack([np.minimum(p[r], p[y]).sum(axis=1, dtype=np.int64) for r in x])
-            ok = (overlap >= needed(n[x][:, None], n[y][None, :], percent)) & (group[x][:, None] != group[y][None, :])
+            ok = allowed[np.ix_(x, y)]
             r, c = np.nonzero(np.triu(ok, 1) if k == i else ok)
+            r, c = x[r], y[c]
             if len(r):
-                yield x[r], y[c]
+                ok = np.minimum(p[r], p[c]).sum(axis=1, dtype=np.int64) >= needed(n[r], n[c], percent)
+                if ok.any():
+                    yield r[ok], c[ok]
 
 
 def _open(members: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -245,22 +271,41 @@ def _chunks(k: str, shingles_: str, split: int):
     return F.ceil(F.greatest(F.col(k) / split, F.col(shingles_) * 8 / SET_BYTES))
 
 
-def _residual(open_: DataFrame, sets: DataFrame, rarity: Broadcast, percent: int, split: int) -> DataFrame:
-    """Links (a, b) of different components that meet in a cell, as many as join what links there."""
+MEMBER = T.StructType([*(T.StructField(c, T.LongType()) for c in ("key", "c1", "c2", "side", "rid", "root"))])
+
+
+def _residual(open_: DataFrame, keys: DataFrame, sets: DataFrame, rarity: Broadcast, percent: int, split: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of different components that meet in a cell, as many as join what links there.
+
+    First the cells are looked at with the members' keys alone: what has met all others of the cell in
+    smaller keys already needn't bring its set.
+    """
     # In a cell of several chunks a member goes to each pair of chunks that has its own.
     own = open_.select("key", "rid", "root", _chunks("k", "shingles", split).alias("chunks")).withColumn("mine", F.pmod(F.xxhash64("rid"), "chunks"))
-    own = _few(own).join(sets, "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    own = own.select("key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rid", "root", "s")
+    own = _few(own).join(keys, "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    own = own.select("key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), (F.col("mine") > F.col("other")).cast("long").alias("side"), "rid", "root", "n_low", "keys")
     own = own.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, c1, c2), cell in _runs(batches, 3):
+            root, side, low = (cell.column(c).to_numpy() for c in ("root", "side", "n_low"))
+            flat, ends = cell.column("keys").chunk(0).flatten().to_numpy(), np.concatenate([[0], np.cumsum(cell.column("keys").chunk(0).value_lengths().to_numpy())])
+            some = unmet([flat[ends[i] : ends[i + 1]] for i in range(len(root))], low, key, root, side, c1 != c2).any(axis=1)
+            if some.any():
+                yield from cell.select(MEMBER.names).filter(pa.array(some)).to_batches()
+
+    left = scratch.table(own.mapInArrow(look, MEMBER), "to_search")
+    left = _few(left).join(sets, "rid").select(*MEMBER.names, "s").repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = np.frombuffer(rarity.value, np.uint8)
         for (key, c1, c2), cell in _runs(batches, 3):
             ids, root, side = (cell.column(c).to_numpy() for c in ("rid", "root", "side"))
             s = [_array(x) for x in cell.column("s").to_pylist()]
             n = np.array([len(x) for x in s])
+            first = [first_keys(x, rare, percent) for x in s]
+            allowed = unmet([np.concatenate(x).view(np.int64) for x in first], np.array([len(x[0]) for x in first]), key, root, side, c1 != c2)
             parent: dict[int, int] = {}
-            keys: dict[int, tuple] = {}
             out = []
 
             def find(x: int, parent=parent) -> int:
@@ -268,25 +313,16 @@ def _residual(open_: DataFrame, sets: DataFrame, rarity: Broadcast, percent: int
                     x = parent[x]
                 return x
 
-            def cells_of(i: int, s=s, keys=keys) -> tuple:
-                if i not in keys:
-                    low, more = first_keys(s[i], rare, percent)
-                    keys[i] = (frozenset(low.view(np.int64).tolist()), frozenset(more.view(np.int64).tolist()))
-                return keys[i]
-
-            for a, b in tree_pairs(root, side, n, points(s), percent, c1 != c2):
+            for a, b in tree_pairs(allowed, side, n, points(s), percent, c1 != c2):
                 for i, j in zip(a.tolist(), b.tolist(), strict=True):
                     x, y = find(int(root[i])), find(int(root[j]))
-                    if x == y:
-                        continue
-                    (low, more), (low2, more2) = cells_of(i), cells_of(j)
-                    if min((low & low2) | (low & more2) | (more & low2), default=None) == key and linked(s[i], s[j], percent):
+                    if x != y and linked(s[i], s[j], percent):
                         parent[max(x, y)] = min(x, y)
                         out.append((int(ids[i]), int(ids[j])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in out]), pa.array([min(x) for x in out])], ["a", "b"])
 
-    return own.mapInArrow(search, PAIR).distinct()
+    return left.mapInArrow(search, PAIR).distinct()
 
 
 def common(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -417,7 +453,6 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
     far = 1 << 62
     shared = cells.groupBy("key").agg(F.count("*").alias("k"), F.min(F.col("rid") + F.when(F.col("at") < F.col("n_low"), 0).otherwise(far)).alias("center")).where(f"k > 1 and center < {far}")
     members = scratch.table(cells.select("key", "rid", "n").join(shared.select("key", "center"), "key"), "members")
-    scratch.drop("signatures")
     # The sets of what shares a cell are kept; nothing else is compared.
     asked = rows.join(_few(scratch.table(members.select("rid").distinct(), "candidates")), "rid").select("rid", F.col("doc_id").alias("_id"), F.col("_f1").alias("_g1"), F.col("_f2").alias("_g2"))
     found = docs.join(_few(scratch.table(asked, "asked")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_f1") == F.col("_g1")) & (F.col("_f2") == F.col("_g2")))
@@ -439,7 +474,7 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
         roots = scratch.table(labels(links), f"roots{i}")
         scratch.drop(f"open{i - 1}")
         open_ = _open(members, roots, scratch, f"open{i}")
-    links = links.union(scratch.table(_residual(open_, sets, rarity, percent, split), "rest"))
+    links = links.union(scratch.table(_residual(open_, full.select("rid", "n_low", "keys"), sets, rarity, percent, split, scratch), "rest"))
     roots = scratch.table(components(links, scratch, "all"), "roots")
     held = nodes.join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").where("root is not null or n_equal > 1").withColumn("root", F.coalesce("root", "rid"))
     own = ["h", "root", "component_id", "n_equal"]

@@ -5,11 +5,13 @@ run one blank), of length 1. Training rows of a language are clustered into up t
 centroids by spherical k-means. A text gets the language of the centroid with the largest cosine; a
 cosine below that centroid's own low quantile on training rows marks the answer as rejected.
 
-The fit uses at most ``sample`` rows per language, those with the smallest hash of doc_id and text.
-Everything else covers all rows and whole texts.
+The fit uses at most ``sample`` rows per language, those with the smallest hash of doc_id and text; rows
+that repeat both count once. Everything else covers all rows and whole texts. Letters are a-z after lower
+case, the Latin-1 letters among U+00AA to U+00BA, and all characters from U+00DF on.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected. With no
-language learned (no row with text and lang) every text is ``und``. Ties go to the language that
+language learned (no row with text and lang) every text is ``und``. A text whose n-grams no training row
+has gets the first language, with score 0 and rejected. Ties go to the language that
 sorts first. Repeated rows get equal answers; other columns are ignored.
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql.window import Window
 from .common import small_batches
 
 DIMS = 8192
+LATIN = np.array([0xAA, 0xB5, 0xBA], np.uint32)
 _A, _B, _C = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
 
 
@@ -38,7 +41,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(dimensions, square roots of the counts) of a text."""
     text = text.lower()
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = (c >= 97) & (c <= 122) | (c >= 0xDF)
+    letter = (c >= 97) & (c <= 122) | (c >= 0xDF) | np.isin(c, LATIN)
     c = np.where(letter, c, np.uint32(32))
     c = np.concatenate([[np.uint32(32)], c[letter | np.concatenate([[True], letter[:-1]])], [np.uint32(32)]]).astype(np.uint32)
     if len(c) < 3:
@@ -87,10 +90,10 @@ def fit(rows: DataFrame, sample: int = 400, per_language: int = 3, reject_quanti
     """From the columns doc_id, text, lang of training rows."""
     rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.select("lang", place.alias("place")).distinct().groupBy("lang").agg(F.count("*").cast("double").alias("n"))
     # Rows of a language thin out by hash before any are ranked, so a hot language is never sorted whole.
-    some = rows.withColumn("place", place).join(F.broadcast(counts), "lang").where(F.col("place") * F.col("n") <= F.lit(float(1 << 40)) * (2 * sample + 50))
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))).where(F.col("r") <= sample)
+    some = rows.withColumn("place", place).join(F.broadcast(counts), "lang").where(F.col("place") * F.col("n") <= F.lit(float(1 << 40)) * (2 * sample + 50)).dropDuplicates(["lang", "place"])
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("r") <= sample)
 
     @F.arrow_udf(T.BinaryType())
     def sparse(text: pa.Array) -> pa.Array:

@@ -8,12 +8,15 @@ labelled vectors are broadcast (their number is bounded by ``sample``), the cosi
 with all of them are exact products made in blocks, and the ``neighbours`` largest vote with the
 weight cosine**power.
 
-The fit uses at most ``sample`` labelled rows per label value, those with the smallest hash of doc_id
-and text. Labels, lang, source and doc_id are no inputs of a score.
+The fit uses at most ``sample`` labelled doc_ids per label value, those with the smallest hash, and of
+rows that repeat a doc_id the one whose text has the smallest hash. Labels, lang, source and doc_id are
+no inputs of a score.
 
 Defined results: null and empty texts get a score like any text (that of the empty term vector's
 neighbours). With no labelled rows the score is 0.5. Rows with contradicting labels are not learned
-from. Repeated rows get equal scores; other columns are ignored or carried.
+from. All neighbours as near as the last that votes (within ``TIE``) vote too, so the order of labelled
+rows doesn't matter, and repeated rows get equal scores but for rounding (scores have 6 decimals). Other
+columns are ignored or carried.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from .common import small_batches
 
 KINDS, WORDS, SHAPES = 2048, 1024, 96
 DIMS = KINDS + WORDS + SHAPES
+TIE = 1e-6  # cosines this close are equal
 
 
 def _kinds() -> np.ndarray:
@@ -119,8 +123,9 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = 1500, rank: int = 48,
         rows = [terms(t or "") for t in text.to_pylist()]
         return pa.array([at.astype("<u2").tobytes() + v[at].astype("<f4").tobytes() for v in rows for at in [np.flatnonzero(v)]], pa.binary())
 
-    got = rows.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "q")), "doc_id").select("doc_id", "q", F.xxhash64("text").alias("h"), vector("text").alias("v"))
-    got = got.where(F.col("q").isNotNull()).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")]).slice(0, 4 * sample)
+    got = rows.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", "q")), "doc_id").groupBy("doc_id", "q").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    with small_batches(rows.sparkSession):
+        got = got.select("doc_id", "q", vector("x.text").alias("v")).toArrow().sort_by("doc_id")  # at most 2 x sample rows
     if not len(got):
         return Model(np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power)
     a = np.zeros((len(got), DIMS), np.float32)
@@ -146,9 +151,10 @@ def votes(latent: np.ndarray, model: Model) -> np.ndarray:
     latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     sims = latent @ model.vectors.T
     k = min(model.neighbours, sims.shape[1])
-    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(sims, top, axis=1), 1e-6).astype(np.float64) ** model.power
-    return np.clip((weight * model.labels[top]).sum(axis=1) / weight.sum(axis=1), 0.0, 1.0)
+    row, at = np.nonzero(sims >= np.partition(sims, -k, axis=1)[:, -k][:, None] - TIE)
+    weight = np.maximum(sims[row, at], 1e-6).astype(np.float64) ** model.power
+    good = np.bincount(row, weight * model.labels[at], len(latent))
+    return np.round(np.clip(good / np.bincount(row, weight, len(latent)), 0.0, 1.0), 6)
 
 
 def scorer(spark, model: Model, block: int = 256):

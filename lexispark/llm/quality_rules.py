@@ -1,19 +1,23 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
 Every document gets the counts below from its whole text. A rule rejects a document when one ratio
-of these counts lies above a cutoff. For each stratum (``lang``) and rule, a cutoff is taken only if
-an exact binomial test on the labelled clean documents of the stratum says that its rate of false
-rejections is at most ``alpha``; the level of the test is ``delta`` divided by the number of all
-tests made (strata x rules x cutoffs: Bonferroni). Of the certified cutoffs the one with the best
-balance on labelled documents is taken, the loosest on ties; without any, the rule rejects nothing
-in that stratum. With five rules at alpha 0.01, at most 5 % of a stratum's clean documents are
-rejected by rules, with confidence 1 - delta.
+of these counts lies above a cutoff. The labelled documents of a stratum (``lang``) that pass the base
+rule are split by doc_id. On the first half each rule gets the cutoff of the best balance (share of bad
+documents rejected, less ten times the share of clean ones; the loosest on ties), and rules are put in
+the order of that balance; a rule without a positive one takes no part. The second half tests the rules
+one after another, each together with all before it: an exact binomial test must show that they reject
+at most a share ``alpha`` of the clean documents of the stratum, and the first that fails and all after
+it are dropped. As the order is fixed before the second half is looked at, the tests of a stratum need no
+correction among themselves (fixed-sequence testing); the level is ``delta`` divided by the number of
+strata (Bonferroni). So with confidence 1 - delta, in no stratum are more than ``alpha`` of the clean
+documents rejected by rules.
 
 Defined results: a null or empty text has no words, so it fails the base rule (n_words < 50). A
 null lang is a stratum of its own. Without labels nothing is certified and only the base rule
-rejects. Rows that repeat count as often as they occur; documents whose labels contradict each
-other are left out of the calibration. Other columns of the input are ignored by ``measure`` and
-carried by ``filter_documents``.
+rejects; a stratum whose second half has no clean document rejected needs log(level) / log(1 - alpha)
+clean ones there to certify (86 with four strata). Rows that repeat count as often as they occur;
+documents whose labels contradict each other are left out of the calibration. Other columns of the
+input are ignored by ``measure`` and carried by ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, texts
+from .common import Scratch, fold, texts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 METRICS = T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS])
@@ -103,44 +107,68 @@ def binomial_tail(k: int, n: int, rate: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """One row per stratum (lang): the certified cutoff of each rule (null: none) and how it did.
+def _hit(rule: str, cutoff: str) -> str:
+    return f"coalesce(({RULES[rule][0]}) > {cutoff}, false)"
 
-    Counts of rejections per cutoff are sums made in one aggregation; only they, never documents,
-    reach a task that tests them.
+
+def choose(rows: pd.DataFrame) -> pd.DataFrame:
+    """Per stratum and rule: the cutoff of the best balance and the rule's place among the rules, from sums of rejections."""
+    out = []
+    for row in rows.to_dict("records"):
+        clean, bad, best = row["clean"], row["labelled"] - row["clean"], {}
+        for at, (rule, (_, cutoffs)) in enumerate(RULES.items()):
+            for i, c in enumerate(cutoffs):
+                gain = row[f"{rule}_{i}_0"] / max(bad, 1) - 10 * row[f"{rule}_{i}_1"] / max(clean, 1)
+                if gain > best.get(rule, (0.0,))[0]:
+                    best[rule] = (gain, -at, c)
+        places = {r: float(i + 1) for i, r in enumerate(sorted(best, key=lambda r: best[r][:2], reverse=True))}
+        out.append((row["lang"], *(best[r][2] if r in best else None for r in RULES), *(places.get(r) for r in RULES)))
+    return pd.DataFrame(out, columns=PICKED.names).astype({n: "float64" for n in PICKED.names[1:]})
+
+
+def certify(row: dict, alpha: float, level: float) -> tuple[int, list[float]]:
+    """How many of the rules in order stay, and the p-value of each with all before it."""
+    ps = [binomial_tail(int(row[f"step_{i}"] or 0), int(row["clean"] or 0), alpha) for i in range(1, len(RULES) + 1)]
+    return next((i for i, p in enumerate(ps) if not p <= level), len(ps)), ps
+
+
+PICKED = T.StructType([T.StructField("lang", T.StringType()), *(T.StructField(f"cut_{r}", T.DoubleType()) for r in RULES), *(T.StructField(f"place_{r}", T.DoubleType()) for r in RULES)])
+CERTIFIED = T.StructType([T.StructField("lang", T.StringType()), *(T.StructField(f"cut_{r}", T.DoubleType()) for r in RULES), *(T.StructField(f"bound_{r}", T.DoubleType()) for r in RULES)])
+
+
+def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """One row per stratum (lang): the certified cutoff of each rule (null: none) and the p-value it was tested with.
+
+    Counts of rejections are sums made in two aggregations, one per half; only they, never documents,
+    reach a task that chooses and tests.
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
     marks = marks.where("lo = hi").select("doc_id", F.col("lo").alias("_q"))
-    held = measured.where(~base_failed()).join(marks, "doc_id")
+    held = measured.where(~base_failed()).join(marks, "doc_id").withColumn("_second", fold("doc_id", 2) == 1)
     sums = [F.sum(F.col("_q").cast("long")).alias("clean"), F.count("*").alias("labelled")]
-    for rule, (ratio, cutoffs) in RULES.items():
+    for rule, (_, cutoffs) in RULES.items():
         for i, c in enumerate(cutoffs):
-            hit = F.expr(f"({ratio}) > {c}D")
-            sums += [F.sum(F.when(hit & (F.col("_q") == q), 1).otherwise(0).cast("long")).alias(f"{rule}_{i}_{q}") for q in (0, 1)]
-    by_stratum = held.groupBy("lang").agg(*sums)
-    cells = sum(len(c) for _, c in RULES.values())
-    counted = by_stratum.crossJoin(F.broadcast(by_stratum.agg(F.count("*").alias("strata"))))  # one row
-    schema = T.StructType([T.StructField("lang", T.StringType()), *(T.StructField(f"cut_{r}", T.DoubleType()) for r in RULES), *(T.StructField(f"bound_{r}", T.DoubleType()) for r in RULES)])
-
-    def certify(batches):
+            sums += [F.sum(F.when(F.expr(_hit(rule, f"{c}D")) & (F.col("_q") == q), 1).otherwise(0).cast("long")).alias(f"{rule}_{i}_{q}") for q in (0, 1)]
+    picked = held.where(~F.col("_second")).groupBy("lang").agg(*sums).mapInPandas(lambda batches: map(choose, batches), PICKED)
+    picked = picked.select(F.col("lang").alias("_lang"), *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in PICKED.names[1:]))
+    with Scratch(measured.sparkSession, "rule-picks") as scratch:
+        picked = scratch.keep(picked, "picked")  # one row per stratum
+    joined = held.where("_second").join(picked, F.col("lang").eqNullSafe(F.col("_lang")))
+    first = F.array_min(F.array(*(F.when(F.expr(_hit(r, f"cut_{r}")), F.col(f"place_{r}")) for r in RULES)))
+    tested = joined.select("lang", "_q", first.alias("_first")).groupBy("lang").agg(F.sum(F.col("_q").cast("long")).alias("clean"), *(F.sum(F.when((F.col("_q") == 1) & (F.col("_first") <= i), 1).otherwise(0).cast("long")).alias(f"step_{i}") for i in range(1, len(RULES) + 1)))
+    tested = picked.join(tested, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("lang", F.col("_lang"))
+    level = delta / max(1, picked.count())
+
+    def test(batches):
         for df in batches:
             out = []
-            for row in df.to_dict("records"):
-                level, bad = delta / (row["strata"] * cells), row["labelled"] - row["clean"]
-                cuts, ps = [], []
-                for rule, (_, cutoffs) in RULES.items():
-                    best, cut, p_of = 0.0, None, None
-                    for i, c in enumerate(cutoffs):
-                        p = binomial_tail(int(row[f"{rule}_{i}_1"]), int(row["clean"]), alpha)
-                        gain = row[f"{rule}_{i}_0"] / max(bad, 1) - 10 * row[f"{rule}_{i}_1"] / max(row["clean"], 1)
-                        if p <= level and gain > best:
-                            best, cut, p_of = gain, c, p
-                    cuts.append(cut)
-                    ps.append(p_of)
-                out.append((row["lang"], *cuts, *ps))
-            yield pd.DataFrame(out, columns=schema.names).astype({n: "float64" for n in schema.names[1:]})
-
-    return counted.mapInPandas(certify, schema)
+            for row in df.astype(object).where(df.notna(), None).to_dict("records"):
+                n, ps = certify(row, alpha, level)
+                at = [row[f"place_{r}"] for r in RULES]
+                out.append((row["lang"], *(row[f"cut_{r}"] if p is not None and p <= n else None for r, p in zip(RULES, at, strict=True)), *(ps[int(p) - 1] if p is not None else None for p in at)))
+            yield pd.DataFrame(out, columns=CERTIFIED.names).astype({n: "float64" for n in CERTIFIED.names[1:]})
+
+    return tested.select("lang", "clean", *(f"step_{i}" for i in range(1, len(RULES) + 1)), *PICKED.names[1:]).mapInPandas(test, CERTIFIED)
 
 
 def _cuts(thresholds: DataFrame) -> DataFrame:
@@ -154,16 +182,22 @@ def verdict(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
     return joined.withColumn("broken_rules", broken).withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)).drop("_lang", *(f"_cut_{r}" for r in RULES))
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """COUNTS, base_failed, kept and broken_rules of every row; texts are read once."""
     with Scratch(documents.sparkSession, "quality-rules") as scratch:
         measured = scratch.table(measure(documents), "measured")
         return scratch.keep(verdict(measured, calibrate(measured, labels, alpha, delta)))
 
 
-def filter_documents(documents: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """The rows of ``documents`` that are kept, with their columns."""
+def filter_documents(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, most: int = 500_000) -> DataFrame:
+    """The rows of ``documents`` that are kept, with their columns.
+
+    Up to ``most`` labelled documents are picked by a broadcast of their ids, so other texts are measured
+    once; with more, all texts are measured for the cutoffs and again for the verdict.
+    """
     with Scratch(documents.sparkSession, "quality-rules") as scratch:
-        thresholds = scratch.keep(calibrate(scratch.table(measure(documents), "measured"), labels, alpha, delta), "thresholds")
+        ids = scratch.table(labels.where("quality in (0, 1)").select("doc_id").distinct(), "labelled")
+        labelled = documents.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= most else documents
+        thresholds = scratch.keep(calibrate(scratch.table(measure(labelled), "measured"), labels, alpha, delta), "thresholds")
     row = documents.select(F.struct("*").alias("_row"), F.col("lang"), metrics(F.coalesce("text", F.lit(""))).alias("m")).select("_row", "lang", "m.*")
     return verdict(row, thresholds).where("kept").select("_row.*")

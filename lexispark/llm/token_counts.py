@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import docs_of
+from .common import Scratch, docs_of
 from .tokens import encoder, vocabulary
 
 
@@ -34,9 +34,10 @@ def token_length(path: str):
 
 
 def histogram(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(length, n_docs), one row per distinct length."""
+    """(length, n_docs), one row per distinct length: a written table, so whatever is asked of it encodes nothing again."""
     length = token_length(tokenizer or vocabulary())
-    return docs_of(documents).select(length("text").alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
+    with Scratch(documents.sparkSession, "lengths") as scratch:
+        return scratch.keep(docs_of(documents).select(length("text").alias("length")).groupBy("length").agg(F.count("*").alias("n_docs")), "histogram")
 
 
 def profile(hist: DataFrame, width: int = 1024) -> DataFrame:

@@ -10,7 +10,7 @@ as u64); then the index: per document id, validity and count; per block offset,
 escapes; then the counts of documents and blocks, the index's crc32 and ``LXS8`` again. All numbers
 are little-endian.
 
-``write_files`` puts documents in ascending doc_id order (nulls first, then by text) into one file per
+``write_files`` puts documents in ascending doc_id order (nulls first, then by a hash of the text) into one file per
 range; files are written under temporary names, renamed when complete, and count once the manifest
 table is committed. ``read_files`` gives, per document, the ids before it in the whole corpus, its
 count and its crc32, and the ids if asked.
@@ -175,7 +175,9 @@ def write_files(documents: DataFrame, out: str, end_id: int = 2, tokenizer: str
     """Encode and write ``documents`` (doc_id, text) below ``out``; the manifest, read back."""
     spark, path = documents.sparkSession, tokenizer or vocabulary()
     docs = docs_of(documents)
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Ties of doc_id, which may be many, are dealt out by a hash of the text; only equal rows stay together.
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text"))
+    ordered = docs.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(out)

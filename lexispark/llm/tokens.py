@@ -1,17 +1,33 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece of text encoded once.
 
-A pretoken of the vocabulary file never spans white space, and its normaliser looks no further than
-the white space around a character. So the ids of a text are those of its chunks between white
-space, one after another. Each Python worker keeps the chunks and pretokens it has met in two
-bounded generations; only new ones go to the library.
+Where the vocabulary file states exactly the normaliser and split that ``KNOWN`` has, a pretoken never
+spans white space, and the normaliser looks no further than the white space around a character. So the
+ids of a text are those of its chunks between white space, one after another. Each Python worker keeps
+the chunks and pretokens it has met in two bounded generations; only new ones go to the library. With
+any other vocabulary file every text goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
 
+#: What a vocabulary file must state for its texts to be encoded chunk by chunk.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "added_tokens": ["<|startoftext|>", "<|endoftext|>"],
+    "truncation": None,
+    "padding": None,
+}
 #: Chunks of only these characters are lower-cased and split here as the vocabulary file does; any other goes to the library whole.
 _PLAIN = re.compile(r"[!-~À-įı-ž]+").fullmatch
 _PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
@@ -21,7 +37,7 @@ _ODD = re.compile("[\x1c-\x1f᠎]").search
 
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes that stand for themselves
     rest = [b for b in range(256) if b not in own]
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
@@ -51,6 +67,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        stated["added_tokens"] = [x["content"] for x in stated.get("added_tokens", [])]
+        self.known = {k: stated.get(k) for k in KNOWN} == KNOWN
         self.model, self.letters = self.whole.model, _byte_letters()
         self.pretokens, self.chunks = _Cache(self._pretoken, most), _Cache(self._chunk, most * 3 // 4)
 
@@ -75,7 +95,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return self._full(text) if _ODD(text) else b"".join(map(self.chunks.__getitem__, text.split()))
+        return self._full(text) if not self.known or _ODD(text) else b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -52,6 +52,18 @@ def test_encoder_forgets_but_stays_right(tokenizer):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == ids_of(tokenizer, text)
 
 
+def test_encoder_leaves_other_vocabularies_to_the_library(tmp_path):
+    import json
+
+    stated = json.load(open(PATH, encoding="utf-8"))
+    stated["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(stated), encoding="utf-8")
+    own = tokens.Encoder(str(tmp_path / "cased.json"))
+    assert tokens.encoder(PATH).known and not own.known
+    for text in ("The CAT's hat", "a\tb  c\nÄ", "don't 12"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
 # --- Simple-8b ----------------------------------------------------------------------------------
 
 
@@ -69,7 +81,8 @@ def test_token_files(spark, tokenizer, tmp_path):
     rows = odd_rows()
     token_files.write_files(frame(spark).repartition(5), str(tmp_path))
     got = token_files.read_files(spark, str(tmp_path)).orderBy("start").collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    place = {r["t"]: r["h"] for r in frame(spark).select(F.coalesce("text", F.lit("")).alias("t")).select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1] or ""]))
     start = 0
     for r, g in zip(order, got, strict=True):
         ids = [*ids_of(tokenizer, r[1]), 2]
@@ -297,6 +310,24 @@ def test_linked_sets_share_a_cell_and_pass_the_bound(n, seed, gone, new, percent
         assert np.minimum(p, q).sum() >= common >= jaccard_join.needed(len(a), len(b), percent)
 
 
+@pytest.mark.parametrize("both", (False, True))
+def test_pairs_meet_once(both):
+    rng = np.random.default_rng(6)
+    n, low = 70, rng.integers(1, 6, 70)
+    keys = [rng.permutation(40)[: x + rng.integers(0, 6)] for x in low]
+    root, side = rng.integers(0, 50, n), rng.integers(0, 2, n)
+    met = np.zeros((n, n), int)
+    for key in range(40):
+        rows = np.array([i for i in range(n) if key in keys[i]])
+        if len(rows):
+            ok = jaccard_join.unmet([keys[i] for i in rows], low[rows], key, root[rows], side[rows], both)
+            met[np.ix_(rows, rows)] += ok
+    for i, j in itertools.product(range(n), range(n)):
+        a, b = set(keys[i].tolist()), set(keys[j].tolist())
+        share = {k for k in a & b if k in keys[i][: low[i]] or k in keys[j][: low[j]]}
+        assert met[i, j] == (bool(share) and root[i] != root[j] and (side[i] != side[j] or not both))
+
+
 @pytest.mark.parametrize("both", (False, True))
 def test_tree_loses_no_pair_that_the_bound_allows(both):
     rng = np.random.default_rng(2)
@@ -304,7 +335,7 @@ def test_tree_loses_no_pair_that_the_bound_allows(both):
     sets = [np.unique(np.concatenate([rng.permutation(base[i % 40])[: rng.integers(40, 60)], rng.integers(0, 2**63, 4).astype(np.uint64)])) for i in range(300)]
     n, group, side, p = np.array([len(x) for x in sets]), rng.integers(0, 200, 300), rng.integers(0, 2, 300), jaccard_join.points(sets)
     want = {(i, j) for i, j in itertools.combinations(range(300), 2) if group[i] != group[j] and (side[i] != side[j] or not both) and np.minimum(p[i], p[j]).sum() >= jaccard_join.needed(n[i], n[j], 80)}
-    got = [(min(i, j), max(i, j)) for a, b in jaccard_join.tree_pairs(group, side if both else np.zeros(300, int), n, p, 80, both) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    got = [(min(i, j), max(i, j)) for a, b in jaccard_join.tree_pairs(group[:, None] != group[None, :], side if both else np.zeros(300, int), n, p, 80, both) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
 
 
