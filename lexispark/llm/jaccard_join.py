@@ -6,11 +6,10 @@ the summed minima of two points bound the overlap of their sets from above.
 
 One tree over a corpus would have to visit nearly every node: in so many dimensions the corners of
 unrelated points all reach one another. So the upper levels of the index deal the sets into cells. All
-shingles have one order, the rarest groups first; a set lies in the cells of its first shingles: with
-``reach`` = n - ceil(t n) + 1 of them, and ``low`` = n - ceil(2 t n / (1 + t)) + 1 if the other set is
-the larger one, two sets of Jaccard t or more share a cell that is among the first ``low`` of one of
-them. A passage that many documents share is frequent, so it comes last and makes no cells but for
-texts that hold little else. How many sets hold each of ``GROUPS`` groups is counted over all texts; the
+shingles have one order, the rarest groups first; a set of n lies in the cells of its first n - ceil(t n)
++ 1 shingles, and two sets of Jaccard t or more share a cell. A passage that many documents share is
+frequent, so it comes last and makes no cells but for texts that hold little else. Of cells with the same
+members only one is kept. How many sets hold each of ``GROUPS`` groups is counted over all texts; the
 order needs no more than their logarithms (one byte each), so what is broadcast has a fixed size.
 
 Within a cell an R-tree is packed by the widest coordinates, and a pair of nodes is left when the summed
@@ -96,14 +95,12 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-(a + b) * percent // (100 + percent))
 
 
-def first_keys(s: np.ndarray, rarity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of a set: those of its first ``low`` shingles, and those of the others of its first ``reach``."""
+def first_keys(s: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
+    """The cells of a set: its first shingles in the common order."""
     n = len(s)
     place = (rarity[(s % np.uint64(GROUPS)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
-    low, reach = n - -(-2 * percent * n // (100 + percent)), n - -(-percent * n // 100)
-    by_place = np.partition(place, (low, reach))
     # Shingles of one place come together, so the order is the same for every set.
-    return s[place <= by_place[low]], s[(place > by_place[low]) & (place <= by_place[reach])]
+    return s[place <= np.partition(place, n - -(-percent * n // 100))[n - -(-percent * n // 100)]]
 
 
 def points(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,7 +112,7 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("h", T.BinaryType()), T.StructField("n_low", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("h", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def _signature(size: int, percent: int, rarity: Broadcast):
@@ -127,12 +124,11 @@ def _signature(size: int, percent: int, rarity: Broadcast):
         for h in words(text):
             s = distinct(windows(h, size))
             if len(s):
-                low, more = first_keys(s, own, percent)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(low), np.concatenate([low, more]).view(np.int64)))
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first_keys(s, own, percent).view(np.int64)))
             else:
-                rows.append((0, None, None, None))
-        n, prints, low, k = zip(*rows, strict=True) if rows else ((),) * 4
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(low, pa.int32()), pa.array(k, pa.list_(pa.int64()))], SIGNATURE.names)
+                rows.append((0, None, None))
+        n, prints, k = zip(*rows, strict=True) if rows else ((),) * 3
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(k, pa.list_(pa.int64()))], SIGNATURE.names)
 
     return signature
 
@@ -193,28 +189,38 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, split: int, scratc
     return scratch.table(both.mapInArrow(test, PAIR).distinct(), f"{name}_links")
 
 
-def unmet(keys: list[np.ndarray], n_low: np.ndarray, key: int, root: np.ndarray, side: np.ndarray, both: bool) -> np.ndarray:
-    """Which pairs of a cell's members are of different components (and sides, if ``both``) and share no smaller key.
+def beyond(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of a set of n don't make cells."""
+    return -(-percent * n // 100) - 1
 
-    A key counts for a pair if it is among the first ``low`` of one of the two; every link has such a key.
+
+def unmet(keys: list[np.ndarray], key: int, n: np.ndarray, root: np.ndarray, side: np.ndarray, percent: int, both: bool) -> np.ndarray:
+    """Which pairs of a cell's members are to be searched in it.
+
+    They are of different components (and sides, if ``both``), share no smaller key, and share so many
+    keys that with all other shingles of the one whose keys end later the overlap could be reached.
     """
-    n = len(keys)
-    here = np.array([bool((k[:low] == key).any()) for k, low in zip(keys, n_low, strict=True)])
-    out = (root[:, None] != root[None, :]) & (here[:, None] | here[None, :])
-    if both:
-        out &= side[:, None] != side[None, :]
-    flat, at = np.concatenate(keys), np.repeat(np.arange(n), [len(k) for k in keys])
-    more = np.concatenate([np.arange(len(k)) >= low for k, low in zip(keys, n_low, strict=True)])
-    smaller = flat < key
-    _, column, times = np.unique(flat[smaller], return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    at, more, column = at[smaller][shared], more[smaller][shared], np.unique(column[shared], return_inverse=True)[1]
-    for i in range(0, int(column.max(initial=-1)) + 1, 2048):
-        own = (column >= i) & (column < i + 2048)
-        held, rest = np.zeros((n, 2048), np.float32), np.zeros((n, 2048), np.float32)
+    rows, out = len(keys), np.zeros((len(keys), len(keys)), bool)
+    flat, at = np.concatenate(keys), np.repeat(np.arange(rows), [len(k) for k in keys])
+    values, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    smaller = int((values[shared] < key).sum())  # their columns come first
+    at, column = at[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    met, both_have, columns = np.zeros((rows, rows), bool), np.zeros((rows, rows), np.float32), int(shared.sum())
+    for i in range(0, columns, 1024):
+        own = (column >= i) & (column < i + 1024)
+        held = np.zeros((rows, min(1024, columns - i)), np.float32)
         held[at[own], column[own] - i] = 1
-        rest[at[own & more], column[own & more] - i] = 1
-        out &= held @ held.T - rest @ rest.T < 0.5
+        if i < smaller:
+            first = held[:, : smaller - i]
+            met |= first @ first.T > 0.5
+        both_have += held @ held.T
+    rest = beyond(n, percent)
+    for i in range(0, rows, 128):
+        x = slice(i, i + 128)
+        out[x] = (root[x, None] != root[None, :]) & ~met[x] & (both_have[x] + np.maximum(rest[x, None], rest[None, :]) >= needed(n[x, None], n[None, :], percent))
+        if both:
+            out[x] &= side[x, None] != side[None, :]
     return out
 
 
@@ -255,15 +261,22 @@ def tree_pairs(allowed: np.ndarray, side: np.ndarray, n: np.ndarray, p: np.ndarr
 
 def _open(members: DataFrame, roots: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(key, rid, root, k, shingles, center, center_root) of cells that hold more than one component."""
-    held = members.select("key", "rid", "n").join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").select("key", "rid", "n", F.coalesce("root", "rid").alias("root"))
+    held = members.select("key", "rid", "n", "weight").join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").select("key", "rid", "n", "weight", F.coalesce("root", "rid").alias("root"))
     mixed = held.groupBy("key").agg(F.min(F.struct("root", "rid")).alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("shingles")).where("lo.root <> hi")
     return scratch.table(held.join(mixed.select("key", "k", "shingles", F.col("lo.rid").alias("center"), F.col("lo.root").alias("center_root")), "key"), name)
 
 
-def _between(open_: DataFrame) -> DataFrame:
-    """One pair (a, b) per component: with the first member of the component it meets most often."""
-    votes = open_.where("root <> center_root").groupBy("root", "center_root").agg(F.count("*").alias("c"), F.min("rid").alias("a"), F.min("center").alias("b"))
-    return votes.groupBy("root").agg(F.max(F.struct("c", (-F.col("b")).alias("m"), "a")).alias("x")).select("x.a", (-F.col("x.m")).alias("b"))
+def _possible(votes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Of votes (a, b, c), those whose c shared keys allow a link: see ``unmet``."""
+    of = lambda x: _few(rows.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}")))
+    rest = lambda x: F.expr(f"({percent} * n{x} + 99) div 100 - 1")
+    return votes.join(of("a"), "a").join(of("b"), "b").where((F.col("c") + F.greatest(rest("a"), rest("b"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+
+
+def _between(open_: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """One pair (a, b) per component: the member and the first member of another component that share most keys."""
+    votes = open_.where("root <> center_root").groupBy(F.col("rid").alias("a"), F.col("center").alias("b"), "root").agg(F.sum("weight").alias("c"))
+    return _possible(votes, rows, percent).groupBy("root").agg(F.max(F.struct("c", (-F.col("b")).alias("m"), "a")).alias("x")).select("x.a", (-F.col("x.m")).alias("b"))
 
 
 def _chunks(k: str, shingles_: str, split: int):
@@ -283,14 +296,14 @@ def _residual(open_: DataFrame, keys: DataFrame, sets: DataFrame, rarity: Broadc
     # In a cell of several chunks a member goes to each pair of chunks that has its own.
     own = open_.select("key", "rid", "root", _chunks("k", "shingles", split).alias("chunks")).withColumn("mine", F.pmod(F.xxhash64("rid"), "chunks"))
     own = _few(own).join(keys, "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    own = own.select("key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), (F.col("mine") > F.col("other")).cast("long").alias("side"), "rid", "root", "n_low", "keys")
+    own = own.select("key", F.least("mine", "other").alias("c1"), F.greatest("mine", "other").alias("c2"), (F.col("mine") > F.col("other")).cast("long").alias("side"), "rid", "root", "n", "keys")
     own = own.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, c1, c2), cell in _runs(batches, 3):
-            root, side, low = (cell.column(c).to_numpy() for c in ("root", "side", "n_low"))
+            root, side, n = (cell.column(c).to_numpy() for c in ("root", "side", "n"))
             flat, ends = cell.column("keys").chunk(0).flatten().to_numpy(), np.concatenate([[0], np.cumsum(cell.column("keys").chunk(0).value_lengths().to_numpy())])
-            some = unmet([flat[ends[i] : ends[i + 1]] for i in range(len(root))], low, key, root, side, c1 != c2).any(axis=1)
+            some = unmet([flat[ends[i] : ends[i + 1]] for i in range(len(root))], key, n, root, side, percent, c1 != c2).any(axis=1)
             if some.any():
                 yield from cell.select(MEMBER.names).filter(pa.array(some)).to_batches()
 
@@ -303,8 +316,7 @@ def _residual(open_: DataFrame, keys: DataFrame, sets: DataFrame, rarity: Broadc
             ids, root, side = (cell.column(c).to_numpy() for c in ("rid", "root", "side"))
             s = [_array(x) for x in cell.column("s").to_pylist()]
             n = np.array([len(x) for x in s])
-            first = [first_keys(x, rare, percent) for x in s]
-            allowed = unmet([np.concatenate(x).view(np.int64) for x in first], np.array([len(x[0]) for x in first]), key, root, side, c1 != c2)
+            allowed = unmet([first_keys(x, rare, percent).view(np.int64) for x in s], key, n, root, side, percent, c1 != c2)
             parent: dict[int, int] = {}
             out = []
 
@@ -446,13 +458,15 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
     # The row with the smallest doc_id stands for its set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("f")
     nodes = scratch.table(full.where("h is not null").groupBy("h").agg(first, F.count("*").alias("n_equal")).select("h", "n_equal", "f.doc_id", "f.rid"), "distinct")
-    rows = scratch.table(full.drop("keys", "n_low"), "rows")
-    keyed = full.select("rid", "n", "n_low", "keys").join(_few(nodes.select("rid")), "rid")
-    cells = keyed.select("rid", "n", "n_low", F.posexplode("keys").alias("at", "key"))
-    # The center of a cell is the first of the members that have it among their first ``low``; without any, no link needs it.
-    far = 1 << 62
-    shared = cells.groupBy("key").agg(F.count("*").alias("k"), F.min(F.col("rid") + F.when(F.col("at") < F.col("n_low"), 0).otherwise(far)).alias("center")).where(f"k > 1 and center < {far}")
-    members = scratch.table(cells.select("key", "rid", "n").join(shared.select("key", "center"), "key"), "members")
+    rows = scratch.table(full.drop("keys"), "rows")
+    cells = full.select("rid", "n", "keys").join(_few(nodes.select("rid")), "rid").select("rid", "n", F.explode("keys").alias("key"))
+    shared = cells.groupBy("key").agg(F.count("*").alias("k"), F.min("rid").alias("center")).where("k > 1")
+    members = scratch.table(cells.join(shared, "key"), "all_members")
+    # Of cells with the same members (two prints of 64 bits), that of the smallest key stays, with the weight of all.
+    lists = members.groupBy("key", "k", "center").agg(F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), F.col("rid"))).alias("y"))
+    lists = lists.groupBy("k", "center", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight")
+    members = scratch.table(members.join(scratch.table(lists, "lists"), "key"), "members")
+    scratch.drop("all_members")
     # The sets of what shares a cell are kept; nothing else is compared.
     asked = rows.join(_few(scratch.table(members.select("rid").distinct(), "candidates")), "rid").select("rid", F.col("doc_id").alias("_id"), F.col("_f1").alias("_g1"), F.col("_f2").alias("_g2"))
     found = docs.join(_few(scratch.table(asked, "asked")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_f1") == F.col("_g1")) & (F.col("_f2") == F.col("_g2")))
@@ -461,20 +475,20 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
         found = found.dropDuplicates(["rid"])
     sets = scratch.table(found, "sets", "uncompressed")
     # First links: each member with the center it shares most cells with (the smaller on ties).
-    votes = members.where("rid <> center").groupBy("rid", "center").agg(F.count("*").alias("c"))
-    best = votes.groupBy("rid").agg(F.max(F.struct("c", (-F.col("center")).alias("m"))).alias("x")).select(F.col("rid").alias("a"), (-F.col("x.m")).alias("b"))
+    votes = members.where("rid <> center").groupBy(F.col("rid").alias("a"), F.col("center").alias("b")).agg(F.sum("weight").alias("c"))
+    best = _possible(votes, rows, percent).groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("m"))).alias("x")).select("a", (-F.col("x.m")).alias("b"))
     links = verified(best, sets, percent, split, scratch, "first")
     roots = scratch.table(labels(links), "roots0")
     open_ = _open(members, roots, scratch, "open0")
     for i in range(1, rounds + 1):
-        more = verified(_between(open_), sets, percent, split, scratch, f"round{i}")
-        if not more.limit(1).count():
-            break
+        more = verified(_between(open_, rows, percent), sets, percent, split, scratch, f"round{i}")
         links = links.union(more)
+        if more.count() * 50 <= roots.count():  # too few; the trees find what is left
+            break
         roots = scratch.table(labels(links), f"roots{i}")
         scratch.drop(f"open{i - 1}")
         open_ = _open(members, roots, scratch, f"open{i}")
-    links = links.union(scratch.table(_residual(open_, full.select("rid", "n_low", "keys"), sets, rarity, percent, split, scratch), "rest"))
+    links = links.union(scratch.table(_residual(open_, full.select("rid", "n", "keys"), sets, rarity, percent, split, scratch), "rest"))
     roots = scratch.table(components(links, scratch, "all"), "roots")
     held = nodes.join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").where("root is not null or n_equal > 1").withColumn("root", F.coalesce("root", "rid"))
     own = ["h", "root", "component_id", "n_equal"]

@@ -304,8 +304,9 @@ def test_linked_sets_share_a_cell_and_pass_the_bound(n, seed, gone, new, percent
     link = 100 * common >= percent * (len(a) + len(b) - common)
     assert jaccard_join.linked(a, b, percent) == link
     if link:
-        (low, more), (low2, more2) = ([set(x.tolist()) for x in jaccard_join.first_keys(s, RARITY, percent)] for s in (a, b))
-        assert low & low2 or low & more2 or more & low2
+        keys = [jaccard_join.first_keys(x, RARITY, percent).view(np.int64) for x in (a, b)]
+        first = int(np.intersect1d(*keys)[0])
+        assert jaccard_join.unmet(keys, first, np.array([len(a), len(b)]), np.array([0, 1]), np.zeros(2), percent, False).tolist() == [[False, True], [True, False]]
         p, q = jaccard_join.points([a, b])
         assert np.minimum(p, q).sum() >= common >= jaccard_join.needed(len(a), len(b), percent)
 
@@ -313,19 +314,16 @@ def test_linked_sets_share_a_cell_and_pass_the_bound(n, seed, gone, new, percent
 @pytest.mark.parametrize("both", (False, True))
 def test_pairs_meet_once(both):
     rng = np.random.default_rng(6)
-    n, low = 70, rng.integers(1, 6, 70)
-    keys = [rng.permutation(40)[: x + rng.integers(0, 6)] for x in low]
+    n = 70
+    keys = [rng.permutation(40)[: rng.integers(1, 12)] for _ in range(n)]
     root, side = rng.integers(0, 50, n), rng.integers(0, 2, n)
     met = np.zeros((n, n), int)
     for key in range(40):
         rows = np.array([i for i in range(n) if key in keys[i]])
         if len(rows):
-            ok = jaccard_join.unmet([keys[i] for i in rows], low[rows], key, root[rows], side[rows], both)
-            met[np.ix_(rows, rows)] += ok
+            met[np.ix_(rows, rows)] += jaccard_join.unmet([keys[i] for i in rows], key, np.ones(len(rows), int), root[rows], side[rows], 50, both)
     for i, j in itertools.product(range(n), range(n)):
-        a, b = set(keys[i].tolist()), set(keys[j].tolist())
-        share = {k for k in a & b if k in keys[i][: low[i]] or k in keys[j][: low[j]]}
-        assert met[i, j] == (bool(share) and root[i] != root[j] and (side[i] != side[j] or not both))
+        assert met[i, j] == (bool(set(keys[i].tolist()) & set(keys[j].tolist())) and root[i] != root[j] and (side[i] != side[j] or not both))
 
 
 @pytest.mark.parametrize("both", (False, True))
