@@ -5,7 +5,7 @@ per record, starting a new file once the current one has reached ``file_bytes``
 and digests (SHA-1 of payload and block) are made anew. A payload of at least ``revisit_bytes`` bytes
 is stored once, with its largest page_id; other records of it are revisits of that record.
 
-The range bounds come from the page_ids with the smallest hashes, so the same pages give the same
+The range bounds come from the page_ids with the smallest hashes (``per_shard`` for each range), so the same pages give the same
 files byte for byte, whatever the cluster does. A task writes under temporary names and renames its
 files when a range is complete; the manifest (one row per file: shard, file, records, bytes, digest)
 is a table whose job commit makes the archive valid. Files that it doesn't name don't count.
@@ -103,49 +103,61 @@ class _Files:
         return [tuple(row[:5]) for row in self.done]
 
 
-def _bounds(pages: DataFrame, shards: int) -> np.ndarray:
-    """Upper page_ids of the ranges, from the ``64 * shards`` ids with the smallest hashes (at most 262,144)."""
+def _bounds(pages: DataFrame, shards: int, per_shard: int) -> np.ndarray:
+    """Upper page_ids of the ranges, from the ``per_shard * shards`` ids with the smallest hashes."""
     if shards == 1:
         return np.zeros(0, np.int64)
-    ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(64 * shards)
-    ids = np.sort(ids.toPandas()["page_id"].to_numpy(np.int64))
+    ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(per_shard * shards)
+    ids = np.sort(ids.toArrow()["page_id"].to_numpy())
     return np.unique(ids[(np.arange(1, shards) * len(ids)) // shards]) if len(ids) else np.zeros(0, np.int64)
 
 
-def write_archives(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, file_bytes: int = 32 << 20, revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", level: int = 6, most_shards: int = 4096) -> DataFrame:
-    """Write the archive of ``pages`` (page_id, url, html) below ``out``; the manifest, read back."""
+def write_archives(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, file_bytes: int = 32 << 20, revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", level: int = 6, per_shard: int = 64) -> DataFrame:
+    """Write the archive of ``pages`` (page_id, url, html) below ``out``; the manifest, read back.
+
+    A range is a task of about ``shard_bytes`` of payload; the driver reads ``per_shard`` ids for each (at
+    64 MB a shard, 8 MB of ids for a terabyte of payload).
+    """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
     with Scratch(spark, "warc") as scratch:
-        # One row per payload that occurs again: written, so its size is known before Spark picks the join.
-        large = F.col("size") >= revisit_bytes
-        shared = scratch.table(rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"), F.max("size").alias("size")).where("n > 1").drop("n", "size"), "shared")
-        total = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-        shards = max(1, min(most_shards, math.ceil(total / shard_bytes)))
-        bounds = spark.sparkContext.broadcast(_bounds(pages, shards))
+        # What is a revisit is decided on ids, digests and sizes alone; payloads move once, to their shard.
+        ids = scratch.table(rows.select("page_id", "digest", "size"), "digests")
+        large = ids.where(F.col("size") >= revisit_bytes)
+        shared = large.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
+        revisits = large.join(shared, "digest").where(F.coalesce("page_id", F.lit(-(1 << 63))) < F.col("first_id")).select("page_id", "digest", "first_id").distinct()
+        total = ids.agg(F.sum("size")).first()[0] or 0
+        shards = max(1, math.ceil(total / shard_bytes))
+        bounds = spark.sparkContext.broadcast(_bounds(ids, shards, per_shard))
 
         @F.pandas_udf(T.IntegerType())
         def shard_of(ids: pd.Series) -> pd.Series:
             lowest = np.iinfo(np.int64).min
             return pd.Series(np.searchsorted(bounds.value, ids.astype("Int64").fillna(lowest).to_numpy(np.int64), side="right").astype(np.int32))
 
-        placed = rows.join(shared, "digest", "left").withColumn("refers_to", F.when((F.col("size") >= revisit_bytes) & (F.coalesce("page_id", F.lit(-(1 << 63))) < F.col("first_id")), F.col("first_id")))
-        placed = placed.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).select("page_id", "url", "payload", "size", "digest", "refers_to", shard_of("page_id").alias("shard"))
-        placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("url").asc_nulls_first())
+        # A revisit's mark goes to its shard as a row before the records of that page and payload.
+        none = lambda kind: F.lit(None).cast(kind)
+        marks = revisits.select("page_id", none("string").alias("url"), none("binary").alias("payload"), none("long").alias("size"), "digest", F.col("first_id").alias("refers_to"))
+        placed = marks.union(rows.select("page_id", "url", "payload", "size", "digest", none("long").alias("refers_to"))).withColumn("shard", shard_of("page_id"))
+        placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("size").asc_nulls_first(), F.col("url").asc_nulls_first())
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            files, last, again = None, None, 0
+            files, last, again, mark = None, None, 0, (None, None, None)
             for batch in batches:
                 done = []
                 for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "size", "digest", "refers_to")), strict=True):
                     shard, page_id = row[0], row[1]
                     if files is None or files.shard != shard:
                         done += files.commit() if files else []
-                        files, last = _Files(out, shard, file_bytes, date, level), ()
+                        files, last, mark = _Files(out, shard, file_bytes, date, level), (), (None, None, None)
+                    if row[4] is None:
+                        mark = (page_id, row[5], row[6])
+                        continue
+                    refers_to = mark[2] if mark[:2] == (page_id, row[5]) else None
                     again = again + 1 if last == (page_id,) else 0
                     last = (page_id,)
-                    files.add(record(page_id, again, row[2], row[3], row[4], row[5], row[6], date, level))
+                    files.add(record(page_id, again, row[2], row[3], row[4], row[5], refers_to, date, level))
                 if done:
                     yield _manifest(done)
             if files:
@@ -218,7 +230,7 @@ def read_archives(spark: SparkSession, out: str, with_payload: bool = True) -> D
                 if rows:
                     yield _frame(rows, schema)
 
-    return manifest.repartition("file").mapInPandas(read, schema)
+    return manifest.repartition(max(1, manifest.count()), "file").mapInPandas(read, schema)
 
 
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
