@@ -5,10 +5,10 @@ whole item and its question (of a question of fewer than five words, the answer
 way in which the verdict can be reached. A document's query is the set of all its words, so it makes
 no difference where in the document, in how many pieces or how far apart an item's words lie.
 
-WAND: units are ordered by threshold and dealt into ``blocks`` blocks. Per term and block the largest
-impact is kept, and a block is left for a document when the sum of these over the document's words
-can't reach the block's lowest threshold. Only units of the blocks that remain are scored from their
-postings. A unit's threshold is its own BM25 score less its heaviest words that may be missing while
+WAND: units are ordered by threshold and dealt into blocks of ``block`` units. Per term and block the
+largest impact is kept, and a block is left for a document when the sum of these over the document's
+words can't reach the block's lowest threshold. Only units of the blocks that remain are scored from
+their postings. A unit's threshold is its own BM25 score less its heaviest words that may be missing while
 80 % of its distinct shingles are there (a missing word takes at least one shingle of its own with it),
 so retrieval loses no unit of which a document has 80 % of the shingles.
 
@@ -22,8 +22,9 @@ whose shorter question is there as a sequence. An answer alone is no hit: it may
 ``score`` and ``word_offset`` of a hit are those of the passage (``passage`` words, every ``stride``
 words) with the highest BM25 score for any of the item's units, the first one on ties.
 
-The index is broadcast only up to ``index_bytes`` of item text; a larger benchmark is dealt into
-several indexes of that size by hash, and documents are queried against one after another.
+Equal item texts are indexed once; their ids are joined to the hits. The index is broadcast only up to
+``index_bytes`` of item text; a larger benchmark is dealt into several indexes of that size by hash, and
+documents are queried against one after another.
 
 Defined results: null and empty texts match nothing, nor do items without words. Repeated items and
 documents each give their rows. An empty benchmark or table gives no rows. Words are compared in
@@ -52,7 +53,7 @@ SHINGLE = 5
 class Settings(NamedTuple):
     passage: int = 64
     stride: int = 16
-    blocks: int = 32
+    block: int = 96
     k1: float = 1.2
     b: float = 0.75
     overlap: float = 0.8
@@ -73,7 +74,9 @@ class Item(NamedTuple):
 class Index(NamedTuple):
     settings: Settings
     terms: dict[bytes, int]
-    most: np.ndarray  # (terms + 1, blocks): the largest impact of a term in a block; the last row is for other words
+    block_starts: np.ndarray  # of each term's blocks
+    blocks: np.ndarray  # block and the largest impact of the term there, by term, then block
+    most: np.ndarray
     block_thresholds: np.ndarray
     starts: np.ndarray  # of each term's postings
     units: np.ndarray  # postings: unit and impact, by term, then unit
@@ -115,7 +118,7 @@ def build(ids: list[int | None], bodies: list[bytes], settings: Settings) -> Ind
             counts[t] = counts.get(t, 0) + 1
         rows += [(t, u, n) for t, n in counts.items()]
     if not rows:
-        return Index(s, terms, np.zeros((1, 0), np.float32), *(np.zeros(0),) * 6, items)
+        return Index(s, terms, *(np.zeros(0),) * 9, items)
     t, u, n = np.array(rows, np.int64).T
     df = np.bincount(t).astype(np.float64)
     idf = np.log1p((len(units) - df + 0.5) / (df + 0.5))
@@ -129,10 +132,10 @@ def build(ids: list[int | None], bodies: list[bytes], settings: Settings) -> Ind
     thresholds, owners = thresholds[order], np.array(owners, np.int64)[order]
     by_term = np.lexsort((u, t))
     t, u, impact = t[by_term], u[by_term], impact[by_term]
-    size = -(-len(units) // s.blocks)
-    most = np.zeros((len(terms) + 1, -(-len(units) // size)))
-    np.maximum.at(most, (t, u // size), impact)
-    return Index(s, terms, most.astype(np.float32) * np.float32(1 + 1e-5), thresholds[::size], np.searchsorted(t, np.arange(len(terms) + 1)), u, impact, thresholds, owners, items)
+    pair, places = np.unique(t * len(units) + u // s.block, return_index=True)
+    most = np.maximum.reduceat(impact, places) * (1 + 1e-9)
+    ends = np.arange(len(terms) + 1)
+    return Index(s, terms, np.searchsorted(pair // len(units), ends), pair % len(units), most, thresholds[:: s.block], np.searchsorted(t, ends), u, impact, thresholds, owners, items)
 
 
 def _numbers(index: Index, words: list[bytes]) -> np.ndarray:
@@ -140,12 +143,17 @@ def _numbers(index: Index, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(index.terms.get, words, repeat(len(index.terms))), np.int64, len(words))
 
 
-def _scores(index: Index, query: np.ndarray, blocks: np.ndarray | None = None) -> np.ndarray:
-    """BM25 of every unit (of ``blocks``; others 0) for distinct terms."""
-    lo, n = index.starts[query], index.starts[query + 1] - index.starts[query]
-    k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    if blocks is not None:
-        k = k[blocks[index.units[k] // -(-len(index.thresholds) // index.settings.blocks)]]
+def _entries(starts: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The places of all entries of some terms."""
+    lo, n = starts[query], starts[query + 1] - starts[query]
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
+def _scores(index: Index, query: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
+    """BM25 of every unit (of the blocks ``alive``; others 0) for distinct terms."""
+    k = _entries(index.starts, query)
+    if alive is not None:
+        k = k[alive[index.units[k] // index.settings.block]]
     return np.bincount(index.units[k], index.impacts[k], len(index.thresholds))
 
 
@@ -155,7 +163,8 @@ def retrieve(index: Index, t: np.ndarray) -> list[int]:
     query = query[query < len(index.terms)]
     if not len(query):
         return []
-    alive = index.most[query].sum(axis=0, dtype=np.float64) >= index.block_thresholds
+    k = _entries(index.block_starts, query)
+    alive = np.bincount(index.blocks[k], index.most[k], len(index.block_thresholds)) >= index.block_thresholds
     if not alive.any():
         return []
     scores = _scores(index, query, None if alive.all() else alive)
@@ -218,15 +227,20 @@ def matcher(spark, index: Index):
     return hits
 
 
+def _texts_of(benchmark: DataFrame) -> DataFrame:
+    """item_id, text and a number for each distinct text."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_id", F.xxhash64("text"))
+
+
 def indexes(benchmark: DataFrame, settings: Settings):
-    """The indexes of a benchmark, each over at most about ``index_bytes`` of text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """The indexes of a benchmark's distinct texts, each over at most about ``index_bytes`` of them."""
+    items = _texts_of(benchmark).select("text_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, math.ceil(total / settings.index_bytes))
     for i in range(n):
-        own = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        rows = own.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        index = build(rows["item_id"].to_pylist(), texts(rows["text"].combine_chunks()), settings)
+        own = items if n == 1 else items.where(F.pmod("text_id", F.lit(n)) == i)
+        rows = own.toArrow().sort_by([("text_id", "ascending"), ("text", "ascending")])
+        index = build(rows["text_id"].to_pylist(), texts(rows["text"].combine_chunks()), settings)
         if index.items:
             yield index
 
@@ -238,7 +252,8 @@ def find(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settin
     for index in indexes(benchmark, settings):
         hits = matcher(spark, index)
         out = out.union(docs.select("doc_id", F.explode(hits("text")).alias("h")).select("doc_id", "h.*"))
-    return out
+    items = _texts_of(benchmark).select("text_id", F.col("item_id").alias("_item"))
+    return out.withColumnRenamed("item_id", "text_id").join(items, "text_id").select("doc_id", F.col("_item").alias("item_id"), *HIT.names[1:])
 
 
 def filter_documents(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
