@@ -185,6 +185,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 
 
@@ -206,8 +208,8 @@ class HashedWords:
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(_BASE, -k, 1 << 64))])
         return self.up[:n], self.down[:n]
 
-    def _words(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, where they start); no word crosses one of ``edges``."""
+    def _words(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, first and last bytes); no word crosses one of ``edges``."""
         space = _SPACE[raw]
         before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
         before[1:], after[:-1] = space[:-1], space[1:]
@@ -217,33 +219,55 @@ class HashedWords:
         up, down = self._powers(len(raw))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_LETTER[raw] * up, out=sums[1:])
-        return mix((sums[last + 1] - sums[first]) * down[first]), first
+        return mix((sums[last + 1] - sums[first]) * down[first]), first, last
 
     def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The hashes of the words of each text of a column without nulls, in order."""
+        for h, _, _ in self.spans(column):
+            yield h
+
+    def spans(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hashes, first and last bytes of the words of each text; the places are those in ``raw``, which this sets."""
         column = column.cast(pa.large_binary())
         ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        raw = self.raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
         i = 0
         while i < len(column):
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + self.piece, side="right")) - 1)
             lo, hi = int(ends[i]), int(ends[j])
             if j == i + 1 and hi - lo > self.piece:
-                yield self._long(raw[lo:hi])
+                yield self._long(raw, lo, hi)
             else:
-                h, first = self._words(raw[lo:hi], ends[i:j] - lo)
+                h, first, last = self._words(raw[lo:hi], ends[i:j] - lo)
                 cuts = np.searchsorted(first, ends[i : j + 1] - lo)
-                for k in range(j - i):
-                    yield h[cuts[k] : cuts[k + 1]]
+                first, last = first + lo, last + lo
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    yield h[a:b], first[a:b], last[a:b]
             i = j
 
-    def _long(self, raw: np.ndarray) -> np.ndarray:
+    def _long(self, raw: np.ndarray, lo: int, end: int) -> tuple[np.ndarray, ...]:
         out, none = [], np.empty(0, np.int64)
-        lo = 0
-        while lo < len(raw):
-            hi = lo + self.piece
-            while hi < len(raw) and not _SPACE[raw[hi]]:
+        while lo < end:
+            hi = min(end, lo + self.piece)
+            while hi < end and not _SPACE[raw[hi]]:
                 hi += 1
-            out.append(self._words(raw[lo:hi], none)[0])
+            h, first, last = self._words(raw[lo:hi], none)
+            out.append((h, first + lo, last + lo))
             lo = hi
-        return np.concatenate(out)
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+    def endings(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A number for the last three bytes of each word (fewer: all), lower-cased, and how many they are."""
+        n = np.minimum(last - first + 1, 3)
+        out = n << 24
+        for i in range(3):
+            out |= np.where(n > i, _LOWER[self.raw[np.maximum(last - i, first)]].astype(np.int64) << 8 * i, 0)
+        return out
+
+
+def hashes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, endings) of words, as ``HashedWords`` has them."""
+    own = HashedWords()
+    parts = list(own.spans(pa.array(words, pa.binary())))
+    h, first, last = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 2)
+    return h, own.endings(first, last)

@@ -33,12 +33,45 @@ def test_brown_base_is_exact_with_a_small_head(spark):
     assert all(math.isfinite(r["score"]) and r["score"] <= 1e-9 for r in got)
 
 
-def test_brown_is_a_distribution_and_beats_the_base(spark):
-    got = brown_lm.score(frame(spark), fold("doc_id", 10) == 0, SMALL).toPandas()
-    assert got["score"].sum() > got["base_score"].sum()
-    rng = np.random.default_rng(0)
-    right = rng.integers(0, 9, (30, 5)).astype(float)
-    assert brown_lm.likelihood(brown_lm.bigrams(right, np.arange(30) % 5)) <= 0
+def test_brown_score_equals_brute_force_and_sums_to_one(spark):
+    """Scores from the classes alone: class pairs and words are counted anew here, and every distribution sums to 1."""
+    rows = odd_rows()
+    train = [r for r in rows if remainder(r[0], 10)]
+    docs = frame(spark).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    with brown_lm.Scratch(spark, "brown-test") as scratch:
+        model, _ = brown_lm.fit(docs.where(fold("doc_id", 10) != 0), SMALL, scratch)
+    other = len(model.head) + len(model.forms)
+
+    def cls(w):
+        return 0 if w == b"" else int(model.cls[model.head.get(w, model.forms.get(w[-3:], other))])
+
+    pairs, count, k = np.zeros((SMALL.classes,) * 2), collections.Counter(), SMALL.classes
+    for r in train:
+        w = [b"", *words(r[1]), b""]
+        count.update(w[1:])
+        for a, b in zip(w, w[1:], strict=False):
+            pairs[cls(a), cls(b)] += 1
+    prior = (pairs.sum(axis=0) + 1) / (pairs.sum() + k)
+    move = (pairs + SMALL.mu * prior) / (pairs.sum(axis=1, keepdims=True) + SMALL.mu)
+    n_c, v_c = np.zeros(k), np.zeros(k)
+    for w, n in count.items():
+        n_c[cls(w)] += n
+        v_c[cls(w)] += 1
+    emit = lambda w: (count[w] + 0.1) / (n_c[cls(w)] + 0.1 * (v_c[cls(w)] + 1))
+    assert np.allclose(move.sum(axis=1), 1) and np.allclose(10**model.transition, move)
+    for c in range(k):
+        assert math.isclose(sum(emit(w) for w in count if cls(w) == c) + 0.1 / (n_c[c] + 0.1 * (v_c[c] + 1)), 1)
+    got = brown_lm.score(frame(spark), fold("doc_id", 10) == 0, SMALL)
+    want = []
+    for r in rows:
+        w = [b"", *words(r[1]), b""]
+        want.append((r[0], round(sum(math.log10(move[cls(a), cls(b)] * emit(b)) for a, b in zip(w, w[1:], strict=False)), 4)))
+    assert by_row((r["doc_id"], round(r["score"], 4)) for r in got.collect()) == by_row(want)
+    frame_ = got.toPandas()
+    assert np.allclose(frame_["perplexity"], 10 ** (-frame_["score"] / frame_["n_tokens"])) and frame_["score"].sum() > frame_["base_score"].sum()
+    held = frame_[frame_["held_out"]]
+    both = {r["held_out"]: r for r in brown_lm.perplexity(got).collect()}
+    assert math.isclose(both[True]["perplexity"], 10 ** (-held["score"].sum() / held["n_tokens"].sum()))
 
 
 def test_exchange_gains_are_exact():
