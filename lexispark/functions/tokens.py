@@ -88,16 +88,37 @@ class TokenFilter:
         return out
 
 
+    def passes(self, token: Column) -> Column:
+        """Whether no test fails; cheap tests first."""
+        low, out = F.lower(token), F.length(token) >= self.min_length
+        if self.nonalpha:
+            out &= ~token.rlike("[^a-zA-Z]")  # digits are no letters, so this covers numerals
+        elif self.numerals:
+            out &= ~token.rlike("[0-9]")
+        if self.stops:
+            out &= ~low.isin(list(self.stops))
+        return out if self.vocabulary is None else out & low.isin(list(self.vocabulary))
+
+
+def marked(toks: Column, spec: TokenFilter) -> Column:
+    """The tokens, null where one fails."""
+    return F.transform(toks, lambda t: F.when(spec.passes(t), t))
+
+
+def survivors(marks: Column, min_tokens: int = 2, unk: str | None = None, count_unk: bool = True) -> Column:
+    """The n-gram that ``marked`` tokens leave, or null for one that is dropped; see ``filtered``."""
+    passed = F.size(F.array_compact(marks))
+    counted = F.size(marks) if unk is not None and count_unk else passed
+    return F.when((counted >= min_tokens) & (passed > 0), F.array_join(marks, " ", unk) if unk is not None else F.array_join(marks, " "))
+
+
 def filtered(toks: Column, spec: TokenFilter, min_tokens: int = 2, unk: str | None = None, count_unk: bool = True) -> Column:
     """Surviving tokens joined by blanks, or null for an n-gram that is dropped.
 
     Failing tokens are removed, or replaced by ``unk`` if given. An n-gram is dropped with fewer than
     ``min_tokens`` tokens (``count_unk``: markers count) or with nothing but markers.
     """
-    passed = F.filter(toks, lambda t: spec.reason(t).isNull())
-    out = passed if unk is None else F.transform(toks, lambda t: F.when(spec.reason(t).isNull(), t).otherwise(F.lit(unk)))
-    counted = out if count_unk else passed
-    return F.when((F.size(counted) >= min_tokens) & (F.size(passed) > 0), F.array_join(out, " "))
+    return survivors(marked(toks, spec), min_tokens, unk, count_unk)
 
 
 def normalised_key(ngram: Column, lower=False, alpha=False, shorts: int = 0, stops: tuple[str, ...] = (), lemmas: dict[tuple[str, str], str] | None = None, unk: str = "<UNK>") -> Column:

@@ -108,18 +108,23 @@ def lemmatise(toks: DataFrame, lemmas: DataFrame, default_pos: str | None = "n")
     return joined.withColumn("word", F.coalesce("lemma", "word")).drop("_pos", "_surface", "_lpos", "lemma", "pos")
 
 
+def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a column that is computed once, however often it is used: generators aren't merged with what follows."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def filter_counts(ngrams: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2) -> DataFrame:
     """One row: tokens dropped for each reason, and n-grams dropped."""
-    toks = tk.tokens(F.col("ngram"))
-    reasons = F.transform(toks, lambda t: spec.reason(t))
+    out = _once(ngrams.select("ngram"), "reasons", F.transform(tk.tokens(F.col("ngram")), spec.reason))
     hits = lambda name: F.sum(F.size(F.filter("reasons", lambda r: r == name))).cast("long").alias(f"dropped_{name}")
-    out = ngrams.select(reasons.alias("reasons"), tk.filtered(toks, spec, min_tokens).alias("kept"))
-    return out.agg(*(hits(n) for n in ("stop", "short", "numeral", "nonalpha", "vocab")), F.count_if(F.col("kept").isNull()).alias("dropped_ngrams"))
+    passed = F.size(F.filter("reasons", lambda r: r.isNull()))
+    return out.agg(*(hits(n) for n in ("stop", "short", "numeral", "nonalpha", "vocab")), F.count_if((passed < min_tokens) | (passed == 0)).alias("dropped_ngrams"))
 
 
 def filter_ngrams(corpus: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2, unk: str | None = None, count_unk: bool = True) -> DataFrame:
     """The corpus with filtered n-grams, consolidated."""
-    return consolidate(corpus.withColumn("ngram", tk.filtered(tk.tokens(F.col("ngram")), spec, min_tokens, unk, count_unk)).where("ngram is not null"))
+    out = _once(corpus, "_marks", tk.marked(tk.tokens(F.col("ngram")), spec))
+    return consolidate(_once(out, "_kept", tk.survivors(F.col("_marks"), min_tokens, unk, count_unk)).where("_kept is not null").withColumn("ngram", F.col("_kept")))
 
 
 def fused(lines: DataFrame, kind: str, spec: tk.TokenFilter, min_tokens: int = 1, lower: bool = True, unk: str | None = None) -> DataFrame:
@@ -127,8 +132,9 @@ def fused(lines: DataFrame, kind: str, spec: tk.TokenFilter, min_tokens: int = 1
     own = parse_tolerant(lines, kind)
     toks = F.transform(tk.tokens(F.col("ngram")), lambda t: tk.split_known_tag(t)["word"])
     toks = F.transform(toks, F.lower) if lower else toks
-    out = own.withColumn("ngram", tk.filtered(toks, spec, min_tokens, unk, count_unk=False)).where("ngram is not null")
-    return consolidate(to_long(out))
+    out = _once(own, "_marks", tk.marked(toks, spec))
+    out = _once(out, "_kept", tk.survivors(F.col("_marks"), min_tokens, unk, count_unk=False)).where("_kept is not null")
+    return consolidate(to_long(out, "_kept"))
 
 
 def yearly(corpus: DataFrame, path: str | None = None) -> DataFrame:

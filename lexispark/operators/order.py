@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,10 +54,37 @@ def first_per_group(df: DataFrame, group: list[str], order: list, n: int) -> Dat
 
 
 def is_sorted(df: DataFrame, key: str, position: str, descending: bool = False, by: list[str] | None = None) -> DataFrame:
-    """Whether ``key`` is in order along ``position`` (within ``by``); a missing key makes it false."""
-    before = F.lag(key).over(Window.partitionBy(*(by or [])).orderBy(position))
-    out = df.withColumn("_bad", F.col(key).isNull() | ((before < F.col(key)) if descending else (before > F.col(key))))
-    return out.groupBy(*(by or [])).agg((F.count_if("_bad") == 0).alias("is_sorted"))
+    """Whether ``key`` is in order along ``position`` (within ``by``); a missing key makes it false.
+
+    Without ``by`` the table is cut into ranges of the position: neighbours are compared inside a range,
+    and only the edges of the ranges meet in one task.
+    """
+    if by:
+        before = F.lag(key).over(Window.partitionBy(*by).orderBy(position))
+        out = df.withColumn("_bad", F.col(key).isNull() | ((before < F.col(key)) if descending else (before > F.col(key))))
+        return out.groupBy(*by).agg((F.count_if("_bad") == 0).alias("is_sorted"))
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(position).alias("position"), F.col(key).alias("key")).repartitionByRange("position").sortWithinPartitions("position")
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        bad, part = False, TaskContext.get().partitionId()
+        for batch in batches:
+            keys = batch.column("key")
+            if not len(keys):
+                continue
+            bad |= keys.null_count > 0
+            now = keys if last is None else pa.concat_arrays([pa.array([last], keys.type), keys])
+            a, b = now.slice(0, len(now) - 1), now.slice(1)
+            bad |= bool(pc.any(pc.less(a, b) if descending else pc.greater(a, b)).as_py())
+            first, last = keys[0].as_py() if first is None else first, keys[-1].as_py()
+        if first is not None or bad:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bad]), pa.array([first], keys.type), pa.array([last], keys.type)], ["part", "bad", "first", "last"])
+
+    ends = rows.mapInArrow(edges, f"part int, bad boolean, first {kind}, last {kind}")  # one row per range
+    before = F.lag("last").over(Window.orderBy("part"))
+    wrong = F.col("bad") | F.coalesce((before < F.col("first")) if descending else (before > F.col("first")), F.lit(False))
+    return ends.select(wrong.alias("wrong")).agg((F.count_if("wrong") == 0).alias("is_sorted"))
 
 
 def prefix_histogram(ngrams: DataFrame, depth: int) -> DataFrame:

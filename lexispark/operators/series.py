@@ -24,19 +24,25 @@ def interpolate(series: DataFrame, start: int, end: int, by: list[str] | None =
     return out.select(*by, "year", value.alias("value")).where((F.col("year") >= start) & (F.col("year") <= end))
 
 
-def chunk_mean(series: DataFrame, n: int) -> DataFrame:
+def _by(by: list[str] | None):
+    """The window of one series; without ``by`` there is only one, and it is short."""
+    return Window.partitionBy(*(by or []))
+
+
+def chunk_mean(series: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
     """Means of n neighbouring rows by position: (centre, value); NaN and null values don't count."""
-    rows = series.withColumn("k", F.floor((F.row_number().over(Window.orderBy("year")) - 1) / n))
-    return rows.groupBy("k").agg(F.avg("year").alias("centre"), F.avg(F.nanvl("value", F.lit(None).cast("double"))).alias("value")).drop("k")
+    rows = series.withColumn("k", F.floor((F.row_number().over(_by(by).orderBy("year")) - 1) / n))
+    return rows.groupBy(*(by or []), "k").agg(F.avg("year").alias("centre"), F.avg(F.nanvl("value", F.lit(None).cast("double"))).alias("value")).drop("k")
 
 
-def _kernel(series: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
+def _kernel(series: DataFrame, weights: list[tuple[int, float]], by: list[str] | None = None) -> DataFrame:
     """Weighted sums of neighbours by position, with the series reflected at both ends (d c b a | a b c d | d c b a)."""
-    pos = series.select("year", "value", (F.row_number().over(Window.orderBy("year")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
+    by = by or []
+    pos = series.select(*by, "year", "value", (F.row_number().over(_by(by).orderBy("year")) - 1).alias("i"), F.count("*").over(_by(by)).alias("n"))
     reach = pos.withColumn("w", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(c)).alias("c")) for k, c in weights))))
     at = F.pmod(F.col("i") + F.col("w.k"), 2 * F.col("n"))
-    reach = reach.select("year", "w.c", F.when(at < F.col("n"), at).otherwise(2 * F.col("n") - 1 - at).alias("j"))
-    return reach.join(pos.select(F.col("i").alias("j"), F.col("value").alias("v")), "j").groupBy("year").agg(F.sum(F.col("c") * F.col("v")).alias("value"))
+    reach = reach.select(*by, "year", "w.c", F.when(at < F.col("n"), at).otherwise(2 * F.col("n") - 1 - at).alias("j"))
+    return reach.join(pos.select(*by, F.col("i").alias("j"), F.col("value").alias("v")), [*by, "j"]).groupBy(*by, "year").agg(F.sum(F.col("c") * F.col("v")).alias("value"))
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
@@ -45,8 +51,8 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[tuple[int, flo
     return [(k, x / sum(w)) for k, x in zip(range(-r, r + 1), w, strict=True)]
 
 
-def gaussian(series: DataFrame, sigma: float = 2.0) -> DataFrame:
-    return _kernel(series, gaussian_weights(sigma))
+def gaussian(series: DataFrame, sigma: float = 2.0, by: list[str] | None = None) -> DataFrame:
+    return _kernel(series, gaussian_weights(sigma), by)
 
 
 def savgol_weights(window: int = 11, order: int = 3, derivative: int = 1) -> list[list[float]]:
@@ -63,16 +69,16 @@ def savgol_weights(window: int = 11, order: int = 3, derivative: int = 1) -> lis
     return out
 
 
-def savgol_derivative(series: DataFrame, window: int = 11, order: int = 3) -> DataFrame:
+def savgol_derivative(series: DataFrame, window: int = 11, order: int = 3, by: list[str] | None = None) -> DataFrame:
     """First derivative by local polynomials; at the ends the polynomial of the first or last window. Needs ``window`` rows."""
-    half, rows = window // 2, savgol_weights(window, order)
-    every = Window.partitionBy()
-    pos = series.select("year", "value", (F.row_number().over(Window.orderBy("year")) - 1).alias("i"), F.count("*").over(every).alias("n"), ((F.max("year").over(every) - F.min("year").over(every)) / (F.count("*").over(every) - 1)).alias("step"))
+    half, rows, by = window // 2, savgol_weights(window, order), by or []
+    every = _by(by)
+    pos = series.select(*by, "year", "value", (F.row_number().over(every.orderBy("year")) - 1).alias("i"), F.count("*").over(every).alias("n"), ((F.max("year").over(every) - F.min("year").over(every)) / (F.count("*").over(every) - 1)).alias("step"))
     begin = F.greatest(F.lit(0), F.least(F.col("i") - half, F.col("n") - window))
     table = F.array(*(F.array(*map(F.lit, r)) for r in rows))
     reach = pos.where(F.col("n") >= window).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).withColumn("b", begin)
-    reach = reach.select("year", "step", (F.col("b") + F.col("k")).alias("j"), F.get(F.get(table, (F.col("i") - F.col("b")).cast("int")), F.col("k")).alias("c"))
-    return reach.join(pos.select(F.col("i").alias("j"), F.col("value").alias("v")), "j").groupBy("year", "step").agg(F.sum(F.col("c") * F.col("v")).alias("s")).select("year", (F.col("s") / F.col("step")).alias("value"))
+    reach = reach.select(*by, "year", "step", (F.col("b") + F.col("k")).alias("j"), F.get(F.get(table, (F.col("i") - F.col("b")).cast("int")), F.col("k")).alias("c"))
+    return reach.join(pos.select(*by, F.col("i").alias("j"), F.col("value").alias("v")), [*by, "j"]).groupBy(*by, "year", "step").agg(F.sum(F.col("c") * F.col("v")).alias("s")).select(*by, "year", (F.col("s") / F.col("step")).alias("value"))
 
 
 def group_mean(df: DataFrame, metric: str, *by: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Training per year and parameters, and alignment by orthogonal Procrustes.
 
 Dense linear algebra has no DataFrame form, so a year's matrix is worked on in one Arrow group. Its
-size is bounded by the vocabulary (a parameter), not by the corpus: training reads co-occurrence
-counts that Spark has summed, cut to the ``vocabulary`` most frequent words of each year.
+size follows the distinct words and pairs of a year, not the corpus: training reads co-occurrence
+counts that Spark has summed, of words with ``min_count`` or, if asked, the ``vocabulary`` most frequent.
 """
 
 from __future__ import annotations
@@ -54,55 +54,86 @@ def alignment_report(vectors: DataFrame, anchor: int, tolerance: float = 1e-3) -
     return _both(vectors, anchor).groupBy("year").applyInPandas(report, "year int, shared long, norm_mean double, r_minus_i double, orthogonality double, residual_before double, residual_after double, message string, is_aligned boolean")
 
 
-def cooccurrences(corpus: DataFrame, window: int, weight_by: str = "none", min_count: int = 1, vocabulary: int = 2000) -> DataFrame:
-    """(year, word, context, n): weighted pairs within ``window`` positions of n-grams, for each year's most frequent words.
-
-    weight_by: none counts an n-gram once, freq and doc_freq by the log weight of its count. The weight
-    is multiplied in; no n-gram is replicated.
-    """
+def _weighted(corpus: DataFrame, weight_by: str, min_count: int, vocabulary: int | None) -> tuple[DataFrame, DataFrame]:
+    """(year, t, w, i, word) of the tokens of n-grams, and each year's words that are learned."""
     weight = {"none": F.lit(1), "freq": log_weight(F.col("freq")), "doc_freq": log_weight(F.col("doc"))}[weight_by]
     rows = corpus.select("year", tokens(F.col("ngram")).alias("t"), weight.cast("double").alias("w"))
     each = rows.select("year", "w", F.posexplode("t").alias("i", "word"), "t")
     words = each.groupBy("year", "word").agg(F.sum("w").alias("c")).where(F.col("c") >= min_count)
-    words = words.withColumn("r", F.row_number().over(Window.partitionBy("year").orderBy(F.col("c").desc(), "word"))).where(F.col("r") <= vocabulary).select("year", "word")
-    near = each.select("year", "w", "word", F.explode(F.filter(F.transform(F.sequence(F.lit(-window), F.lit(window)), lambda k: F.when((k != 0) & (F.col("i") + k >= 0), F.get("t", F.col("i") + k))), lambda x: x.isNotNull())).alias("context"))
-    pairs = near.groupBy("year", "word", "context").agg(F.sum("w").alias("n"))
-    return pairs.join(words, ["year", "word"], "left_semi").join(words.withColumnRenamed("word", "context"), ["year", "context"], "left_semi").select("year", "word", "context", "n")
+    if vocabulary is not None:
+        words = words.withColumn("r", F.row_number().over(Window.partitionBy("year").orderBy(F.col("c").desc(), "word"))).where(F.col("r") <= vocabulary)
+    return each, words.select("year", "word")
+
+
+def _near(window: int):
+    """The tokens within ``window`` positions of token ``i`` of ``t``."""
+    places = F.transform(F.sequence(F.lit(-window), F.lit(window)), lambda k: F.when((k != 0) & (F.col("i") + k >= 0), F.get("t", F.col("i") + k)))
+    return F.array_compact(places)
+
+
+def cooccurrences(corpus: DataFrame, window: int, weight_by: str = "none", min_count: int = 1, vocabulary: int | None = None) -> DataFrame:
+    """(year, word, context, n): weighted pairs within ``window`` positions of n-grams, of each year's words.
+
+    weight_by: none counts an n-gram once, freq and doc_freq by the log weight of its count. The weight
+    is multiplied in; no n-gram is replicated. Words rarer than ``min_count`` go before pairs are made;
+    ``vocabulary`` keeps only so many of the most frequent, if given.
+    """
+    each, words = _weighted(corpus, weight_by, min_count, vocabulary)
+    pairs = each.join(words, ["year", "word"], "left_semi").select("year", "w", "word", F.explode(_near(window)).alias("context"))
+    pairs = pairs.join(words.withColumnRenamed("word", "context"), ["year", "context"], "left_semi")
+    return pairs.groupBy("year", "word", "context").agg(F.sum("w").alias("n"))
+
+
+def context_windows(corpus: DataFrame, window: int, weight_by: str = "none", min_count: int = 1, vocabulary: int | None = None) -> DataFrame:
+    """(year, word, context, n): as ``cooccurrences``, but with all of a position's context words in one array, in order."""
+    each, words = _weighted(corpus, weight_by, min_count, vocabulary)
+    held = each.join(words, ["year", "word"], "left_semi")
+    single = held.withColumn("place", F.monotonically_increasing_id()).select("year", "w", "word", "place", F.posexplode(_near(window)).alias("k", "c"))
+    single = single.join(words.withColumnRenamed("word", "c"), ["year", "c"], "left_semi")
+    whole = single.groupBy("place", "year", "word", "w").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("context"))
+    return whole.groupBy("year", "word", "context").agg(F.sum("w").alias("n"))
 
 
 def train(pairs: DataFrame, vector_size: int = 100, approach: str = "CBOW", epochs: int = 5, negative: int = 5, seed: int = 1, rate: float = 0.05) -> DataFrame:
-    """Word vectors per year from co-occurrence counts, by negative-sampling word2vec (seeded).
+    """Word vectors per year by negative-sampling word2vec (seeded).
 
-    'skip-gram' predicts contexts from words; anything else is CBOW, here the reverse on the counts:
-    words from contexts. Each epoch visits every counted pair with its weight, in batches.
+    'skip-gram' predicts the context from the word and takes ``cooccurrences``; anything else is CBOW,
+    which predicts the word from the mean of its context's vectors and takes ``context_windows`` (or
+    pairs, as windows of one word). An epoch draws as many rows as there are, each in proportion to n.
+    A year is one Arrow group, so its distinct rows and vectors must fit one task.
     """
+
     def fit(df: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng(seed)
-        vocab, inv = np.unique(np.concatenate([df["word"], df["context"]]).astype(str), return_inverse=True)
-        w, c = inv[: len(df)], inv[len(df) :]
-        given, told = (w, c) if approach == "skip-gram" else (c, w)
-        n = df["n"].to_numpy(np.float64)
-        order = np.lexsort((c, w))
-        given, told, n = given[order], told[order], n[order]
+        lists = [[c] if isinstance(c, str) else list(c) for c in df["context"]]
+        order = sorted(range(len(lists)), key=lambda i: (df["word"].iat[i], lists[i]))
+        word, lists, n = df["word"].to_numpy()[order], [lists[i] for i in order], df["n"].to_numpy(np.float64)[order]
+        vocab, inv = np.unique(np.concatenate([word, *lists]).astype(str), return_inverse=True)
+        sizes = np.array([len(x) for x in lists])
+        # Contexts as rows of equal length; what is beyond a row's own length weighs nothing.
+        context, share = np.zeros((len(word), sizes.max()), np.int64), np.zeros((len(word), sizes.max()))
+        held = np.arange(sizes.max())[None, :] < sizes[:, None]
+        context[held], share[held] = inv[len(word) :], np.repeat(1 / sizes, sizes)
+        given, part, told = context, share, inv[: len(word)]
+        if approach == "skip-gram":
+            given, part, told, n = np.repeat(told, sizes)[:, None], np.ones((sizes.sum(), 1)), context[held], np.repeat(n, sizes)
         freq = np.bincount(told, n, len(vocab)) ** 0.75
-        cdf = np.cumsum(freq) / freq.sum()
+        cdf, drawn = np.cumsum(freq) / freq.sum(), np.cumsum(n) / n.sum()
         x, y = (rng.random((len(vocab), vector_size)) - 0.5) / vector_size, np.zeros((len(vocab), vector_size))
-        weight = np.minimum(np.sqrt(n), 10.0)
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
-            perm = rng.permutation(len(given))
-            for i in range(0, len(perm), 512):
-                k = perm[i : i + 512]
-                g = given[k]
+            rows = np.searchsorted(drawn, rng.random(len(told))).clip(0, len(told) - 1)
+            for i in range(0, len(rows), 512):
+                k = rows[i : i + 512]
+                hidden = np.einsum("bc,bcd->bd", part[k], x[given[k]])
                 targets = np.concatenate([told[k][:, None], np.searchsorted(cdf, rng.random((len(k), negative))).clip(0, len(vocab) - 1)], axis=1)
                 label = np.zeros(targets.shape)
                 label[:, 0] = 1
-                err = (label - 1 / (1 + np.exp(-np.einsum("bd,btd->bt", x[g], y[targets]).clip(-30, 30)))) * weight[k][:, None] * step
-                dx = np.einsum("bt,btd->bd", err, y[targets])
-                np.add.at(y, targets, err[:, :, None] * x[g][:, None, :])
-                np.add.at(x, g, dx)
-        out = x if approach == "skip-gram" else y
-        return pd.DataFrame({"year": df["year"].iloc[0], "word": vocab, "vec": list(out.astype(np.float32))})
+                err = (label - 1 / (1 + np.exp(-np.einsum("bd,btd->bt", hidden, y[targets]).clip(-30, 30)))) * step
+                back = np.einsum("bt,btd->bd", err, y[targets])
+                np.add.at(y, targets, err[:, :, None] * hidden[:, None, :])
+                np.add.at(x, given[k], part[k][:, :, None] * back[:, None, :])
+        return pd.DataFrame({"year": df["year"].iloc[0], "word": vocab, "vec": list(x.astype(np.float32))})
 
     return pairs.groupBy("year").applyInPandas(fit, VECTORS)
 

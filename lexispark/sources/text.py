@@ -63,9 +63,10 @@ def write_jsonl(corpus: DataFrame, path: str, compression: str = "gzip", mode: s
 
 
 def read_lz4_jsonl(spark: SparkSession, paths, schema=NESTED, chunk: int = 1 << 20) -> DataFrame:
-    """JSON lines of LZ4 frame files, which Spark's own codec can't read; frames are decoded as a stream.
+    """JSON lines of LZ4 frame files, which Spark's own codec can't read.
 
-    A file is one task; empty files and empty frames give no rows.
+    A compressed file is one value of one task (2 GB at most); what it holds is decoded as a stream.
+    Empty files and empty frames give no rows.
     """
     files = spark.read.format("binaryFile").load(paths)
 
@@ -149,3 +150,40 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True)
+
+
+#: The column that names a model's year, and the comment mark and section mark of evaluation files.
+MODEL_YEAR, COMMENT, SECTION = r"w2v_y(\d{4})", "#", ":"
+
+
+def model_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(model, year, path) of the model files below a folder, from their names; other files don't count."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("model"), "path")
+    return named.withColumn("year", F.nullif(F.regexp_extract("model", MODEL_YEAR, 1), F.lit("")).cast("int")).where("year is not null").select("model", "year", "path")
+
+
+def read_word_pairs(spark: SparkSession, paths) -> DataFrame:
+    """(word1, word2, score) of lines of two words and a number between TABs; comments and other lines go."""
+    p = F.split(F.trim("value"), "\t")
+    rows = spark.read.text(paths).where(~F.startswith("value", F.lit(COMMENT)))
+    return rows.select(F.lower(F.get(p, 0)).alias("word1"), F.lower(F.get(p, 1)).alias("word2"), F.get(p, 2).try_cast("double").alias("score")).where("score is not null")
+
+
+def read_analogies(spark: SparkSession, paths) -> DataFrame:
+    """(a, b, c, d) of lines of four words; section lines and others go."""
+    p = F.split(F.lower(F.trim("value")), r"\s+")
+    rows = spark.read.text(paths).where(~F.startswith("value", F.lit(SECTION)))
+    return rows.where(F.size(p) == 4).select(*(F.get(p, i).alias(c) for i, c in enumerate("abcd")))
+
+
+def read_buckets(spark: SparkSession, paths) -> DataFrame:
+    """(prefix, bucket) of lines of a prefix, a TAB and a bucket number."""
+    p = F.split("value", "\t")
+    return spark.read.text(paths).select(F.get(p, 0).alias("prefix"), F.get(p, 1).try_cast("bigint").alias("bucket")).where("bucket is not null")
+
+
+def write_vocabulary(vocabulary: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """Two forms of a vocabulary (ngram, freq_tot, idx): its n-grams as lines, and the whole as a Parquet table to look up by n-gram."""
+    vocabulary.select("ngram").write.mode(mode).text(f"{folder}/match_list")
+    vocabulary.write.mode(mode).parquet(f"{folder}/lookup")

@@ -1,4 +1,4 @@
-"""Every query that SQL can express, against DuckDB on the smallest tables."""
+"""Every query that SQL can express, against DuckDB."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 
 from lexispark.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
