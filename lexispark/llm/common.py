@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,12 +21,14 @@ WHITESPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests, a laptop) a
+    It is what ``spark.checkpoint.dir`` names. Only in local mode (tests, a laptop) may that be unset: a
     temporary folder is made and set.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_to:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="lexispark-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
@@ -38,12 +41,12 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
-#: Whole texts are large, and a task holds several copies of a batch: how much Spark hands to Python at once.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: Whole texts are large, and a task holds several copies of a batch: how much Spark reads, and hands to Python, at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
 
 
 def bound_batches(spark: SparkSession) -> dict[str, str]:
-    """Lower the session's Arrow batches to ``BATCHES``, for what is computed after this call; what they were.
+    """Lower the session's batches to ``BATCHES``, for what is computed after this call; what they were.
 
     Smaller numbers that the session has stay.
     """
@@ -118,6 +121,20 @@ class Scratch:
         return self._write(df, name)[1]
 
 
+def drop_results(df: DataFrame) -> None:
+    """Delete the tables in the shared folder that an operator's result is read from; it can't be read afterwards."""
+    spark, root = df.sparkSession, filesystem_path(shared_dir(df.sparkSession))
+    jvm = spark._jvm
+    for name in {x.partition(root + "/")[2].split("/")[0] for x in map(filesystem_path, df.inputFiles()) if x.startswith(root + "/")}:
+        p = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def filesystem_path(uri: str) -> str:
+    """A URI without ``file:``, whose number of slashes differs between Spark's own spellings."""
+    return re.sub("^file:/+", "/", uri)
+
+
 def fold(doc_id: Column | str, n: int) -> Column:
     """crc32 of doc_id as text, mod n; a null doc_id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -198,7 +215,7 @@ class HashedWords:
     memory follows the longest word, not the longest text.
     """
 
-    def __init__(self, piece: int = 1 << 19):
+    def __init__(self, piece: int = 1 << 17):
         self.piece, self.up, self.down = piece, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,19 +110,27 @@ def _hit(rule: str, cutoff: str) -> str:
     return f"coalesce(({RULES[rule][0]}) > {cutoff}, false)"
 
 
-def choose(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per stratum and rule: the cutoff of the best balance and the rule's place among the rules, from sums of rejections."""
-    out = []
-    for row in rows.to_dict("records"):
-        clean, bad, best = row["clean"], row["labelled"] - row["clean"], {}
-        for at, (rule, (_, cutoffs)) in enumerate(RULES.items()):
-            for i, c in enumerate(cutoffs):
-                gain = row[f"{rule}_{i}_0"] / max(bad, 1) - 10 * row[f"{rule}_{i}_1"] / max(clean, 1)
-                if gain > best.get(rule, (0.0,))[0]:
-                    best[rule] = (gain, -at, c)
-        places = {r: float(i + 1) for i, r in enumerate(sorted(best, key=lambda r: best[r][:2], reverse=True))}
-        out.append((row["lang"], *(best[r][2] if r in best else None for r in RULES), *(places.get(r) for r in RULES)))
-    return pd.DataFrame(out, columns=PICKED.names).astype({n: "float64" for n in PICKED.names[1:]})
+def choose(row: dict) -> dict:
+    """Of a stratum, each rule's cutoff of the best balance and its place among the rules, from sums of rejections."""
+    clean, bad, best = row["clean"], row["labelled"] - row["clean"], {}
+    for at, (rule, (_, cutoffs)) in enumerate(RULES.items()):
+        for i, c in enumerate(cutoffs):
+            gain = row[f"{rule}_{i}_0"] / max(bad, 1) - 10 * row[f"{rule}_{i}_1"] / max(clean, 1)
+            if gain > best.get(rule, (0.0,))[0]:
+                best[rule] = (gain, -at, c)
+    order = sorted(best, key=lambda r: best[r][:2], reverse=True)
+    return {"lang": row["lang"]} | {f"cut_{r}": best[r][2] for r in order} | {f"place_{r}": i + 1 for i, r in enumerate(order)}
+
+
+def _each(f, schema: T.StructType):
+    """A function of rows as one of batches; a missing column is null. There is one row per stratum."""
+    kinds = pa.schema([(x.name, pa.string() if x.name == "lang" else pa.int64() if isinstance(x.dataType, T.LongType) else pa.float64()) for x in schema])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([{n: None for n in schema.names} | f(row) for row in batch.to_pylist()], kinds)
+
+    return run
 
 
 def certify(row: dict, alpha: float, level: float) -> tuple[int, list[float]]:
@@ -132,7 +139,7 @@ def certify(row: dict, alpha: float, level: float) -> tuple[int, list[float]]:
     return next((i for i, p in enumerate(ps) if not p <= level), len(ps)), ps
 
 
-PICKED = T.StructType([T.StructField("lang", T.StringType()), *(T.StructField(f"cut_{r}", T.DoubleType()) for r in RULES), *(T.StructField(f"place_{r}", T.DoubleType()) for r in RULES)])
+PICKED = T.StructType([T.StructField("lang", T.StringType()), *(T.StructField(f"cut_{r}", T.DoubleType()) for r in RULES), *(T.StructField(f"place_{r}", T.LongType()) for r in RULES)])
 CERTIFIED = T.StructType([T.StructField("lang", T.StringType()), *(T.StructField(f"cut_{r}", T.DoubleType()) for r in RULES), *(T.StructField(f"bound_{r}", T.DoubleType()) for r in RULES)])
 
 
@@ -149,8 +156,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
     for rule, (_, cutoffs) in RULES.items():
         for i, c in enumerate(cutoffs):
             sums += [F.sum(F.when(F.expr(_hit(rule, f"{c}D")) & (F.col("_q") == q), 1).otherwise(0).cast("long")).alias(f"{rule}_{i}_{q}") for q in (0, 1)]
-    picked = held.where(~F.col("_second")).groupBy("lang").agg(*sums).mapInPandas(lambda batches: map(choose, batches), PICKED)
-    picked = picked.select(F.col("lang").alias("_lang"), *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in PICKED.names[1:]))
+    picked = held.where(~F.col("_second")).groupBy("lang").agg(*sums).mapInArrow(_each(choose, PICKED), PICKED).withColumnRenamed("lang", "_lang")
     with Scratch(measured.sparkSession, "rule-picks") as scratch:
         picked = scratch.keep(picked, "picked")  # one row per stratum
     joined = held.where("_second").join(picked, F.col("lang").eqNullSafe(F.col("_lang")))
@@ -159,20 +165,16 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
     tested = picked.join(tested, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("lang", F.col("_lang"))
     level = delta / max(1, picked.count())
 
-    def test(batches):
-        for df in batches:
-            out = []
-            for row in df.astype(object).where(df.notna(), None).to_dict("records"):
-                n, ps = certify(row, alpha, level)
-                at = [row[f"place_{r}"] for r in RULES]
-                out.append((row["lang"], *(row[f"cut_{r}"] if p is not None and p <= n else None for r, p in zip(RULES, at, strict=True)), *(ps[int(p) - 1] if p is not None else None for p in at)))
-            yield pd.DataFrame(out, columns=CERTIFIED.names).astype({n: "float64" for n in CERTIFIED.names[1:]})
+    def test(row: dict) -> dict:
+        n, ps = certify(row, alpha, level)
+        at = {r: row[f"place_{r}"] for r in RULES if row[f"place_{r}"]}
+        return {"lang": row["lang"]} | {f"cut_{r}": row[f"cut_{r}"] for r, p in at.items() if p <= n} | {f"bound_{r}": ps[p - 1] for r, p in at.items()}
 
-    return tested.select("lang", "clean", *(f"step_{i}" for i in range(1, len(RULES) + 1)), *PICKED.names[1:]).mapInPandas(test, CERTIFIED)
+    return tested.select("lang", "clean", *(f"step_{i}" for i in range(1, len(RULES) + 1)), *PICKED.names[1:]).mapInArrow(_each(test, CERTIFIED), CERTIFIED)
 
 
 def _cuts(thresholds: DataFrame) -> DataFrame:
-    return thresholds.select(F.col("lang").alias("_lang"), *(F.when(F.isnan(f"cut_{r}"), None).otherwise(F.col(f"cut_{r}")).alias(f"_cut_{r}") for r in RULES))
+    return thresholds.select(F.col("lang").alias("_lang"), *(F.col(f"cut_{r}").alias(f"_cut_{r}") for r in RULES))
 
 
 def verdict(measured: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -74,9 +74,25 @@ FROM q LEFT JOIN g ON q.d = g.d AND q.b >= 1000
 """
 
 
+OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(t) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_distinct(list_transform(range(1, len(t) - 1), lambda i: concat(t[i], ' ', t[i + 1], ' ', t[i + 2]))) END) AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS rep, count(*) OVER (PARTITION BY s) AS n_equal FROM s),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b, ka.rep <> kb.rep AS other, kb.rep FROM p JOIN k ka ON ka.doc_id = p.a JOIN k kb ON kb.doc_id = p.b WHERE 100 * c >= 90 * (ka.n + kb.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM k UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+l AS (SELECT a, count(DISTINCT rep) AS n_links FROM e WHERE other GROUP BY 1),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, c.component_id, CASE WHEN k.n = 0 THEN 0 ELSE k.n_equal END AS n_equal, coalesce(l.n_links, 0) AS n_links
+FROM k JOIN c ON c.id = k.doc_id LEFT JOIN l ON l.a = k.doc_id
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for n, f in globals().items() if n.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2}
+    return {"op2_warc": OP2, "op3_jaccard_join": OP3}

@@ -25,8 +25,6 @@ KNOWN = {
         ],
     },
     "added_tokens": ["<|startoftext|>", "<|endoftext|>"],
-    "truncation": None,
-    "padding": None,
 }
 #: Chunks of only these characters are lower-cased and split here as the vocabulary file does; any other goes to the library whole.
 _PLAIN = re.compile(r"[!-~À-įı-ž]+").fullmatch
@@ -63,14 +61,14 @@ class _Cache(dict):
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
-    def __init__(self, path: str, most: int = 160_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            stated = json.load(f)
-        stated["added_tokens"] = [x["content"] for x in stated.get("added_tokens", [])]
-        self.known = {k: stated.get(k) for k in KNOWN} == KNOWN
+        parts = {"normalizer": self.whole.normalizer, "pre_tokenizer": self.whole.pre_tokenizer}
+        stated = {k: x and json.loads(x.__getstate__()) for k, x in parts.items()}
+        stated["added_tokens"] = [x.content for _, x in sorted(self.whole.get_added_tokens_decoder().items())]
+        self.known = stated == KNOWN and self.whole.truncation is None and self.whole.padding is None
         self.model, self.letters = self.whole.model, _byte_letters()
         self.pretokens, self.chunks = _Cache(self._pretoken, most), _Cache(self._chunk, most * 3 // 4)
 
