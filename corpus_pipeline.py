@@ -1,4 +1,10 @@
-"""The training-data pipeline: STAGES in order, each over all that the stage before it kept."""
+"""The training-data pipeline: STAGES in order, each over all that the stage before it kept.
+
+Each stage carries all columns, whatever their names. Null and empty texts have no words, so the quality
+rules reject them. Rows that repeat a doc_id are documents of their own; of rows that repeat doc_id and text
+the join of near copies leaves one. Without labels nothing is learned: every document scores 0.5 and only the
+base rule rejects. An empty table of documents gives no rows, an empty benchmark rejects nothing.
+"""
 
 from __future__ import annotations
 
