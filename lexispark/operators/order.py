@@ -25,17 +25,20 @@ def top_vocabulary(totals: DataFrame, n: int) -> DataFrame:
     return top.withColumn("idx", F.row_number().over(Window.orderBy(F.col("freq_tot").desc(), "ngram")).cast("long"))
 
 
-def dense_index(totals: DataFrame, buckets_per_octave: int = 16) -> DataFrame:
+def dense_index(totals: DataFrame, buckets_per_octave: int = 16, large: int = 1 << 20) -> DataFrame:
     """idx = 1.. over all rows by freq_tot descending, then n-gram, without one task for all of them.
 
     Rows are ranked inside buckets of like frequency (split further by the first two characters of
-    the n-gram); the sizes of the buckets before give each its offset. Buckets are few: octaves of
-    the largest frequency times 16, times the distinct beginnings.
+    the n-gram, and by the first eight where these leave more than ``large``); the sizes of the buckets
+    before give each its offset. Buckets are few: octaves of the largest frequency times 16, times the
+    distinct beginnings.
     """
     bucket = F.floor(F.log2(F.col("freq_tot") + 1) * buckets_per_octave)
     rows = totals.withColumn("_b", bucket).withColumn("_f", F.when(F.col("freq_tot") < 4096, F.col("freq_tot")).otherwise(0))
     # Below 4096 a bucket is split by its exact frequencies and beginnings; there its order is total.
     rows = rows.withColumn("_p", F.when(F.col("_f") > 0, F.substring("ngram", 1, 2)).otherwise(F.lit("")))
+    wide = rows.where("_f > 0").groupBy("_b", "_f", "_p").agg(F.count("*").alias("_n")).where(F.col("_n") > large).select("_b", "_f", "_p", F.lit(True).alias("_wide"))
+    rows = rows.join(wide, ["_b", "_f", "_p"], "left").withColumn("_p", F.when(F.col("_wide"), F.substring("ngram", 1, 8)).otherwise(F.col("_p"))).drop("_wide")
     order = (F.col("_b").desc(), F.col("_f").desc(), F.col("_p"))
     sizes = rows.groupBy("_b", "_f", "_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

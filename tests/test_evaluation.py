@@ -76,3 +76,11 @@ def test_many_series_at_once(spark):
         rows = lambda df, sign=1: sorted((r["year"] if "year" in df.columns else r["centre"], round(sign * r["value"], 9) + 0.0) for r in df.collect())
         got = f(two, by=["g"])
         assert rows(f(one)) == rows(got.where("g = 'a'")) == rows(got.where("g = 'b'"), -1)
+
+
+@pytest.mark.parametrize("large", (1, 3, 1 << 20))
+def test_dense_index_splits_large_buckets(spark, large):
+    rng = np.random.default_rng(3)
+    rows = sorted({("".join(rng.choice(list("aé你"), rng.integers(1, 12))), int(rng.choice((1, 1, 1, 2, 9000, 9001)))) for _ in range(300)}, key=lambda r: (-r[1], r[0].encode()))
+    got = order.dense_index(spark.createDataFrame(rows, "ngram string, freq_tot long").repartition(3), large=large).orderBy("idx").collect()
+    assert [(r["ngram"], r["freq_tot"], r["idx"]) for r in got] == [(*r, i + 1) for i, r in enumerate(rows)]
