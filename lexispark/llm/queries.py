@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontamination, jaccard_join, language_id, packing, quality_classifier, quality_rules, token_counts, token_files, warc
+from . import brown_lm, decontamination, i_match, jaccard_join, language_id, packing, quality_classifier, quality_rules, token_counts, token_files, warc
 from .common import bound_batches, fold
 
 
@@ -63,6 +63,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_read(spark, sf_dir, "documents"))
 
 
+def op12_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return i_match.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 OP2 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS b, sha1(h) AS d FROM p),
