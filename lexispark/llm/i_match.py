@@ -19,6 +19,8 @@ one doc_id go by the hash of their text, and equal rows follow one another. A si
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,13 +65,14 @@ def _bounds(rows: DataFrame, per_bucket: int, most: int, per_bound: int) -> list
     """The first (key, hash) of each bucket in order; each is a row's own, so no bucket is empty.
 
     They come from a sample of some ``per_bound`` rows a bucket, at most ``most`` buckets, so what reaches the driver is
-    bounded. A key with the rows of more than two buckets is cut further by quantiles of its texts' hashes.
+    bounded. A key with the rows of more than two buckets is cut further by the hashes of a sample of its texts.
     """
     n, low = rows.agg(F.count("*"), F.min("key")).first()
     if not n:
         return []
     buckets = max(1, min(most, n // per_bucket))
-    drawn = rows.where(F.rand(7) < per_bound * buckets / n).groupBy("key").agg(F.count("*").alias("n"))
+    rate = per_bound * buckets / n
+    drawn = rows.where(F.rand(7) < rate).groupBy("key").agg(F.count("*").alias("n"))
     sample = sorted((r["key"], r["n"]) for r in drawn.collect())
     step = max(1.0, sum(m for _, m in sample) / buckets)
     out, hot, seen, goal = {(low, _LOWEST)}, [], 0, step
@@ -82,9 +85,10 @@ def _bounds(rows: DataFrame, per_bucket: int, most: int, per_bound: int) -> list
             goal = 0  # the next key begins a bucket
         seen += m
     if hot:
-        h = F.xxhash64("text")
-        cuts = rows.where(F.col("key").isin(hot)).groupBy("key").agg(F.min(h).alias("least"), F.percentile_approx(h, [i / 256 for i in range(1, 256)], 10_000).alias("h"))
-        out = {x for x in out if x[0] not in hot} | {(r["key"], h) for r in cuts.collect() for h in (r["least"], *r["h"])}
+        held = rows.where(F.col("key").isin(hot)).select("key", F.xxhash64("text").alias("h"))
+        cuts = {(r["key"], r["h"]) for r in held.groupBy("key").agg(F.min("h").alias("h")).collect()}
+        drawn = sorted(tuple(r) for r in held.where(F.rand(7) < rate).collect())
+        out = {x for x in out if x[0] not in hot} | cuts | set(drawn[:: math.ceil(step)])
     return sorted(out)
 
 
