@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontamination, i_match, jaccard_join, language_id, packing, quality_classifier, quality_rules, token_counts, token_files, warc
+from . import brown_lm, decontamination, i_match, jaccard_join, language_id, packing, quality_classifier, quality_rules, spelling, token_counts, token_files, warc
 from .common import bound_batches, fold
 
 
@@ -63,6 +63,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_read(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 def op12_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i_match.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -94,9 +98,36 @@ FROM k JOIN c ON c.id = k.doc_id LEFT JOIN l ON l.a = k.doc_id
 """
 
 
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes; column t of table crc has the polynomial's table."""
+    octets = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)])))"
+
+
+_CRC = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC},
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT d, run, count(*) AS n, length(run) AS l FROM r WHERE length(run) >= 5 GROUP BY 1, 2),
+h AS (SELECT run, n, l, {_crc32("concat(d, ':', run)")} AS h FROM c, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % l), substr(run, h % l + 2)) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, length(word) AS l FROM w WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+x AS (SELECT word, n, l, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS cut FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM v)),
+e AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+  UNION SELECT x.word, v.word FROM x JOIN v ON x.cut = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.cut = v.word),
+m AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-v.n, b)) AS best, max(v.n) AS best_n FROM e JOIN v ON v.word = e.b GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN m ON m.word = v.word),
+p AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT p.word, f.form FROM p JOIN f ON f.word = p.root WHERE f.form IS NOT NULL),
+o AS (SELECT p.word, p.root FROM p JOIN f ON f.word = p.root WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(o.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN o ON o.word = f.word
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for n, f in globals().items() if n.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op3_jaccard_join": OP3}
+    return {"op2_warc": OP2, "op3_jaccard_join": OP3, "op11_spelling": OP11}
