@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontamination, i_match, jaccard_join, language_id, packing, quality_classifier, quality_rules, spelling, token_counts, token_files, warc
+from . import brown_lm, conversation_trie, decontamination, i_match, jaccard_join, language_id, packing, quality_classifier, quality_rules, spelling, token_counts, token_files, warc
 from .common import bound_batches, fold
 
 
@@ -71,6 +71,10 @@ def op12_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i_match.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
 OP2 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS b, sha1(h) AS d FROM p),
@@ -125,9 +129,27 @@ SELECT f.word, f.form, coalesce(o.root, f.word) AS root, f.n, f.n_near, f.form_n
 """
 
 
+OP13 = rf"""
+WITH {_CRC},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT conv_id, turn, md5(concat(strlen(role), ':', role, text)) AS k, len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '')) AS w FROM t),
+p AS (SELECT conv_id, k, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS i FROM d),
+c AS (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - ((conv_id % 20) + 20) % 20 AS other FROM (SELECT DISTINCT conv_id FROM t), crc),
+r AS (SELECT c.conv_id, p.i, p.k, p.w FROM c JOIN p ON p.conv_id = c.conv_id AND p.i >= c.h UNION ALL SELECT c.conv_id, p.i, p.k, p.w FROM c JOIN p ON p.conv_id = c.other AND p.i < c.h),
+s AS (SELECT c.conv_id, coalesce(list(r.k ORDER BY r.i) FILTER (WHERE r.k IS NOT NULL), []) AS ks, coalesce(list(r.w ORDER BY r.i) FILTER (WHERE r.k IS NOT NULL), []) AS ws FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY 1),
+e AS (SELECT conv_id, len(ks) AS l, ks, ws, unnest(range(0, len(ks) + 1)) AS depth FROM s),
+n AS (SELECT depth, array_to_string(ks[1:depth], '') AS id, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth = 0 THEN 0 ELSE ws[depth] END) AS w,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE l = depth), '')) AS ends_sha256 FROM e GROUP BY 1, 2),
+k AS (SELECT a.depth, a.id, count(b.id) AS n_children FROM n a LEFT JOIN n b ON b.depth = a.depth + 1 AND starts_with(b.id, a.id) GROUP BY 1, 2),
+u AS (SELECT a.id, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.w) AS BIGINT) AS saved_tokens FROM n a JOIN n b ON starts_with(b.id, a.id) JOIN k ON k.id = b.id GROUP BY 1)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, k.n_children, u.n_leaves, u.saved_tokens, n.ends_sha256
+FROM n JOIN k ON k.id = n.id JOIN u ON u.id = n.id LEFT JOIN n q ON q.depth = n.depth - 1 AND starts_with(n.id, q.id)
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for n, f in globals().items() if n.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2, "op3_jaccard_join": OP3, "op11_spelling": OP11}
+    return {"op2_warc": OP2, "op3_jaccard_join": OP3, "op11_spelling": OP11, "op13_conversation_trie": OP13}
