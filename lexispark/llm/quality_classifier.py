@@ -109,13 +109,13 @@ class Model(NamedTuple):
 def fit(rows: DataFrame, labels: DataFrame, sample: int = 1500, rank: int = 48, neighbours: int = 15, power: float = 8.0) -> Model:
     """From doc_id and text of ``rows`` and doc_id and quality of ``labels``."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
-    ids = rows.select("doc_id").where("doc_id is not null").join(marks.select("doc_id", F.col("lo").alias("q")), "doc_id").withColumn("place", F.xxhash64("doc_id"))
-    # The sample is drawn from ids alone; only its texts are fetched, by a join with at most 2 x sample rows.
+    # The sample is drawn from distinct ids alone; only its texts are fetched, by a join with at most 2 x sample rows.
+    ids = rows.select("doc_id").where("doc_id is not null").distinct().join(marks.select("doc_id", F.col("lo").alias("q")), "doc_id").withColumn("place", F.xxhash64("doc_id"))
     n = {r["q"]: r["n"] for r in ids.groupBy("q").agg(F.count("*").alias("n")).collect()}
     near = F.lit(False)
     for q, m in n.items():
         near = near | ((F.col("q") == q) & (F.pmod("place", F.lit(1 << 30)) * F.lit(float(m)) <= float(1 << 30) * (2 * sample + 50)))
-    drawn = ids.where(near).distinct().withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.pmod("place", F.lit(1 << 30)), "doc_id"))).where(F.col("r") <= sample)
+    drawn = ids.where(near).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.pmod("place", F.lit(1 << 30)), "doc_id"))).where(F.col("r") <= sample)
 
     @F.arrow_udf(T.BinaryType())
     def vector(text: pa.Array) -> pa.Array:
