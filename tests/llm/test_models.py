@@ -239,5 +239,5 @@ def test_quality_classifier_learns_ids_that_repeat(spark):
     """The sample is of ids: forty bad ids of 500 rows each are all learned, beside more clean ones than the sample takes."""
     rows = [(i, "clean") for i in range(2000)] + [(10_000 + i % 40, f"bad {i % 3}") for i in range(20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = quality_classifier.fit(docs, labels(spark, [(i, int(i < 10_000)) for i in [*range(2000), *range(10_000, 10_040)]]))
+    model = quality_classifier.fit(docs, labels(spark, [(i, int(i < 10_000), 0) for i in [*range(2000), *range(10_000, 10_040)]]))
     assert collections.Counter(model.labels) == {1.0: 1500, 0.0: 40}
