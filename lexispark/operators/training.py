@@ -1,4 +1,4 @@
-"""Training per year and parameters, and alignment by orthogonal Procrustes.
+"""Training per year and parameters.
 
 Dense linear algebra has no DataFrame form, so a year's matrix is worked on in one Arrow group. Its
 size follows the distinct words and pairs of a year, not the corpus: training reads co-occurrence
@@ -18,42 +18,6 @@ from ..functions.tokens import log_weight, tokens
 VECTORS = "year int, word string, vec array<float>"
 
 
-def rotation(own: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """The orthogonal R that minimises |own R - reference|."""
-    u, _, vt = np.linalg.svd(own.T.astype(np.float64) @ reference.astype(np.float64))
-    return u @ vt
-
-
-def _both(vectors: DataFrame, anchor: int) -> DataFrame:
-    reference = vectors.where(F.col("year") == anchor).select("word", F.col("vec").alias("ref"))
-    return vectors.join(reference, "word")  # the anchor's vocabulary
-
-
-def align(vectors: DataFrame, anchor: int) -> DataFrame:
-    """Vectors of every year, cut to the anchor's words and rotated onto its vectors."""
-
-    def turn(df: pd.DataFrame) -> pd.DataFrame:
-        own, ref = np.stack(df["vec"].to_numpy()), np.stack(df["ref"].to_numpy())
-        turned = own if df["year"].iloc[0] == anchor else own @ rotation(own, ref)
-        return pd.DataFrame({"year": df["year"], "word": df["word"], "vec": list(turned.astype(np.float32))})
-
-    return _both(vectors, anchor).groupBy("year").applyInPandas(turn, VECTORS)
-
-
-def alignment_report(vectors: DataFrame, anchor: int, tolerance: float = 1e-3) -> DataFrame:
-    """Per year: shared words, norms, |R - I|, the largest deviation, a message and whether it is aligned."""
-
-    def report(df: pd.DataFrame) -> pd.DataFrame:
-        own, ref = np.stack(df["vec"].to_numpy()).astype(np.float64), np.stack(df["ref"].to_numpy()).astype(np.float64)
-        r = rotation(own, ref)
-        gap = r - np.eye(len(r))
-        f = float(np.linalg.norm(gap))
-        said = "aligned" if f < 1e-4 else "nearly aligned" if f < 1e-2 else "not aligned"
-        return pd.DataFrame({"year": [df["year"].iloc[0]], "shared": [len(df)], "norm_mean": [float(np.linalg.norm(own, axis=1).mean())], "r_minus_i": [f], "orthogonality": [float(np.abs(r.T @ r - np.eye(len(r))).max())], "residual_before": [float(np.linalg.norm(own - ref))], "residual_after": [float(np.linalg.norm(own @ r - ref))], "message": [said], "is_aligned": [bool(np.abs(gap).max() < tolerance)]})
-
-    return _both(vectors, anchor).groupBy("year").applyInPandas(report, "year int, shared long, norm_mean double, r_minus_i double, orthogonality double, residual_before double, residual_after double, message string, is_aligned boolean")
-
-
 def _weighted(corpus: DataFrame, weight_by: str, min_count: int, vocabulary: int | None) -> tuple[DataFrame, DataFrame]:
     """(year, t, w, i, word) of the tokens of n-grams, and each year's words that are learned."""
     weight = {"none": F.lit(1), "freq": log_weight(F.col("freq")), "doc_freq": log_weight(F.col("doc"))}[weight_by]

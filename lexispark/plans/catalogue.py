@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.vectors import norm
-from ..operators import corpus, evaluation, order, series, training, vectors, vocabularies
+from ..operators import alignment, corpus, evaluation, order, series, training, vectors, vocabularies
 from ..streaming import incremental
 from . import fixtures as fx
 from .fixtures import with_sql
@@ -543,12 +543,28 @@ def metric_group_mean(spark, sf) -> DataFrame:
 
 @query()
 def procrustes_align(spark, sf) -> DataFrame:
-    return training.align(vectors.normalise(fx.emb(spark, sf)), 1990).select("year", "word", F.round(norm(F.col("vec")), 4).alias("length"))
+    return alignment.align(vectors.normalise(fx.emb(spark, sf)), 1990).select("year", "word", F.round(norm(F.col("vec")), 4).alias("length"))
 
 
 @query()
 def alignment_report(spark, sf) -> DataFrame:
-    return training.alignment_report(fx.emb(spark, sf), 1990)
+    return alignment.report(fx.emb(spark, sf), 1990)
+
+
+@query("""SELECT a.year, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round(sum(CAST(a.vec[i] AS DOUBLE) * b.vec[j]), 6) AS value
+FROM emb a JOIN emb b ON b.word = a.word AND b.year = 1990, (SELECT unnest(range(1, 65)) AS i), (SELECT unnest(range(1, 65)) AS j) GROUP BY 1, 2, 3""", "emb")
+def alignment_covariance(spark, sf) -> DataFrame:
+    """What rotations come from: one sum of outer products a year."""
+    return _rounded(alignment.covariance_cells(alignment.covariances(fx.emb(spark, sf), 1990)), "value")
+
+
+@query(f"""SELECT a.year, count(*) AS shared, round(avg(sqrt({_dot('a.vec', 'a.vec')})), 6) AS norm_mean, round(sqrt(greatest(0, sum({_dot('a.vec', 'a.vec')}) + sum({_dot('b.vec', 'b.vec')}) - 2 * sum({_dot('a.vec', 'b.vec')}))), 5) AS residual_before,
+  any_value(n.n) = count(*) AND (SELECT count(*) FROM emb WHERE year = 1990) = count(*) AS vocab_match
+FROM emb a JOIN emb b ON b.word = a.word AND b.year = 1990 JOIN (SELECT year, count(*) AS n FROM emb GROUP BY 1) n ON n.year = a.year GROUP BY 1""", "emb")
+def alignment_shared(spark, sf) -> DataFrame:
+    """The parts of the report that SQL can express."""
+    out = alignment.report(fx.emb(spark, sf), 1990).select("year", "shared", "norm_mean", F.round("residual_before", 5).alias("residual_before"), "vocab_match")
+    return _rounded(out, "norm_mean")
 
 
 @query()

@@ -154,17 +154,6 @@ def test_weat(spark):
     assert 0 < p["p"] <= 1 and p == vectors.weat(*args, permutations=50, seed=1).first()
 
 
-def test_procrustes(spark):
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((30, 5)).astype(np.float32)
-    q = np.linalg.qr(rng.standard_normal((5, 5)))[0]
-    v = vecs(spark, [(2000, f"w{i}", r.tolist()) for i, r in enumerate(x)] + [(1900, f"w{i}", r.tolist()) for i, r in enumerate(x @ q)] + [(1900, "alone", [1.0] * 5)])
-    got = {r["word"]: r["vec"] for r in training.align(v, 2000).where("year = 1900").collect()}
-    assert len(got) == 30 and max(np.abs(np.array(got[f"w{i}"]) - x[i]).max() for i in range(30)) < 1e-5
-    report = {r["year"]: r for r in training.alignment_report(v, 2000).collect()}
-    assert report[2000]["is_aligned"] and not report[1900]["is_aligned"] and all(r["orthogonality"] < 1e-8 and r["residual_after"] <= r["residual_before"] + 1e-9 for r in report.values())
-
-
 def test_training_puts_like_words_together(spark):
     rows = [(f"{a} {b}", 2000, 50, 5) for a in ("cat", "dog") for b in ("purrs", "runs", "eats")] + [(f"{a} {b}", 2000, 50, 5) for a in ("stone", "rock") for b in ("lies", "falls", "breaks")]
     pairs = training.cooccurrences(spark.createDataFrame(rows, CORPUS), 2, "freq")
