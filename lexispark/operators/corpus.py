@@ -9,16 +9,20 @@ from ..functions import tokens as tk
 from ..schema import CORPUS
 
 
-def _cells(value: Column) -> Column:
-    """year, freq and doc of each cell after the first TAB; null where a cell is no triple of numbers."""
-    cells = F.slice(F.split(value, "\t"), 2, F.size(F.split(value, "\t")))
+def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a column that is computed once, however often it is used: generators aren't merged with what follows."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
-    def cell(c: Column) -> Column:
-        p = F.split(F.trim(c), ",")
-        n = [F.get(p, i).try_cast(t) for i, t in enumerate(("int", "bigint", "bigint"))]
-        return F.when((F.size(p) == 3) & n[0].isNotNull() & n[1].isNotNull() & n[2].isNotNull(), F.struct(n[0].alias("year"), n[1].alias("freq"), n[2].alias("doc")))
 
-    return F.transform(cells, cell)
+def _cells(value: Column) -> Column:
+    """year, freq and doc of each cell after the first TAB; null where a cell is no triple of numbers.
+
+    The line is split once and so is each cell: every step maps what the step before made.
+    """
+    split = F.transform(F.slice(F.split(value, "\t"), 2, 1 << 30), lambda c: F.split(F.trim(c), ","))
+    number = lambda p, i, kind: F.when(F.size(p) == 3, F.get(p, i).try_cast(kind))
+    read = F.transform(split, lambda p: F.struct(number(p, 0, "int").alias("year"), number(p, 1, "bigint").alias("freq"), number(p, 2, "bigint").alias("doc")))
+    return F.transform(read, lambda y: F.when(y["year"].isNotNull() & y["freq"].isNotNull() & y["doc"].isNotNull(), y))
 
 
 def _totals(parsed: DataFrame) -> DataFrame:
@@ -33,12 +37,11 @@ def parse_strict(lines: DataFrame, tagged: bool = True) -> tuple[DataFrame, Data
     in tagged mode one token without underscore, makes the whole line bad; bad lines are returned,
     never a reason to stop.
     """
-    toks = tk.tokens(F.get(F.split("value", "\t"), 0))
-    years = _cells(F.col("value"))
+    toks = tk.tokens(F.substring_index("value", "\t", 1))
     good = ~F.exists("years", lambda y: y.isNull())
     if tagged:
         good &= F.forall("toks", lambda t: t.contains("_"))
-    read = lines.select("value", toks.alias("toks"), years.alias("years")).withColumn("good", good)
+    read = _once(_once(lines.select("value"), "years", _cells(F.col("value"))), "toks", toks).withColumn("good", good)
     split = F.transform("toks", lambda t: F.struct(tk.word_of(t).alias("word"), tk.pos_of(t).alias("pos")) if tagged else F.struct(t.alias("word"), F.lit(None).cast("string").alias("pos")))
     return _totals(read.where("good").select(split.alias("tokens"), "years")), read.where(~F.col("good")).select("value")
 
@@ -48,9 +51,9 @@ def parse_tolerant(lines: DataFrame, kind: str = "all") -> DataFrame:
 
     The n-gram type is tested before any number is parsed.
     """
-    ngram = F.get(F.split("value", "\t"), 0)
-    own = lines.where(F.col("value").contains("\t") & (F.trim("value") != "")).where(tk.ngram_type(kind)(ngram))
-    return _totals(own.select(ngram.alias("ngram"), F.filter(_cells(F.col("value")), lambda y: y.isNotNull()).alias("years")))
+    own = lines.where(F.col("value").contains("\t") & (F.trim("value") != "")).select("value", F.substring_index("value", "\t", 1).alias("ngram"))
+    own = own.where(tk.ngram_type(kind)(F.col("ngram")))
+    return _totals(_once(own, "years", F.filter(_cells(F.col("value")), lambda y: y.isNotNull())).select("ngram", "years"))
 
 
 def to_long(records: DataFrame, ngram: Column | str = "ngram") -> DataFrame:
@@ -108,30 +111,68 @@ def lemmatise(toks: DataFrame, lemmas: DataFrame, default_pos: str | None = "n")
     return joined.withColumn("word", F.coalesce("lemma", "word")).drop("_pos", "_surface", "_lpos", "lemma", "pos")
 
 
-def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
-    """``df`` with a column that is computed once, however often it is used: generators aren't merged with what follows."""
-    return df.select("*", F.explode(F.array(column)).alias(name))
+def token_reasons(words: DataFrame, spec: tk.TokenFilter, vocabulary: DataFrame) -> DataFrame:
+    """(token, reason) of distinct tokens (column token), each decided once; ``vocabulary`` (column word) is a table of any size.
+
+    A token outside the vocabulary (compared in lower case) fails as ``vocab``, before any other test; a null reason passes.
+    Spark broadcasts the smaller side where its size allows and joins by hash otherwise.
+    """
+    known = vocabulary.select(F.lower("word").alias("_low")).distinct().withColumn("_known", F.lit(True))
+    own = words.select("token").distinct().withColumn("_low", F.lower("token")).join(known, "_low", "left")
+    return own.select("token", F.when(F.col("_known").isNull(), F.lit("vocab")).otherwise(spec.reason(F.col("token"))).alias("reason"))
 
 
-def filter_counts(ngrams: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2) -> DataFrame:
-    """One row: tokens dropped for each reason, and n-grams dropped."""
-    out = _once(ngrams.select("ngram"), "reasons", F.transform(tk.tokens(F.col("ngram")), spec.reason))
-    hits = lambda name: F.sum(F.size(F.filter("reasons", lambda r: r == name))).cast("long").alias(f"dropped_{name}")
+def decided(ngrams: DataFrame, spec: tk.TokenFilter, vocabulary: DataFrame) -> DataFrame:
+    """(ngram, marks) of distinct n-grams: a struct (token, reason) for each token, in order.
+
+    The tokens of distinct n-grams are looked up in the dictionary of decided tokens, and folded back by n-gram: a token's
+    tests run once, not once an occurrence, and no list of words is part of the plan. A frequent token is many rows on one side of
+    that join and one on the other, so adaptive execution can split it.
+    """
+    each = ngrams.select("ngram").distinct().select("ngram", F.posexplode_outer(tk.tokens(F.col("ngram"))).alias("at", "token"))
+    reasons = token_reasons(each.where("token is not null"), spec, vocabulary)
+    marks = F.filter(F.sort_array(F.collect_list(F.struct("at", "token", "reason"))), lambda m: m["token"].isNotNull())
+    out = each.join(reasons, "token", "left").groupBy("ngram").agg(marks.alias("marks"))
+    return out.select("ngram", F.transform("marks", lambda m: F.struct(m["token"].alias("token"), m["reason"].alias("reason"))).alias("marks"))
+
+
+def filter_counts(ngrams: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2, vocabulary: DataFrame | None = None) -> DataFrame:
+    """One row: tokens dropped for each reason, and n-grams dropped; with a ``vocabulary`` table, its test comes first."""
+    if vocabulary is None:
+        out = _once(ngrams.select("ngram", F.lit(1).alias("n")), "reasons", F.transform(tk.tokens(F.col("ngram")), spec.reason))
+    else:
+        rows = ngrams.groupBy("ngram").agg(F.count("*").alias("n"))
+        out = rows.join(decided(ngrams, spec, vocabulary), "ngram").select("n", F.transform("marks", lambda m: m["reason"]).alias("reasons"))
+    hits = lambda name: F.coalesce(F.sum(F.col("n") * F.size(F.filter("reasons", lambda r: r == name))), F.lit(0)).cast("long").alias(f"dropped_{name}")
     passed = F.size(F.filter("reasons", lambda r: r.isNull()))
-    return out.agg(*(hits(n) for n in ("stop", "short", "numeral", "nonalpha", "vocab")), F.count_if((passed < min_tokens) | (passed == 0)).alias("dropped_ngrams"))
+    lost = F.coalesce(F.sum(F.when((passed < min_tokens) | (passed == 0), F.col("n"))), F.lit(0)).cast("long")
+    return out.agg(*(hits(n) for n in ("stop", "short", "numeral", "nonalpha", "vocab")), lost.alias("dropped_ngrams"))
+
+
+def filter_ngrams(corpus: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2, unk: str | None = None, count_unk: bool = True, vocabulary: DataFrame | None = None) -> DataFrame:
+    """The corpus with filtered n-grams, consolidated. ``vocabulary`` is a table of the words (column word) that may stay."""
+    if vocabulary is None:
+        out = _once(corpus, "_marks", tk.marked(tk.tokens(F.col("ngram")), spec))
+        kept = _once(out, "_kept", tk.survivors(F.col("_marks"), min_tokens, unk, count_unk)).where("_kept is not null")
+    else:
+        kept = corpus.join(_survivors(decided(corpus, spec, vocabulary), min_tokens, unk, count_unk), "ngram")
+    return consolidate(kept.withColumn("ngram", F.col("_kept")))
 
 
-def filter_ngrams(corpus: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2, unk: str | None = None, count_unk: bool = True) -> DataFrame:
-    """The corpus with filtered n-grams, consolidated."""
-    out = _once(corpus, "_marks", tk.marked(tk.tokens(F.col("ngram")), spec))
-    return consolidate(_once(out, "_kept", tk.survivors(F.col("_marks"), min_tokens, unk, count_unk)).where("_kept is not null").withColumn("ngram", F.col("_kept")))
+def _survivors(marked: DataFrame, min_tokens: int, unk: str | None, count_unk: bool) -> DataFrame:
+    """(ngram, _kept) of decided n-grams that stay."""
+    marks = F.transform("marks", lambda m: F.when(m["reason"].isNull(), m["token"]))
+    return marked.select("ngram", tk.survivors(marks, min_tokens, unk, count_unk).alias("_kept")).where("_kept is not null")
 
 
-def fused(lines: DataFrame, kind: str, spec: tk.TokenFilter, min_tokens: int = 1, lower: bool = True, unk: str | None = None) -> DataFrame:
-    """Raw lines to a consolidated corpus in one plan: type, tags off, lower case, filter, sum."""
+def fused(lines: DataFrame, kind: str, spec: tk.TokenFilter, min_tokens: int = 1, lower: bool = True, unk: str | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Raw lines to a consolidated corpus in one plan: type, tags off, lower case, filter (also by a vocabulary table), sum."""
     own = parse_tolerant(lines, kind)
     toks = F.transform(tk.tokens(F.col("ngram")), lambda t: tk.split_known_tag(t)["word"])
     toks = F.transform(toks, F.lower) if lower else toks
+    if vocabulary is not None:
+        plain = to_long(own.select(F.array_join(toks, " ").alias("ngram"), "years"))
+        return filter_ngrams(plain, spec, min_tokens, unk, count_unk=False, vocabulary=vocabulary)
     out = _once(own, "_marks", tk.marked(toks, spec))
     out = _once(out, "_kept", tk.survivors(F.col("_marks"), min_tokens, unk, count_unk=False)).where("_kept is not null")
     return consolidate(to_long(out, "_kept"))

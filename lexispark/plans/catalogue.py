@@ -160,6 +160,37 @@ def fused_pipeline(spark, sf) -> DataFrame:
     return corpus.fused(fx.raw_line(spark, sf), "tagged", SPEC)
 
 
+def _common(spark, sf) -> DataFrame:
+    """A vocabulary that grows with the corpus: words in lower case that occur in two years or more, stop words and all."""
+    words = fx.tok(spark, sf).select(F.lower("word").alias("word"), "year").distinct()
+    return words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
+
+
+_COMMON = "voc AS (SELECT lower(word) AS word FROM tok GROUP BY 1 HAVING count(DISTINCT year) > 1)"
+_BY_WORD = f"""WITH {_COMMON}, p AS (SELECT *, string_split(ngram, ' ')[1] AS t1, string_split(ngram, ' ')[2] AS t2 FROM ng2),
+r AS (SELECT p.*, CASE WHEN a.word IS NULL THEN 'vocab' ELSE {_reason('t1')} END AS r1, CASE WHEN b.word IS NULL THEN 'vocab' ELSE {_reason('t2')} END AS r2
+  FROM p LEFT JOIN voc a ON a.word = lower(t1) LEFT JOIN voc b ON b.word = lower(t2))"""
+
+
+@query(f"""{_BY_WORD} SELECT {', '.join(f"CAST(count(*) FILTER (WHERE r1 = '{x}') + count(*) FILTER (WHERE r2 = '{x}') AS BIGINT) AS dropped_{x}" for x in ('stop', 'short', 'numeral', 'nonalpha', 'vocab'))},
+count(*) FILTER (WHERE r1 IS NOT NULL OR r2 IS NOT NULL) AS dropped_ngrams FROM r""", "tok", "ng2")
+def vocabulary_drop_counts(spark, sf) -> DataFrame:
+    """Reasons with a vocabulary table, whose test comes first."""
+    return corpus.filter_counts(fx.ng2(spark, sf), SPEC, min_tokens=2, vocabulary=_common(spark, sf))
+
+
+@query(f"""{_BY_WORD} SELECT concat(CASE WHEN r1 IS NULL THEN t1 ELSE 'UNK' END, ' ', CASE WHEN r2 IS NULL THEN t2 ELSE 'UNK' END) AS ngram, year, CAST(sum(freq) AS BIGINT) AS freq, CAST(sum(doc) AS BIGINT) AS doc
+FROM r WHERE r1 IS NULL OR r2 IS NULL GROUP BY 1, 2""", "tok", "ng2")
+def vocabulary_filter(spark, sf) -> DataFrame:
+    return corpus.filter_ngrams(fx.ng2(spark, sf), SPEC, 2, unk="UNK", vocabulary=_common(spark, sf))
+
+
+@query(f"""WITH {_COMMON}, {_PARSED}, w AS (SELECT lower(regexp_extract(ngram, '^(.*)_([^_]*)$', 1)) AS word, year, freq, doc FROM n WHERE year IS NOT NULL)
+SELECT word AS ngram, CAST(year AS INT) AS year, CAST(sum(freq) AS BIGINT) AS freq, CAST(sum(doc) AS BIGINT) AS doc FROM w WHERE word IN (SELECT word FROM voc) AND {_reason('word')} IS NULL GROUP BY 1, 2""", "tok", "raw_line")
+def vocabulary_fused(spark, sf) -> DataFrame:
+    return corpus.fused(fx.raw_line(spark, sf), "tagged", SPEC, vocabulary=_common(spark, sf))
+
+
 @query(f"""SELECT CASE WHEN length(w) < 3 OR NOT regexp_matches(w, '^\\p{{L}}+$') OR w IN {_STOPS_SQL} THEN '<UNK>' ELSE w END AS ngram, count(*) AS n FROM (SELECT lower(word) AS w FROM tok) GROUP BY 1""", "tok")
 def key_normalize(spark, sf) -> DataFrame:
     key = tk.normalised_key(F.col("word"), lower=True, alpha=True, shorts=3, stops=STOPS)

@@ -43,7 +43,8 @@ def raw_line(spark: SparkSession, sf: str) -> DataFrame:
     cells = F.transform(F.sort_array(F.collect_list(F.struct("year", "freq", "doc"))), lambda y: F.concat_ws(",", y["year"], y["freq"], y["doc"]))
     rows = ng1(spark, sf).groupBy("ngram").agg(F.array_join(cells, "\t").alias("cells"))
     bad = F.when(F.length("ngram") % 7 == 0, F.lit("\tbad")).otherwise("")
-    return rows.select(F.concat("ngram", F.lit("_"), tag, F.lit("\t"), "cells", bad).alias("value"))
+    # As a file's line would be: a value of its own, not an expression that every reader computes again.
+    return rows.select(F.explode(F.array(F.concat("ngram", F.lit("_"), tag, F.lit("\t"), "cells", bad))).alias("value"))
 
 
 def emb(spark: SparkSession, sf: str) -> DataFrame:
