@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.vectors import norm
-from ..operators import alignment, corpus, evaluation, order, series, training, vectors, vocabularies
+from ..operators import alignment, buckets, corpus, evaluation, order, series, training, vectors, vocabularies
 from ..streaming import incremental
 from . import fixtures as fx
 from .fixtures import with_sql
@@ -267,6 +267,36 @@ def bucket_assign(spark, sf) -> DataFrame:
     return order.assign_buckets(own, bucketed, 3).groupBy("bucket").agg(F.count("*").alias("n"), F.min("prefix").alias("first_prefix"), F.max("prefix").alias("last_prefix"))
 
 
+_KEY5 = "concat(" + ", ".join(f"coalesce(nullif(regexp_extract(lower(coalesce(string_split(ngram, ' ')[{i}], '')), '^[a-z]'), ''), '_')" for i in range(1, 6)) + ")"
+#: The recursive twin: a prefix over the target is split, level by level; the target is moved up to five times.
+_CUT = f"""k AS (SELECT {_KEY5} AS key, ngram, freq FROM ng2), h AS (SELECT key, count(*) AS total FROM k GROUP BY 1),
+y AS (SELECT l, substr(key, 1, CAST(l AS INT)) AS prefix, CAST(sum(total) AS BIGINT) AS total FROM h, (SELECT unnest(range(0, 4)) AS l) GROUP BY 1, 2),
+o AS (SELECT a.*, b.total AS above FROM y a LEFT JOIN y b ON b.l = a.l - 1 AND b.prefix = substr(a.prefix, 1, CAST(a.l - 1 AS INT))),
+t AS (SELECT 0 AS i, CAST((SELECT sum(total) FROM h) AS DOUBLE) / 20 AS target UNION ALL
+  SELECT i + 1, CASE WHEN n > 20 THEN target * 1.1 ELSE target * 0.9 END FROM (SELECT i, target, (SELECT count(*) FROM o WHERE (o.total <= t.target OR l = 3) AND (above IS NULL OR above > t.target)) AS n FROM t WHERE i < 5) WHERE n <> 20),
+c AS (SELECT l, prefix, total FROM y WHERE l = 0 UNION ALL SELECT y.l, y.prefix, y.total FROM c JOIN y ON y.l = c.l + 1 AND starts_with(y.prefix, c.prefix) WHERE c.l < 3 AND c.total > (SELECT arg_max(target, i) FROM t)),
+b AS (SELECT prefix, total FROM c WHERE l = 3 OR total <= (SELECT arg_max(target, i) FROM t))"""
+
+
+def _partition(spark, sf) -> DataFrame:
+    return buckets.partition(order.prefix_histogram(fx.ng2(spark, sf), 5), 20, 3)
+
+
+@query(f"WITH {_CUT} SELECT prefix, total, row_number() OVER (ORDER BY prefix) - 1 AS ord FROM b", "ng2")
+def prefix_partition(spark, sf) -> DataFrame:
+    return _partition(spark, sf)
+
+
+@query(f"""WITH {_CUT}, m AS (SELECT prefix, 10 - length(prefix) AS ord FROM b UNION ALL SELECT chr(CAST(97 + u AS INT)), 5 FROM (SELECT unnest(range(0, 13)) AS u)),
+f AS (SELECT k.key, min((m.ord, m.prefix)) AS m FROM (SELECT DISTINCT key FROM k) k JOIN m ON starts_with(k.key, m.prefix) GROUP BY 1)
+SELECT f.m[2] AS bucket, count(*) AS n, CAST(sum(k.freq) AS BIGINT) AS freq FROM k LEFT JOIN f ON f.key = k.key GROUP BY 1""", "ng2")
+def bucket_first_match(spark, sf) -> DataFrame:
+    """N-grams by the first match in a list of overlapping prefixes: the letters a-m, then longer buckets before shorter ones."""
+    cut = _partition(spark, sf).select("prefix", (10 - F.length("prefix")).cast("long").alias("ord"))
+    letters = spark.range(13).select(F.char((97 + F.col("id")).cast("int")).alias("prefix"), F.lit(5).cast("long").alias("ord"))
+    return buckets.first_match(fx.ng2(spark, sf), cut.union(letters)).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("freq").alias("freq"))
+
+
 # --- order, windows, samples -------------------------------------------------------------------------
 
 

@@ -73,4 +73,5 @@ def with_sql(body: str, *names: str) -> str:
     order = [n for n in SQL if n in names or any(n in need.get(m, ()) for m in names)]
     own = ", ".join(SQL[n] for n in order)
     body = body.strip()
+    own = f"RECURSIVE {own}" if "UNION ALL" in body else own
     return f"WITH {own}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {own} {body}"

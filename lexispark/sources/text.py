@@ -183,6 +183,22 @@ def read_buckets(spark: SparkSession, paths) -> DataFrame:
     return spark.read.text(paths).select(F.get(p, 0).alias("prefix"), F.get(p, 1).try_cast("bigint").alias("bucket")).where("bucket is not null")
 
 
+def read_bucket_list(spark: SparkSession, path: str) -> DataFrame:
+    """(prefix, total, ord) of a JSON file with one array of prefixes, or of pairs of a prefix and its total, in the array's order."""
+    items = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("at", "item"))
+    pair = F.from_json("item", "array<string>")
+    is_pair = F.startswith("item", F.lit("["))
+    return items.select(F.when(is_pair, F.get(pair, 0)).otherwise(F.col("item")).alias("prefix"), F.when(is_pair, F.get(pair, 1).try_cast("bigint")).alias("total"), F.col("at").cast("long").alias("ord"))
+
+
+def write_bucket_list(buckets: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON array of [prefix, total] in the order ``ord``; a list of buckets is small."""
+    pair = F.to_json(F.struct(F.col("prefix").alias("p"), F.col("total").alias("t")))
+    pair = F.regexp_replace(F.regexp_replace(F.regexp_replace(pair, r'^\{"p":', "["), r',"t":(\d+)\}$', ",$1]"), r"\}$", "]")
+    whole = buckets.agg(F.sort_array(F.collect_list(F.struct("ord", pair.alias("pair")))).alias("b"))
+    whole.select(F.concat(F.lit("["), F.array_join(F.transform("b", lambda x: x["pair"]), ","), F.lit("]")).alias("value")).coalesce(1).write.mode(mode).text(path)
+
+
 def write_vocabulary(vocabulary: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Two forms of a vocabulary (ngram, freq_tot, idx): its n-grams as lines, and the whole as a Parquet table to look up by n-gram."""
     vocabulary.select("ngram").write.mode(mode).text(f"{folder}/match_list")
