@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.vectors import norm
-from ..operators import alignment, buckets, corpus, evaluation, order, series, training, vectors, vocabularies
+from ..operators import alignment, buckets, corpus, evaluation, order, series, training, vectors, vocabularies, word2vec
 from ..streaming import incremental
 from . import fixtures as fx
 from .fixtures import with_sql
@@ -640,6 +640,13 @@ def w2v_train_cbow(spark, sf) -> DataFrame:
     return training.train(windows, vector_size=16, approach="CBOW", epochs=2)
 
 
+@query()
+def w2v_train_blocks(spark, sf) -> DataFrame:
+    """Every year by nine blocks, three at a time."""
+    pairs = training.cooccurrences(fx.ng2(spark, sf), window=1, weight_by="freq", min_count=5)
+    return word2vec.train(pairs, vector_size=16, epochs=2, blocks=3)
+
+
 _PAIRS = [("w1", "w2", 7.5), ("w3", "w4", 2.0), ("w5", "w6", 9.1), ("w7", "w8", 4.4), ("w9", "w10", 5.0)]
 _QUESTIONS = [("w1", "w2", "w3", "w4"), ("w5", "w6", "w7", "w8"), ("w9", "w10", "w11", "w12"), ("w2", "w1", "w3", "w9")]
 
