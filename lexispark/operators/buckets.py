@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tokens import prefix_key, tokens
+from ..sources.shared import Steps
 
 
 def prefix_totals(histogram: DataFrame) -> DataFrame:
-    """(prefix, length, total, above, deepest) of every prefix of the keys of a histogram (prefix, total): ``above`` is the total of the prefix one letter shorter, null for the empty one."""
+    """(prefix, length, total, above) of every prefix of the keys, all of one length, of a histogram (prefix, total).
+
+    ``above`` is the total of the prefix one letter shorter, which is that of all its extensions; null for the empty one.
+    """
     every = histogram.select("prefix", "total", F.explode(F.sequence(F.lit(0), F.length("prefix"))).alias("length"))
-    sums = every.groupBy("length", F.expr("left(prefix, length)").alias("prefix")).agg(F.sum("total").alias("total"), F.max(F.length(every["prefix"])).alias("deepest"))
-    above = sums.select((F.col("length") + 1).alias("length"), F.col("prefix").alias("_p"), F.col("total").alias("above"))
-    own = sums.withColumn("_p", F.expr("left(prefix, length - 1)"))
-    return own.join(above, ["length", "_p"], "left").select("prefix", "length", "total", "above", "deepest")
+    sums = every.groupBy("length", F.expr("left(prefix, length)").alias("prefix")).agg(F.sum("total").alias("total"))
+    siblings = Window.partitionBy("length", F.expr("left(prefix, length - 1)"))  # at most 27
+    return sums.select("prefix", "length", "total", F.when(F.col("length") > 0, F.sum("total").over(siblings)).alias("above"))
 
 
 def partition(histogram: DataFrame, n: int = 20, max_depth: int = 3, rounds: int = 5) -> DataFrame:
@@ -28,26 +31,28 @@ def partition(histogram: DataFrame, n: int = 20, max_depth: int = 3, rounds: int
     From the root, a prefix with more than the target is split into its extensions, down to ``max_depth`` letters and never to
     whole keys. Totals shrink downwards, so a prefix is a bucket if the one above it is over the target, and it itself isn't or can't be split.
     The target is the share of one of n, and grows or shrinks by a tenth up to ``rounds`` times while there are too many or too few buckets.
-    All targets that can come up that way are counted in one pass, so the histogram isn't read again for each. Buckets don't overlap,
+    The histogram is made once: its prefix sums are a table, and all targets that can come up are counted in one pass over that. Buckets don't overlap,
     and every key has one. An empty histogram gives none.
     """
-    every = prefix_totals(histogram)
-    whole = every.where("length = 0").select(F.col("total").alias("whole"), F.least(F.lit(max_depth), F.greatest(F.col("deepest") - 1, F.lit(0))).alias("most"))
-    every = every.join(F.broadcast(whole), F.lit(True))  # one row
-
-    def is_bucket(target: Column) -> Column:
-        return (F.col("length") <= F.col("most")) & ((F.col("total") <= target) | (F.col("length") == F.col("most"))) & F.coalesce(F.col("above") > target, F.lit(True))
-
-    # Targets as a binary heap: from the k-th on, the 2k-th is a tenth larger and the next a tenth smaller.
-    targets: list[Column] = [F.col("whole") / n]
-    for k in range(1, 1 << rounds):
-        targets += [targets[k - 1] * 1.1, targets[k - 1] * 0.9]
-    found = every.agg(F.max("whole").alias("whole"), F.array(*(F.count_if(is_bucket(t)) for t in targets)).alias("counts"))
-    here = lambda k: F.get("counts", k - 1)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(1), lambda k, _: F.when(here(k) > n, 2 * k).when(here(k) < n, 2 * k + 1).otherwise(k)) if rounds else F.lit(1)
-    chosen = found.select(F.get(F.array(*targets), walk - 1).alias("target"))
-    out = every.join(F.broadcast(chosen), F.lit(True)).where(is_bucket(F.col("target")))  # one row
-    return out.select("prefix", "total", (F.row_number().over(Window.orderBy("prefix")) - 1).cast("long").alias("ord"))  # at most 27 ** max_depth rows
+    with Steps(histogram.sparkSession, "buckets") as steps:
+        every = steps.table(prefix_totals(histogram), "sums")
+        whole, deepest = every.agg(F.max("total"), F.max("length")).first()
+        most = min(max_depth, max(0, (deepest or 0) - 1))
+
+        def is_bucket(target: float) -> Column:
+            return (F.col("length") <= most) & ((F.col("total") <= target) | (F.col("length") == most)) & (F.col("above").isNull() | (F.col("above") > target))
+
+        # Targets as a binary heap: from the k-th on, the 2k-th is a tenth larger and the next a tenth smaller.
+        targets = [(whole or 0) / n]
+        for k in range(1, 1 << rounds):
+            targets += [targets[k - 1] * 1.1, targets[k - 1] * 0.9]
+        counts, at = every.agg(*(F.count_if(is_bucket(t)) for t in targets)).first(), 1
+        for _ in range(rounds):
+            if counts[at - 1] != n:
+                at = 2 * at + (counts[at - 1] < n)
+        out = every.where(is_bucket(targets[at - 1]))
+        order = Window.orderBy("prefix")  # at most 27 ** max_depth rows
+        return steps.keep(out.select("prefix", "total", (F.row_number().over(order) - 1).cast("long").alias("ord")))
 
 
 def initials(ngram: Column, depth: int = 5) -> Column:

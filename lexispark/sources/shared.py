@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; there is no other folder that every executor is sure to reach."""
+    """What ``spark.checkpoint.dir`` names; there is no other folder that every executor is sure to reach.
+
+    Only in local mode, where there is one machine, may it be unset: a temporary folder is made and set.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="lexispark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
