@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.tokens import prefix_key, tokens
 from ..sources.shared import Steps
+from .corpus import _once
 
 
 def prefix_totals(histogram: DataFrame) -> DataFrame:
@@ -63,12 +64,15 @@ def initials(ngram: Column, depth: int = 5) -> Column:
 def first_match(ngrams: DataFrame, prefixes: DataFrame, depth: int = 5, key: Column | None = None) -> DataFrame:
     """Every n-gram with ``bucket``, the first prefix in the order ``ord`` of a list (prefix, ord) that its key begins with; null if none does.
 
-    Distinct keys are few, so their beginnings meet the list by equality, the smallest ``ord`` wins, and n-grams meet their key.
-    Prefixes may overlap and differ in length; they count in lower case, and of equal ones the first. ``key`` is ``prefix_key`` of ``depth`` letters, as in
-    histograms, or another column, such as ``initials``.
+    The list meets n-grams by equality, once for each length of prefix that occurs in it (few), and the smallest ``ord`` wins; where Spark
+    can broadcast the list, n-grams aren't shuffled. Prefixes may overlap; they count in lower case, and of equal ones the first. ``key`` is
+    ``prefix_key`` of ``depth`` letters, as in histograms, or another column, such as ``initials``.
     """
-    rows = ngrams.withColumn("_key", prefix_key(tokens(F.col("ngram")), depth) if key is None else key)
-    begins = rows.select("_key").distinct().select("_key", F.explode(F.transform(F.sequence(F.lit(0), F.length("_key")), lambda i: F.left("_key", i))).alias("_prefix"))
-    listed = prefixes.groupBy(F.lower("prefix").alias("_prefix")).agg(F.min(F.struct("ord", "prefix")).alias("_m"))
-    matched = begins.join(listed, "_prefix").groupBy("_key").agg(F.min("_m").alias("_m"))
-    return rows.join(matched, "_key", "left").withColumn("bucket", F.col("_m.prefix")).drop("_key", "_m")
+    rows = _once(ngrams, "_key", prefix_key(tokens(F.col("ngram")), depth) if key is None else key)
+    listed = prefixes.groupBy(F.lower("prefix").alias("_begin")).agg(F.min(F.struct("ord", "prefix")).alias("_m"))
+    lengths = sorted(r[0] for r in listed.select(F.length("_begin")).distinct().collect())
+    for i in lengths:
+        own = listed.where(F.length("_begin") == i).select(F.col("_begin").alias(f"_b{i}"), F.col("_m").alias(f"_m{i}"))
+        rows = rows.join(own, F.left("_key", F.lit(i)) == F.col(f"_b{i}"), "left")
+    found = F.array_min(F.array_compact(F.array(*(f"_m{i}" for i in lengths)))) if lengths else F.lit(None).cast("struct<ord:bigint,prefix:string>")
+    return rows.withColumn("bucket", found["prefix"]).drop("_key", *(f"_{c}{i}" for i in lengths for c in "bm"))
