@@ -46,14 +46,14 @@ def parse_strict(lines: DataFrame, tagged: bool = True) -> tuple[DataFrame, Data
     return _totals(read.where("good").select(split.alias("tokens"), "years")), read.where(~F.col("good")).select("value")
 
 
-def parse_tolerant(lines: DataFrame, kind: str = "all") -> DataFrame:
-    """ngram and years of raw lines; blank lines and lines without TAB go, bad cells go one by one.
+def parse_tolerant(lines: DataFrame, kind: str = "all", carry: tuple[str, ...] = ()) -> DataFrame:
+    """ngram and years of raw lines, with the columns ``carry``; blank lines and lines without TAB go, bad cells go one by one.
 
     The n-gram type is tested before any number is parsed.
     """
-    own = lines.where(F.col("value").contains("\t") & (F.trim("value") != "")).select("value", F.substring_index("value", "\t", 1).alias("ngram"))
+    own = lines.where(F.col("value").contains("\t") & (F.trim("value") != "")).select(*carry, "value", F.substring_index("value", "\t", 1).alias("ngram"))
     own = own.where(tk.ngram_type(kind)(F.col("ngram")))
-    return _totals(_once(own, "years", F.filter(_cells(F.col("value")), lambda y: y.isNotNull())).select("ngram", "years"))
+    return _totals(_once(own, "years", F.filter(_cells(F.col("value")), lambda y: y.isNotNull())).select(*carry, "ngram", "years"))
 
 
 def to_long(records: DataFrame, ngram: Column | str = "ngram") -> DataFrame:

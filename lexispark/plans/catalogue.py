@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.vectors import norm
 from ..operators import alignment, buckets, corpus, evaluation, order, series, training, vectors, vocabularies, word2vec
+from ..sources import shards
+from ..sources.shared import shared_folder
 from ..streaming import incremental
 from . import fixtures as fx
 from .fixtures import with_sql
@@ -392,6 +396,31 @@ def incremental_ingest(spark, sf) -> DataFrame:
     return out
 
 
+def _shards(spark, sf) -> str:
+    """The raw lines as LZ4 shards, each n-gram's line after one that it replaces."""
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex[:12]}"
+    old = F.concat(F.substring_index("value", "\t", 1), F.lit("\t1999,1,1"))
+    lines = fx.raw_line(spark, sf).repartition(8, "value").select(F.explode(F.array(old, "value")).alias("value"))
+    shards.write_shards(lines, path)
+    return path
+
+
+_NOTHING = "ngram string, year int, freq long, doc long"
+
+
+@query(f"WITH {_PARSED} SELECT ngram, CAST(year AS INT) AS year, freq, doc FROM n WHERE year IS NOT NULL", "raw_line")
+def shard_ingest(spark, sf) -> DataFrame:
+    """Shards written by the sink and taken in by the source: the last line of an n-gram wins."""
+    done = spark.createDataFrame([], "file string")
+    return incremental.ingest_shards(spark, _shards(spark, sf), done, spark.createDataFrame([], _NOTHING), "tagged", seed=3)[0]
+
+
+@query("SELECT 2 * count(*) AS lines, count(*) AS entries, 0 AS errors FROM raw_line", "raw_line")
+def shard_report(spark, sf) -> DataFrame:
+    lines = shards.read_shards(spark, _shards(spark, sf))
+    return incremental.shard_report(lines, incremental.shard_entries(lines)).agg(*(F.sum(c).alias(c) for c in ("lines", "entries", "errors")))
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf) -> DataFrame:
     return incremental.windowed_events(spark.read.parquet(f"{sf}/events.parquet")).withColumn("total", F.round("total", 4))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.corpus import merge
+from ..operators.corpus import last_wins, merge, parse_tolerant, to_long
 from ..operators.vocabularies import pending
+from ..sources import shards
 
 
 def ingest(spark: SparkSession, shards: DataFrame, manifest: DataFrame, corpus: DataFrame, read) -> tuple[DataFrame, DataFrame]:
@@ -16,6 +17,30 @@ def ingest(spark: SparkSession, shards: DataFrame, manifest: DataFrame, corpus:
     return merge(corpus, read(fresh)), manifest.select("file").union(fresh.select("file")).distinct()
 
 
+def shard_entries(lines: DataFrame, kind: str = "all") -> DataFrame:
+    """file, ngram, years of lines (file, line, value) of shards; of an n-gram's lines in one shard the last wins."""
+    parsed = parse_tolerant(lines.where("value is not null"), kind, ("file", "line")).where(F.size("years") > 0)
+    return last_wins(parsed.select("file", "ngram", "line", "years"), ["file", "ngram"], ["line"]).select("file", "ngram", "years")
+
+
+def shard_report(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per shard: lines read, entries kept, and lines that couldn't be read."""
+    read = lines.groupBy("file").agg(F.count_if(F.col("error").isNull()).alias("lines"), F.count("error").alias("errors"))
+    kept = entries.groupBy("file").agg(F.count("*").alias("entries"))
+    return read.join(kept, "file", "left").select("file", "lines", F.coalesce("entries", F.lit(0)).alias("entries"), "errors")
+
+
+def ingest_shards(spark: SparkSession, path: str, manifest: DataFrame, corpus: DataFrame, kind: str = "all", **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(corpus, manifest, report) after the shards of a folder that the manifest (column file) lacks; ``options`` as of ``read_shards``.
+
+    An n-gram that several shards hold is summed. The manifest is a list of shard names, some ten thousand at most.
+    """
+    lines = shards.read_shards(spark, path, done=sorted(r["file"] for r in manifest.select("file").distinct().collect()), **options)
+    entries = shard_entries(lines, kind)
+    report = shard_report(lines, entries)
+    return merge(corpus, to_long(entries)), manifest.select("file").union(report.select("file")).distinct(), report
+
+
 def stream_totals(counts: DataFrame) -> DataFrame:
     """Running totals of a stream (or table) of (ngram, year, freq, doc)."""
     return counts.groupBy("ngram", "year").agg(F.sum("freq").alias("freq"), F.sum("doc").alias("doc"))
