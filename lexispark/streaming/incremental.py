@@ -46,21 +46,71 @@ def stream_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("ngram", "year").agg(F.sum("freq").alias("freq"), F.sum("doc").alias("doc"))
 
 
+#: Keeps keyed state on the executors' disks, with changes in the checkpoint, instead of on the heap.
+STATE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_stream(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Take in all files there are, each once; every batch merges its sums into the table at ``path``.
+    """Take in all files there are, each once, into the table of totals at ``path`` (read it by ``current``).
 
-    A batch writes a version of its own (path/v=<batch>) from the one before, so a batch that is
-    tried again gives the same table.
+    Running sums are keyed state; a batch writes the totals of its own keys alone, as path/changes/v=<batch>, so its cost follows
+    the batch and not the table. A batch that is tried again writes the same version again, and a query that is
+    started anew goes on from its checkpoint.
     """
     spark = counts.sparkSession
 
     def add(batch: DataFrame, i: int) -> None:
-        own = stream_totals(batch)
-        if i:
-            own = merge(own, spark.read.parquet(f"{path}/v={i - 1}"))
-        own.write.mode("overwrite").parquet(f"{path}/v={i}")
+        batch.write.mode("overwrite").parquet(f"{path}/changes/v={i}")
+
+    was = spark.conf.get(STATE[0])
+    spark.conf.set(*STATE)
+    try:
+        return stream_totals(counts).writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE[0], was)
+
+
+def versions(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """(version of the newest complete base or -1, versions of complete changes after it)."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def complete(kind: str) -> list[int]:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}")
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/{n}/_SUCCESS")))
 
-    return counts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    base = max(complete("base"), default=-1)
+    return base, [v for v in complete("changes") if v > base]
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table of totals: of each key the row of its last version."""
+    base, changes = versions(spark, path)
+    kind = "ngram string, year int, freq long, doc long"
+    rows = spark.createDataFrame([], f"{kind}, version long")
+    for name, v in [("base", base)] * (base >= 0) + [("changes", v) for v in changes]:
+        rows = rows.union(spark.read.schema(kind).parquet(f"{path}/{name}/v={v}").withColumn("version", F.lit(v).cast("long")))
+    return last_wins(rows, ["ngram", "year"], ["version"]).select("ngram", "year", "freq", "doc")
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Write the table as one base, then drop what that holds; its version. To be run now and then, with the stream stopped or not.
+
+    The base counts once it is complete, so a compaction that breaks off changes nothing; what it should have dropped goes with the next one.
+    """
+    base, changes = versions(spark, path)
+    if changes:
+        base = changes[-1]
+        current(spark, path).write.mode("overwrite").parquet(f"{path}/base/v={base}")
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind, least in (("base", base), ("changes", base + 1)):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}")
+        for x in fs.listStatus(folder) if fs.exists(folder) else []:
+            if x.getPath().getName().startswith("v=") and int(x.getPath().getName()[2:]) < least:
+                fs.delete(x.getPath(), True)
+    return base
 
 
 def windowed_events(events: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:

@@ -210,19 +210,6 @@ def test_sources(spark, tmp_path):
     assert src.read_jsonl(spark, f"{tmp_path}/j").first()["freq_tot"] == 3
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [[("a", 1999, 1, 1), ("b", 1999, 2, 1)], [("a", 1999, 4, 2), ("a", 2000, 1, 1)]]
-    path, query_path = str(tmp_path / "in"), str(tmp_path / "out")
-    for r in rows:
-        spark.createDataFrame(r, CORPUS).coalesce(1).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(CORPUS).option("maxFilesPerTrigger", 1).parquet(path)
-        incremental.run_stream(stream, query_path, str(tmp_path / "c")).awaitTermination(120)
-    last = max(int(p.name[2:]) for p in (tmp_path / "out").glob("v=*"))
-    got = spark.read.parquet(f"{query_path}/v={last}").select("ngram", "year", "freq", "doc")
-    want = corpus.consolidate(spark.createDataFrame(rows[0] + rows[1], CORPUS))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and last == 1
-
-
 def test_queries_without_sql(spark):
     q = catalogue.queries()
     drawn = q["weat_permutations"](spark, SF).collect()
