@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..schema import EVALUATION
 from . import vectors as vec
+from .training import parse_model_name
 
 
 def similarity_scores(models: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -35,6 +37,20 @@ def evaluate(models: DataFrame, pairs: DataFrame, questions: DataFrame, done: Da
     return out if done is None else done.unionByName(out)
 
 
+def evaluation_rows(scores: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """The ten columns of an evaluation table (``schema.EVALUATION``): a model's parameters, from its name, and its scores.
+
+    A model whose name doesn't tell its parameters has no row. ``failed`` (model, error) are models that couldn't be read: they come as
+    rows without scores, and ``error`` says why (null for the others), so that nothing that was tried is missing.
+    """
+    rows = scores.select("model", "similarity_score", "analogy_score", F.lit(None).cast("string").alias("error"))
+    if failed is not None:
+        none = F.lit(None).cast("double")
+        rows = rows.unionByName(failed.select("model", none.alias("similarity_score"), none.alias("analogy_score"), "error"))
+    named = parse_model_name(rows.select("model").distinct()).where("year is not null")
+    return named.join(rows, "model").select(*EVALUATION.names, *(["error"] if failed is not None else []))
+
+
 def evaluate_into(path: str, models: DataFrame, pairs: DataFrame, questions: DataFrame, overwrite: bool = False) -> DataFrame:
     """Append the scores of new models to a CSV table of scores, or write it anew; the whole table."""
     spark, kind = models.sparkSession, "model string, similarity_score double, analogy_score double"

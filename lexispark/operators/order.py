@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tokens import prefix_key, tokens
+from ..sources.shared import Steps
 
 
 def global_sort(df: DataFrame, key: Column | None = None) -> DataFrame:
@@ -25,25 +26,21 @@ def top_vocabulary(totals: DataFrame, n: int) -> DataFrame:
     return top.withColumn("idx", F.row_number().over(Window.orderBy(F.col("freq_tot").desc(), "ngram")).cast("long"))
 
 
-def dense_index(totals: DataFrame, buckets_per_octave: int = 16, large: int = 1 << 20) -> DataFrame:
+def dense_index(totals: DataFrame) -> DataFrame:
     """idx = 1.. over all rows by freq_tot descending, then n-gram, without one task for all of them.
 
-    Rows are ranked inside buckets of like frequency (split further by the first two characters of
-    the n-gram, and by the first eight where these leave more than ``large``); the sizes of the buckets
-    before give each its offset. Buckets are few: octaves of the largest frequency times 16, times the
-    distinct beginnings.
+    Rows are cut into ranges of that order and sorted within them, once, as a table in the shared folder: a row's number there is its
+    range and its place in it. The sizes of the ranges before it make that its index; they are one row a range. However many rows have one
+    frequency or begin alike, ranges are even, as they are cut by the whole order.
     """
-    bucket = F.floor(F.log2(F.col("freq_tot") + 1) * buckets_per_octave)
-    rows = totals.withColumn("_b", bucket).withColumn("_f", F.when(F.col("freq_tot") < 4096, F.col("freq_tot")).otherwise(0))
-    # Below 4096 a bucket is split by its exact frequencies and beginnings; there its order is total.
-    rows = rows.withColumn("_p", F.when(F.col("_f") > 0, F.substring("ngram", 1, 2)).otherwise(F.lit("")))
-    wide = rows.where("_f > 0").groupBy("_b", "_f", "_p").agg(F.count("*").alias("_n")).where(F.col("_n") > large).select("_b", "_f", "_p", F.lit(True).alias("_wide"))
-    rows = rows.join(wide, ["_b", "_f", "_p"], "left").withColumn("_p", F.when(F.col("_wide"), F.substring("ngram", 1, 8)).otherwise(F.col("_p"))).drop("_wide")
-    order = (F.col("_b").desc(), F.col("_f").desc(), F.col("_p"))
-    sizes = rows.groupBy("_b", "_f", "_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_b", "_f", "_p").orderBy(F.col("freq_tot").desc(), "ngram")
-    return rows.withColumn("_r", F.row_number().over(inside)).join(before, ["_b", "_f", "_p"]).withColumn("idx", (F.col("_before") + F.col("_r")).cast("long")).drop("_b", "_f", "_p", "_r", "_before")
+    with Steps(totals.sparkSession, "index") as steps:
+        order = (F.col("freq_tot").desc(), F.col("ngram"))
+        placed = totals.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        rows = steps.keep(placed.withColumn("_range", F.shiftright("_at", 33)), "rows")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(sizes, "_range").select(*totals.columns, (F.col("_before") + place + 1).alias("idx"))
 
 
 def head_slice(df: DataFrame, order: list, start: int, end: int) -> DataFrame:

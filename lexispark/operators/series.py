@@ -84,3 +84,12 @@ def savgol_derivative(series: DataFrame, window: int = 11, order: int = 3, by: l
 def group_mean(df: DataFrame, metric: str, *by: str) -> DataFrame:
     """What a plot of a metric over 1 to 3 variables shows."""
     return df.groupBy(*by).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n"))
+
+
+def grid(df: DataFrame, metric: str, row: str, column: str, values: list | None = None) -> DataFrame:
+    """Group means of a metric as a grid: a row for each value of ``row``, a column for each of ``column``, 0 where a pair doesn't occur.
+
+    ``values`` names the columns; without it Spark looks for them first.
+    """
+    means = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row).pivot(column, values).agg(F.avg(metric))
+    return means.na.fill(0.0)

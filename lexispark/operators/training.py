@@ -111,6 +111,10 @@ def parameter_grid(spark, **axes) -> DataFrame:
     return out
 
 
+#: How a model's name tells its parameters.
+MODEL_NAME = r"w2v_y(\d{4})_wb(\w+)_vs(\d+)_w(\d+)_mc(\d+)_sg(\d)_e(\d+)"
+
+
 def model_name(year, weight_by, vector_size, window, min_count, sg, epochs):
     """Column of model names that ``parse_model_name`` reads."""
     return F.concat_ws("", F.lit("w2v_y"), year, F.lit("_wb"), weight_by, F.lit("_vs"), vector_size, F.lit("_w"), window, F.lit("_mc"), min_count, F.lit("_sg"), sg, F.lit("_e"), epochs, F.lit(".kv"))
@@ -118,6 +122,5 @@ def model_name(year, weight_by, vector_size, window, min_count, sg, epochs):
 
 def parse_model_name(models: DataFrame, column: str = "model") -> DataFrame:
     """year, weight_by, vector_size, window, min_count, approach and epochs of model names."""
-    pattern = r"w2v_y(\d{4})_wb(\w+)_vs(\d+)_w(\d+)_mc(\d+)_sg(\d)_e(\d+)"
-    part = lambda i: F.nullif(F.regexp_extract(column, pattern, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract(column, MODEL_NAME, i), F.lit(""))
     return models.select(column, part(1).cast("int").alias("year"), part(2).alias("weight_by"), part(3).cast("int").alias("vector_size"), part(4).cast("int").alias("window"), part(5).cast("int").alias("min_count"), F.when(part(6) == "1", "skip-gram").when(part(6).isNotNull(), "CBOW").alias("approach"), part(7).cast("int").alias("epochs"))

@@ -441,25 +441,40 @@ def sentence_replicate(spark, sf) -> DataFrame:
     return corpus.replicate(fx.ng2(spark, sf), tk.log_weight(F.col("freq"))).groupBy("year").agg(F.count("*").alias("sentences"))
 
 
-_GRID = "(SELECT unnest([1900, 1950, 2000]) AS year) y, (SELECT unnest(['none', 'freq']) AS weight_by) w, (SELECT unnest([100, 200]) AS vector_size) v, (SELECT unnest([5, 10, 15]) AS epochs) e"
+_YEARS = "(SELECT DISTINCT CAST(1900 + 10 * label AS BIGINT) AS year FROM embeddings) y, (SELECT unnest(['none', 'freq']) AS weight_by) w, (SELECT unnest([100, 200]) AS vector_size) v, (SELECT unnest([5, 10, 15]) AS epochs) e"
 
 
-def _grid(spark) -> DataFrame:
-    return training.parameter_grid(spark, year=[1900, 1950, 2000], weight_by=["none", "freq"], vector_size=[100, 200], epochs=[5, 10, 15])
+def _years(spark, sf) -> list[int]:
+    """The years that vectors exist for; a grid's axes are short lists."""
+    return [r["year"] for r in fx.emb(spark, sf).select(F.col("year").cast("long").alias("year")).distinct().collect()]
 
 
-@query(f"SELECT CAST(year AS BIGINT) AS year, weight_by, CAST(vector_size AS BIGINT) AS vector_size, CAST(epochs AS BIGINT) AS epochs FROM {_GRID}")
+def _grid(spark, sf) -> DataFrame:
+    return training.parameter_grid(spark, year=_years(spark, sf), weight_by=["none", "freq"], vector_size=[100, 200], epochs=[5, 10, 15])
+
+
+@query(f"SELECT year, weight_by, CAST(vector_size AS BIGINT) AS vector_size, CAST(epochs AS BIGINT) AS epochs FROM {_YEARS}")
 def param_grid(spark, sf) -> DataFrame:
-    return _grid(spark)
+    """Every combination of parameters for each year of the table."""
+    return _grid(spark, sf)
+
+
+def _names(spark, sf) -> DataFrame:
+    """A model's name for every vector of the table: its year, and parameters that vary with vec_id."""
+    v, i = spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id")
+    name = training.model_name(1900 + 10 * F.col("label"), F.when(i % 2 == 0, "none").otherwise("doc_freq"), 100 + 100 * (i % 5), 2 + i % 4, i % 7, i % 2, 5 + i % 11)
+    return v.select(name.alias("model"))
+
 
+_NAMES = "(SELECT *, 1900 + 10 * label AS y, concat('w2v_y', 1900 + 10 * label, '_wb', CASE WHEN vec_id % 2 = 0 THEN 'none' ELSE 'doc_freq' END, '_vs', 100 + 100 * (vec_id % 5), '_w', 2 + vec_id % 4, '_mc', vec_id % 7, '_sg', vec_id % 2, '_e', 5 + vec_id % 11, '.kv') AS model FROM embeddings)"
 
-@query(f"SELECT concat('w2v_y', year, '_wb', weight_by, '_vs', vector_size, '_w5_mc1_sg1_e', epochs, '.kv') AS model, CAST(year AS INT) AS year, weight_by, CAST(vector_size AS INT) AS vector_size, 5 AS window, 1 AS min_count, 'skip-gram' AS approach, CAST(epochs AS INT) AS epochs FROM {_GRID}")
+
+@query(f"SELECT model, CAST(y AS INT) AS year, CASE WHEN vec_id % 2 = 0 THEN 'none' ELSE 'doc_freq' END AS weight_by, CAST(100 + 100 * (vec_id % 5) AS INT) AS vector_size, CAST(2 + vec_id % 4 AS INT) AS window, CAST(vec_id % 7 AS INT) AS min_count, CASE WHEN vec_id % 2 = 1 THEN 'skip-gram' ELSE 'CBOW' END AS approach, CAST(5 + vec_id % 11 AS INT) AS epochs FROM {_NAMES}")
 def model_name_parse(spark, sf) -> DataFrame:
-    name = training.model_name(F.col("year"), F.col("weight_by"), F.col("vector_size"), F.lit(5), F.lit(1), F.lit(1), F.col("epochs"))
-    return training.parse_model_name(_grid(spark).select(name.alias("model")))
+    return training.parse_model_name(_names(spark, sf))
 
 
-@query(f"SELECT year, max(model) AS model FROM (SELECT CAST(year AS INT) AS year, concat('w2v_y', year, '_wb', weight_by, '_vs', vector_size, '_w5_mc1_sg1_e', epochs, '.kv') AS model FROM {_GRID}) GROUP BY 1")
+@query(f"SELECT CAST(y AS INT) AS year, max(model) AS model FROM {_NAMES} GROUP BY 1")
 def latest_model(spark, sf) -> DataFrame:
     return vectors.latest_model(model_name_parse(spark, sf))
 
@@ -557,6 +572,25 @@ def weat_permutations(spark, sf) -> DataFrame:
     return vectors.weat(fx.emb(spark, sf), (_T1, _T2), (_X1, _X2), permutations=200, seed=3)
 
 
+_SPLITS = f"""s AS (SELECT t.year, t.word, t.word IN {_list(_T1)} AS t1, a.word IN {_list(_X1)} AS a1, {_cos('t.vec', 'a.vec')} AS c FROM emb t JOIN emb a ON t.year = a.year WHERE t.word IN {_list(_T1 + _T2)} AND a.word IN {_list(_X1 + _X2)}),
+e AS (SELECT year, avg(c) FILTER (WHERE t1 AND a1) - avg(c) FILTER (WHERE t1 AND NOT a1) - avg(c) FILTER (WHERE NOT t1 AND a1) + avg(c) FILTER (WHERE NOT t1 AND NOT a1) AS diff, stddev_samp(c) AS sd FROM s GROUP BY 1),
+w AS (SELECT year, word, t1, avg(c) FILTER (WHERE a1) - avg(c) FILTER (WHERE NOT a1) AS d, row_number() OVER (PARTITION BY year ORDER BY word) - 1 AS i FROM s GROUP BY 1, 2, 3),
+m AS (SELECT w.year, k, avg(d) FILTER (WHERE (k >> CAST(i AS INT)) & 1 = 1) - avg(d) FILTER (WHERE (k >> CAST(i AS INT)) & 1 = 0) AS pd FROM w, (SELECT unnest(range(0, 64)) AS k) GROUP BY 1, 2
+  HAVING count(*) FILTER (WHERE (k >> CAST(i AS INT)) & 1 = 1) = count(*) FILTER (WHERE t1))"""
+
+
+@query(f"WITH {_SPLITS} SELECT e.year, round(any_value(diff / sd), 6) AS effect, round(any_value(sd), 6) AS sd, round(avg(CASE WHEN pd >= diff - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p FROM e JOIN m ON m.year = e.year GROUP BY 1", "emb")
+def weat_all_splits(spark, sf) -> DataFrame:
+    return _rounded(vectors.weat_exact(fx.emb(spark, sf), (_T1, _T2), (_X1, _X2)), "effect", "sd", "p")
+
+
+@query(f"WITH {_SPLITS}, k AS (SELECT year, diff / sd AS effect, CASE WHEN year <> 1950 THEN sd END AS sd FROM e) SELECT CAST(year AS DOUBLE) AS centre, round(effect, 6) AS effect, round({_Z} * coalesce(sd, avg(sd) OVER ()), 6) AS half_width FROM k", "emb")
+def weat_band(spark, sf) -> DataFrame:
+    """The confidence band of the association series; one year's deviation is missing and takes the mean of the others."""
+    scores = vectors.weat(fx.emb(spark, sf), (_T1, _T2), (_X1, _X2)).withColumn("sd", F.when(F.col("year") == 1950, F.lit(float("nan"))).otherwise(F.col("sd")))
+    return _rounded(vectors.association_band(scores), "effect", "half_width")
+
+
 _SPEAR = f"""p AS (SELECT a.year, CAST(substr(a.word, 2) AS INT) % 7 AS human, {_cos('a.vec', 'b.vec')} AS model FROM emb a JOIN emb b ON a.year = b.year AND CAST(substr(b.word, 2) AS INT) = CAST(substr(a.word, 2) AS INT) + 1 WHERE CAST(substr(a.word, 2) AS INT) <= 20),
 r AS (SELECT year, rank() OVER (PARTITION BY year ORDER BY human) + (count(*) OVER (PARTITION BY year, human) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY year ORDER BY model) + (count(*) OVER (PARTITION BY year, model) - 1) / 2.0 AS rb FROM p)"""
 
@@ -628,6 +662,19 @@ def metric_group_mean(spark, sf) -> DataFrame:
     return series.group_mean(spark.read.parquet(f"{sf}/orders.parquet"), "o_totalprice", "o_orderpriority", "o_orderstatus").withColumn("mean", F.round("mean", 4))
 
 
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("SELECT CAST(year(o_orderdate) AS INT) AS year, " + ", ".join(f"round(coalesce(avg(o_totalprice) FILTER (WHERE o_orderpriority = '{p}' AND o_custkey % 40 = year(o_orderdate) % 40), 0), 4) AS p{p[0]}" for p in _PRIORITIES) + " FROM orders WHERE o_custkey % 40 = year(o_orderdate) % 40 OR o_orderpriority = '1-URGENT' GROUP BY 1")
+def metric_grid(spark, sf) -> DataFrame:
+    """Mean prices of years by priorities as a grid; pairs that don't occur are 0."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").withColumn("year", F.year("o_orderdate"))
+    own = F.col("o_custkey") % 40 == F.col("year") % 40
+    rows = o.where(own | (F.col("o_orderpriority") == "1-URGENT")).withColumn("price", F.when(own, F.col("o_totalprice")))
+    out = series.grid(rows, "price", "year", "o_orderpriority", _PRIORITIES)
+    return out.select("year", *(F.round(F.col(f"`{p}`"), 4).alias(f"p{p[0]}") for p in _PRIORITIES))
+
+
 # --- training and alignment: checked by their own invariants -------------------------------------------------
 
 
@@ -680,11 +727,28 @@ _PAIRS = [("w1", "w2", 7.5), ("w3", "w4", 2.0), ("w5", "w6", 9.1), ("w7", "w8",
 _QUESTIONS = [("w1", "w2", "w3", "w4"), ("w5", "w6", "w7", "w8"), ("w9", "w10", "w11", "w12"), ("w2", "w1", "w3", "w9")]
 
 
-@query()
+_VALUES = lambda rows: ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+_NAME = "concat('w2v_y', year, '_wbfreq_vs64_w1_mc1_sg1_e1.kv')"
+
+
+@query(f"""WITH pr AS (SELECT * FROM (VALUES {_VALUES(_PAIRS)}) t(word1, word2, score)), qu AS (SELECT * FROM (VALUES {_VALUES(_QUESTIONS)}) t(a, b, c, d)),
+p AS (SELECT a.year, score AS human, {_cos('a.vec', 'b.vec')} AS model FROM pr JOIN emb a ON a.word = word1 JOIN emb b ON b.word = word2 AND b.year = a.year),
+r AS (SELECT year, rank() OVER (PARTITION BY year ORDER BY human) + (count(*) OVER (PARTITION BY year, human) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY year ORDER BY model) + (count(*) OVER (PARTITION BY year, model) - 1) / 2.0 AS rb FROM p),
+sp AS (SELECT year, corr(ra, rb) AS similarity_score FROM r GROUP BY 1),
+g AS (SELECT a.year, q.*, list_transform(list_zip(a.vec, b.vec, c.vec), lambda p: CAST(p[2] AS DOUBLE) - p[1] + p[3]) AS g FROM qu q JOIN emb a ON a.word = q.a JOIN emb b ON b.word = q.b AND b.year = a.year JOIN emb c ON c.word = q.c AND c.year = a.year JOIN emb d ON d.word = q.d AND d.year = a.year),
+s AS (SELECT g.year, d, e.word, row_number() OVER (PARTITION BY g.year, a, b, c, d ORDER BY {_dot('g.g', 'e.vec')} DESC) AS k FROM g JOIN emb e ON e.year = g.year WHERE e.word NOT IN (a, b, c)),
+an AS (SELECT year, avg(CASE WHEN word = d THEN 1.0 ELSE 0.0 END) AS analogy_score FROM s WHERE k = 1 GROUP BY 1),
+y AS (SELECT DISTINCT year FROM emb)
+SELECT {_NAME.replace('year', 'y.year')} AS model, CAST(y.year AS INT) AS year, 'freq' AS weight_by, 64 AS vector_size, 1 AS window, 1 AS min_count, 'skip-gram' AS approach, 1 AS epochs,
+  round(CASE WHEN y.year = 1900 THEN 0.5 WHEN y.year <> 1950 THEN similarity_score END, 6) AS similarity_score, round(CASE WHEN y.year = 1900 THEN 0.25 WHEN y.year <> 1950 THEN analogy_score END, 6) AS analogy_score, CASE WHEN y.year = 1950 THEN 'unreadable' END AS error
+FROM y LEFT JOIN sp ON sp.year = y.year LEFT JOIN an ON an.year = y.year""", "emb")
 def evaluate_models(spark, sf) -> DataFrame:
-    """Every year's model scored on word pairs and analogies; one that has a row already keeps it."""
-    models = fx.emb(spark, sf).withColumn("model", F.concat(F.lit("w2v_y"), "year", F.lit("_wbfreq_vs64_w1_mc1_sg1_e1.kv")))
+    """Every year's model scored on word pairs and analogies, with its parameters; one that has a row already keeps it, one that can't be read has no scores."""
+    name = F.concat(F.lit("w2v_y"), "year", F.lit("_wbfreq_vs64_w1_mc1_sg1_e1.kv"))
+    models = fx.emb(spark, sf).withColumn("model", name)
     pairs = spark.createDataFrame(_PAIRS, "word1 string, word2 string, score double")
     questions = spark.createDataFrame(_QUESTIONS, "a string, b string, c string, d string")
     done = spark.createDataFrame([("w2v_y1900_wbfreq_vs64_w1_mc1_sg1_e1.kv", 0.5, 0.25)], "model string, similarity_score double, analogy_score double")
-    return evaluation.evaluate(models, pairs, questions, done)
+    failed = models.where("year = 1950").select("model", F.lit("unreadable").alias("error")).distinct()
+    scores = evaluation.evaluate(models.where("year <> 1950"), pairs, questions, done)
+    return _rounded(evaluation.evaluation_rows(scores, failed), "similarity_score", "analogy_score")

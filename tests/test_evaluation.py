@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.operators import evaluation, order, series, training
+from lexispark.operators import evaluation, order, series, training, vectors
+from lexispark.schema import EVALUATION
 from lexispark.sources import text
 
 
@@ -78,9 +79,79 @@ def test_many_series_at_once(spark):
         assert rows(f(one)) == rows(got.where("g = 'a'")) == rows(got.where("g = 'b'"), -1)
 
 
-@pytest.mark.parametrize("large", (1, 3, 1 << 20))
-def test_dense_index_splits_large_buckets(spark, large):
-    rng = np.random.default_rng(3)
-    rows = sorted({("".join(rng.choice(list("aé你"), rng.integers(1, 12))), int(rng.choice((1, 1, 1, 2, 9000, 9001)))) for _ in range(300)}, key=lambda r: (-r[1], r[0].encode()))
-    got = order.dense_index(spark.createDataFrame(rows, "ngram string, freq_tot long").repartition(3), large=large).orderBy("idx").collect()
-    assert [(r["ngram"], r["freq_tot"], r["idx"]) for r in got] == [(*r, i + 1) for i, r in enumerate(rows)]
+def test_dense_index_of_a_million_equal_frequencies(spark):
+    """One frequency and one beginning: ranges are cut by the whole order, so no range holds much more than its share."""
+    rows = spark.range(1_000_000).select(F.concat(F.lit("of the "), F.lpad(F.col("id").cast("string"), 7, "0")).alias("ngram"), F.lit(3).alias("freq_tot"), F.col("id"))
+    out = order.dense_index(rows.union(spark.createDataFrame([("zz", 9, -1), ("a", 1, -2)], "ngram string, freq_tot int, id long")))
+    assert out.where("id >= 0 and idx <> id + 2 or id = -1 and idx <> 1 or id = -2 and idx <> 1000002").count() == 0
+    assert out.count() == out.select("idx").distinct().count() == 1_000_002
+
+
+def test_grid_has_zero_where_a_pair_is_missing(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 4.0), (2, "b", 5.0), (2, None, 7.0), (3, "a", None)], "x int, y string, m double")
+    want = [(1, 3.0, 0.0), (2, 0.0, 5.0), (3, 0.0, 0.0)]
+    assert [tuple(r) for r in series.grid(df, "m", "x", "y").orderBy("x").collect()] == want
+    assert [tuple(r) for r in series.grid(df, "m", "x", "y", ["a", "b"]).orderBy("x").collect()] == want
+    assert series.grid(df.limit(0), "m", "x", "y").count() == 0
+
+
+def test_evaluation_rows_have_parameters_and_failures(spark):
+    name = "w2v_y2019_wbdoc_freq_vs200_w5_mc50_sg0_e8.kv"
+    scores = spark.createDataFrame([(name, 0.5, None), ("odd", 0.1, 0.2)], "model string, similarity_score double, analogy_score double")
+    failed = spark.createDataFrame([(name.replace("2019", "1900"), "no such file")], "model string, error string")
+    got = {r["year"]: tuple(r)[1:] for r in evaluation.evaluation_rows(scores, failed).collect()}
+    assert got == {2019: (2019, "doc_freq", 200, 5, 50, "CBOW", 8, 0.5, None, None), 1900: (1900, "doc_freq", 200, 5, 50, "CBOW", 8, None, None, "no such file")}
+    assert evaluation.evaluation_rows(scores).columns == EVALUATION.names
+
+
+def test_nearest_to_goals_equals_one_product(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(500)] + ["x1", "x2"]
+    vecs = rng.standard_normal((502, 12)).astype(np.float32)
+    vecs[501] = vecs[500]  # equal vectors: the last word wins
+    rows = [(y, w, [float(x) for x in v * (y - 1898)]) for y in (1900, 1901) for w, v in zip(words, vecs, strict=True) if not (y == 1901 and w == "w3")]
+    questions = [(f"w{a}", f"w{b}", f"w{c}", f"w{d}") for a, b, c, d in rng.integers(0, 60, (80, 4)).tolist()] + [("w1", "w1", "x1", "w5"), ("w1", "w2", "w9", "missing")]
+    got = vectors.nearest_to_goals(spark.createDataFrame(rows, "year int, word string, vec array<float>"), spark.createDataFrame(questions * 2, "a string, b string, c string, d string"), slices=3, block=7)
+    u = (vecs / np.linalg.norm(vecs.astype(float), axis=1, keepdims=True)).astype(np.float32).astype(float)
+    at = {w: i for i, w in enumerate(words)}
+    want = {}
+    for y in (1900, 1901):
+        for q in set(questions):
+            if any(w not in at or (y == 1901 and w == "w3") for w in q):
+                continue
+            s = u @ (u[at[q[1]]] - u[at[q[0]]] + u[at[q[2]]])
+            want[y, *q] = max((w for w in words if w not in q[:3] and not (y == 1901 and w == "w3")), key=lambda w: (round(s[at[w]], 9), w))
+    assert {tuple(r)[:5]: r["guess"] for r in got.collect()} == want
+
+
+def test_all_splits_against_brute_force(spark):
+    import itertools
+
+    rng = np.random.default_rng(6)
+    vecs = {w: rng.standard_normal(5) for w in "abcdefghij"}
+    df = spark.createDataFrame([(1900, w, v.astype(np.float32).tolist()) for w, v in vecs.items()] + [(1910, w, [1.0] * 5) for w in vecs], "year int, word string, vec array<float>")
+    sets = (["a", "b", "c"], ["d", "e", "none"]), (["f", "g"], ["h", "i", "j"])
+    got = {r["year"]: r for r in vectors.weat_exact(df, *sets).collect()}
+    cos = lambda x, y: vecs[x] @ vecs[y] / np.linalg.norm(vecs[x]) / np.linalg.norm(vecs[y])
+    part = {t: np.mean([cos(t, w) for w in "fg"]) - np.mean([cos(t, w) for w in "hij"]) for t in "abcde"}
+    diff = lambda own: np.mean([part[t] for t in own]) - np.mean([part[t] for t in part if t not in own])
+    splits = [diff(x) for x in itertools.combinations("abcde", 3)]
+    assert got[1900]["p"] == pytest.approx(np.mean([s >= diff("abc") - 1e-9 for s in splits])) and got[1900]["effect"] == pytest.approx(vectors.weat(df, *sets).where("year = 1900").first()["effect"])
+    drawn = vectors.weat(df.where("year = 1900"), *sets, permutations=2000, seed=1).first()["p"]
+    assert drawn == pytest.approx(got[1900]["p"], abs=0.05)
+    with pytest.raises(ValueError, match="too many splits"):
+        vectors.weat_exact(df, ([str(i) for i in range(10)], [str(i) for i in range(10, 20)]), sets[1])
+
+
+def test_band_fills_missing_deviations(spark):
+    nan, z = float("nan"), 1.959963984540054
+    rows = [(1900, 1.0, 2.0), (1901, 3.0, nan), (1902, nan, 0.0), (1903, 5.0, 4.0), (1904, 7.0, None)]
+    scores = spark.createDataFrame(rows, "year int, effect double, sd double")
+    got = [tuple(r) for r in vectors.association_band(scores).orderBy("centre").collect()]
+    assert [g[0] for g in got] == [1900, 1901, 1902, 1903, 1904] and [g[1] for g in got] == [1.0, 3.0, None, 5.0, 7.0]
+    assert [round(g[2] / z, 9) for g in got] == [2, 3, 3, 4, 3]
+    chunked = [tuple(r) for r in vectors.association_band(scores, chunk=2).orderBy("centre").collect()]
+    assert [c[:2] for c in chunked] == [(1900.5, 2.0), (1902.5, 5.0), (1904.0, 7.0)] and chunked[2][2] is None
+    assert {r["half_width"] for r in vectors.association_band(scores.where("year = 1904")).collect()} == {0.0}
+
+
