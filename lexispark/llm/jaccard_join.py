@@ -6,11 +6,12 @@ the summed minima of two points bound the overlap of their sets from above.
 
 One tree over a corpus would have to visit nearly every node: in so many dimensions the corners of
 unrelated points all reach one another. So the upper levels of the index deal the sets into cells. All
-shingles have one order, the rarest groups first; a set of n lies in the cells of its first n - ceil(t n)
+shingles have one order, those that no other text has first, then the rarest groups; a set of n lies in the cells of its first n - ceil(t n)
 + 1 shingles, and two sets of Jaccard t or more share a cell. A passage that many documents share is
 frequent, so it comes last and makes no cells but for texts that hold little else. Of cells with the same
 members only one is kept. How many sets hold each of ``GROUPS`` groups is counted over all texts; the
-order needs no more than their logarithms (one byte each), so what is broadcast has a fixed size.
+order needs no more than their logarithms (one byte each); whether a shingle is a text's own is known by ``FINE`` groups (one bit
+each). So what is broadcast has a fixed size, 32 MB. Beyond some 10^8 shingles the fine groups fill up, and only counts order what they hold.
 
 Within a cell an R-tree is packed by the widest coordinates, and a pair of nodes is left when the summed
 minima of their upper corners can't reach the overlap that their smallest sizes need. Surviving pairs
@@ -51,41 +52,61 @@ from .common import HashedWords, Scratch, distinct, docs_of, windows
 from .components import components, labels
 
 GROUPS, BLOCK = 1 << 24, 1 << 16  # groups that are counted, in blocks
+FINE = 1 << 27  # finer groups, of which it is known whether one text or more hold them: a bit each
 LEAF, SET_BYTES = 32, 8 << 20
 
 
 COUNTED = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
 
 
+def fine(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte, bit in it) of the fine groups of shingles."""
+    g = (s >> np.uint64(30)).astype(np.int64) % FINE
+    return g >> 3, np.left_shift(1, g & 7).astype(np.uint8)
+
+
 def order(docs: DataFrame, size: int) -> bytes:
-    """One byte per group: the higher, the more texts hold a shingle of it.
+    """One byte per group: the higher, the more texts hold a shingle of it; then a bit per fine group: whether several texts do.
 
-    A task counts in one byte a group, up to 255, and sends the blocks that it has touched, compressed.
+    A task counts in one byte a group, up to 255, and marks fine groups as seen once and again; it sends the blocks that it has touched, compressed.
     """
     words = HashedWords()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(GROUPS, np.uint8)
+        held, once, again = np.zeros(GROUPS, np.uint8), np.zeros(FINE >> 3, np.uint8), np.zeros(FINE >> 3, np.uint8)
         for batch in batches:
             for h in words(batch.column("text")):
-                g = (windows(h, size) % np.uint64(GROUPS)).astype(np.int64)
+                s = distinct(windows(h, size))
+                g = (s % np.uint64(GROUPS)).astype(np.int64)
                 c = held[g]
                 held[g] = c + (c < 255)  # shingles of one group count once a text
+                at, bit = fine(s)
+                np.bitwise_or.at(again, at, once[at] & bit)
+                np.bitwise_or.at(once, at, bit)
         blocks = held.reshape(-1, BLOCK)
         for i in np.flatnonzero(blocks.any(axis=1)).tolist():
             yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": [zlib.compress(blocks[i].tobytes(), 1)]})
+        once, again = once.reshape(-1, BLOCK), again.reshape(-1, BLOCK)
+        for i in np.flatnonzero(once.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([len(blocks) + i], pa.int32()), "counts": [zlib.compress(once[i].tobytes() + again[i].tobytes(), 1)]})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, x in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = held.setdefault(i, np.zeros(BLOCK, np.uint32))
-                own += np.frombuffer(zlib.decompress(x), np.uint8)
+                x = np.frombuffer(zlib.decompress(x), np.uint8)
+                if i < GROUPS // BLOCK:
+                    held.setdefault(i, np.zeros(BLOCK, np.uint32))[:] += x
+                else:
+                    own = held.setdefault(i, np.zeros(2 * BLOCK, np.uint8))
+                    own[BLOCK:] |= x[BLOCK:] | own[:BLOCK] & x[:BLOCK]
+                    own[:BLOCK] |= x[:BLOCK]
         for i, own in held.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": [zlib.compress((2 * np.log2(1.0 + own)).astype(np.uint8).tobytes(), 1)]})
+            told = (2 * np.log2(1.0 + own)).astype(np.uint8) if i < GROUPS // BLOCK else own[BLOCK:]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "counts": [zlib.compress(told.tobytes(), 1)]})
 
-    out = np.zeros((GROUPS // BLOCK, BLOCK), np.uint8)
-    for row in docs.select("text").mapInArrow(count, COUNTED).repartition("block").mapInArrow(add, COUNTED).toArrow().to_pylist():  # at most 256 rows
+    out = np.zeros(((GROUPS + (FINE >> 3)) // BLOCK, BLOCK), np.uint8)
+    for row in docs.select("text").mapInArrow(count, COUNTED).repartition("block").mapInArrow(add, COUNTED).toArrow().to_pylist():  # at most 512 rows
         out[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
     return out.tobytes()
 
@@ -98,7 +119,10 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 def first_keys(s: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
     """The cells of a set: its first shingles in the common order."""
     n = len(s)
-    place = (rarity[(s % np.uint64(GROUPS)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
+    rank = rarity[(s % np.uint64(GROUPS)).astype(np.int64)].astype(np.uint64)
+    at, bit = fine(s)
+    rank[rarity[GROUPS + at] & bit == 0] = 0  # no other text has it: such shingles come first
+    place = (rank << np.uint64(57)) | (s >> np.uint64(7))
     # Shingles of one place come together, so the order is the same for every set.
     return s[place <= np.partition(place, n - -(-percent * n // 100))[n - -(-percent * n // 100)]]
 
@@ -124,7 +148,10 @@ def _signature(size: int, percent: int, rarity: Broadcast):
         for h in words(text):
             s = distinct(windows(h, size))
             if len(s):
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), first_keys(s, own, percent).view(np.int64)))
+                keys = first_keys(s, own, percent)
+                at, bit = fine(keys)
+                keys = keys[own[GROUPS + at] & bit > 0]  # a shingle of one text makes a cell of one
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys.view(np.int64)))
             else:
                 rows.append((0, None, None))
         n, prints, k = zip(*rows, strict=True) if rows else ((),) * 3

@@ -300,7 +300,7 @@ def test_common_elements(seed, n, m):
     assert jaccard_join.common(sets[:n], sets[n:]).tolist() == want
 
 
-RARITY = np.random.default_rng(5).integers(0, 20, jaccard_join.GROUPS).astype(np.uint8)
+RARITY = np.concatenate([np.random.default_rng(5).integers(0, n, size).astype(np.uint8) for n, size in ((20, jaccard_join.GROUPS), (256, jaccard_join.FINE >> 3))])
 
 
 @settings(max_examples=300, deadline=None)
@@ -351,6 +351,8 @@ def test_order_puts_frequent_shingles_last(spark):
     rarity = np.frombuffer(jaccard_join.order(frame(spark, rows), 3), np.uint8)
     h = windows(next(HashedWords()(pa.array(["a b c D E f\tg\n x3"]))), 3) % np.uint64(jaccard_join.GROUPS)
     assert (rarity[h[:5].astype(int)] == 12).all() and rarity[int(h[5])] == 2
+    at, bit = jaccard_join.fine(windows(next(HashedWords()(pa.array(["a b c D E f\tg\n x3"]))), 3))
+    assert (rarity[jaccard_join.GROUPS + at] & bit > 0).tolist() == [True] * 5 + [False]
 
 
 @settings(max_examples=200, deadline=None)
