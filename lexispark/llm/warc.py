@@ -5,13 +5,15 @@ per record, starting a new file once the current one has reached ``file_bytes``
 and digests (SHA-1 of payload and block) are made anew. A payload of at least ``revisit_bytes`` bytes
 is stored once, with its largest page_id; other records of it are revisits of that record.
 
-The range bounds come from the page_ids with the smallest hashes (``per_shard`` for each range), so the same pages give the same
-files byte for byte, whatever the cluster does. A task writes under temporary names and renames its
+Records are ordered by page_id and, below it, by a hash of digest and url (``spread``), so null and
+repeated page_ids are cut like any others. The range bounds come from the keys whose hashes lie below a
+limit (some ``per_shard`` for each range), so the same pages give the same files byte for byte, whatever
+the cluster does. There are at most ``most_shards`` ranges, so what the driver reads has a bound at any size. A task writes under temporary names and renames its
 files when a range is complete; the manifest (one row per file: shard, file, records, bytes, digest)
 is a table whose job commit makes the archive valid. Files that it doesn't name don't count.
 
-Defined results: null html is an empty payload. A null page_id sorts first, in range 0, and is
-smaller than any other when revisits are decided. Rows that repeat the largest page_id of a payload
+Defined results: null html is an empty payload. A null page_id sorts first and is
+smaller than any other when revisits are decided. Rows equal in page_id, payload and url stay in one range. Rows that repeat the largest page_id of a payload
 are all responses, so nothing refers to itself. Null urls give no WARC-Target-URI. An empty table
 gives an empty manifest and an empty read. Other columns are ignored.
 """
@@ -50,11 +52,11 @@ def _member(headers: list[tuple[str, str]], block: bytes, level: int) -> bytes:
     return z.compress(head + block + b"\r\n\r\n") + z.flush()
 
 
-def record(page_id, again: int, url, payload: bytes, size: int, digest: bytes, refers_to, date: str, level: int) -> bytes:
-    """The gzip member of one page; ``again`` tells apart the records of a repeated page_id."""
+def record(page_id, again: str, url, payload: bytes, size: int, digest: bytes, refers_to, date: str, level: int) -> bytes:
+    """The gzip member of one page; ``again`` tells apart the records of a repeated page_id (empty: the first)."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{'null' if page_id is None else page_id}{f':{again}' if again else ''}>"), ("WARC-Date", date)]
+    headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{'null' if page_id is None else page_id}{again and f':{again}'}>"), ("WARC-Date", date)]
     if url is not None:
         headers.append(("WARC-Target-URI", "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)))
     if refers_to is not None:
@@ -103,61 +105,88 @@ class _Files:
         return [tuple(row[:5]) for row in self.done]
 
 
-def _bounds(pages: DataFrame, shards: int, per_shard: int) -> np.ndarray:
-    """Upper page_ids of the ranges, from the ``per_shard * shards`` ids with the smallest hashes."""
-    if shards == 1:
-        return np.zeros(0, np.int64)
-    ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(per_shard * shards)
-    ids = np.sort(ids.toArrow()["page_id"].to_numpy())
-    return np.unique(ids[(np.arange(1, shards) * len(ids)) // shards]) if len(ids) else np.zeros(0, np.int64)
+LOWEST = np.iinfo(np.int64).min
+
 
+def _bounds(ids: DataFrame, rows: int, shards: int, per_shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ranges begin: page_id (null: the lowest number) and spread, of some ``per_shard * shards`` keys with small hashes.
 
-def write_archives(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, file_bytes: int = 32 << 20, revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", level: int = 6, per_shard: int = 64) -> DataFrame:
+    A range begins with all records of its first page_id, unless several keys of that were drawn.
+    """
+    none = np.zeros(0, np.int64)
+    if shards == 1:
+        return none, none
+    limit = min(1 << 31, (per_shard * shards << 31) // max(1, rows) + 1)
+    drawn = ids.where(F.pmod(F.xxhash64("page_id", "spread"), F.lit(1 << 31)) < limit).select(F.coalesce("page_id", F.lit(LOWEST)).alias("page"), "spread").distinct().toArrow()
+    page, spread = (drawn[c].to_numpy() for c in ("page", "spread"))
+    order = np.lexsort((spread, page))
+    page, spread = page[order], spread[order]
+    _, place, times = np.unique(page, return_inverse=True, return_counts=True)
+    spread = np.where(times[place] > 1, spread, LOWEST)
+    at = np.unique((np.arange(1, shards) * len(page)) // shards) if len(page) else none
+    return page[at], spread[at]
+
+
+def _shards(bounds: tuple[np.ndarray, np.ndarray], page: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The range of each key: how many bounds aren't above it."""
+    lo, hi = (np.searchsorted(bounds[0], page, side=x) for x in ("left", "right"))
+    out = lo.copy()
+    for k in np.unique(lo[lo < hi]).tolist():  # ranges that begin with the same page_id
+        own = np.flatnonzero((lo == k) & (lo < hi))
+        out[own] = k + np.searchsorted(bounds[1][k : hi[own[0]]], spread[own], side="right")
+    return out.astype(np.int32)
+
+
+def write_archives(pages: DataFrame, out: str, shard_bytes: int = 64 << 20, file_bytes: int = 32 << 20, revisit_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", level: int = 6, per_shard: int = 64, most_shards: int = 16_384) -> DataFrame:
     """Write the archive of ``pages`` (page_id, url, html) below ``out``; the manifest, read back.
 
-    A range is a task of about ``shard_bytes`` of payload; the driver reads ``per_shard`` ids for each (at
-    64 MB a shard, 8 MB of ids for a terabyte of payload).
+    A range is a task of about ``shard_bytes`` of payload, more beyond ``most_shards`` of them (6 GB at 100 TB;
+    files are rolled inside it). The driver reads some ``per_shard`` keys of 16 bytes for each, so 17 MB at most.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long")).withColumn("spread", F.xxhash64("digest", "url"))
     with Scratch(spark, "warc") as scratch:
         # What is a revisit is decided on ids, digests and sizes alone; payloads move once, to their shard.
-        ids = scratch.table(rows.select("page_id", "digest", "size"), "digests")
+        ids = scratch.table(rows.select("page_id", "digest", "size", "spread"), "digests")
         large = ids.where(F.col("size") >= revisit_bytes)
         shared = large.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
-        revisits = large.join(shared, "digest").where(F.coalesce("page_id", F.lit(-(1 << 63))) < F.col("first_id")).select("page_id", "digest", "first_id").distinct()
-        total = ids.agg(F.sum("size")).first()[0] or 0
-        shards = max(1, math.ceil(total / shard_bytes))
-        bounds = spark.sparkContext.broadcast(_bounds(ids, shards, per_shard))
+        revisits = large.join(shared, "digest").where(F.coalesce("page_id", F.lit(LOWEST)) < F.col("first_id")).select("page_id", "digest", "spread", "first_id").distinct()
+        total, n = ids.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+        shards = min(most_shards, max(1, math.ceil(total / shard_bytes)))
+        bounds = spark.sparkContext.broadcast(_bounds(ids, n, shards, per_shard))
 
-        @F.pandas_udf(T.IntegerType())
-        def shard_of(ids: pd.Series) -> pd.Series:
-            lowest = np.iinfo(np.int64).min
-            return pd.Series(np.searchsorted(bounds.value, ids.astype("Int64").fillna(lowest).to_numpy(np.int64), side="right").astype(np.int32))
+        @F.arrow_udf(T.IntegerType())
+        def shard_of(page: pa.Array, spread: pa.Array) -> pa.Array:
+            return pa.array(_shards(bounds.value, page.to_numpy(zero_copy_only=False), spread.to_numpy(zero_copy_only=False)), pa.int32())
 
         # A revisit's mark goes to its shard as a row before the records of that page and payload.
         none = lambda kind: F.lit(None).cast(kind)
-        marks = revisits.select("page_id", none("string").alias("url"), none("binary").alias("payload"), none("long").alias("size"), "digest", F.col("first_id").alias("refers_to"))
-        placed = marks.union(rows.select("page_id", "url", "payload", "size", "digest", none("long").alias("refers_to"))).withColumn("shard", shard_of("page_id"))
-        placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("size").asc_nulls_first(), F.col("url").asc_nulls_first())
+        marks = revisits.select("page_id", none("string").alias("url"), none("binary").alias("payload"), none("long").alias("size"), "digest", "spread", F.col("first_id").alias("refers_to"))
+        placed = marks.union(rows.select("page_id", "url", "payload", "size", "digest", "spread", none("long").alias("refers_to"))).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(LOWEST)), "spread"))
+        placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "spread", "digest", F.col("size").asc_nulls_first(), F.col("url").asc_nulls_first())
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            files, last, again, mark = None, None, 0, (None, None, None)
+            files, last, again, mark, cut = None, None, 0, (None, None), None
             for batch in batches:
                 done = []
-                for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "size", "digest", "refers_to")), strict=True):
+                for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "url", "payload", "size", "digest", "refers_to", "spread")), strict=True):
                     shard, page_id = row[0], row[1]
                     if files is None or files.shard != shard:
                         done += files.commit() if files else []
-                        files, last, mark = _Files(out, shard, file_bytes, date, level), (), (None, None, None)
+                        files, last, mark = _Files(out, shard, file_bytes, date, level), (), (None, None)
+                        # The page_id that this range begins with, if the range before may have some of its records.
+                        page, spread = (x[shard - 1] if shard else LOWEST for x in bounds.value)
+                        cut = page if spread != LOWEST else None
                     if row[4] is None:
-                        mark = (page_id, row[5], row[6])
+                        mark = ((page_id, row[5], row[7]), row[6])
                         continue
-                    refers_to = mark[2] if mark[:2] == (page_id, row[5]) else None
+                    refers_to = mark[1] if mark[0] == (page_id, row[5], row[7]) else None
                     again = again + 1 if last == (page_id,) else 0
                     last = (page_id,)
-                    files.add(record(page_id, again, row[2], row[3], row[4], row[5], refers_to, date, level))
+                    split = cut is not None and (LOWEST if page_id is None else page_id) == cut
+                    name = f"{shard}.{again}" if split else str(again) if again else ""
+                    files.add(record(page_id, name, row[2], row[3], row[4], row[5], refers_to, date, level))
                 if done:
                     yield _manifest(done)
             if files:

@@ -198,6 +198,28 @@ def test_warc_is_deterministic_and_verified(spark, tmp_path):
         warc.read_archives(spark, str(tmp_path / "a")).collect()
 
 
+def test_warc_spreads_null_and_repeated_ids(spark, tmp_path):
+    same = "s" * 1200
+    rows = [(None if i % 2 else i % 3 and i or 4, f"http://h/{i}", same if i % 5 == 0 else f"{i} " * 100) for i in range(4000)] + [(5000, "big", "é" * 2_000_000)]
+    for name, n in (("a", 3), ("b", 7)):
+        warc.write_archives(pages(spark, rows).repartition(n), str(tmp_path / name), shard_bytes=60_000)
+    manifest = spark.read.parquet(str(tmp_path / "a" / "manifest"))
+    sizes = sorted(r[0] for r in manifest.groupBy("shard").sum("records").select("sum(records)").collect())
+    assert len(sizes) > 30 and sizes[-1] <= 2.5 * sizes[len(sizes) // 2]
+    files = sorted(p.name for p in (tmp_path / "a").glob("*.gz"))
+    assert all((tmp_path / "a" / f).read_bytes() == (tmp_path / "b" / f).read_bytes() for f in files)
+    ids = []
+    for f in files:
+        with open(tmp_path / "a" / f, "rb") as stream:
+            ids += [h["WARC-Record-ID"] for h, _ in warc.records(stream)]
+    assert len(ids) == len(set(ids))
+    first = max(p for p, _, h in rows if h == same and p is not None)
+    got = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    want = [(p, len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), first if h == same and p != first else None) for p, _, h in rows]
+    assert by_row((r["page_id"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in got) == by_row(want)
+    assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) for r in got)
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_archives(pages(spark, []), str(tmp_path))
     assert warc.read_archives(spark, str(tmp_path)).count() == 0
