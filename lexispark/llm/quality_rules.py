@@ -1,22 +1,22 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
 Every document gets the counts below from its whole text. A rule rejects a document when one ratio
-of these counts lies above a cutoff. The labelled documents of a stratum (``lang``) that pass the base
-rule are split by doc_id. On the first half each rule gets the cutoff of the best balance (share of bad
+of these counts lies above a cutoff. The distinct texts of a stratum (``lang``) that are labelled and pass the
+base rule are split by a hash of the text, so copies of a text count once and never lie in both halves. On the first half each rule gets the cutoff of the best balance (share of bad
 documents rejected, less ten times the share of clean ones; the loosest on ties), and rules are put in
 the order of that balance; a rule without a positive one takes no part. The second half tests the rules
 one after another, each together with all before it: an exact binomial test must show that they reject
-at most a share ``alpha`` of the clean documents of the stratum, and the first that fails and all after
+at most a share ``alpha`` of the clean texts of the stratum, and the first that fails and all after
 it are dropped. As the order is fixed before the second half is looked at, the tests of a stratum need no
 correction among themselves (fixed-sequence testing); the level is ``delta`` divided by the number of
 strata (Bonferroni). So with confidence 1 - delta, in no stratum are more than ``alpha`` of the clean
-documents rejected by rules.
+texts rejected by rules. Texts that differ, if only by a letter, count as independent.
 
 Defined results: a null or empty text has no words, so it fails the base rule (n_words < 50). A
 null lang is a stratum of its own. Without labels nothing is certified and only the base rule
 rejects; a stratum whose second half has no clean document rejected needs log(level) / log(1 - alpha)
-clean ones there to certify (86 with four strata). Rows that repeat count as often as they occur;
-documents whose labels contradict each other are left out of the calibration. Other columns of the
+clean ones there to certify (86 with four strata). Documents, and texts, whose labels contradict each other
+are left out of the calibration. Other columns of the
 input are ignored by ``measure`` and carried by ``filter_documents``.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fold, texts
+from .common import Scratch, texts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 METRICS = T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS])
@@ -92,8 +92,9 @@ def base_failed():
 
 
 def measure(documents: DataFrame) -> DataFrame:
-    """doc_id, lang and COUNTS of every row."""
-    return documents.select("doc_id", "lang", metrics(F.coalesce("text", F.lit(""))).alias("m")).select("doc_id", "lang", "m.*")
+    """doc_id, lang, a hash of the text and COUNTS of every row."""
+    text = F.coalesce("text", F.lit(""))
+    return documents.select("doc_id", "lang", F.xxhash64(text).alias("text_hash"), metrics(text).alias("m")).select("doc_id", "lang", "text_hash", "m.*")
 
 
 def binomial_tail(k: int, n: int, rate: float) -> float:
@@ -146,12 +147,13 @@ CERTIFIED = T.StructType([T.StructField("lang", T.StringType()), *(T.StructField
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """One row per stratum (lang): the certified cutoff of each rule (null: none) and the p-value it was tested with.
 
-    Counts of rejections are sums made in two aggregations, one per half; only they, never documents,
-    reach a task that chooses and tests.
+    ``measured`` is what ``measure`` returns. Copies of a text are folded first. Counts of rejections are sums made
+    in two aggregations, one per half; only they, never documents, reach a task that chooses and tests.
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
     marks = marks.where("lo = hi").select("doc_id", F.col("lo").alias("_q"))
-    held = measured.where(~base_failed()).join(marks, "doc_id").withColumn("_second", fold("doc_id", 2) == 1)
+    held = measured.where(~base_failed()).join(marks, "doc_id").groupBy("lang", "text_hash", *COUNTS).agg(F.min("_q").alias("_q"), F.max("_q").alias("_hi"))
+    held = held.where("_q = _hi").withColumn("_second", F.pmod("text_hash", F.lit(2)) == 1)
     sums = [F.sum(F.col("_q").cast("long")).alias("clean"), F.count("*").alias("labelled")]
     for rule, (_, cutoffs) in RULES.items():
         for i, c in enumerate(cutoffs):
@@ -188,7 +190,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, alpha: float = 0.05,
     """COUNTS, base_failed, kept and broken_rules of every row; texts are read once."""
     with Scratch(documents.sparkSession, "quality-rules") as scratch:
         measured = scratch.table(measure(documents), "measured")
-        return scratch.keep(verdict(measured, calibrate(measured, labels, alpha, delta)))
+        return scratch.keep(verdict(measured, calibrate(measured, labels, alpha, delta)).drop("text_hash"))
 
 
 def filter_documents(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, most: int = 500_000) -> DataFrame:
