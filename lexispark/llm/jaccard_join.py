@@ -485,7 +485,7 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
     # The row with the smallest doc_id stands for its set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("f")
     nodes = scratch.table(full.where("h is not null").groupBy("h").agg(first, F.count("*").alias("n_equal")).select("h", "n_equal", "f.doc_id", "f.rid"), "distinct")
-    rows = scratch.table(full.drop("keys"), "rows")
+    rows = full.drop("keys")
     cells = full.select("rid", "n", "keys").join(_few(nodes.select("rid")), "rid").select("rid", "n", F.explode("keys").alias("key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("k"), F.min("rid").alias("center")).where("k > 1")
     members = scratch.table(cells.join(shared, "key"), "all_members")
