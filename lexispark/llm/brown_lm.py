@@ -3,23 +3,26 @@
 log10 P(text) = sum over its tokens of log10 P(class | class before) + log10 P(token | class). Tokens
 are the words in lower case (A-Z), then one end; the end is also what stands before the first word.
 
-Every word has a class. The ``units`` most frequent words are clustered one by one; every other word,
-known or not, is clustered with the words that share its last three bytes (the ``forms`` most
-frequent endings, and one form for the rest). So the pairs of neighbours that clustering looks at are
-counted over the whole corpus, while the map from words to classes stays small enough to broadcast,
-whatever the corpus.
-
-Clustering is the exchange algorithm run in rounds: one Spark job sums, per unit, how often each
-class stands right and left of it (units x classes numbers, the only thing that reaches the
-driver); then half of the units move to the class that raises the likelihood of the class bigrams
-most. Rounds alternate between halves, and the best assignment seen is kept.
+Every training word has a class of its own choosing, found by the exchange algorithm in two parts. The
+``units`` most frequent words are exchanged in rounds, while every other word stands with the words that
+share its last three bytes (the ``forms`` most frequent endings, and one form for the rest): one Spark job
+sums, per unit, how often each class stands right and left of it (units x classes numbers, the only
+thing that reaches the driver); then half of the units move to the class that raises the likelihood of
+the class bigrams most. Rounds alternate between halves, and the best assignment seen is kept. Then every
+word beyond the units is exchanged: its neighbours' classes are summed into a table by word, at most
+2 x classes + 1 numbers each, and the word moves from the class of its form to the one of the highest
+gain. These sums grow with the vocabulary and stay in Spark; tasks get the class bigrams only. A word
+without training counts has the class of its form.
+
+Class bigrams, class sizes and emissions are counted anew from the final classes of all words.
 
 Smoothing: P(b | a) = (n(a, b) + mu P(b)) / (n(a) + mu); P(w | c) = (n(w) + 0.1) / (n(c) + 0.1 (v(c) + 1)),
 with v(c) the distinct words of the class, and one more for all that are unknown. The base is the
 same additive estimate without classes.
 
-Counts of frequent words (``head``) are broadcast for scoring; other words of a text are joined with
-the table of all counts, so no token is scored from a truncated vocabulary.
+Counts and classes of frequent words (``head``) are broadcast for scoring; other words of a text are
+joined with the table of all words, once a document and word, so no token is scored from a truncated
+vocabulary.
 
 Defined results: a null or empty text has one token, the end. Rows with null doc_id are held out or
 not as the caller's column says. Without training rows every log-probability of a token is finite
@@ -46,6 +49,7 @@ END = b""
 ADD = 0.1  # the additive constant of the contract's base, and of emissions
 COUNT = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 CODE = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+NEXT = T.StructType([T.StructField("h", T.LongType()), T.StructField("present", T.IntegerType()), T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
 class Settings(NamedTuple):
@@ -244,63 +248,164 @@ def cluster(pairs: DataFrame, size: int, s: Settings) -> tuple[np.ndarray, np.nd
     return best[1], best[2]
 
 
+def profiles(docs: DataFrame, units: dict[bytes, int], forms: dict[bytes, int], cls: np.ndarray, classes: int, buffer: int = 1 << 20) -> DataFrame:
+    """(h, present, code, n) of every word beyond the units, by its hash, with its present class.
+
+    ``code`` is the class before the word, ``classes`` + the class after it, or 2 * ``classes`` where the
+    word follows itself.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((units, forms, cls))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, forms, cls = held.value
+        of, own, parts, waiting = _Lookup(units, forms, len(cls) - 1), HashedWords(), [], 0
+        for batch in batches:
+            for h, first, last in own.spans(batch.column("text")):
+                u = of(own, h, first, last)
+                at = np.flatnonzero(u > len(units))
+                if not len(at):
+                    continue
+                c = np.zeros(len(h) + 2, np.int64)
+                c[1:-1] = cls[u]
+                again = at[:-1][h[at[:-1]] == h[at[:-1] + 1]]
+                whose = np.concatenate([at, at, again])
+                parts.append((h[whose].view(np.int64), c[whose + 1], np.concatenate([c[at], classes + c[at + 2], np.full(len(again), 2 * classes)])))
+                waiting += len(whose)
+                if waiting >= buffer:
+                    yield _counted(parts)
+                    parts, waiting = [], 0
+        if parts:
+            yield _counted(parts)
+
+    # tasks have summed what they saw, so rows meet by word at once
+    return docs.select("text").mapInArrow(count, NEXT).repartition("h").groupBy("h", "code").agg(F.min("present").alias("present"), F.sum("n").alias("n"))
+
+
+def _counted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    h, present, code = map(np.concatenate, zip(*parts, strict=True))
+    order = np.lexsort((code, h))
+    h, present, code = h[order], present[order], code[order]
+    at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])]))
+    n = np.diff(np.append(at, len(h)))
+    return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(present[at].astype(np.int32)), pa.array(code[at].astype(np.int32)), pa.array(n)], NEXT.names)
+
+
+def place(sizes: np.ndarray, code: np.ndarray, x: np.ndarray, present: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class of each word of ``profiles``, as ``exchange`` finds it, from the entries that aren't zero.
+
+    ``sizes``: the entries of each word (one at least); ``code`` and ``x``: theirs; ``n``: the class bigrams.
+    """
+    k, words = len(n), len(sizes)
+    w, own = np.repeat(np.arange(words), sizes), np.arange(words)
+    right, left, self_ = np.zeros((words, k)), np.zeros((words, k)), np.zeros(words)
+    before, after = code < k, (code >= k) & (code < 2 * k)
+    left[w[before], code[before]] = x[before]
+    right[w[after], code[after] - k] = x[after]
+    self_[w[code == 2 * k]] = x[code == 2 * k]
+    # in a class that the word isn't in, only cells of its neighbours' classes change; those of its present class come apart
+    cells = np.where(after[:, None], n.T[code % k], n[code % k])
+    some = np.where((code < 2 * k) & (code % k != present[w]), x, 0.0)
+    gain = np.add.reduceat(_f(cells + some[:, None]) - _f(cells), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+    d, s = n.diagonal()[None, :], self_[:, None]
+    gain += _f(d + right + left + s) - _f(d + right) - _f(d + left) + _f(d)
+    to, out = n.T[present] - left, n[present] - right
+    gain += _f(to + right[own, present][:, None] - s) - _f(to) + _f(out + left[own, present][:, None] - s) - _f(out)
+    rows, cols, tr, tl = n.sum(axis=1), n.sum(axis=0), right.sum(axis=1), left.sum(axis=1)
+    gain -= _f(rows + tr[:, None]) - _f(rows) + _f(cols + tl[:, None]) - _f(cols)
+    # and its present class
+    apart = (_f(n[present]) - _f(out)) + (_f(n.T[present]) - _f(to))
+    apart[own, present] = 0
+    d = n[present, present]
+    stay = apart.sum(axis=1) + _f(d) - _f(d - right[own, present] - left[own, present] + self_)
+    stay -= _f(rows[present]) - _f(rows[present] - tr) + _f(cols[present]) - _f(cols[present] - tl)
+    gain[own, present] = stay
+    gain[:, 0] = -np.inf  # class 0 is the end's alone
+    best = gain.argmax(axis=1)
+    return np.where(gain[own, best] > stay + 1e-9, best, present)
+
+
+def exchange_rest(profile: DataFrame, n: np.ndarray) -> DataFrame:
+    """(h, cls) of every word of ``profiles``, each seen from the class bigrams ``n``."""
+    held = profile.sparkSession.sparkContext.broadcast(n)
+
+    @F.arrow_udf(T.IntegerType())
+    def best(present: pa.Array, entries: pa.Array) -> pa.Array:
+        out = []
+        for i in range(0, len(present), 256):
+            part = entries.slice(i, 256)
+            sizes, flat = part.value_lengths().to_numpy(zero_copy_only=False), part.flatten()
+            code, x = (y.to_numpy(zero_copy_only=False) for y in flat.flatten())
+            out.append(place(sizes, code, x.astype(np.float64), present.slice(i, 256).to_numpy(zero_copy_only=False), held.value))
+        return pa.array(np.concatenate(out) if out else [], pa.int32())
+
+    words = profile.groupBy("h").agg(F.min("present").alias("present"), F.collect_list(F.struct("code", "n")).alias("entries"))
+    return words.select("h", best("present", "entries").alias("cls"))
+
+
 class Model(NamedTuple):
     head: dict[bytes, int]
     forms: dict[bytes, int]
     log_count: np.ndarray  # log10(n + 0.1) of head words
     cls: np.ndarray  # of head words, then of forms
-    transition: np.ndarray  # log10
     emission: np.ndarray  # log10 of each class's denominator
     base: float  # log10 of the base's denominator
     end_count: int
     tokens: int
 
 
+KNOWN = T.StructType([T.StructField("h", T.LongType()), T.StructField("form_cls", T.IntegerType())])
+
+
 def fit(train: DataFrame, s: Settings, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model, and the table of all counts."""
+    """The model but for its class bigrams, and the table of all words: word, n, cls."""
+    if not 1 < s.classes <= 256:
+        raise ValueError("classes must be 2 to 256")
     spark = train.sparkSession
     counts = scratch.table(word_counts(train), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.where(F.col("word") != F.lit(END))
-    top = most_frequent(words, s.head)
-    head = {w: i for i, w in enumerate(top["word"].to_pylist())}
+    top = most_frequent(words, s.units)
     ending = F.expr("CASE WHEN octet_length(word) <= 3 THEN word ELSE substring(word, octet_length(word) - 2, 3) END")
     by_form = words.groupBy(ending.alias("form")).agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "form").limit(s.forms).toArrow()
-    n_units = min(s.units, len(head))
-    forms = {f: 1 + n_units + i for i, f in enumerate(by_form["form"].to_pylist())}
-    size = 1 + n_units + len(forms) + 1
-    units = {w: 1 + i for w, i in head.items() if i < n_units}
+    units = {w: 1 + i for i, w in enumerate(top["word"].to_pylist())}
+    forms = {f: 1 + len(units) + i for i, f in enumerate(by_form["form"].to_pylist())}
+    size = 1 + len(units) + len(forms) + 1
     pairs = scratch.table(pair_counts(train, units, forms, size), "pairs")
     cls, n = cluster(pairs, size, s)
+    scratch.drop("pairs")
+    placed = exchange_rest(profiles(train, units, forms, cls, s.classes), n)
     held = spark.sparkContext.broadcast((units, forms, cls))
 
-    @F.arrow_udf(T.IntegerType())
-    def class_of(word: pa.Array) -> pa.Array:
+    @F.arrow_udf(KNOWN)
+    def known(word: pa.Array) -> pa.Array:
         u, f, c = held.value
-        of = _Codes(u, f, len(c) - 1)
-        return pa.array([0 if w == END else int(c[of[w]]) for w in word.to_pylist()], pa.int32())
+        of, all_ = _Codes(u, f, len(c) - 1), word.to_pylist()
+        return pa.StructArray.from_arrays([pa.array(hashes_of(all_)[0].view(np.int64)), pa.array([int(c[of[w]]) for w in all_], pa.int32())], KNOWN.names)
 
-    per = counts.groupBy(class_of("word").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    vocabulary = scratch.table(words.select("word", "n", known("word").alias("k")).select("word", "n", "k.*").join(placed, "h", "left").select("word", "n", F.coalesce("cls", "form_cls").alias("cls")), "vocabulary")
+    scratch.drop("counts")
     n_c, v_c = np.zeros(s.classes), np.zeros(s.classes)
-    for r in per:
-        n_c[r["c"]], v_c[r["c"]] = r["n"], r["v"]
-    prior = (n.sum(axis=0) + 1) / (n.sum() + s.classes)
-    transition = (n + s.mu * prior[None, :]) / (n.sum(axis=1, keepdims=True) + s.mu)
-    of = _Codes(units, forms, size - 1)
-    head_cls = np.array([cls[of[w]] for w in head], np.int64)
+    n_c[0], v_c[0] = ends, ends > 0
+    for r in vocabulary.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        n_c[r["cls"]], v_c[r["cls"]] = r["n"], r["v"]
+    top = most_frequent(vocabulary, s.head)
+    head = {w: i for i, w in enumerate(top["word"].to_pylist())}
     form_cls = np.array([*(cls[c] for c in forms.values()), cls[size - 1]], np.int64)
     return Model(
-        head, {f: len(head) + i for i, f in enumerate(forms)}, np.log10(top["n"].to_numpy().astype(np.float64) + ADD), np.concatenate([head_cls, form_cls]),
-        np.log10(transition), np.log10(n_c + ADD * (v_c + 1)), float(np.log10(total + ADD * (distinct + 1))), int(ends), int(total),
-    ), counts
+        head, {f: len(head) + i for i, f in enumerate(forms)}, np.log10(top["n"].to_numpy().astype(np.float64) + ADD), np.concatenate([top["cls"].to_numpy().astype(np.int64), form_cls]),
+        np.log10(n_c + ADD * (v_c + 1)), float(np.log10(total + ADD * (distinct + 1))), int(ends), int(total),
+    ), vocabulary
 
 
-PART = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("counted", T.DoubleType()), T.StructField("classes", T.DoubleType()), T.StructField("rest", T.ArrayType(T.BinaryType()))])
+REST = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("at", T.ArrayType(T.IntegerType()))]))
+PART = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("counted", T.DoubleType()), T.StructField("cls", T.BinaryType()), T.StructField("n_rest", T.LongType()), T.StructField("rest", REST)])
 
 
 def _parts(spark, model: Model):
+    """Column -> Column: what the head tells of a text, the classes of its words (of other words, their forms'), and its other words."""
     held, made = spark.sparkContext.broadcast(tuple(model)), []
+    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.list_(pa.int32()))]))
 
     @F.arrow_udf(PART)
     def parts(text: pa.Array) -> pa.Array:
@@ -311,19 +416,89 @@ def _parts(spark, model: Model):
         h, out = len(m.head), []
         end = float(np.log10(m.end_count + ADD))
         for hashed, first, last in own.spans(text):
-            words, codes = len(hashed), of(own, hashed, first, last)
-            known = codes[codes < h]
-            c = np.zeros(words + 2, np.int64)
-            c[1:-1] = m.cls[codes]
-            by_class = float(m.transition[c[:-1], c[1:]].sum() - m.emission[c[1:]].sum())
-            rest = np.flatnonzero(codes >= h)
-            out.append((words + 1, len(known) + (m.end_count > 0), float(m.log_count[known].sum()) + end, by_class, [own.raw[a : b + 1].tobytes().lower() for a, b in zip(first[rest].tolist(), last[rest].tolist(), strict=True)]))
-        n, k, s, b, rest = zip(*out, strict=True) if out else ((),) * 5
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.float64()), pa.array(b, pa.float64()), pa.array(rest, pa.list_(pa.binary()))], PART.names)
+            codes = of(own, hashed, first, last)
+            known, rest, others = codes[codes < h], np.flatnonzero(codes >= h), {}
+            for i, a, b in zip(rest.tolist(), first[rest].tolist(), last[rest].tolist(), strict=True):
+                others.setdefault(own.raw[a : b + 1].tobytes().lower(), []).append(i)
+            out.append((len(hashed) + 1, len(known) + (m.end_count > 0), float(m.log_count[known].sum()) + end, m.cls[codes].astype(np.uint8).tobytes(), len(rest), list(others.items())))
+        n, k, s, c, r, rest = zip(*out, strict=True) if out else ((),) * 6
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.float64()), pa.array(c, pa.binary()), pa.array(r, pa.int64()), pa.array(rest, rest_type)], PART.names)
 
     return parts
 
 
+@F.arrow_udf(T.BinaryType())
+def _with_classes(cls: pa.Array, found: pa.Array) -> pa.Array:
+    """The classes of a text's words, those of ``found`` set."""
+    out = []
+    for own, hits in zip(cls.to_pylist(), found.to_pylist(), strict=True):
+        if hits:
+            c = np.frombuffer(own, np.uint8).copy()
+            for x in hits:
+                c[x["at"]] = x["cls"]
+            own = c.tobytes()
+        out.append(own)
+    return pa.array(out, pa.binary())
+
+
+def tagged(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, own (sum of log10 of the words' counts) and cls (a byte a word) of every row."""
+    parts = scratch.table(docs.select("doc_id", "held_out", _parts(docs.sparkSession, model)("text").alias("p")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "p.*"), "parts")
+    times = F.size("at")
+    found = parts.select("rid", F.explode("rest").alias("x")).select("rid", "x.*").join(vocabulary, "word")
+    found = found.groupBy("rid").agg(F.sum(times * F.log10(F.col("n") + F.lit(ADD))).alias("more"), F.sum(times).alias("more_known"), F.collect_list(F.struct("at", "cls")).alias("found"))
+    more = F.coalesce("more_known", F.lit(0))
+    out = scratch.table(parts.drop("rest").join(found, "rid", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"),
+        (F.col("counted") + F.coalesce("more", F.lit(0.0)) + (F.col("n_rest") - more) * F.log10(F.lit(ADD))).alias("own"), _with_classes("cls", "found").alias("cls"),
+    ), "tagged")
+    scratch.drop("parts")
+    return out
+
+
+def _sequence(own: bytes) -> np.ndarray:
+    """The classes of a text's words between two ends."""
+    c = np.zeros(len(own) + 2, np.int64)
+    c[1:-1] = np.frombuffer(own, np.uint8)
+    return c
+
+
+def transitions(train: DataFrame, s: Settings) -> np.ndarray:
+    """log10 P(class | class before), smoothed, from the tagged rows that train."""
+    k = s.classes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for own in batch.column("cls").to_pylist():
+                c = _sequence(own)
+                held += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["code", "n"])
+
+    got = train.select("cls").mapInArrow(count, CODE).groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # classes ** 2 rows at most
+    n = np.zeros(k * k)
+    n[got["code"].to_numpy()] = got["n"].to_numpy()
+    n = n.reshape(k, k)
+    prior = (n.sum(axis=0) + 1) / (n.sum() + k)
+    return np.log10((n + s.mu * prior[None, :]) / (n.sum(axis=1, keepdims=True) + s.mu))
+
+
+def _class_score(spark, move: np.ndarray, emission: np.ndarray):
+    held = spark.sparkContext.broadcast((move, emission))
+
+    @F.arrow_udf(T.DoubleType())
+    def score(cls: pa.Array) -> pa.Array:
+        move, emission = held.value
+        out = []
+        for own in cls.to_pylist():
+            c = _sequence(own)
+            out.append(float(move[c[:-1], c[1:]].sum() - emission[c[1:]].sum()))
+        return pa.array(out, pa.float64())
+
+    return score
+
+
 def perplexity(scored: DataFrame, score: str = "score") -> DataFrame:
     """held_out, n_tokens and perplexity of all held-out and all other rows together."""
     return scored.groupBy("held_out").agg(F.sum("n_tokens").alias("n_tokens"), F.pow(F.lit(10.0), -F.sum(score) / F.sum("n_tokens")).alias("perplexity"))
@@ -334,14 +509,11 @@ def score(documents: DataFrame, held_out: Column, settings: Settings = Settings(
     spark = documents.sparkSession
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     with Scratch(spark, "brown") as scratch:
-        model, counts = fit(docs.where(~F.col("held_out")), settings, scratch)
-        scratch.drop("pairs")
-        scored = scratch.table(docs.select("doc_id", "held_out", _parts(spark, model)("text").alias("p")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "p.*"), "scored")
-        rest = scored.select("rid", F.explode("rest").alias("word")).join(counts, "word", "left")
-        rest = rest.groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).alias("more"), F.count("n").alias("more_known"))
-        own = F.col("counted") + F.coalesce("more", F.lit(0.0))
-        return scratch.keep(scored.drop("rest").join(rest, "rid", "left").select(
-            "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-            (own - F.col("n_tokens") * F.lit(model.base)).alias("base_score"), (own + F.col("classes")).alias("score"),
-            F.pow(F.lit(10.0), -(own + F.col("classes")) / F.col("n_tokens")).alias("perplexity"),
+        model, vocabulary = fit(docs.where(~F.col("held_out")), settings, scratch)
+        rows = tagged(docs, model, vocabulary, scratch)
+        by_class = _class_score(spark, transitions(rows.where(~F.col("held_out")), settings), model.emission)
+        return scratch.keep(rows.withColumn("classes", by_class("cls")).select(
+            "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+            (F.col("own") - F.col("n_tokens") * F.lit(model.base)).alias("base_score"), (F.col("own") + F.col("classes")).alias("score"),
+            F.pow(F.lit(10.0), -(F.col("own") + F.col("classes")) / F.col("n_tokens")).alias("perplexity"),
         ))

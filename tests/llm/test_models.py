@@ -40,11 +40,16 @@ def test_brown_score_equals_brute_force_and_sums_to_one(spark):
     train = [r for r in rows if remainder(r[0], 10)]
     docs = frame(spark).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     with brown_lm.Scratch(spark, "brown-test") as scratch:
-        model, _ = brown_lm.fit(docs.where(fold("doc_id", 10) != 0), SMALL, scratch)
+        model, vocabulary = brown_lm.fit(docs.where(fold("doc_id", 10) != 0), SMALL, scratch)
+        own = {bytes(r["word"]): r["cls"] for r in vocabulary.collect()}
+        tagged = brown_lm.tagged(docs.withColumn("held_out", fold("doc_id", 10) == 0), model, vocabulary, scratch)
+        transition = brown_lm.transitions(tagged.where(~F.col("held_out")), SMALL)
     other = len(model.head) + len(model.forms)
+    assert set(own) == {w for r in train for w in words(r[1])} and len(own) > SMALL.head > SMALL.units
+    assert all(own[w] == model.cls[i] for w, i in model.head.items())
 
     def cls(w):
-        return 0 if w == b"" else int(model.cls[model.head.get(w, model.forms.get(w[-3:], other))])
+        return 0 if w == b"" else own[w] if w in own else int(model.cls[model.forms.get(w[-3:], other)])
 
     pairs, count, k = np.zeros((SMALL.classes,) * 2), collections.Counter(), SMALL.classes
     for r in train:
@@ -59,7 +64,7 @@ def test_brown_score_equals_brute_force_and_sums_to_one(spark):
         n_c[cls(w)] += n
         v_c[cls(w)] += 1
     emit = lambda w: (count[w] + 0.1) / (n_c[cls(w)] + 0.1 * (v_c[cls(w)] + 1))
-    assert np.allclose(move.sum(axis=1), 1) and np.allclose(10**model.transition, move)
+    assert np.allclose(move.sum(axis=1), 1) and np.allclose(10**transition, move)
     for c in range(k):
         assert math.isclose(sum(emit(w) for w in count if cls(w) == c) + 0.1 / (n_c[c] + 0.1 * (v_c[c] + 1)), 1)
     got = brown_lm.score(frame(spark), fold("doc_id", 10) == 0, SMALL)
@@ -94,6 +99,42 @@ def test_exchange_gains_are_exact():
         assert math.isclose(value(moved), value(np.where(np.arange(size) == u, best, cls)), abs_tol=1e-6)
 
 
+def test_words_beyond_the_units_move_as_exchange_moves_them():
+    """From the entries that aren't zero, every class comes out as from whole rows, words that follow themselves too."""
+    rng = np.random.default_rng(5)
+    for classes, size in ((4, 30), (7, 40)):
+        pairs = rng.integers(0, 9, (size, size)) * (rng.random((size, size)) < 0.15)
+        pairs[np.arange(1, size, 3), np.arange(1, size, 3)] += 2
+        cls = np.concatenate([[0], rng.integers(1, classes, size - 1)])
+        pairs[0, 1:] += 1
+        hot = np.eye(classes)[cls]
+        right, left = pairs @ hot, pairs.T @ hot
+        every = np.arange(1, size)
+        want = brown_lm.exchange(right, left, np.diag(pairs).astype(float), cls, every)[1:]
+        rows = [np.concatenate([left[u], right[u], [pairs[u, u]]]) for u in every]
+        codes = [np.flatnonzero(x) for x in rows]
+        got = brown_lm.place(np.array([len(c) for c in codes]), np.concatenate(codes), np.concatenate([x[c] for x, c in zip(rows, codes, strict=True)]), cls[1:], brown_lm.bigrams(right, cls))
+        assert (got == want).all() and (got != cls[1:]).any()
+
+
+def test_profiles_count_the_classes_of_neighbours(spark):
+    """Classes before and after each word beyond the units, and words after themselves, against a plain count."""
+    rows = odd_rows()
+    units = {w: 1 + i for i, w in enumerate((b"the", b"of", b"lang"))}
+    forms = {b"ord": 4, b"ter": 5}
+    classes, of = 4, np.array([0, 1, 2, 3, 1, 2, 3])
+    code = lambda w: 0 if w == b"" else units.get(w, forms.get(w[-3:], 6))
+    want = collections.Counter()
+    for r in rows:
+        w = [b"", *words(r[1]), b""]
+        for a, b, c in zip(w, w[1:], w[2:], strict=False):
+            if code(b) > 3:
+                h = int(brown_lm.hashes_of([b])[0].view(np.int64)[0])
+                want.update([(h, of[code(b)], of[code(a)]), (h, of[code(b)], classes + of[code(c)])] + [(h, of[code(b)], 2 * classes)] * (b == c))
+    got = brown_lm.profiles(frame(spark).select(F.coalesce("text", F.lit("")).alias("text")), units, forms, of, classes, buffer=50)
+    assert {(r["h"], r["present"], r["code"]): r["n"] for r in got.collect()} == dict(want)
+
+
 def test_brown_without_training_rows_and_empty(spark):
     one = frame(spark).withColumn("text", F.lit("a b"))
     got = brown_lm.score(one, F.lit(True), SMALL).first()
