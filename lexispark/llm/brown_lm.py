@@ -176,7 +176,8 @@ def neighbours(pairs: DataFrame, cls: np.ndarray, classes: int) -> tuple[np.ndar
         for batch in batches:
             code, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             u, v = code // size, code % size
-            own += np.bincount(np.concatenate([u * classes + c[v], (size + v) * classes + c[u]]), np.concatenate([n, n]), len(own))
+            np.add.at(own, u * classes + c[v], n)  # batches are small beside the sums
+            np.add.at(own, (size + v) * classes + c[u], n)
         at = np.flatnonzero(own)
         for i in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(own[at[i : i + (1 << 16)]].astype(np.int64))], ["code", "n"])
