@@ -431,15 +431,15 @@ def _parts(spark, model: Model):
 @F.arrow_udf(T.BinaryType())
 def _with_classes(cls: pa.Array, found: pa.Array) -> pa.Array:
     """The classes of a text's words, those of ``found`` set."""
-    out = []
-    for own, hits in zip(cls.to_pylist(), found.to_pylist(), strict=True):
-        if hits:
-            c = np.frombuffer(own, np.uint8).copy()
-            for x in hits:
-                c[x["at"]] = x["cls"]
-            own = c.tobytes()
-        out.append(own)
-    return pa.array(out, pa.binary())
+    cls, hits = cls.cast(pa.large_binary()), found.flatten()
+    starts = np.frombuffer(cls.buffers()[1], np.int64, len(cls) + 1, cls.offset * 8)
+    own = np.frombuffer(cls.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]].copy()
+    starts = starts - starts[0]
+    at, of = hits.field("at"), hits.field("cls").to_numpy(zero_copy_only=False)
+    times = at.value_lengths().to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    own[np.repeat(starts[rows], times) + at.flatten().to_numpy(zero_copy_only=False)] = np.repeat(of, times)
+    return pa.Array.from_buffers(pa.large_binary(), len(cls), [None, pa.py_buffer(starts), pa.py_buffer(own)]).cast(pa.binary())
 
 
 def tagged(docs: DataFrame, model: Model, vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
