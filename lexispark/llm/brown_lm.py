@@ -403,10 +403,17 @@ REST = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.Struct
 PART = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("counted", T.DoubleType()), T.StructField("cls", T.BinaryType()), T.StructField("n_rest", T.LongType()), T.StructField("rest", REST)])
 
 
+def _joined(parts) -> np.ndarray:
+    return np.concatenate(parts) if len(parts) else np.empty(0, np.int64)
+
+
+def _lists(sizes, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
 def _parts(spark, model: Model):
     """Column -> Column: what the head tells of a text, the classes of its words (of other words, their forms'), and its other words."""
     held, made = spark.sparkContext.broadcast(tuple(model)), []
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.list_(pa.int32()))]))
 
     @F.arrow_udf(PART)
     def parts(text: pa.Array) -> pa.Array:
@@ -414,16 +421,20 @@ def _parts(spark, model: Model):
             m = Model(*held.value)
             made.extend((m, _Lookup(m.head, m.forms, len(m.head) + len(m.forms)), HashedWords()))
         m, of, own = made
-        h, out = len(m.head), []
+        h, out, words, places, times = len(m.head), [], [], [], []
         end = float(np.log10(m.end_count + ADD))
         for hashed, first, last in own.spans(text):
             codes = of(own, hashed, first, last)
-            known, rest, others = codes[codes < h], np.flatnonzero(codes >= h), {}
-            for i, a, b in zip(rest.tolist(), first[rest].tolist(), last[rest].tolist(), strict=True):
-                others.setdefault(own.raw[a : b + 1].tobytes().lower(), []).append(i)
-            out.append((len(hashed) + 1, len(known) + (m.end_count > 0), float(m.log_count[known].sum()) + end, m.cls[codes].astype(np.uint8).tobytes(), len(rest), list(others.items())))
-        n, k, s, c, r, rest = zip(*out, strict=True) if out else ((),) * 6
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.float64()), pa.array(c, pa.binary()), pa.array(r, pa.int64()), pa.array(rest, rest_type)], PART.names)
+            known, rest = codes[codes < h], np.flatnonzero(codes >= h)
+            rest = rest[np.argsort(hashed[rest], kind="stable")]
+            new = np.flatnonzero(np.diff(hashed[rest], prepend=~hashed[rest[:1]]))  # each other word once, with its places
+            words.append((first[rest[new]], last[rest[new]]))
+            places.append(rest)
+            times.append(np.diff(np.append(new, len(rest))))
+            out.append((len(hashed) + 1, len(known) + (m.end_count > 0), float(m.log_count[known].sum()) + end, m.cls[codes].astype(np.uint8).tobytes(), len(rest)))
+        n, k, s, c, r = zip(*out, strict=True) if out else ((),) * 5
+        rest = _lists([len(x) for x in times], pa.StructArray.from_arrays([own.words(*map(_joined, zip(*words, strict=True) if words else ((), ()))), _lists(_joined(times), pa.array(_joined(places).astype(np.int32)))], ["word", "at"]))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.float64()), pa.array(c, pa.binary()), pa.array(r, pa.int64()), rest], PART.names)
 
     return parts
 

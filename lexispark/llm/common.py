@@ -273,6 +273,13 @@ class HashedWords:
             lo = hi
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
+    def words(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """The words at some places of ``raw``, lower-cased."""
+        sizes = last - first + 1
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        body = _LOWER[self.raw[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]]
+        return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(body)]).cast(pa.binary())
+
     def endings(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """A number for the last three bytes of each word (fewer: all), lower-cased, and how many they are."""
         n = np.minimum(last - first + 1, 3)
