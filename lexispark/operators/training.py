@@ -104,11 +104,12 @@ def train(pairs: DataFrame, vector_size: int = 100, approach: str = "CBOW", epoc
 
 def parameter_grid(spark, **axes) -> DataFrame:
     """Every combination of parameters: one column per axis; axes are short lists."""
-    out = None
+    out = spark.range(1, numPartitions=1)
     for name, values in axes.items():
-        own = spark.createDataFrame([(v,) for v in (values if isinstance(values, (list, tuple)) else [values])], [name])
-        out = own if out is None else out.crossJoin(own)
-    return out
+        own = values if isinstance(values, (list, tuple)) else [values]
+        # Literals in one row: joining a table per axis would multiply their partitions.
+        out = out.select("*", F.explode(F.array(*(F.lit(v).cast("long") if type(v) is int else F.lit(v) for v in own))).alias(name))
+    return out.drop("id") if "id" not in axes else out
 
 
 #: How a model's name tells its parameters.
