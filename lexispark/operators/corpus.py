@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..schema import CORPUS
+from ..sources.shared import Steps
 
 
 def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
@@ -122,49 +123,57 @@ def token_reasons(words: DataFrame, spec: tk.TokenFilter, vocabulary: DataFrame)
     return own.select("token", F.when(F.col("_known").isNull(), F.lit("vocab")).otherwise(spec.reason(F.col("token"))).alias("reason"))
 
 
-def decided(ngrams: DataFrame, spec: tk.TokenFilter, vocabulary: DataFrame) -> DataFrame:
-    """(ngram, marks) of distinct n-grams: a struct (token, reason) for each token, in order.
+def known(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(_marks, _kept) of distinct arrays ``_marks``: the same tokens, null also where one isn't in the vocabulary (column word, in lower case).
 
-    The tokens of distinct n-grams are looked up in the dictionary of decided tokens, and folded back by n-gram: a token's
-    tests run once, not once an occurrence, and no list of words is part of the plan. A frequent token is many rows on one side of
-    that join and one on the other, so adaptive execution can split it.
+    Only tokens that are left are looked up. A frequent token is many rows on one side of the join and
+    one on the other, so adaptive execution can split it.
     """
-    each = ngrams.select("ngram").distinct().select("ngram", F.posexplode_outer(tk.tokens(F.col("ngram"))).alias("at", "token"))
-    reasons = token_reasons(each.where("token is not null"), spec, vocabulary)
-    marks = F.filter(F.sort_array(F.collect_list(F.struct("at", "token", "reason"))), lambda m: m["token"].isNotNull())
-    out = each.join(reasons, "token", "left").groupBy("ngram").agg(marks.alias("marks"))
-    return out.select("ngram", F.transform("marks", lambda m: F.struct(m["token"].alias("token"), m["reason"].alias("reason"))).alias("marks"))
+    each = rows.select("_marks").distinct()
+    words = each.select(F.explode("_marks").alias("token")).where("token is not null").distinct()
+    listed = vocabulary.select(F.lower("word").alias("_low")).distinct()
+    words = words.withColumn("_low", F.lower("token")).join(listed, "_low", "left_semi").select("token", F.lit(True).alias("_in"))
+    places = each.select("_marks", F.posexplode_outer("_marks").alias("at", "token")).join(words, "token", "left")
+    held = places.groupBy("_marks").agg(F.collect_list(F.when(F.col("_in"), F.col("at"))).alias("_at"))
+    return held.select("_marks", F.transform("_marks", lambda t, i: F.when(F.array_contains("_at", i), t)).alias("_kept"))
 
 
 def filter_counts(ngrams: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2, vocabulary: DataFrame | None = None) -> DataFrame:
     """One row: tokens dropped for each reason, and n-grams dropped; with a ``vocabulary`` table, its test comes first."""
+    names, tested = ("stop", "short", "numeral", "nonalpha", "vocab"), F.transform(tk.tokens(F.col("ngram")), spec.reason)
+    few = lambda passed: (passed < min_tokens) | (passed == 0)
+    lost = lambda passed, n: F.coalesce(F.sum(F.when(few(passed), n)), F.lit(0)).cast("long")
     if vocabulary is None:
-        out = _once(ngrams.select("ngram", F.lit(1).alias("n")), "reasons", F.transform(tk.tokens(F.col("ngram")), spec.reason))
-    else:
-        rows = ngrams.groupBy("ngram").agg(F.count("*").alias("n"))
-        out = rows.join(decided(ngrams, spec, vocabulary), "ngram").select("n", F.transform("marks", lambda m: m["reason"]).alias("reasons"))
-    hits = lambda name: F.coalesce(F.sum(F.col("n") * F.size(F.filter("reasons", lambda r: r == name))), F.lit(0)).cast("long").alias(f"dropped_{name}")
-    passed = F.size(F.filter("reasons", lambda r: r.isNull()))
-    lost = F.coalesce(F.sum(F.when((passed < min_tokens) | (passed == 0), F.col("n"))), F.lit(0)).cast("long")
-    return out.agg(*(hits(n) for n in ("stop", "short", "numeral", "nonalpha", "vocab")), lost.alias("dropped_ngrams"))
+        out = _once(ngrams.select("ngram"), "reasons", tested)
+        hits = lambda name: F.coalesce(F.sum(F.size(F.filter("reasons", lambda r: r == name))), F.lit(0)).cast("long").alias(f"dropped_{name}")
+        return out.agg(*(hits(n) for n in names), lost(F.size(F.filter("reasons", lambda r: r.isNull())), F.lit(1)).alias("dropped_ngrams"))
+    # Reasons are a matter of tokens, each decided once; only n-grams that no other test drops are looked up as such. Both are written: the corpus is read twice.
+    with Steps(ngrams.sparkSession, "counts") as steps:
+        each = steps.table(ngrams.select(F.explode(tk.tokens(F.col("ngram"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "tokens")
+        told = steps.table(each.join(token_reasons(each, spec, vocabulary), "token"), "told")
+        hits = lambda name: F.coalesce(F.sum(F.when(F.col("reason") == name, F.col("n"))), F.lit(0)).cast("long").alias(f"dropped_{name}")
+        rows = _once(ngrams.select("ngram"), "_marks", F.array_compact(tk.marked(tk.tokens(F.col("ngram")), spec)))
+        rows = steps.table(rows.groupBy(F.when(~few(F.size("_marks")), F.col("_marks")).alias("_marks")).agg(F.count("*").alias("n")), "rows")
+        rest = rows.where("_marks is not null")
+        rest = rest.join(known(rest, told.where("reason is null").select(F.col("token").alias("word"))), "_marks").select("n", F.size(F.array_compact("_kept")).alias("passed"))
+        rest = rest.union(rows.where("_marks is null").select("n", F.lit(0).alias("passed")))
+        return steps.keep(told.agg(*(hits(n) for n in names)).crossJoin(rest.agg(lost(F.col("passed"), F.col("n")).alias("dropped_ngrams"))))
 
 
 def filter_ngrams(corpus: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2, unk: str | None = None, count_unk: bool = True, vocabulary: DataFrame | None = None) -> DataFrame:
     """The corpus with filtered n-grams, consolidated. ``vocabulary`` is a table of the words (column word) that may stay."""
-    if vocabulary is None:
-        out = _once(corpus, "_marks", tk.marked(tk.tokens(F.col("ngram")), spec))
-        kept = _once(out, "_kept", tk.survivors(F.col("_marks"), min_tokens, unk, count_unk)).where("_kept is not null")
-    else:
-        kept = corpus.join(_survivors(decided(corpus, spec, vocabulary), min_tokens, unk, count_unk), "ngram")
+    marked = _once(corpus, "_marks", tk.marked(tk.tokens(F.col("ngram")), spec))
+    if vocabulary is not None:
+        # What the tests leave is summed before words are looked up: n-grams that differ in failing tokens alone are one.
+        zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+        own = marked.where(F.size(F.array_compact("_marks")) > 0).groupBy("_marks", "year").agg(zero("freq"), zero("doc"))
+        with Steps(corpus.sparkSession, "filter") as steps:
+            own = steps.keep(own, "rows")  # read three times
+        marked = own.join(known(own, vocabulary), "_marks").select("year", "freq", "doc", F.col("_kept").alias("_marks"))
+    kept = _once(marked, "_kept", tk.survivors(F.col("_marks"), min_tokens, unk, count_unk)).where("_kept is not null")
     return consolidate(kept.withColumn("ngram", F.col("_kept")))
 
 
-def _survivors(marked: DataFrame, min_tokens: int, unk: str | None, count_unk: bool) -> DataFrame:
-    """(ngram, _kept) of decided n-grams that stay."""
-    marks = F.transform("marks", lambda m: F.when(m["reason"].isNull(), m["token"]))
-    return marked.select("ngram", tk.survivors(marks, min_tokens, unk, count_unk).alias("_kept")).where("_kept is not null")
-
-
 def fused(lines: DataFrame, kind: str, spec: tk.TokenFilter, min_tokens: int = 1, lower: bool = True, unk: str | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """Raw lines to a consolidated corpus in one plan: type, tags off, lower case, filter (also by a vocabulary table), sum."""
     own = parse_tolerant(lines, kind)
