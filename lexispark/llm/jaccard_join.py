@@ -489,6 +489,8 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
     cells = full.select("rid", "n", "keys").join(_few(nodes.select("rid")), "rid").select("rid", "n", F.explode("keys").alias("key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("k"), F.min("rid").alias("center")).where("k > 1")
     members = scratch.table(cells.join(shared, "key"), "all_members")
+    # What a set brings to the search: keys that some other set has too, exactly, however full the fine groups are.
+    keys = scratch.table(members.groupBy("rid", "n").agg(F.collect_list("key").alias("keys")), "shared_keys", "uncompressed")
     # Of cells with the same members (two prints of 64 bits), that of the smallest key stays, with the weight of all.
     lists = members.groupBy("key", "k", "center").agg(F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), F.col("rid"))).alias("y"))
     lists = lists.groupBy("k", "center", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("weight")).select("key", "weight")
@@ -515,7 +517,7 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
         roots = scratch.table(labels(links), f"roots{i}")
         scratch.drop(f"open{i - 1}")
         open_ = _open(members, roots, scratch, f"open{i}")
-    links = links.union(scratch.table(_residual(open_, full.select("rid", "n", "keys"), sets, rarity, percent, split, scratch), "rest"))
+    links = links.union(scratch.table(_residual(open_, keys, sets, rarity, percent, split, scratch), "rest"))
     roots = scratch.table(components(links, scratch, "all"), "roots")
     held = nodes.join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").where("root is not null or n_equal > 1").withColumn("root", F.coalesce("root", "rid"))
     own = ["h", "root", "component_id", "n_equal"]
