@@ -3,9 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.functions import tokens as tk
-from lexispark.operators import corpus, order, training
+from lexispark.operators import corpus, counting, order, training
 from lexispark.plans import fixtures as fx
 
 DOCS = [(1, "a b a b a", "src1"), (1, "a b", "src1"), (2, "b a  b", "src1"), (3, "a b", "src2"), (None, "a b", "src2"), (4, None, "src1"), (5, " \n", "src1"), (6, "a", "src1")]
@@ -57,3 +58,35 @@ def test_vocabulary_looks_up_what_other_tests_leave(spark):
     assert not [k for k in _dealt(out) if "token" in k and "ngram" in k]
     counts = corpus.filter_counts(ngrams, spec, 2, voc).first().asDict()
     assert counts == {"dropped_stop": 1, "dropped_short": 0, "dropped_numeral": 0, "dropped_nonalpha": 0, "dropped_vocab": 4, "dropped_ngrams": 5}
+
+
+ODD = [(1, "x  y\tx\ny \r x", 1), (2, "x y", 1), (None, "x y", 1), (3, "x\x0by x\x0by   Ü", 2), (4, "", 1), (5, None, 2), (6, "y", None), (6, "z y z y", None)]
+
+
+@pytest.mark.parametrize("size", [1, 2])
+@pytest.mark.parametrize("chunk", [1, 1 << 20])
+def test_a_batch_is_counted_as_documents_are(spark, monkeypatch, size, chunk):
+    """The same sums however texts are cut into runs, and a row for each n-gram of a run, not of each document."""
+    monkeypatch.setattr(counting, "CHUNK", chunk)
+    want = {}
+    for doc_id, year in {(d, y) for d, _, y in ODD}:
+        texts = [re.split("[ \t\n\r]+", t.strip(" \t\n\r")) for d, t, y in ODD if (d, y) == (doc_id, year) and t]
+        grams = [" ".join(t[i : i + size]) for t in texts for i in range(len(t) - size + 1)]
+        for g in set(grams):
+            n, d = want.get((year, g), (0, 0))
+            want[year, g] = n + grams.count(g), d + (doc_id is not None)
+    rows = counting.counted(spark.createDataFrame(ODD, "doc_id long, text string, year int").coalesce(1), size, "year").collect()
+    got = {}
+    for r in rows:
+        n, d = got.get((r["year"], r["ngram"]), (0, 0))
+        got[r["year"], r["ngram"]] = n + r["n"], d + r["d"]
+    assert got == want
+    assert chunk == 1 or len([r for r in rows if r["year"] == 1]) == len([k for k in want if k[0] == 1])
+
+
+def test_partitions_of_pairs_follow_the_text(spark, sf, monkeypatch):
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = fx.documents(spark, sf)
+    assert counting.dealt(docs.withColumn("ngram", F.col("text")), docs).rdd.getNumPartitions() <= own
+    monkeypatch.setattr(counting, "DEALT", 1)
+    assert counting.dealt(docs.withColumn("ngram", F.col("text")), docs).rdd.getNumPartitions() == sum(len(t or "") for _, t, _ in DOCS) > own
