@@ -87,8 +87,14 @@ def is_sorted(df: DataFrame, key: str, position: str, descending: bool = False,
     return ends.select(wrong.alias("wrong")).agg((F.count_if("wrong") == 0).alias("is_sorted"))
 
 
-def prefix_histogram(ngrams: DataFrame, depth: int) -> DataFrame:
-    return ngrams.groupBy(prefix_key(tokens(F.col("ngram")), depth).alias("prefix")).agg(F.count("*").alias("total"))
+def prefix_histogram(ngrams: DataFrame, depth: int, *sums: str) -> DataFrame:
+    """(prefix, total, *sums): n-grams by their prefix key, and the sums of other columns.
+
+    N-grams are counted by their initials as they are first, which is one pass over a string; only the few different ones become keys.
+    """
+    initials = F.regexp_replace("ngram", r"[ \t\n\r]*([^ \t\n\r])[^ \t\n\r]*[ \t\n\r]*", "$1 ")
+    per = ngrams.groupBy(initials.alias("ngram")).agg(F.count("*").alias("total"), *(F.sum(c).alias(c) for c in sums))
+    return per.groupBy(prefix_key(tokens(F.col("ngram")), depth).alias("prefix")).agg(*(F.sum(c).alias(c) for c in ("total", *sums)))
 
 
 def prefix_rollup(histogram: DataFrame, depth: int) -> DataFrame:

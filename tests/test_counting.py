@@ -90,3 +90,10 @@ def test_partitions_of_pairs_follow_the_text(spark, sf, monkeypatch):
     assert counting.dealt(docs.withColumn("ngram", F.col("text")), docs).rdd.getNumPartitions() <= own
     monkeypatch.setattr(counting, "DEALT", 1)
     assert counting.dealt(docs.withColumn("ngram", F.col("text")), docs).rdd.getNumPartitions() == sum(len(t or "") for _, t, _ in DOCS) > own
+
+
+def test_histogram_counts_by_initials_first(spark):
+    rows = [("The cat", 1), (" the\tCat ", 2), ("tiny Cow x", 4), ("9 cat", 8), ("", 16), (None, 32)]
+    out = order.prefix_histogram(spark.createDataFrame(rows, "ngram string, freq long"), 3, "freq")
+    assert sorted(map(tuple, out.collect())) == [("___", 2, 48), ("_c_", 1, 8), ("tc_", 2, 3), ("tcx", 1, 4)]
+    assert "regexp_replace" in out._jdf.queryExecution().toString()
