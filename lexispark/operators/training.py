@@ -8,31 +8,42 @@ counts that Spark has summed, of words with ``min_count`` or, if asked, the ``vo
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.tokens import log_weight, tokens
+from ..sources.shared import Steps
 
 VECTORS = "year int, word string, vec array<float>"
 
 
-def _weighted(corpus: DataFrame, weight_by: str, min_count: int, vocabulary: int | None) -> tuple[DataFrame, DataFrame]:
-    """(year, t, w, i, word) of the tokens of n-grams, and each year's words that are learned."""
+#: N-grams that a partition of a join with the vocabulary is made for.
+ROWS = 1 << 20
+
+
+def _held(steps: Steps, corpus: DataFrame, weight_by: str, min_count: int, vocabulary: int | None) -> DataFrame:
+    """(year, w, t): the tokens of n-grams, null where a word isn't learned in that year; n-grams that leave fewer than two go.
+
+    N-grams are written once, and joined with the words of a year once for each of their few places, whole: no token is a row of its own.
+    """
     weight = {"none": F.lit(1), "freq": log_weight(F.col("freq")), "doc_freq": log_weight(F.col("doc"))}[weight_by]
-    rows = corpus.select("year", tokens(F.col("ngram")).alias("t"), weight.cast("double").alias("w"))
-    each = rows.select("year", "w", F.posexplode("t").alias("i", "word"), "t")
-    words = each.groupBy("year", "word").agg(F.sum("w").alias("c")).where(F.col("c") >= min_count)
+    rows = steps.table(corpus.select("year", weight.cast("double").alias("w"), tokens(F.col("ngram")).alias("t")), "ngrams")
+    words = rows.select("year", "w", F.explode("t").alias("word")).groupBy("year", "word").agg(F.sum("w").alias("c")).where(F.col("c") >= min_count)
     if vocabulary is not None:
         words = words.withColumn("r", F.row_number().over(Window.partitionBy("year").orderBy(F.col("c").desc(), "word"))).where(F.col("r") <= vocabulary)
-    return each, words.select("year", "word")
-
-
-def _near(window: int):
-    """The tokens within ``window`` positions of token ``i`` of ``t``."""
-    places = F.transform(F.sequence(F.lit(-window), F.lit(window)), lambda k: F.when((k != 0) & (F.col("i") + k >= 0), F.get("t", F.col("i") + k)))
-    return F.array_compact(places)
+    words = steps.table(words.select("year", "word"), "words")
+    longest, n = rows.agg(F.max(F.size("t")), F.count("*")).first()
+    own, few = max(-(-n // ROWS), 1), int(steps.spark.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.where(F.size("t") > 1)
+    for i in range(longest or 0):
+        keyed = out.withColumn("_at", F.get("t", F.lit(i)))
+        keyed = keyed.repartition(own, "year", "_at") if own > few else keyed
+        keyed = keyed.join(words.select("year", F.col("word").alias("_at"), F.lit(True).alias("_in")), ["year", "_at"], "left")
+        out = keyed.select("year", "w", F.transform("t", lambda t, k: F.when((k != i) | F.col("_in"), t)).alias("t")).where(F.size(F.array_compact("t")) > 1)
+    return out
 
 
 def cooccurrences(corpus: DataFrame, window: int, weight_by: str = "none", min_count: int = 1, vocabulary: int | None = None) -> DataFrame:
@@ -40,22 +51,34 @@ def cooccurrences(corpus: DataFrame, window: int, weight_by: str = "none", min_c
 
     weight_by: none counts an n-gram once, freq and doc_freq by the log weight of its count. The weight
     is multiplied in; no n-gram is replicated. Words rarer than ``min_count`` go before pairs are made;
-    ``vocabulary`` keeps only so many of the most frequent, if given.
+    ``vocabulary`` keeps only so many of the most frequent, if given. Pairs are as many both ways, so they are
+    summed and written one way, and turned when they are read.
     """
-    each, words = _weighted(corpus, weight_by, min_count, vocabulary)
-    pairs = each.join(words, ["year", "word"], "left_semi").select("year", "w", "word", F.explode(_near(window)).alias("context"))
-    pairs = pairs.join(words.withColumnRenamed("word", "context"), ["year", "context"], "left_semi")
-    return pairs.groupBy("year", "word", "context").agg(F.sum("w").alias("n"))
+    with Steps(corpus.sparkSession, "pairs") as steps:
+        each = _held(steps, corpus, weight_by, min_count, vocabulary).select("year", "w", F.posexplode("t").alias("i", "a"), "t").where("a is not null")
+        pairs = each.select("year", "w", "a", F.explode(F.slice("t", F.col("i") + 2, window)).alias("b")).where("b is not null")
+        pairs = steps.keep(pairs.groupBy("year", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("n")))
+    way = lambda a, b, n: F.struct(F.col(a).alias("word"), F.col(b).alias("context"), n.alias("n"))
+    once, twice = way("a", "b", F.col("n")), way("b", "a", F.col("n"))
+    return pairs.select("year", F.inline(F.when(F.col("a") == F.col("b"), F.array(way("a", "b", 2 * F.col("n")))).otherwise(F.array(once, twice))))
 
 
 def context_windows(corpus: DataFrame, window: int, weight_by: str = "none", min_count: int = 1, vocabulary: int | None = None) -> DataFrame:
     """(year, word, context, n): as ``cooccurrences``, but with all of a position's context words in one array, in order."""
-    each, words = _weighted(corpus, weight_by, min_count, vocabulary)
-    held = each.join(words, ["year", "word"], "left_semi")
-    single = held.withColumn("place", F.monotonically_increasing_id()).select("year", "w", "word", "place", F.posexplode(_near(window)).alias("k", "c"))
-    single = single.join(words.withColumnRenamed("word", "c"), ["year", "c"], "left_semi")
-    whole = single.groupBy("place", "year", "word", "w").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("context"))
-    return whole.groupBy("year", "word", "context").agg(F.sum("w").alias("n"))
+    places = F.transform(F.sequence(F.lit(-window), F.lit(window)), lambda k: F.when((k != 0) & (F.col("i") + k >= 0), F.get("t", F.col("i") + k)))
+    with Steps(corpus.sparkSession, "windows") as steps:
+        each = _held(steps, corpus, weight_by, min_count, vocabulary).select("year", "w", F.posexplode("t").alias("i", "word"), "t").where("word is not null")
+        whole = each.select("year", "word", "w", F.array_compact(places).alias("context")).where(F.size("context") > 0)
+        return steps.keep(whole.groupBy("year", "word", "context").agg(F.sum("w").alias("n")))
+
+
+def _coded(*texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different texts in order, and the place of each text among them."""
+    coded = pa.chunked_array(texts).dictionary_encode().combine_chunks()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
 
 
 def train(pairs: DataFrame, vector_size: int = 100, approach: str = "CBOW", epochs: int = 5, negative: int = 5, seed: int = 1, rate: float = 0.05) -> DataFrame:
@@ -64,23 +87,26 @@ def train(pairs: DataFrame, vector_size: int = 100, approach: str = "CBOW", epoc
     'skip-gram' predicts the context from the word and takes ``cooccurrences``; anything else is CBOW,
     which predicts the word from the mean of its context's vectors and takes ``context_windows`` (or
     pairs, as windows of one word). An epoch draws as many rows as there are, each in proportion to n.
-    A year is one Arrow group, so its distinct rows and vectors must fit one task.
+    A year is one Arrow group, so its distinct rows (as text, and as numbers of 4 bytes) and vectors must fit one task.
     """
 
-    def fit(df: pd.DataFrame) -> pd.DataFrame:
+    def fit(table: pa.Table) -> pa.Table:
         rng = np.random.default_rng(seed)
-        lists = [[c] if isinstance(c, str) else list(c) for c in df["context"]]
-        order = sorted(range(len(lists)), key=lambda i: (df["word"].iat[i], lists[i]))
-        word, lists, n = df["word"].to_numpy()[order], [lists[i] for i in order], df["n"].to_numpy(np.float64)[order]
-        vocab, inv = np.unique(np.concatenate([word, *lists]).astype(str), return_inverse=True)
-        sizes = np.array([len(x) for x in lists])
-        # Contexts as rows of equal length; what is beyond a row's own length weighs nothing.
-        context, share = np.zeros((len(word), sizes.max()), np.int64), np.zeros((len(word), sizes.max()))
+        word, context, n = (table.column(c).combine_chunks() for c in ("word", "context", "n"))
+        lists = context if pa.types.is_list(context.type) else pa.ListArray.from_arrays(pa.array(np.arange(len(context) + 1, dtype=np.int32)), context)
+        vocab, code = _coded(word, lists.flatten())
+        word, told, sizes, n = code[: len(word)], code[len(word) :], pc.list_value_length(lists).to_numpy(), n.to_numpy().astype(np.float64)
+        # Contexts as rows of equal length; what is beyond a row's own length weighs nothing, and is less than any word in their order.
         held = np.arange(sizes.max())[None, :] < sizes[:, None]
-        context[held], share[held] = inv[len(word) :], np.repeat(1 / sizes, sizes)
-        given, part, told = context, share, inv[: len(word)]
+        context = np.full(held.shape, -1, np.int32)
+        context[held] = told
+        order = np.lexsort([*context.T[::-1], word])
+        word, n, sizes, held = word[order], n[order], sizes[order], held[order]
+        context = np.where(held, context[order], 0)
+        share = np.where(held, 1 / sizes[:, None], 0)
+        given, part, told = context, share, word
         if approach == "skip-gram":
-            given, part, told, n = np.repeat(told, sizes)[:, None], np.ones((sizes.sum(), 1)), context[held], np.repeat(n, sizes)
+            given, part, told, n = np.repeat(word, sizes)[:, None], np.ones((sizes.sum(), 1)), context[held], np.repeat(n, sizes)
         freq = np.bincount(told, n, len(vocab)) ** 0.75
         cdf, drawn = np.cumsum(freq) / freq.sum(), np.cumsum(n) / n.sum()
         x, y = (rng.random((len(vocab), vector_size)) - 0.5) / vector_size, np.zeros((len(vocab), vector_size))
@@ -97,9 +123,10 @@ def train(pairs: DataFrame, vector_size: int = 100, approach: str = "CBOW", epoc
                 back = np.einsum("bt,btd->bd", err, y[targets])
                 np.add.at(y, targets, err[:, :, None] * hidden[:, None, :])
                 np.add.at(x, given[k], part[k][:, :, None] * back[:, None, :])
-        return pd.DataFrame({"year": df["year"].iloc[0], "word": vocab, "vec": list(x.astype(np.float32))})
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, vector_size, dtype=np.int32)), pa.array(x.astype(np.float32).reshape(-1)))
+        return pa.table({"year": pa.repeat(table.column("year")[0], len(vocab)).cast(pa.int32()), "word": vocab, "vec": vec})
 
-    return pairs.groupBy("year").applyInPandas(fit, VECTORS)
+    return pairs.groupBy("year").applyInArrow(fit, VECTORS)
 
 
 def parameter_grid(spark, **axes) -> DataFrame:

@@ -1,11 +1,15 @@
 """Training by stratified blocks."""
 
+import gc
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexispark.operators import training, vectors, word2vec
 from lexispark.schema import CORPUS
+from lexispark.sources.shared import Steps
 
 ROWS = [(f"{a} {b}", y, 50, 5) for y in (1990, 2000) for a in ("cat", "dog") for b in ("purrs", "runs", "eats")] + [(f"{a} {b}", 2000, 50, 5) for a in ("stone", "rock") for b in ("lies", "falls", "breaks")]
 
@@ -67,3 +71,40 @@ def test_step_is_the_gradient_of_negative_sampling():
 
 def test_no_pairs(spark, pairs):
     assert word2vec.train(pairs.limit(0), vector_size=4, epochs=1, blocks=2).count() == 0
+
+
+def _shuffle_files(spark):
+    return [b for b in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())) if b.startswith("shuffle_")]
+
+
+def test_a_step_leaves_no_shuffle_files(spark):
+    gc.collect()
+    before = set(_shuffle_files(spark))
+    with Steps(spark, "files") as steps:
+        steps.table(spark.range(1000).repartition(3, "id"), "rows")
+        for _ in range(50):
+            if not set(_shuffle_files(spark)) - before:
+                break
+            time.sleep(0.2)
+        assert not set(_shuffle_files(spark)) - before
+
+
+def test_pairs_and_windows_of_longer_ngrams(spark):
+    rows = [("x y z", 1990, 40, 3), ("y x x", 1990, 2, 3), ("rare x y", 1990, 1, 1), ("x", 1990, 9, 9), ("z y", 2000, 9, 9)]
+    pairs, windows, c = {}, {}, {}
+    for g, y, _, _ in rows:
+        for t in g.split():
+            c[y, t] = c.get((y, t), 0) + 1
+    for g, y, _, _ in rows:
+        t = [w if c[y, w] >= 2 else None for w in g.split()]
+        for i, w in enumerate(t):
+            near = [t[j] for j in range(max(0, i - 2), min(len(t), i + 3)) if j != i and t[j]]
+            for x in near if w else ():
+                pairs[y, w, x] = pairs.get((y, w, x), 0) + 1
+            if w and near:
+                windows[y, w, tuple(near)] = windows.get((y, w, tuple(near)), 0) + 1
+    ngrams = spark.createDataFrame(rows, CORPUS)
+    out = training.cooccurrences(ngrams, 2, min_count=2)
+    assert {(r["year"], r["word"], r["context"]): r["n"] for r in out.collect()} == pairs
+    assert {(r["year"], r["word"], tuple(r["context"])): r["n"] for r in training.context_windows(ngrams, 2, min_count=2).collect()} == windows
+    assert "Join" not in out._jdf.queryExecution().toString()  # the pairs are a table, however often they are read
