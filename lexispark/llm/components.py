@@ -27,14 +27,16 @@ def _edges(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def labels(edges: DataFrame, rounds: int = 2) -> DataFrame:
+def labels(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 2) -> DataFrame:
     """(id, root) of nodes with an edge (a, b) after a few rounds: nodes of one root are connected, though not all that are need have one root yet.
 
-    A node without a row is its own root.
+    A node without a row is its own root. Each round is written: a star reads its edges eight times, so a plan of two rounds reads them 64 times, and
+    the driver plans that anew, and keeps what it planned, at each of its shuffles.
     """
-    now = _edges(edges)
-    for _ in range(rounds):
-        now = _star(now)
+    now = scratch.table(_edges(edges), f"{name}_0")
+    for i in range(1, rounds + 1):
+        now = scratch.table(_star(now), f"{name}_{i}")
+        scratch.drop(f"{name}_{i - 1}")
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
 
 

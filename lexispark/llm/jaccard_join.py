@@ -507,17 +507,18 @@ def _join(docs: DataFrame, size: int, percent: int, split: int, scratch: Scratch
     votes = members.where("rid <> center").groupBy(F.col("rid").alias("a"), F.col("center").alias("b")).agg(F.sum("weight").alias("c"))
     best = _possible(votes, rows, percent).groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("m"))).alias("x")).select("a", (-F.col("x.m")).alias("b"))
     links = verified(best, sets, percent, split, scratch, "first")
-    roots = scratch.table(labels(links), "roots0")
+    roots = scratch.table(labels(links, scratch, "labels0"), "roots0")
     open_ = _open(members, roots, scratch, "open0")
     for i in range(1, rounds + 1):
         more = verified(_between(open_, rows, percent), sets, percent, split, scratch, f"round{i}")
         links = links.union(more)
         if more.count() * 50 <= roots.count():  # too few; the trees find what is left
             break
-        roots = scratch.table(labels(links), f"roots{i}")
+        roots = scratch.table(labels(links, scratch, f"labels{i}"), f"roots{i}")
         scratch.drop(f"open{i - 1}")
         open_ = _open(members, roots, scratch, f"open{i}")
     links = links.union(scratch.table(_residual(open_, keys, sets, rarity, percent, split, scratch), "rest"))
+    rarity.destroy()  # 32 MB of the driver and each executor; all that read it is written
     roots = scratch.table(components(links, scratch, "all"), "roots")
     held = nodes.join(_few(roots.withColumnRenamed("id", "rid")), "rid", "left").where("root is not null or n_equal > 1").withColumn("root", F.coalesce("root", "rid"))
     own = ["h", "root", "component_id", "n_equal"]

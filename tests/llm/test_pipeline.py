@@ -1,10 +1,13 @@
 """The corpus pipeline on the smallest tables, on odd rows and on empty tables."""
 
+import os
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontamination, quality_classifier, quality_rules
+from lexispark.llm import components, decontamination, quality_classifier, quality_rules
+from lexispark.llm.common import Scratch
 
 from .helpers import empty, frame, words
 from .test_exact import brute_components, near_copies
@@ -96,3 +99,15 @@ def test_empty_tables(spark, odd, tmp_path):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "ngram_jaccard_join", "decontamination", "best_fit_packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_label_rounds_are_written(spark):
+    """The driver plans one star at a time: the plan of what is returned doesn't grow with the rounds, and no marker is written."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (7, 7)], "a long, b long")
+    with Scratch(spark, "test") as scratch:
+        out = components.labels(edges, scratch, "labels")
+        assert {r["id"]: r["root"] for r in out.collect()} == {2: 1, 3: 1, 4: 1, 9: 8}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Union" not in plan
+        written = out.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert not os.path.exists(f"{written}/_SUCCESS")
