@@ -160,16 +160,27 @@ def filter_counts(ngrams: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2,
         return steps.keep(told.agg(*(hits(n) for n in names)).crossJoin(rest.agg(lost(F.col("passed"), F.col("n")).alias("dropped_ngrams"))))
 
 
+def kept_ngrams(corpus: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2, unk: str | None = None, count_unk: bool = True) -> DataFrame:
+    """(ngram, year, freq, doc) of a corpus with what the filter leaves of each n-gram, yet to be summed.
+
+    It goes by rows, so a corpus that isn't summed itself can be given: its rows meet once, by what is left of them.
+    """
+    marked = _once(corpus, "_marks", tk.marked(tk.tokens(F.col("ngram")), spec))
+    kept = _once(marked, "_kept", tk.survivors(F.col("_marks"), min_tokens, unk, count_unk)).where("_kept is not null")
+    return kept.select(F.col("_kept").alias("ngram"), "year", "freq", "doc")
+
+
 def filter_ngrams(corpus: DataFrame, spec: tk.TokenFilter, min_tokens: int = 2, unk: str | None = None, count_unk: bool = True, vocabulary: DataFrame | None = None) -> DataFrame:
-    """The corpus with filtered n-grams, consolidated. ``vocabulary`` is a table of the words (column word) that may stay."""
+    """The corpus (summed or not) with filtered n-grams, consolidated. ``vocabulary`` is a table of the words (column word) that may stay."""
+    if vocabulary is None:
+        return consolidate(kept_ngrams(corpus, spec, min_tokens, unk, count_unk))
+    # What the tests leave is summed before words are looked up: n-grams that differ in failing tokens alone are one.
     marked = _once(corpus, "_marks", tk.marked(tk.tokens(F.col("ngram")), spec))
-    if vocabulary is not None:
-        # What the tests leave is summed before words are looked up: n-grams that differ in failing tokens alone are one.
-        zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
-        own = marked.where(F.size(F.array_compact("_marks")) > 0).groupBy("_marks", "year").agg(zero("freq"), zero("doc"))
-        with Steps(corpus.sparkSession, "filter") as steps:
-            own = steps.keep(own, "rows")  # read three times
-        marked = own.join(known(own, vocabulary), "_marks").select("year", "freq", "doc", F.col("_kept").alias("_marks"))
+    zero = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    own = marked.where(F.size(F.array_compact("_marks")) > 0).groupBy("_marks", "year").agg(zero("freq"), zero("doc"))
+    with Steps(corpus.sparkSession, "filter") as steps:
+        own = steps.keep(own, "rows")  # read three times
+    marked = own.join(known(own, vocabulary), "_marks").select("year", "freq", "doc", F.col("_kept").alias("_marks"))
     kept = _once(marked, "_kept", tk.survivors(F.col("_marks"), min_tokens, unk, count_unk)).where("_kept is not null")
     return consolidate(kept.withColumn("ngram", F.col("_kept")))
 

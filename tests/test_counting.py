@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import tokens as tk
 from lexispark.operators import corpus, counting, order, training
+from lexispark.plans import catalogue
 from lexispark.plans import fixtures as fx
 
 DOCS = [(1, "a b a b a", "src1"), (1, "a b", "src1"), (2, "b a  b", "src1"), (3, "a b", "src2"), (None, "a b", "src2"), (4, None, "src1"), (5, " \n", "src1"), (6, "a", "src1")]
@@ -97,3 +98,15 @@ def test_histogram_counts_by_initials_first(spark):
     out = order.prefix_histogram(spark.createDataFrame(rows, "ngram string, freq long"), 3, "freq")
     assert sorted(map(tuple, out.collect())) == [("___", 2, 48), ("_c_", 1, 8), ("tc_", 2, 3), ("tcx", 1, 4)]
     assert "regexp_replace" in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("min_tokens,unk", [(2, "UNK"), (1, None)])
+def test_filtered_pairs_are_dealt_once(spark, sf, tmp_path, min_tokens, unk):
+    """Filters of pairs shuffle by what is left of a pair alone, with the sums that filtering the summed corpus has."""
+    rows = [(1, "stone water 9 stone water", "src1"), (1, "the stone", "src1"), (2, "9 stone is water", "src1"), (3, "of stone water", "src2"), (None, "9 stone", "src2")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    name = "filter_unk" if unk else "filter_min_tokens"
+    want = corpus.filter_ngrams(fx.ng2(spark, str(tmp_path)), catalogue.SPEC, min_tokens, unk=unk)
+    got = catalogue.queries()[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) != []
+    assert len([k for k in _dealt(catalogue.queries()[name](spark, sf)) if "doc_id" not in k]) == 1
