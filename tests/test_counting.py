@@ -2,6 +2,8 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,12 @@ def test_filtered_pairs_are_dealt_once(spark, sf, tmp_path, min_tokens, unk):
     got = catalogue.queries()[name](spark, str(tmp_path))
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) != []
     assert len([k for k in _dealt(catalogue.queries()[name](spark, sf)) if "doc_id" not in k]) == 1
+
+
+def test_words_are_not_sorted_for_their_numbers(monkeypatch):
+    """Single words have numbers from the dictionary: only (word, document) and (word, keys) and keys are made distinct."""
+    sorts, unique = [], np.unique
+    monkeypatch.setattr(counting.np, "unique", lambda *a, **b: sorts.append(1) or unique(*a, **b))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "year": [1, 2], "texts": [["b a b"], ["a c"]]})
+    out = counting._counts(batch, ["year"], 1).to_pylist()
+    assert [tuple(r.values()) for r in out] == [(1, "a", 1, 1), (2, "a", 1, 1), (1, "b", 2, 1), (2, "c", 1, 1)] and len(sorts) == 3
