@@ -478,3 +478,20 @@ def test_decontamination_of_scattered_copies(spark):
     assert len(want) > 200 and (60 * 6 + 1, 60) in want
     kept = {r["doc_id"] for r in decontamination.filter_documents(frame(spark, rows), bench).collect()}
     assert kept == {r[0] for r in rows} - {d for d, _ in want}
+
+
+def test_plain_text_is_split_at_once_as_the_library_splits_it():
+    """Every plain character beside the others of the split, in text with odd chunks between; few calls for texts that repeat no chunk."""
+    own = tokens.Encoder(tokens.vocabulary())
+    plain = [chr(c) for c in (*range(33, 127), *range(0xC0, 0x130), *range(0x131, 0x17F))]
+    rng = random.Random(5)
+    some = ["'s", "'S", "'ll", "'re", "'d", "x's", "1", "23", "_", "-", "É", " ", "\n", " ", " ", "<|endoftext|>", "<|", "’", "é", "你", "İ", "ſ", "²"]
+    texts = ["".join(rng.choice(plain if rng.random() < 0.6 else some) for _ in range(60)) for _ in range(3000)]
+    texts += [f"{a}{b}{a} {b}'{a}" for a in plain for b in ("a", "1", "'", "-", "Ü", "×")]
+    for t in texts:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == own.whole.encode(t, add_special_tokens=False).ids, repr(t)
+    assert len(own.encode("ab" * 500_000 + " é’")) > 4  # a long chunk beside an odd one
+    own, made = tokens.Encoder(tokens.vocabulary()), []
+    own.pretokens.make = lambda x, make=own.pretokens.make: made.append(x) or make(x)
+    own.encode(" ".join(f"{a}word{b}{a}" for a in "(\"-" for b in ".,;:!?"))
+    assert len(made) == len(set(made)) and not own.chunks
