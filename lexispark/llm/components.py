@@ -33,23 +33,23 @@ def labels(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 2) -> Da
     A node without a row is its own root. Each round is written: a star reads its edges eight times, so a plan of two rounds reads them 64 times, and
     the driver plans that anew, and keeps what it planned, at each of its shuffles.
     """
-    now = scratch.table(_edges(edges), f"{name}_0")
+    now = scratch.gathered(_edges(edges), f"{name}_0")
     for i in range(1, rounds + 1):
-        now = scratch.table(_star(now), f"{name}_{i}")
+        now = scratch.gathered(_star(now), f"{name}_{i}")
         scratch.drop(f"{name}_{i - 1}")
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(id, root) of every node with an edge (a, b): root is the smallest id of its component."""
-    now = scratch.table(_edges(edges), f"{name}_0")
+    now = scratch.gathered(_edges(edges), f"{name}_0")
     seen, i = None, 0
     while True:
         total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if total == seen or not total[0]:
             break
         seen, i = total, i + 1
-        now = scratch.table(_star(now), f"{name}_{i}")
+        now = scratch.gathered(_star(now), f"{name}_{i}")
         scratch.drop(f"{name}_{i - 1}")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(roots)

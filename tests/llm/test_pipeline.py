@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.llm import components, decontamination, quality_classifier, quality_rules
+from lexispark.llm import components, decontamination, jaccard_join, quality_classifier, quality_rules
 from lexispark.llm.common import Scratch
 
 from .helpers import empty, frame, words
@@ -111,3 +111,25 @@ def test_label_rounds_are_written(spark):
         assert "Join" not in plan and "Union" not in plan
         written = out.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
         assert not os.path.exists(f"{written}/_SUCCESS")
+
+
+def test_a_join_does_not_write_a_file_for_each_partition_of_its_shuffles(spark, monkeypatch):
+    files, write = {}, Scratch._write
+
+    def counted(self, df, name, compression=None):
+        path, out = write(self, df, name, compression)
+        files[name] = len(out.inputFiles())
+        return path, out
+
+    rows = [(i, " ".join(f"w{i // 3}_{j}" for j in range(40)) + " end" * (i % 3), "en", "s", 0, *["x"] * 10) for i in range(600)]
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    monkeypatch.setattr(Scratch, "_write", counted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert sorted(r["doc_id"] for r in jaccard_join.filter_documents(frame(spark, rows)).select("doc_id").collect()) == list(range(0, 600, 3))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 20 and max(files.values()) <= max(spark.sparkContext.defaultParallelism, 64 // 16) * 2, files
