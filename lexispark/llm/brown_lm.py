@@ -33,7 +33,6 @@ to a class that is better by more than 1e-9, the lowest of equally good ones.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,9 +42,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashedWords, Scratch, hashes_of
+from .common import HashedWords, Scratch, hashes_of, mix
 
 END = b""
+END_HASH = np.uint64(0)  # stands for the end where words are counted by hash; the end is no word
+SMALL = 16  # counts below it are so frequent that what they add to each class bigram is tabled
 ADD = 0.1  # the additive constant of the contract's base, and of emissions
 COUNT = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 CODE = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
@@ -64,30 +65,35 @@ class Settings(NamedTuple):
 def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
     """(word, n) of all tokens; each task counts in a bounded table before anything is shuffled."""
 
-    words = HashedWords()
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        words, held, parts, waiting = HashedWords(), None, [], 0
         for batch in batches:
-            parts = list(words.spans(batch.column("text")))
-            held[END] += len(parts)
-            h, first, last = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.empty(0),) * 3
-            if len(h):
-                _, at, n = np.unique(h, return_index=True, return_counts=True)
-                raw = memoryview(words.raw)
-                for a, b, k in zip(first[at].tolist(), last[at].tolist(), n.tolist(), strict=True):
-                    held[bytes(raw[a : b + 1]).lower()] += k
-            if len(held) > most:
-                yield _pairs(held)
-                held = Counter()
-        if held:
-            yield _pairs(held)
+            h, first, last, sizes = _batch(words, batch.column("text"))
+            h, at, n = np.unique(h, return_index=True, return_counts=True)
+            parts.append((np.append(h, END_HASH), np.append(n, len(sizes)), pa.concat_arrays([words.words(first[at], last[at]), pa.array([END])])))
+            waiting += len(h)
+            if waiting > most // 4:
+                held, parts, waiting = _summed([held, *parts] if held else parts), [], 0
+                if len(held[0]) > most:
+                    yield _pairs(held)
+                    held = None
+        if held or parts:
+            yield _pairs(_summed([held, *parts] if held else parts))
+
+    return docs.select("text").mapInArrow(count, COUNT).repartition("word").groupBy("word").agg(F.sum("n").alias("n"))
 
-    return docs.select("text").mapInArrow(count, COUNT).groupBy("word").agg(F.sum("n").alias("n"))
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Hashes, counts and words, each hash once."""
+    h, n, words = (np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), pa.concat_arrays([x[2] for x in parts]))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(n[order], first), words.take(pa.array(order[first]))
 
-def _pairs(held: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+def _pairs(held: tuple[np.ndarray, np.ndarray, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([held[2], pa.array(held[1].astype(np.int64))], ["word", "n"])
 
 
 def most_frequent(counts: DataFrame, n: int) -> pa.Table:
@@ -113,33 +119,63 @@ class _Codes(dict):
         return self.forms.get(word[-3:], self.other)
 
 
+class _Places:
+    """Where 64-bit hashes stand in a table: the first bits name a bucket of one hash or a few."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.bits = max(8, (4 * len(hashes)).bit_length())
+        self.hashes = np.append(hashes, np.uint64(0))  # one more, so that every bucket can be looked into
+        self.starts = np.searchsorted(hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, which are in the table)."""
+        bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        found = (self.hashes[at] == h) & (at < end)
+        rest = np.flatnonzero(~found & (end - at > 1))
+        while len(rest):
+            at[rest] += 1
+            found[rest] = self.hashes[at[rest]] == h[rest]
+            rest = rest[~found[rest] & (at[rest] + 1 < end[rest])]
+        return at, found
+
+
 class _Lookup:
     """``_Codes`` for hashed words: the same codes, many at once."""
 
     def __init__(self, words: dict[bytes, int], forms: dict[bytes, int], other: int):
-        self.other = other
-        h, _ = hashes_of(list(words))
-        at = np.argsort(h)
-        self.hashes, self.codes = h[at], np.fromiter(words.values(), np.int64, len(words))[at]
-        _, e = hashes_of(list(forms))
-        at = np.argsort(e)
-        self.endings, self.forms = e[at], np.fromiter(forms.values(), np.int64, len(forms))[at]
+        self.words, self.codes = self._table(hashes_of(list(words))[0], words, other)
+        self.endings, self.forms = self._table(mix(hashes_of(list(forms))[1].astype(np.uint64)), forms, other)
+
+    @staticmethod
+    def _table(h: np.ndarray, codes: dict[bytes, int], other: int) -> tuple[_Places, np.ndarray]:
+        order = np.argsort(h)
+        return _Places(h[order]), np.append(np.fromiter(codes.values(), np.int64, len(codes))[order], other)
 
     def __call__(self, own: HashedWords, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), self.other, np.int64)
-        found = np.zeros(len(h), bool)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            found = self.hashes[at] == h
-            out[found] = self.codes[at[found]]
+        at, found = self.words(h)
+        out = self.codes[at]
         rest = np.flatnonzero(~found)
-        if len(self.endings) and len(rest):
-            e = own.endings(first[rest], last[rest])
-            at = np.minimum(np.searchsorted(self.endings, e), len(self.endings) - 1)
-            out[rest] = np.where(self.endings[at] == e, self.forms[at], self.other)
+        if len(rest):
+            at, found = self.endings(mix(own.endings(first[rest], last[rest]).astype(np.uint64)))
+            out[rest] = self.forms[np.where(found, at, -1)]
         return out
 
 
+def _batch(own: HashedWords, column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Hashes, first and last bytes of all words of a column, and the words of each text."""
+    parts = list(own.spans(column))
+    return (*map(np.concatenate, zip(*parts, strict=True)), np.array([len(x[0]) for x in parts])) if parts else (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
+
+
+def _between_ends(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values with a 0 before, between and after texts, their places): one end stands for that of a text and the start of the next."""
+    at = np.arange(len(values)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    out = np.zeros(len(values) + len(sizes) + 1, np.int64)
+    out[at] = values
+    return out, at
+
+
 def pair_counts(docs: DataFrame, units: dict[bytes, int], forms: dict[bytes, int], size: int, buffer: int = 4 << 20) -> DataFrame:
     """(code, n): code = unit * size + next unit, over all neighbours, ends included (unit 0)."""
     held = docs.sparkSession.sparkContext.broadcast((units, forms))
@@ -147,14 +183,13 @@ def pair_counts(docs: DataFrame, units: dict[bytes, int], forms: dict[bytes, int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, own, parts, waiting = _Lookup(*held.value, size - 1), HashedWords(), [], 0
         for batch in batches:
-            for h, first, last in own.spans(batch.column("text")):
-                u = np.zeros(len(h) + 2, np.int64)
-                u[1:-1] = of(own, h, first, last)
-                parts.append(u[:-1] * size + u[1:])
-                waiting += len(h) + 1
-                if waiting >= buffer:
-                    yield _codes(np.concatenate(parts))
-                    parts, waiting = [], 0
+            *words, sizes = _batch(own, batch.column("text"))
+            u, _ = _between_ends(of(own, *words), sizes)
+            parts.append(u[:-1] * size + u[1:])
+            waiting += len(u) - 1
+            if waiting >= buffer:
+                yield _codes(np.concatenate(parts))
+                parts, waiting = [], 0
         if parts:
             yield _codes(np.concatenate(parts))
 
@@ -261,20 +296,20 @@ def profiles(docs: DataFrame, units: dict[bytes, int], forms: dict[bytes, int],
         units, forms, cls = held.value
         of, own, parts, waiting = _Lookup(units, forms, len(cls) - 1), HashedWords(), [], 0
         for batch in batches:
-            for h, first, last in own.spans(batch.column("text")):
-                u = of(own, h, first, last)
-                at = np.flatnonzero(u > len(units))
-                if not len(at):
-                    continue
-                c = np.zeros(len(h) + 2, np.int64)
-                c[1:-1] = cls[u]
-                again = at[:-1][h[at[:-1]] == h[at[:-1] + 1]]
-                whose = np.concatenate([at, at, again])
-                parts.append((h[whose].view(np.int64), c[whose + 1], np.concatenate([c[at], classes + c[at + 2], np.full(len(again), 2 * classes)])))
-                waiting += len(whose)
-                if waiting >= buffer:
-                    yield _counted(parts)
-                    parts, waiting = [], 0
+            h, first, last, sizes = _batch(own, batch.column("text"))
+            u = of(own, h, first, last)
+            c, place = _between_ends(cls[u], sizes)
+            at = np.flatnonzero(u > len(units))
+            if not len(at):
+                continue
+            follow = at[at + 1 < len(h)]
+            again = follow[(h[follow] == h[follow + 1]) & (place[follow] + 1 == place[follow + 1])]
+            whose = np.concatenate([at, at, again])
+            parts.append((h[whose].view(np.int64), c[place[whose]], np.concatenate([c[place[at] - 1], classes + c[place[at] + 1], np.full(len(again), 2 * classes)])))
+            waiting += len(whose)
+            if waiting >= buffer:
+                yield _counted(parts)
+                parts, waiting = [], 0
         if parts:
             yield _counted(parts)
 
@@ -284,18 +319,19 @@ def profiles(docs: DataFrame, units: dict[bytes, int], forms: dict[bytes, int],
 
 def _counted(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     h, present, code = map(np.concatenate, zip(*parts, strict=True))
-    order = np.lexsort((code, h))
+    order = np.argsort(h.view(np.uint64) + code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # equal ones come together
     h, present, code = h[order], present[order], code[order]
     at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])]))
     n = np.diff(np.append(at, len(h)))
     return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(present[at].astype(np.int32)), pa.array(code[at].astype(np.int32)), pa.array(n)], NEXT.names)
 
 
-def place(sizes: np.ndarray, code: np.ndarray, x: np.ndarray, present: np.ndarray, n: np.ndarray) -> np.ndarray:
+def place(sizes: np.ndarray, code: np.ndarray, x: np.ndarray, present: np.ndarray, n: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
     """The best class of each word of ``profiles``, as ``exchange`` finds it, from the entries that aren't zero.
 
-    ``sizes``: the entries of each word (one at least); ``code`` and ``x``: theirs; ``n``: the class bigrams.
+    ``sizes``: the entries of each word (one at least); ``code`` and ``x``: theirs; ``n``: the class bigrams; ``more``: ``added(n)``.
     """
+    more = added(n) if more is None else more
     k, words = len(n), len(sizes)
     w, own = np.repeat(np.arange(words), sizes), np.arange(words)
     right, left, self_ = np.zeros((words, k)), np.zeros((words, k)), np.zeros(words)
@@ -304,20 +340,30 @@ def place(sizes: np.ndarray, code: np.ndarray, x: np.ndarray, present: np.ndarra
     right[w[after], code[after] - k] = x[after]
     self_[w[code == 2 * k]] = x[code == 2 * k]
     # in a class that the word isn't in, only cells of its neighbours' classes change; those of its present class come apart
-    cells = np.where(after[:, None], n.T[code % k], n[code % k])
-    some = np.where((code < 2 * k) & (code % k != present[w]), x, 0.0)
-    gain = np.add.reduceat(_f(cells + some[:, None]) - _f(cells), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-    d, s = n.diagonal()[None, :], self_[:, None]
-    gain += _f(d + right + left + s) - _f(d + right) - _f(d + left) + _f(d)
-    to, out = n.T[present] - left, n[present] - right
-    gain += _f(to + right[own, present][:, None] - s) - _f(to) + _f(out + left[own, present][:, None] - s) - _f(out)
+    c, mine = code % k, present[w]
+    some = np.where((code < 2 * k) & (c != mine), x, 0.0).astype(np.int64)
+    gain = np.empty((len(x), k))
+    small = some < SMALL
+    gain[small] = more[some[small], after[small].astype(np.int64), c[small]]
+    cells = np.where(after[~small, None], n.T[c[~small]], n[c[~small]])
+    gain[~small] = _f(cells + some[~small, None]) - _f(cells)
+    gain = np.add.reduceat(gain, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+    d, s = n.diagonal(), self_
+    i, j = np.nonzero((right > 0) & (left > 0) | (s > 0)[:, None])  # the diagonal's cell gets both
+    r, l, d_ = right[i, j], left[i, j], d[j]  # noqa: E741
+    gain[i, j] += _f(d_ + r + l + s[i]) - _f(d_ + r) - _f(d_ + l) + _f(d_)
+    for cells, y in ((n.T[present] - left, right[own, present] - s), (n[present] - right, left[own, present] - s)):
+        i = np.flatnonzero(y)  # words beside one of their own class
+        gain[i] += _f(cells[i] + y[i, None]) - _f(cells[i])
     rows, cols, tr, tl = n.sum(axis=1), n.sum(axis=0), right.sum(axis=1), left.sum(axis=1)
-    gain -= _f(rows + tr[:, None]) - _f(rows) + _f(cols + tl[:, None]) - _f(cols)
+    for total, t in ((rows, tr), (cols, tl)):
+        values, which = np.unique(t, return_inverse=True)
+        gain -= (_f(total + values[:, None]) - _f(total))[which]
     # and its present class
-    apart = (_f(n[present]) - _f(out)) + (_f(n.T[present]) - _f(to))
-    apart[own, present] = 0
+    cell = np.where(after, n[mine, c], n[c, mine])
+    apart = np.where((code < 2 * k) & (c != mine), _f(cell) - _f(cell - x), 0.0)
     d = n[present, present]
-    stay = apart.sum(axis=1) + _f(d) - _f(d - right[own, present] - left[own, present] + self_)
+    stay = np.add.reduceat(apart, np.concatenate([[0], np.cumsum(sizes)[:-1]])) + _f(d) - _f(d - right[own, present] - left[own, present] + self_)
     stay -= _f(rows[present]) - _f(rows[present] - tr) + _f(cols[present]) - _f(cols[present] - tl)
     gain[own, present] = stay
     gain[:, 0] = -np.inf  # class 0 is the end's alone
@@ -325,18 +371,24 @@ def place(sizes: np.ndarray, code: np.ndarray, x: np.ndarray, present: np.ndarra
     return np.where(gain[own, best] > stay + 1e-9, best, present)
 
 
+def added(n: np.ndarray) -> np.ndarray:
+    """(x, 0 before and 1 after, class): what x more in each cell of a class's column or row of ``n`` add, for x below ``SMALL``."""
+    sides = np.stack([n, n.T])
+    return np.stack([_f(sides + x) - _f(sides) for x in range(SMALL)])
+
+
 def exchange_rest(profile: DataFrame, n: np.ndarray) -> DataFrame:
     """(h, cls) of every word of ``profiles``, each seen from the class bigrams ``n``."""
     held = profile.sparkSession.sparkContext.broadcast(n)
 
     @F.arrow_udf(T.IntegerType())
     def best(present: pa.Array, entries: pa.Array) -> pa.Array:
-        out = []
+        out, more = [], added(held.value)
         for i in range(0, len(present), 256):
             part = entries.slice(i, 256)
             sizes, flat = part.value_lengths().to_numpy(zero_copy_only=False), part.flatten()
             code, x = (y.to_numpy(zero_copy_only=False) for y in flat.flatten())
-            out.append(place(sizes, code, x.astype(np.float64), present.slice(i, 256).to_numpy(zero_copy_only=False), held.value))
+            out.append(place(sizes, code, x.astype(np.float64), present.slice(i, 256).to_numpy(zero_copy_only=False), held.value, more))
         return pa.array(np.concatenate(out) if out else [], pa.int32())
 
     words = profile.groupBy("h").agg(F.min("present").alias("present"), F.collect_list(F.struct("code", "n")).alias("entries"))
@@ -423,8 +475,9 @@ def _parts(spark, model: Model):
         m, of, own = made
         h, out, words, places, times = len(m.head), [], [], [], []
         end = float(np.log10(m.end_count + ADD))
-        for hashed, first, last in own.spans(text):
-            codes = of(own, hashed, first, last)
+        *words_, sizes = _batch(own, text)
+        cuts = np.cumsum(sizes)[:-1]
+        for hashed, first, last, codes in zip(*(np.split(x, cuts) for x in (*words_, of(own, *words_))), strict=True) if len(sizes) else ():
             known, rest = codes[codes < h], np.flatnonzero(codes >= h)
             rest = rest[np.argsort(hashed[rest], kind="stable")]
             new = np.flatnonzero(np.diff(hashed[rest], prepend=~hashed[rest[:1]]))  # each other word once, with its places

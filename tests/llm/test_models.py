@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -288,3 +289,21 @@ def test_quality_classifier_learns_ids_that_repeat(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = quality_classifier.fit(docs, labels(spark, [(i, int(i < 10_000), 0) for i in [*range(2000), *range(10_000, 10_040)]]))
     assert collections.Counter(model.labels) == {1.0: 1500, 0.0: 40}
+
+
+def test_words_of_a_batch_are_looked_up_together(spark, monkeypatch):
+    """Each word gets the code that ``_Codes`` gives it, in one look-up for all texts of a batch, whatever its bucket."""
+    calls, look = [], brown_lm._Lookup.__call__
+    monkeypatch.setattr(brown_lm._Lookup, "__call__", lambda self, *a: calls.append(1) or look(self, *a))
+    head, forms = {f"w{i}".encode(): i for i in range(3000)}, {b"w7": 3000, b"123": 3001, b"z": 3002}
+    model = brown_lm.Model(head, forms, np.log10(np.arange(3000) + 1.1), np.arange(3003 + 1) % 63 + 1, np.zeros(64), 1.0, 5, 9)
+    rows = [" ".join(f"W{i * j}" for j in range(i % 7)) + " z x123 y" * (i % 3) for i in range(400)]
+    out = brown_lm._parts(spark, model).func(pa.array(rows))
+    codes = brown_lm._Codes(head, forms, 3003)
+    assert out.field("cls").to_pylist() == [bytes(int(model.cls[codes[w]]) for w in words(x)) for x in rows]
+    assert out.field("n_tokens").to_pylist() == [len(words(x)) + 1 for x in rows] and len(calls) == 1
+    assert brown_lm._parts(spark, model).func(pa.array([], pa.string())).to_pylist() == []
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 50, 500).astype(np.uint64))  # all in one bucket
+    at, found = brown_lm._Places(h)(np.concatenate([h, h + np.uint64(1)]))
+    assert (at[:500] == np.arange(500)).all() and (found == np.isin(np.concatenate([h, h + np.uint64(1)]), h)).all()
+    assert not brown_lm._Places(h[:0])(h)[1].any()
