@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -293,6 +294,25 @@ def test_jaccard_filter_keeps_one_of_each_group(spark):
     assert jaccard_join.join(empty(spark)).count() == 0 and jaccard_join.filter_documents(empty(spark)).count() == 0
 
 
+def test_jaccard_settles_texts_of_their_own_and_joins_the_same_with_full_groups(spark, monkeypatch):
+    """With few fine groups, all of them hold several texts: only what is settled before keeps cells away."""
+    monkeypatch.setattr(jaccard_join, "SHARD", 1 << 9)
+    monkeypatch.setattr(jaccard_join, "FEW", 3)  # nothing is broadcast
+    rng = random.Random(8)
+    rows = near_copies(3) + [(5000 + i, " ".join(str(rng.randrange(10**9)) for _ in range(90)), "en", "s", 0, *(["x"] * 10)) for i in range(300)]
+    docs = frame(spark, rows).repartition(3).withColumn("_f1", F.xxhash64(F.coalesce("text", F.lit(""))))
+    asked = docs.select("doc_id", "_f1").collect()
+    left = jaccard_join.marked(pa.array([r["_f1"] for r in asked]), jaccard_join.unsettled(docs.select("_f1", F.coalesce("text", F.lit("")).alias("text")), 5, 80))
+    open_ = {r["doc_id"] for r, x in zip(asked, left.tolist(), strict=True) if x}
+    want, group = brute_components(rows)
+    linked = {c for c, k in Counter(group).items() if k > 1}
+    assert open_ >= {w[0] for w, c in zip(want, group, strict=True) if c in linked and w[1]} and len(open_ & set(range(5000, 5300))) < 30
+    got = jaccard_join.join(docs.drop("_f1"), 5, 80)
+    assert by_row((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == by_row(want)
+    kept = jaccard_join.filter_documents(docs.drop("_f1"))
+    assert kept.count() == len(set(group)) and kept.columns == docs.drop("_f1").columns
+
+
 def test_jaccard_join_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
