@@ -3,8 +3,9 @@
 Words are dealt into B blocks by hash, as the predicting and as the predicted side, so a year's pairs fall into B x B blocks. In
 a round, B blocks that share neither words nor contexts are trained at once, each in a task of its own: block i of the words with
 block (i + r) mod B of the contexts. B rounds see every pair. Between rounds the vectors are a table of words in the shared folder, from which each task gets the
-two shards it needs. A task holds two shards (1/B of the year's vectors each) and one block of pairs (about 1/B^2 of them, 20 bytes a pair); so a
-larger year takes more blocks, not more memory. ``block_sizes`` tells how large they are.
+two shards it needs. A task holds two shards (1/B of the year's vectors each) and one block of pairs (about 1/B^2 of them, 16 bytes a pair); so a
+larger year takes more blocks, not more memory. ``block_sizes`` tells how large they are. Pairs are shuffled as text once: a block is written as numbers
+of its own words, and a round moves these and the vectors.
 
 Negative samples come from the contexts of the same block, in proportion to their count to the power 0.75. Everything follows
 from ``seed``: first vectors from the word's hash, draws from year, block and round.
@@ -12,11 +13,13 @@ from ``seed``: first vectors from the word's hash, draws from year, block and ro
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,11 @@ STATE = "year int, side int, block int, word string, weight double, vec array<fl
 _STATE = pa.schema([("year", pa.int32()), ("side", pa.int32()), ("block", pa.int32()), ("word", pa.string()), ("weight", pa.float64()), ("vec", pa.list_(pa.float32()))])
 _WORD, _CONTEXT, _PAIR = 0, 1, 2
 
+#: A block: a row of its words and contexts in order (and how often these are told), then rows of up to ``CHUNK`` pairs as places in them.
+CODED = "year int, block int, turn int, at int, words array<string>, contexts array<string>, weights array<double>, given binary, told binary, n binary"
+_CODED = pa.schema([*((c, pa.int32()) for c in ("year", "block", "turn", "at")), ("words", pa.list_(pa.string())), ("contexts", pa.list_(pa.string())), ("weights", pa.list_(pa.float64())), *((c, pa.binary()) for c in ("given", "told", "n"))])
+CHUNK = 1 << 16
+
 
 def _block(column: str, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
@@ -48,6 +56,11 @@ def first_vector(word: str, size: int, seed: int) -> np.ndarray:
     return ((np.random.default_rng([seed, zlib.crc32(word.encode())]).random(size) - 0.5) / size).astype(np.float32)
 
 
+def add_rows(m: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``np.add.at(m, at, rows)`` of the rows of a matrix, number by number, which numpy adds some four times as fast."""
+    np.add.at(m.reshape(-1), (at.reshape(-1, 1).astype(np.int64) * m.shape[1] + np.arange(m.shape[1])).ravel(), rows.ravel())
+
+
 def descend(x: np.ndarray, y: np.ndarray, given: np.ndarray, told: np.ndarray, n: np.ndarray, weight: np.ndarray, negative: int, rate: float, rng: np.random.Generator) -> None:
     """One pass over a block: as many pairs as it has, drawn in proportion to n; x and y change in place.
 
@@ -63,10 +76,52 @@ def descend(x: np.ndarray, y: np.ndarray, given: np.ndarray, told: np.ndarray, n
         label = np.zeros(targets.shape, np.float32)
         label[:, 0] = 1
         hidden, seen = x[given[k]], y[targets]
-        err = ((label - 1 / (1 + np.exp(-np.einsum("bd,btd->bt", hidden, seen).clip(-30, 30)))) * rate).astype(np.float32)
-        back = np.einsum("bt,btd->bd", err, seen)
-        np.add.at(y, targets, err[:, :, None] * hidden[:, None, :])
-        np.add.at(x, given[k], back)
+        err = ((label - 1 / (1 + np.exp(-(seen @ hidden[:, :, None])[:, :, 0].clip(-30, 30)))) * rate).astype(np.float32)
+        back = (err[:, None, :] @ seen)[:, 0]
+        add_rows(y, targets, err[:, :, None] * hidden[:, None, :])
+        add_rows(x, given[k], back)
+
+
+def _ordered(texts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """The different texts of dictionary arrays in order, and the place of each text among them."""
+    coded = pa.chunked_array(texts).unify_dictionaries()
+    words = coded.chunk(0).dictionary
+    order = pc.sort_indices(words)
+    place = np.empty(len(words), np.int32)
+    place[order.to_numpy()] = np.arange(len(words))
+    return words.take(order), place[np.concatenate([c.indices.to_numpy() for c in coded.chunks])]
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``CODED`` rows of pairs (year, block, turn, word, context, n) in order of block; their text is held only as long as a batch."""
+    now, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        word, context, n = zip(*held, strict=True)
+        (words, given), (contexts, told), n = _ordered(word), _ordered(context), np.concatenate(n)
+        order = np.lexsort((n, told, given))
+        given, told, n = given[order], told[order], n[order]
+        own, none = [pa.array([x], pa.int32()) for x in now], [pa.nulls(1, t) for t in _CODED.types[4:]]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, contexts, pa.array(np.bincount(told, n, len(contexts))))]
+        yield pa.RecordBatch.from_arrays([*own, pa.array([0], pa.int32()), *lists, *none[3:]], schema=_CODED)
+        for i in range(0, len(n), CHUNK):
+            parts = [pa.array([x[i : i + CHUNK].tobytes()], pa.binary()) for x in (given, told, n)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([i // CHUNK + 1], pa.int32()), *none[:3], *parts], schema=_CODED)
+
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        edges = np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            if hi == lo:
+                continue
+            if now != (key := tuple(keys[:, lo].tolist())):
+                if held:
+                    yield from done()
+                now, held = key, []
+            part = batch.slice(lo, hi - lo)
+            held.append((part.column(3).dictionary_encode(), part.column(4).dictionary_encode(), part.column(5).to_numpy()))
+    if held:
+        yield from done()
 
 
 class _Shards:
@@ -74,34 +129,35 @@ class _Shards:
 
     def __init__(self, size: int, seed: int):
         self.size, self.seed = size, seed
-        self.place: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        self.vecs: tuple[list, list] = ([], [])
         self.rows: tuple[list, list] = ([], [])
+        self.vecs: tuple[list, list] = ([], [])
         self.pairs: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, side: int, words: list, contexts: list, weights: np.ndarray, blocks: list, vecs: pa.Array) -> None:
+    def add(self, side: int, rows: pa.RecordBatch) -> None:
         if side == _PAIR:
-            x, y = self.place
-            self.pairs.append((np.fromiter(map(x.__getitem__, words), np.int32, len(words)), np.fromiter(map(y.__getitem__, contexts), np.int32, len(words)), weights))
+            for i in range(rows.num_rows):
+                if rows.column("given")[i].is_valid:
+                    given, told, n = (np.frombuffer(rows.column(c)[i].as_buffer(), t) for c, t in (("given", np.int32), ("told", np.int32), ("n", np.float64)))
+                    self.pairs.append((self.place[_WORD][given], self.place[_CONTEXT][told], n))
+                else:  # the block's own words among those of the shards
+                    self.place = [pc.index_in(rows.column(c)[i].values, value_set=pa.concat_arrays([w for w, _, _ in self.rows[k]])).to_numpy() for k, c in ((_WORD, "words"), (_CONTEXT, "contexts"))]
             return
+        words, vecs = rows.column("word"), rows.column("vec")
         held = vecs.is_valid().to_numpy(zero_copy_only=False)
-        flat = vecs.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.size)
         out = np.zeros((len(words), self.size), np.float32)
-        out[held] = flat
+        out[held] = vecs.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.size)
         if side == _WORD:
             for i in np.flatnonzero(~held):
-                out[i] = first_vector(words[i], self.size, self.seed)
-        place = self.place[side]
-        for w in words:
-            place[w] = len(place)
+                out[i] = first_vector(words[i].as_py(), self.size, self.seed)
         self.vecs[side].append(out)
-        self.rows[side].append((words, weights, blocks))
+        self.rows[side].append((words, rows.column("weight"), rows.column("block")))
 
     def trained(self, year: int, negative: int, rate: float, rng: np.random.Generator) -> Iterator[pa.RecordBatch]:
         x, y = (np.concatenate(v) if v else np.zeros((0, self.size), np.float32) for v in self.vecs)
         if self.pairs:
             given, told, n = map(np.concatenate, zip(*self.pairs, strict=True))
-            weight = np.concatenate([w for _, w, _ in self.rows[_CONTEXT]])
+            self.pairs.clear()
+            weight = np.concatenate([w.to_numpy() for _, w, _ in self.rows[_CONTEXT]])
             descend(x, y, given, told, n, weight, negative, rate, rng)
         for side, m in ((_WORD, x), (_CONTEXT, y)):
             at = 0
@@ -109,16 +165,18 @@ class _Shards:
                 part = m[at : at + len(words)]
                 at += len(words)
                 offsets = np.arange(0, part.size + 1, self.size, dtype=np.int32)
-                columns = [pa.array(np.full(len(words), year, np.int32)), pa.array(np.full(len(words), side, np.int32)), pa.array(blocks, pa.int32()), pa.array(words), pa.array(weights), pa.ListArray.from_arrays(offsets, pa.array(part.reshape(-1)))]
+                columns = [pa.array(np.full(len(words), year, np.int32)), pa.array(np.full(len(words), side, np.int32)), blocks, words, weights, pa.ListArray.from_arrays(offsets, pa.array(part.reshape(-1)))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _STATE, strict=True)], schema=_STATE)
 
 
-def _round(state: DataFrame, pairs: DataFrame, blocks: int, turn: int, epoch: int, size: int, negative: int, rate: float, seed: int) -> DataFrame:
-    none = lambda kind: F.lit(None).cast(kind)
+def _round(state: DataFrame, coded: DataFrame, years: list[int], blocks: int, turn: int, epoch: int, size: int, negative: int, rate: float, seed: int) -> DataFrame:
+    none = lambda *columns: [F.lit(None).cast(coded.schema[c].dataType if c in coded.columns else state.schema[c].dataType).alias(c) for c in columns]
     group = F.when(F.col("side") == _WORD, F.col("block")).otherwise(F.pmod(F.col("block") - turn, F.lit(blocks)))
-    shards = state.select("year", group.cast("int").alias("group"), "side", "block", "word", none("string").alias("context"), "weight", "vec")
-    own = pairs.where(F.col("turn") == turn).select("year", F.col("block").alias("group"), F.lit(_PAIR).alias("side"), F.lit(0).alias("block"), "word", "context", F.col("n").alias("weight"), none("array<float>").alias("vec"))
-    dealt = shards.union(own).repartition("year", "group").sortWithinPartitions("year", "group", "side", "word", "context")
+    shards = state.select("year", group.cast("int").alias("group"), "side", F.lit(0).alias("at"), "block", "word", "weight", "vec", *none("words", "contexts", "given", "told", "n"))
+    own = coded.where(F.col("turn") == turn).select("year", F.col("block").alias("group"), F.lit(_PAIR).alias("side"), "at", *none("block", "word", "weight", "vec"), "words", "contexts", "given", "told", "n")
+    # A group is a task of its own, however few bytes it has.
+    task = (F.array_position(F.array(*map(F.lit, years)), F.col("year")).cast("int") - 1) * blocks + F.col("group")
+    dealt = shards.union(own).repartitionById(len(years) * blocks, task).sortWithinPartitions("year", "group", "side", "at", "word")
 
     def train_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
@@ -137,8 +195,7 @@ def _round(state: DataFrame, pairs: DataFrame, blocks: int, turn: int, epoch: in
                     if held:
                         yield from done()
                     now, held = (int(year[lo]), int(group[lo])), _Shards(size, seed)
-                part = batch.slice(lo, hi - lo)
-                held.add(int(side[lo]), part.column(4).to_pylist(), part.column(5).to_pylist(), part.column(6).to_numpy(zero_copy_only=False), part.column(3).to_pylist(), part.column(7))
+                held.add(int(side[lo]), batch.slice(lo, hi - lo))
         if held:
             yield from done()
 
@@ -154,12 +211,16 @@ def train(pairs: DataFrame, vector_size: int = 100, approach: str = "skip-gram",
     if approach != "skip-gram":
         pairs = pairs.select("year", F.col("context").alias("word"), F.col("word").alias("context"), "n")
     with Steps(pairs.sparkSession, "word2vec") as steps:
-        dealt = steps.table(_dealt(pairs, blocks), "pairs", "turn")
-        sides = F.explode(F.array(F.struct(F.lit(_WORD).alias("side"), F.col("word").alias("w"), F.lit(0.0).alias("n")), F.struct(F.lit(_WORD).alias("side"), F.col("context").alias("w"), F.lit(0.0).alias("n")), F.struct(F.lit(_CONTEXT).alias("side"), F.col("context").alias("w"), F.col("n").alias("n"))))
-        each = dealt.select("year", sides.alias("s")).groupBy("year", "s.side", F.col("s.w").alias("word")).agg(F.sum("s.n").alias("weight"))
+        keys = ("year", "block", "turn")
+        dealt = _dealt(pairs, blocks).select(*keys, "word", "context", "n").repartition(*keys).sortWithinPartitions(*keys)
+        coded = steps.table(dealt.mapInArrow(_code, CODED), "pairs", "turn")
+        years = sorted(r["year"] for r in coded.select("year").distinct().collect())
+        told = F.explode(F.arrays_zip("contexts", "weights")).alias("s")
+        sides = [(_WORD, coded.select("year", F.explode("words").alias("word"), F.lit(0.0).alias("n"))), *((side, coded.select("year", told).select("year", F.col("s.contexts").alias("word"), n.alias("n"))) for side, n in ((_WORD, F.lit(0.0)), (_CONTEXT, F.col("s.weights"))))]
+        each = functools.reduce(DataFrame.union, (x.select("year", F.lit(side).alias("side"), "word", "n") for side, x in sides)).groupBy("year", "side", "word").agg(F.sum("n").alias("weight"))
         state = steps.table(each.select("year", "side", _block("word", blocks).alias("block"), "word", "weight", F.lit(None).cast("array<float>").alias("vec")), "state_0")
-        for i in range(epochs * blocks):
+        for i in range(epochs * blocks if years else 0):
             epoch, turn = divmod(i, blocks)
-            state = steps.table(_round(state, dealt, blocks, turn, epoch, vector_size, negative, rate * (1 - epoch / epochs), seed), f"state_{i + 1}")
+            state = steps.table(_round(state, coded, years, blocks, turn, epoch, vector_size, negative, rate * (1 - epoch / epochs), seed), f"state_{i + 1}")
             steps.drop(f"state_{i}")
         return steps.keep(state.where(F.col("side") == _WORD).select("year", "word", "vec"))
