@@ -3,20 +3,27 @@
 Dense linear algebra has no DataFrame form, so a year's matrix is worked on in one Arrow group. Its
 size follows the distinct words and pairs of a year, not the corpus: training reads co-occurrence
 counts that Spark has summed, of words with ``min_count`` or, if asked, the ``vocabulary`` most frequent.
+A year of more than ``GROUP`` pairs is trained by blocks (``word2vec``), each in a group of about that size.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.tokens import log_weight, tokens
 from ..sources.shared import Steps
+from . import word2vec
 
+#: Pairs of a year that one group is trained on.
+GROUP = 1 << 21
 VECTORS = "year int, word string, vec array<float>"
 
 
@@ -87,8 +94,17 @@ def train(pairs: DataFrame, vector_size: int = 100, approach: str = "CBOW", epoc
     'skip-gram' predicts the context from the word and takes ``cooccurrences``; anything else is CBOW,
     which predicts the word from the mean of its context's vectors and takes ``context_windows`` (or
     pairs, as windows of one word). An epoch draws as many rows as there are, each in proportion to n.
-    A year is one Arrow group, so its distinct rows (as text, and as numbers of 4 bytes) and vectors must fit one task.
+    A year of up to ``GROUP`` rows is one Arrow group. A larger one is trained as ``word2vec.train`` does, by so many blocks that each has about
+    ``GROUP`` pairs. CBOW windows of several words can't be dealt into blocks: a year that has any is one group, which must fit a task.
     """
+    each = F.size("context") if isinstance(pairs.schema["context"].dataType, T.ArrayType) else F.lit(1)
+    sizes = pairs.groupBy("year").agg(F.sum(each if approach == "skip-gram" else F.lit(1)).alias("rows"), F.max(each).alias("widest")).where(F.col("rows") > GROUP).where("year is not null")
+    blocks = {r["year"]: int(np.ceil(np.sqrt(r["rows"] / GROUP))) for r in sizes.collect() if approach == "skip-gram" or r["widest"] == 1}
+    large = F.coalesce(F.col("year").isin(list(blocks)), F.lit(False))
+    dealt = pairs.select("year", "word", F.explode("context").alias("context"), "n") if isinstance(pairs.schema["context"].dataType, T.ArrayType) else pairs
+    # Years of like size together: a round is one job.
+    by_blocks = [word2vec.train(dealt.where(F.col("year").isin([y for y, k in blocks.items() if k == b])), vector_size, approach, epochs, negative, seed, rate, b) for b in sorted(set(blocks.values()))]
+    pairs = pairs.where(~large) if blocks else pairs
 
     def fit(table: pa.Table) -> pa.Table:
         rng = np.random.default_rng(seed)
@@ -121,12 +137,12 @@ def train(pairs: DataFrame, vector_size: int = 100, approach: str = "CBOW", epoc
                 label[:, 0] = 1
                 err = (label - 1 / (1 + np.exp(-np.einsum("bd,btd->bt", hidden, y[targets]).clip(-30, 30)))) * step
                 back = np.einsum("bt,btd->bd", err, y[targets])
-                np.add.at(y, targets, err[:, :, None] * hidden[:, None, :])
-                np.add.at(x, given[k], part[k][:, :, None] * back[:, None, :])
+                word2vec.add_rows(y, targets, err[:, :, None] * hidden[:, None, :])
+                word2vec.add_rows(x, given[k], part[k][:, :, None] * back[:, None, :])
         vec = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, vector_size, dtype=np.int32)), pa.array(x.astype(np.float32).reshape(-1)))
         return pa.table({"year": pa.repeat(table.column("year")[0], len(vocab)).cast(pa.int32()), "word": vocab, "vec": vec})
 
-    return pairs.groupBy("year").applyInArrow(fit, VECTORS)
+    return functools.reduce(DataFrame.union, by_blocks, pairs.groupBy("year").applyInArrow(fit, VECTORS))
 
 
 def parameter_grid(spark, **axes) -> DataFrame:

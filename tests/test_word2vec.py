@@ -4,6 +4,7 @@ import gc
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,28 @@ def test_pairs_and_windows_of_longer_ngrams(spark):
     assert {(r["year"], r["word"], r["context"]): r["n"] for r in out.collect()} == pairs
     assert {(r["year"], r["word"], tuple(r["context"])): r["n"] for r in training.context_windows(ngrams, 2, min_count=2).collect()} == windows
     assert "Join" not in out._jdf.queryExecution().toString()  # the pairs are a table, however often they are read
+
+
+@pytest.mark.parametrize("approach", ("skip-gram", "CBOW"))
+def test_a_large_year_is_trained_by_blocks(spark, monkeypatch, approach):
+    """No group then gets a whole year; years that fit one group stay as they are."""
+    monkeypatch.setattr(training, "GROUP", 16)
+    taken = []
+    monkeypatch.setattr(word2vec, "train", lambda pairs, *args, train=word2vec.train: taken.append((sorted({r[0] for r in pairs.select("year").collect()}), args[-1])) or train(pairs, *args))
+    corpus = spark.createDataFrame(ROWS, CORPUS)
+    rows = training.cooccurrences(corpus, 1, "freq") if approach == "skip-gram" else training.context_windows(corpus, 1, "freq")
+    out = training.train(rows, vector_size=8, approach=approach, epochs=10, rate=0.4)
+    sims = {(r["word1"], r["word2"]): r["similarity"] for r in vectors.word_cosine(out.where("year = 2000"), spark.createDataFrame([("cat", "dog"), ("cat", "stone")], "word1 string, word2 string")).collect()}
+    assert taken == [([2000], 2)] and sims["cat", "dog"] > sims["cat", "stone"]
+    assert sorted(r["year"] for r in out.collect()) == [1990] * 5 + [2000] * 10
+
+
+def test_a_block_is_written_as_numbers_of_its_words():
+    rows = [(2000, 0, 1, "b", "x", 1.0), (2000, 0, 1, "a", "y", 2.0), (2000, 0, 1, "b", "y", 4.0), (2000, 1, 0, "c", "x", 8.0)]
+    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+    batch = pa.RecordBatch.from_arrays([*(c.cast(pa.int32()) for c in columns[:3]), *columns[3:]], ["year", "block", "turn", "word", "context", "n"])
+    out = [r for b in word2vec._code(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
+    assert [(r["block"], r["turn"], r["at"]) for r in out] == [(0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1)]
+    assert (out[0]["words"], out[0]["contexts"], out[0]["weights"]) == (["a", "b"], ["x", "y"], [1.0, 6.0])
+    of = lambda c, kind: np.frombuffer(out[1][c], kind).tolist()
+    assert (of("given", np.int32), of("told", np.int32), of("n", np.float64)) == ([0, 1, 1], [1, 0, 1], [2.0, 1.0, 4.0])
