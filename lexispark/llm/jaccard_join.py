@@ -192,7 +192,7 @@ def unsettled(docs: DataFrame, size: int, percent: int) -> bytes:
             left = texts["print"][(texts["need"] > 0) & (own < texts["need"])]
             yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64))], ["print"])
 
-    shared = docs.select("_f1", "text").mapInArrow(deal, DEALT).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(settle, SUMS)
+    shared = docs.select("_f1", "text").mapInArrow(deal, DEALT).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(settle, SUMS)
     return marks(shared.repartition("batch").sortWithinPartitions("batch", F.col("texts").desc_nulls_last()).mapInArrow(add, "print long"))
 
 
